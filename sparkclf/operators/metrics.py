@@ -167,13 +167,13 @@ def confusion_insights(cm_long: DataFrame) -> DataFrame:
     acc = F.coalesce(safe_div("correct", "total"), F.lit(0.0))
     return j.select("model", F.explode(F.array(
         F.struct(F.lit(1).alias("pos"), F.lit("Overall Accuracy").alias("metric"), fmt_pct(acc).alias("value")),
-        F.struct(F.lit(2), F.lit("Best Class (recall)"),
-                 F.concat(name(F.col("b.i")), F.lit(" ("), fmt_pct(F.col("b.recall")), F.lit(")"))),
-        F.struct(F.lit(3), F.lit("Worst Class (recall)"),
-                 F.concat(name(F.col("w.i")), F.lit(" ("), fmt_pct(F.col("w.recall")), F.lit(")"))),
-        F.struct(F.lit(4), F.lit("Common Error"),
+        F.struct(F.lit(2).alias("pos"), F.lit("Best Class (recall)").alias("metric"),
+                 F.concat(name(F.col("b.i")), F.lit(" ("), fmt_pct(F.col("b.recall")), F.lit(")")).alias("value")),
+        F.struct(F.lit(3).alias("pos"), F.lit("Worst Class (recall)").alias("metric"),
+                 F.concat(name(F.col("w.i")), F.lit(" ("), fmt_pct(F.col("w.recall")), F.lit(")")).alias("value")),
+        F.struct(F.lit(4).alias("pos"), F.lit("Common Error").alias("metric"),
                  F.when(F.col("e.n") > 0, F.concat(name(F.col("e.i")), F.lit(" → "), name(F.col("e.j"))))
-                 .otherwise(F.lit("N/A"))),
+                 .otherwise(F.lit("N/A")).alias("value")),
     )).alias("r")).select("model", F.col("r.pos").alias("position"), F.col("r.metric").alias("metric"),
                           F.col("r.value").alias("value"))
 

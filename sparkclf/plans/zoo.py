@@ -14,6 +14,7 @@ from ..models.gnb import fit_gnb
 from ..models.knn import fit_knn
 from ..models.prior import fit_prior
 from ..operators.split import train_test_split
+from ..session import cut_lineage
 from . import fixtures as fx
 
 BASELINE = "Rule-based (Stratified Baseline)"
@@ -22,12 +23,27 @@ KNN = "K-Nearest Neighbors"
 KNN_DM = "K-Nearest Neighbors (distance, manhattan, k=7)"
 
 
+_CACHE: dict = {}
+
+
 def emb_split(spark: SparkSession, d: str) -> DataFrame:
-    return train_test_split(fx.emb_clf(spark, d), "label", "vec_id", 0.8, 42)
+    """Checkpointed split: train and test are read by several fits and predictions."""
+    key = ("split", id(spark), d)
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(train_test_split(fx.emb_clf(spark, d), "label", "vec_id", 0.8, 42))
+    return _CACHE[key]
 
 
 def zoo_predictions(spark: SparkSession, d: str, models=(BASELINE, NB, KNN, KNN_DM)) -> DataFrame:
-    """Union of (model, id, y_true, y_pred, scores) over the zoo's models."""
+    """Union of (model, id, y_true, y_pred, scores) over the zoo's models
+    (checkpointed once per session and data folder)."""
+    key = ("preds", id(spark), d, tuple(models))
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(_predict(spark, d, models))
+    return _CACHE[key]
+
+
+def _predict(spark: SparkSession, d: str, models) -> DataFrame:
     s = emb_split(spark, d)
     train = s.where("split = 'train'")
     test = s.where("split = 'test'")
