@@ -17,14 +17,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import classification_metrics
 from ..operators.split import kfold
 from .common import sorted_classes
 from .gnb import fit_gnb
-from .knn import fit_knn, neighbours, vote
+from .knn import fit_knn, neighbours
 from .prior import fit_prior
 from .spark_ml import RFFTransformer, _gamma, fit_spark_model, make_estimator, with_ml_columns
 
@@ -156,18 +156,36 @@ def _ml_cv(kind, data, features, label, classes, cands, k, primary, parallelism,
 
 
 def _knn_cv(data, features, id_col, label, classes, cands, k, primary):
+    """Every (k, weights, metric) candidate from one neighbour list per fold.
+
+    The fold-tagged neighbour lists (query rows x kmax) join a tiny broadcast
+    candidate table, so all candidates are voted and scored in one plan."""
+    spark = data.sparkSession
     kmax = max(int(c["n_neighbors"]) for c in cands)
     mets = sorted({c["metric"] for c in cands})
-    preds = []
+    nbs = None
     for f in range(k):
         tr = data.where(F.col("fold") != f)
         va = data.where(F.col("fold") == f)
-        nb = neighbours(tr, va, features, id_col, label, kmax, mets).persist()
-        truth = va.select(F.col(id_col).alias("qid"), F.col(label).alias("y_true"))
-        for i, c in enumerate(cands):
-            v = vote(nb, classes, int(c["n_neighbors"]), c["weights"], c["metric"])
-            preds.append(v.join(truth, "qid").select(F.lit(f"{i}:{f}").alias("model"), "y_true", "y_pred"))
-    return _fold_means(preds, len(cands), primary)
+        nb = neighbours(tr, va, features, id_col, label, kmax, mets).withColumn("fold", F.lit(f))
+        nbs = nb if nbs is None else nbs.unionByName(nb)
+    cdf = spark.createDataFrame([(i, int(c["n_neighbors"]), c["weights"], c["metric"]) for i, c in enumerate(cands)],
+                                "cand int, kk int, weights string, metric string")
+    x = nbs.join(F.broadcast(cdf), "metric").where(F.col("rank") <= F.col("kk"))
+    grp = Window.partitionBy("fold", "cand", "qid")
+    zero = F.max((F.col("dist") == 0).cast("int")).over(grp)
+    w = F.when(F.col("weights") == "distance",
+               F.when(zero == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))).otherwise(1.0)
+    cls_idx = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label"))
+    votes = (x.withColumn("w", w).groupBy("fold", "cand", "qid", "label").agg(F.sum("w").alias("w"))
+             .withColumn("ci", cls_idx))
+    best = votes.groupBy("fold", "cand", "qid").agg(
+        F.max_by("label", F.struct(F.col("w"), -F.col("ci"))).alias("y_pred"))
+    truth = data.select(F.col(id_col).alias("qid"), F.col(label).alias("y_true"))
+    preds = best.join(truth, "qid").select(
+        F.concat_ws(":", F.col("cand").cast("string"), F.col("fold").cast("string")).alias("model"),
+        "y_true", "y_pred")
+    return _fold_means([preds], len(cands), primary)
 
 
 def _gnb_cv(data, features, label, cands, k, primary, id_col):

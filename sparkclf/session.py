@@ -29,6 +29,8 @@ def build_session(master: str | None = None, app: str = "sparkclf",
     if master:
         b = b.master(master)
     conf = dict(_DEFAULTS)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = "16g"      # local mode: the driver JVM runs every task
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
