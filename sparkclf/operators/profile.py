@@ -323,9 +323,11 @@ def frequencies(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, value, count, percentage) for each categorical column, NULL is a group."""
     cols = categorical_columns(df) if cols is None else cols
     f = frequency_table(df, cols)
-    from pyspark.sql import Window
-    tot = F.sum("count").over(Window.partitionBy("column"))
-    return f.select("column", "value", "count", (F.col("count") * 100.0 / tot).alias("percentage"))
+    # per-column totals are one row per column (a window partitioned by column
+    # would put every distinct value of a column into one task)
+    tot = f.groupBy("column").agg(F.sum("count").alias("__tot"))
+    return f.join(F.broadcast(tot), "column").select(
+        "column", "value", "count", (F.col("count") * 100.0 / F.col("__tot")).alias("percentage"))
 
 
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -368,10 +370,9 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """(class, count, percentage) of the target, NULL class included."""
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found in the dataframe.")
-    from pyspark.sql import Window
     g = df.groupBy(F.col(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("count"))
-    return g.select("class", "count",
-                    (F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy())).alias("percentage"))
+    n = df.count()
+    return g.select("class", "count", (F.col("count") * 100.0 / F.lit(n)).alias("percentage"))
 
 
 def split_sizes(df: DataFrame, train_size: float = 0.8) -> DataFrame:

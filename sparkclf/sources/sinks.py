@@ -8,7 +8,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bo
     """Header CSV, no index column.  ``single_file`` is only for tiny tables
     (e.g. a leaderboard); large tables keep one file per partition."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).option("header", True).csv(path)
+    (out.write.mode(mode).option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
     return path
 
 
