@@ -116,13 +116,32 @@ def _metric_name(primary: str) -> str:
     return "accuracy" if primary == "accuracy" else "f1"
 
 
+ROWS_PER_PARTITION = 100_000
+
+
+def partitions_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_PER_PARTITION))
+
+
+def _svm_key(c):
+    """Linear-kernel candidates ignore gamma: equal keys are fitted once."""
+    return (c.get("C"), c.get("kernel"), c.get("gamma") if c.get("kernel", "rbf") == "rbf" else None)
+
+
 def _ml_cv(kind, data, features, label, classes, cands, k, primary, parallelism, seed):
     """Mean fold score per candidate for a Spark ML model."""
     ev = MulticlassClassificationEvaluator(labelCol="label_idx", predictionCol="prediction",
                                            metricName=_metric_name(primary))
     # candidates that need different feature transforms are scored in separate groups
+    alias: dict = {}
+    if kind == SVM:
+        first: dict = {}
+        for i, c in enumerate(cands):
+            alias[i] = first.setdefault(_svm_key(c), i)
     groups: dict = {}
     for i, c in enumerate(cands):
+        if alias.get(i, i) != i:
+            continue
         key = (c.get("kernel"), c.get("gamma")) if kind == SVM and c.get("kernel", "rbf") == "rbf" else None
         groups.setdefault(key, []).append(i)
     scores = np.zeros(len(cands))
@@ -131,10 +150,12 @@ def _ml_cv(kind, data, features, label, classes, cands, k, primary, parallelism,
         if key is not None:
             dim = len(d.select(features).first()[0])
             d = RFFTransformer(dim, _gamma(d, features, dim, key[1]), seed=seed).transform(d, features)
-        d = with_ml_columns(d, features, label, classes).select("features_vec", "label_idx", "fold").persist()
-
-        sizes = {r["fold"]: r["n"] for r in d.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
         total = sum(sizes.values())
+        # iterative fits run one job per iteration / tree level: keep partitions
+        # sized to the data so small folds do not pay for idle tasks
+        d = (with_ml_columns(d, features, label, classes).select("features_vec", "label_idx", "fold")
+             .coalesce(partitions_for(total)).persist())
 
         def one_fit(job):
             f, i = job
@@ -152,6 +173,8 @@ def _ml_cv(kind, data, features, label, classes, cands, k, primary, parallelism,
         d.unpersist()
         for i in idx:
             scores[i] = float(np.mean(per[i]))
+    for i, j in alias.items():
+        scores[i] = scores[j]
     return scores
 
 

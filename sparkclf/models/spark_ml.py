@@ -3,7 +3,7 @@
 Parameter mapping (documented approximations where Spark has no twin):
 
 * logistic regression: C -> regParam = 1 / (C · n_train), L2, no standardisation,
-  maxIter 1000 (same objective up to the constant factor C·n);
+  maxIter 1000, tol 1e-4 (same objective up to the constant factor C·n);
 * decision tree / random forest: max_depth None -> 30 (Spark's limit);
   min_samples_leaf -> minInstancesPerNode, min_samples_split s has no twin and is
   folded in as minInstancesPerNode = max(leaf, ceil(s / 2)); forest uses
@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from .common import pred_table
 
 MAX_DEPTH_UNLIMITED = 30
+# Solver tolerances of the reference's estimators (logistic regression 1e-4, SVC 1e-3).
+LR_TOL = 1e-4
+SVM_TOL = 1e-3
 RFF_COMPONENTS = 256
 
 
@@ -114,7 +117,7 @@ def make_estimator(kind: str, params: dict, n_train: int, seed: int = 42, n_clas
     common = dict(featuresCol="features_vec", labelCol="label_idx")
     if kind == "Logistic Regression":
         C = float(params.get("C", 1.0))
-        return LogisticRegression(maxIter=1000, regParam=1.0 / (C * n_train), elasticNetParam=0.0,
+        return LogisticRegression(maxIter=1000, tol=LR_TOL, regParam=1.0 / (C * n_train), elasticNetParam=0.0,
                                   standardization=False, family="auto", **common)
     if kind == "Decision Tree":
         return DecisionTreeClassifier(impurity="gini", maxDepth=_depth(params.get("max_depth")),
@@ -126,7 +129,7 @@ def make_estimator(kind: str, params: dict, n_train: int, seed: int = 42, n_clas
                                       seed=seed, **common)
     if kind == "SVM":
         C = float(params.get("C", 1.0))
-        svc = LinearSVC(regParam=1.0 / (C * n_train), maxIter=200, standardization=False, **common)
+        svc = LinearSVC(regParam=1.0 / (C * n_train), maxIter=1000, tol=SVM_TOL, standardization=False, **common)
         return svc if n_classes <= 2 else OneVsRest(classifier=svc, parallelism=4, **common)
     raise ValueError(f"not a Spark ML model kind: {kind}")
 
@@ -152,7 +155,8 @@ def fit_spark_model(kind: str, train: DataFrame, features: str, label: str, clas
         dim = len(tr.select(features).first()[0])
         rff = RFFTransformer(dim, _gamma(tr, features, dim, params.get("gamma", "scale")), seed=seed)
         tr = rff.transform(tr, features)
-    data = with_ml_columns(tr, features, label, classes)
+    from .search import partitions_for
+    data = with_ml_columns(tr, features, label, classes).coalesce(partitions_for(n)).persist()
     est = make_estimator(kind, params, n, seed, len(classes))
     model = est.fit(data)
     cal = None

@@ -20,7 +20,7 @@ def test_histogram_refinement_equals_exact_percentile(spark):
 
 
 def test_quantiles_match_numpy_with_skew(spark):
-    vals = [5.0] * 500 + list(range(100)) + [1e9, -1e9]
+    vals = [5.0] * 500 + [float(i) for i in range(100)] + [1e9, -1e9]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = S.exact_quantiles(df, ["x"], [0.1, 0.5, 0.99], small_rows=0, buckets=16)
     for p in [0.1, 0.5, 0.99]:
