@@ -56,6 +56,26 @@ class GaussianNBModel:
             return pd.DataFrame({"idx": idx.astype(np.int32), "proba": list(pr)})
         return score
 
+    def predict_many(self, df: DataFrame, features: str, smoothings: list) -> DataFrame:
+        """Predicted class index for every smoothing value in one Arrow pass:
+        adds ``__idx`` (array<int>, one entry per smoothing)."""
+        mean, var0, logp = self.mean, self.var, np.log(self.prior)
+        eps = [s * self.max_var for s in smoothings]
+
+        @F.pandas_udf("array<int>")
+        def score(feats: pd.Series) -> pd.Series:
+            X = np.vstack(feats.to_numpy()) if len(feats) else np.zeros((0, mean.shape[1]))
+            diffs = [(X - mean[c]) ** 2 for c in range(mean.shape[0])]
+            out = np.empty((X.shape[0], len(eps)), dtype=np.int32)
+            for k, e in enumerate(eps):
+                var = var0 + e
+                const = -0.5 * np.log(2.0 * np.pi * var).sum(axis=1)
+                jll = np.stack([logp[c] + const[c] - 0.5 * (diffs[c] / var[c]).sum(axis=1)
+                                for c in range(mean.shape[0])], axis=1)
+                out[:, k] = jll.argmax(axis=1)
+            return pd.Series(list(out))
+        return df.withColumn("__idx", score(F.col(features).cast("array<double>")))
+
     def predict(self, df: DataFrame, features: str, id_col: str, label: str, name: str = "Naive Bayes"):
         s = self._udf()(F.col(features).cast("array<double>"))
         lab = F.element_at(F.array(*[F.lit(c) for c in self.classes]), F.col("__s.idx") + 1)

@@ -212,15 +212,20 @@ def _knn_cv(data, features, id_col, label, classes, cands, k, primary):
 
 
 def _gnb_cv(data, features, label, cands, k, primary, id_col):
-    preds = []
+    """One fit per fold; every smoothing value is scored in the same Arrow pass."""
+    sm = [float(c["var_smoothing"]) for c in cands]
+    preds = None
     for f in range(k):
         tr = data.where(F.col("fold") != f)
         va = data.where(F.col("fold") == f)
         base = fit_gnb(tr, features, label)
-        for i, c in enumerate(cands):
-            p = base.with_smoothing(float(c["var_smoothing"])).predict(va, features, id_col, label, f"{i}:{f}")
-            preds.append(p.select("model", "y_true", "y_pred"))
-    return _fold_means(preds, len(cands), primary)
+        cls = F.array(*[F.lit(c) for c in base.classes])
+        p = (base.predict_many(va, features, sm)
+             .select(F.col(label).alias("y_true"), F.posexplode("__idx").alias("cand", "ci"))
+             .select(F.concat_ws(":", F.col("cand").cast("string"), F.lit(str(f))).alias("model"), "y_true",
+                     F.element_at(cls, F.col("ci") + 1).alias("y_pred")))
+        preds = p if preds is None else preds.unionByName(p)
+    return _fold_means([preds], len(cands), primary)
 
 
 def _fold_means(preds, n_cands, primary):

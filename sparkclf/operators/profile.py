@@ -135,31 +135,35 @@ def missing_overall(df: DataFrame) -> DataFrame:
 # B6-B8: outliers
 
 
-def iqr_bounds(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> dict:
-    """{col: (q1, q3, low, high, non_null_count)} on non-null values."""
+def iqr_bounds(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, counts: dict | None = None) -> dict:
+    """{col: (q1, q3, low, high, non_null_count)} on non-null values.
+
+    ``counts`` (non-null count per column) can come from an earlier fused pass."""
     cols = numeric_columns(df) if cols is None else cols
     if not cols:
         return {}
-    _, st = column_stats(df, cols)
-    qs = exact_quantiles(df, cols, [0.25, 0.75], counts={c: st[c].n for c in cols})
+    if counts is None:
+        _, st = column_stats(df, cols)
+        counts = {c: st[c].n for c in cols}
+    qs = exact_quantiles(df, cols, [0.25, 0.75], counts=counts)
     out = {}
     for c in cols:
         q1, q3 = qs[(c, 0.25)], qs[(c, 0.75)]
         if q1 is None:
-            out[c] = (None, None, None, None, st[c].n)
+            out[c] = (None, None, None, None, counts[c])
         else:
             iqr = q3 - q1
-            out[c] = (q1, q3, q1 - k * iqr, q3 + k * iqr, st[c].n)
+            out[c] = (q1, q3, q1 - k * iqr, q3 + k * iqr, counts[c])
     return out
 
 
-def outliers_iqr(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def outliers_iqr(df: DataFrame, cols: list[str] | None = None, counts: dict | None = None) -> DataFrame:
     """(column, outlier_count, percentage): strict < low or > high; IQR 0 -> 0."""
     cols = numeric_columns(df) if cols is None else cols
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, outlier_count bigint, percentage double")
-    b = iqr_bounds(df, cols)
+    b = iqr_bounds(df, cols, counts=counts)
     exprs = []
     for i, c in enumerate(cols):
         q1, q3, lo, hi, n = b[c]
@@ -323,11 +327,10 @@ def frequencies(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, value, count, percentage) for each categorical column, NULL is a group."""
     cols = categorical_columns(df) if cols is None else cols
     f = frequency_table(df, cols)
-    # per-column totals are one row per column (a window partitioned by column
-    # would put every distinct value of a column into one task)
-    tot = f.groupBy("column").agg(F.sum("count").alias("__tot"))
-    return f.join(F.broadcast(tot), "column").select(
-        "column", "value", "count", (F.col("count") * 100.0 / F.col("__tot")).alias("percentage"))
+    # NULL is a group, so every column's counts add up to the row count (no
+    # per-column window, which would put all distinct values of a column in one task)
+    n = df.count()
+    return f.select("column", "value", "count", (F.col("count") * 100.0 / F.lit(n)).alias("percentage"))
 
 
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -63,9 +63,10 @@ def detect_missing(df: DataFrame) -> DataFrame:
     return mc.where("missing_count > 0").select("column", "missing_percentage")
 
 
-def detect_outliers(df: DataFrame, threshold_pct: float = OUTLIER_THRESHOLD_PCT) -> DataFrame:
+def detect_outliers(df: DataFrame, threshold_pct: float = OUTLIER_THRESHOLD_PCT,
+                    counts: dict | None = None) -> DataFrame:
     """(column, outlier_count, percentage) of numeric columns whose IQR outlier share > threshold."""
-    return outliers_iqr(df).where(F.col("percentage") > F.lit(threshold_pct))
+    return outliers_iqr(df, counts=counts).where(F.col("percentage") > F.lit(threshold_pct))
 
 
 def detect_class_imbalance(df: DataFrame, target: str, ratio_threshold: float = IMBALANCE_RATIO) -> DataFrame:
@@ -163,7 +164,9 @@ def detect_all(df: DataFrame, target: str) -> IssueReport:
     rep = IssueReport(rows=n)
     rep.missing = {r["column"]: r["missing_percentage"] for r in mrows if r["missing_count"] > 0}
     rep.constant = [r["column"] for r in mrows if r["is_constant"]]
-    rep.outliers = {r["column"]: r["outlier_count"] for r in detect_outliers(df).collect()}
+    # non-null counts from the fused pass feed the quantile pass (no extra count scan)
+    nn = {r["column"]: n - r["missing_count"] for r in mrows}
+    rep.outliers = {r["column"]: r["outlier_count"] for r in detect_outliers(df, counts=nn).collect()}
     imb = detect_class_imbalance(df, target).first()
     rep.imbalance_ratio, rep.imbalance_issue = float(imb["ratio"]), bool(imb["has_issue"])
     rep.distribution = dict(imb["distribution"] or {})
