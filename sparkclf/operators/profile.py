@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import (categorical_columns, clean_text, num, numeric_columns,
                          safe_div, string_columns)
-from .stats import column_stats, distinct_counts, exact_quantiles, frequency_table, modes
+from .stats import column_stats, count_and_ndv, distinct_counts, exact_quantiles, frequency_table, modes
 
 # ---------------------------------------------------------------------------
 # B1-B3: preview, shape, schema
@@ -81,7 +81,8 @@ def describe_all(df: DataFrame) -> DataFrame:
     others = [c for c in cols if c not in nums and not isinstance(
         df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
     _, st = column_stats(df, cols, nums)
-    qs = exact_quantiles(df, nums, [0.25, 0.5, 0.75], counts={c: st[c].n for c in nums})
+    qs = exact_quantiles(df, nums, [0.25, 0.5, 0.75], counts={c: st[c].n for c in nums},
+                         ndv={c: st[c].ndv for c in nums})
     num_rows = [(c, st[c].n, st[c].mean, st[c].std, _f(st[c].min), qs[(c, 0.25)], qs[(c, 0.5)],
                  qs[(c, 0.75)], _f(st[c].max)) for c in nums]
     ndf = spark.createDataFrame(
@@ -135,17 +136,17 @@ def missing_overall(df: DataFrame) -> DataFrame:
 # B6-B8: outliers
 
 
-def iqr_bounds(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, counts: dict | None = None) -> dict:
+def iqr_bounds(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, counts: dict | None = None,
+               ndv: dict | None = None) -> dict:
     """{col: (q1, q3, low, high, non_null_count)} on non-null values.
 
     ``counts`` (non-null count per column) can come from an earlier fused pass."""
     cols = numeric_columns(df) if cols is None else cols
     if not cols:
         return {}
-    if counts is None:
-        _, st = column_stats(df, cols)
-        counts = {c: st[c].n for c in cols}
-    qs = exact_quantiles(df, cols, [0.25, 0.75], counts=counts)
+    if counts is None or ndv is None:
+        counts, ndv = count_and_ndv(df, cols)
+    qs = exact_quantiles(df, cols, [0.25, 0.75], counts=counts, ndv=ndv)
     out = {}
     for c in cols:
         q1, q3 = qs[(c, 0.25)], qs[(c, 0.75)]
@@ -157,13 +158,14 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, cou
     return out
 
 
-def outliers_iqr(df: DataFrame, cols: list[str] | None = None, counts: dict | None = None) -> DataFrame:
+def outliers_iqr(df: DataFrame, cols: list[str] | None = None, counts: dict | None = None,
+                 ndv: dict | None = None) -> DataFrame:
     """(column, outlier_count, percentage): strict < low or > high; IQR 0 -> 0."""
     cols = numeric_columns(df) if cols is None else cols
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, outlier_count bigint, percentage double")
-    b = iqr_bounds(df, cols, counts=counts)
+    b = iqr_bounds(df, cols, counts=counts, ndv=ndv)
     exprs = []
     for i, c in enumerate(cols):
         q1, q3, lo, hi, n = b[c]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import categorical_columns, safe_div
+from ..functions import categorical_columns, numeric_columns, safe_div
 from .profile import outliers_iqr
 from .stats import distinct_counts
 
@@ -40,6 +40,7 @@ def missing_and_constant(df: DataFrame) -> tuple[int, DataFrame]:
     """Fused pass: per column null count, missing percentage and constant flag
     (<= 1 distinct non-null value, via min <=> max)."""
     cols = df.columns
+    nums = set(numeric_columns(df))
     exprs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         exprs.append(F.count_if(F.col(c).isNull()).alias(f"m{i}"))
@@ -47,13 +48,15 @@ def missing_and_constant(df: DataFrame) -> tuple[int, DataFrame]:
             exprs.append(F.min(c).eqNullSafe(F.max(c)).alias(f"k{i}"))
         else:
             exprs.append(F.lit(False).alias(f"k{i}"))
+        # approximate distinct count of numeric columns picks the quantile strategy later
+        exprs.append(F.approx_count_distinct(c).alias(f"d{i}") if c in nums else F.lit(None).alias(f"d{i}"))
     r = df.agg(*exprs).first()
     n = int(r["__n"])
-    rows = [(i, c, int(r[f"m{i}"]), (100.0 * r[f"m{i}"] / n) if n else 0.0, bool(r[f"k{i}"]))
+    rows = [(i, c, int(r[f"m{i}"]), (100.0 * r[f"m{i}"] / n) if n else 0.0, bool(r[f"k{i}"]), r[f"d{i}"])
             for i, c in enumerate(cols)]
     out = df.sparkSession.createDataFrame(
         rows, "position int, column string, missing_count bigint, missing_percentage double, "
-              "is_constant boolean")
+              "is_constant boolean, ndv bigint")
     return n, out
 
 
@@ -64,9 +67,9 @@ def detect_missing(df: DataFrame) -> DataFrame:
 
 
 def detect_outliers(df: DataFrame, threshold_pct: float = OUTLIER_THRESHOLD_PCT,
-                    counts: dict | None = None) -> DataFrame:
+                    counts: dict | None = None, ndv: dict | None = None) -> DataFrame:
     """(column, outlier_count, percentage) of numeric columns whose IQR outlier share > threshold."""
-    return outliers_iqr(df, counts=counts).where(F.col("percentage") > F.lit(threshold_pct))
+    return outliers_iqr(df, counts=counts, ndv=ndv).where(F.col("percentage") > F.lit(threshold_pct))
 
 
 def detect_class_imbalance(df: DataFrame, target: str, ratio_threshold: float = IMBALANCE_RATIO) -> DataFrame:
@@ -166,7 +169,8 @@ def detect_all(df: DataFrame, target: str) -> IssueReport:
     rep.constant = [r["column"] for r in mrows if r["is_constant"]]
     # non-null counts from the fused pass feed the quantile pass (no extra count scan)
     nn = {r["column"]: n - r["missing_count"] for r in mrows}
-    rep.outliers = {r["column"]: r["outlier_count"] for r in detect_outliers(df, counts=nn).collect()}
+    nd = {r["column"]: r["ndv"] for r in mrows if r["ndv"] is not None}
+    rep.outliers = {r["column"]: r["outlier_count"] for r in detect_outliers(df, counts=nn, ndv=nd).collect()}
     imb = detect_class_imbalance(df, target).first()
     rep.imbalance_ratio, rep.imbalance_issue = float(imb["ratio"]), bool(imb["has_issue"])
     rep.distribution = dict(imb["distribution"] or {})

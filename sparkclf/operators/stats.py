@@ -4,8 +4,8 @@ Everything here is written so that no single task ever has to hold a whole
 column:
 
 * ``column_stats`` is one aggregate with map-side partial aggregation.
-* ``exact_quantiles`` uses Spark's exact ``percentile`` only when the column is
-  small enough for its value->count map to fit one task; otherwise it narrows
+* ``exact_quantiles`` uses Spark's exact ``percentile`` only when the column has
+  few enough distinct values for its value->count map to fit one task; otherwise it narrows
   the target ranks with value-range histograms (bounded output per pass) until
   the bracket holding the rank is tiny or single-valued.
 * ``modes`` uses a frequency table and two aggregates (max count, then smallest
@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Up to this many non-null values per column the built-in exact percentile runs
-# in one pass; past it the histogram refinement is used.
-SMALL_COLUMN_ROWS = 2_000_000
+# The built-in exact percentile keeps a value -> count map of the column in its
+# final task, so its memory grows with the number of distinct values.  Columns
+# with at most this many (approximate, HLL) distinct values use it in one pass;
+# the others use the histogram refinement.
+SMALL_COLUMN_NDV = 500_000
 HIST_BUCKETS = 4096
 FINAL_BRACKET_ROWS = 200_000
 
@@ -36,6 +38,7 @@ class ColumnStats:
     std_pop: float | None
     min: object
     max: object
+    ndv: int | None = None   # approximate distinct count (numeric columns)
 
 
 def column_stats(df: DataFrame, cols: list[str], numeric: list[str] | None = None) -> tuple[int, dict]:
@@ -48,7 +51,8 @@ def column_stats(df: DataFrame, cols: list[str], numeric: list[str] | None = Non
     for i, c in enumerate(numeric):
         x = F.col(c).cast("double")
         exprs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                  F.stddev_pop(x).alias(f"p{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+                  F.stddev_pop(x).alias(f"p{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                  F.approx_count_distinct(x).alias(f"d{i}")]
     r = df.agg(*exprs).first()
     rows = int(r["__rows"])
     out = {}
@@ -59,6 +63,7 @@ def column_stats(df: DataFrame, cols: list[str], numeric: list[str] | None = Non
         s = out.get(c) or ColumnStats(0, 0, None, None, None, None, None)
         s.mean, s.std, s.std_pop = r[f"m{i}"], r[f"s{i}"], r[f"p{i}"]
         s.min, s.max = r[f"lo{i}"], r[f"hi{i}"]
+        s.ndv = int(r[f"d{i}"])
         out[c] = s
     return rows, out
 
@@ -70,22 +75,33 @@ def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     return stacked.where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
+def count_and_ndv(df: DataFrame, cols: list[str]) -> tuple[dict, dict]:
+    """One pass: non-null count and approximate distinct count per column."""
+    if not cols:
+        return {}, {}
+    r = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+               *[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    return ({c: int(r[f"n{i}"]) for i, c in enumerate(cols)}, {c: int(r[f"d{i}"]) for i, c in enumerate(cols)})
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    counts: dict | None = None, small_rows: int = SMALL_COLUMN_ROWS,
+                    counts: dict | None = None, ndv: dict | None = None, small_ndv: int = SMALL_COLUMN_NDV,
                     buckets: int = HIST_BUCKETS) -> dict:
     """Exact linear-interpolation quantiles (pandas ``quantile`` / DuckDB
     ``quantile_cont``) on the non-null values of each column.
 
-    Returns {(col, p): value or None}.
+    ``counts`` / ``ndv`` (non-null and approximate distinct counts) may come
+    from an earlier fused pass.  Returns {(col, p): value or None}.
     """
     if not cols:
         return {}
-    if counts is None:
-        r = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
-        counts = {c: int(r[c]) for c in cols}
+    if counts is None or ndv is None:
+        c2, d2 = count_and_ndv(df, cols)
+        counts = counts if counts is not None else c2
+        ndv = ndv if ndv is not None else d2
     out = {}
-    small = [c for c in cols if counts[c] <= small_rows]
-    large = [c for c in cols if counts[c] > small_rows]
+    small = [c for c in cols if ndv.get(c, 0) <= small_ndv]
+    large = [c for c in cols if ndv.get(c, 0) > small_ndv]
     if small:
         arr = F.array(*[F.lit(float(p)) for p in probs])
         r = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(f"q{i}")

@@ -14,7 +14,7 @@ def test_histogram_refinement_equals_exact_percentile(spark):
     cols = li.columns
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
     small = S.exact_quantiles(li, cols, probs)
-    big = S.exact_quantiles(li, cols, probs, small_rows=0, buckets=64)
+    big = S.exact_quantiles(li, cols, probs, small_ndv=0, buckets=64)
     for key, v in small.items():
         assert abs(v - big[key]) <= 1e-9 * max(1.0, abs(v)), key
 
@@ -22,7 +22,7 @@ def test_histogram_refinement_equals_exact_percentile(spark):
 def test_quantiles_match_numpy_with_skew(spark):
     vals = [5.0] * 500 + [float(i) for i in range(100)] + [1e9, -1e9]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    got = S.exact_quantiles(df, ["x"], [0.1, 0.5, 0.99], small_rows=0, buckets=16)
+    got = S.exact_quantiles(df, ["x"], [0.1, 0.5, 0.99], small_ndv=0, buckets=16)
     for p in [0.1, 0.5, 0.99]:
         assert abs(got[("x", p)] - _np_quantile(vals, p)) < 1e-9
 
