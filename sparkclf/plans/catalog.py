@@ -68,3 +68,14 @@ def load_all():
             if e.name != f"{__package__}.{m}":
                 raise
     return CATALOG
+
+
+def clear_caches():
+    """Forget per-session memoised results (model zoo, training runs)."""
+    from . import zoo
+    zoo._CACHE.clear()
+    try:
+        from . import q_train
+        q_train._RUNS.clear()
+    except ImportError:
+        pass

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from ..operators import encode as E
 from ..operators import prepare as P
 from ..operators.split import train_test_split
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,11 @@ class Prepared:
 
 
 def apply_preprocessing(df: DataFrame, target: str, cfg: PrepConfig, id_col: str,
-                        train_size: float = 0.8, seed: int = 42, persist: bool = False) -> Prepared:
+                        train_size: float = 0.8, seed: int = 42, materialize: bool = True) -> Prepared:
+    """Every fitted step reads its input again; with ``materialize`` the cleaned
+    table and the split are checkpointed (shared checkpoint folder) so later
+    steps read them instead of recomputing de-duplication, imputation and the
+    split, and a lost executor does not replay the whole chain."""
     out = P.drop_duplicates(df, cfg.duplicates)
     if cfg.drop_constant:
         out = P.drop_constant(out, list(cfg.constant_columns), protect=(target, id_col))
@@ -69,10 +74,10 @@ def apply_preprocessing(df: DataFrame, target: str, cfg: PrepConfig, id_col: str
         out = P.impute(out, cfg.impute_method, cfg.constant_value)
     if cfg.outliers:
         out = P.handle_outliers(out, list(cfg.outlier_columns), cfg.outlier_method)
-    clean = out
+    clean = cut_lineage(out) if materialize else out
     split = train_test_split(clean, target, id_col, train_size, seed)
-    if persist:
-        split = split.persist()
+    if materialize:
+        split = cut_lineage(split)
     skip = (target, id_col, "split")
     if cfg.encoding == "onehot":
         split = E.onehot_fit(split, exclude=skip).transform(split)
