@@ -47,33 +47,47 @@ def classification_metrics(preds: DataFrame) -> DataFrame:
         (F.sum(F.col("support") * f1) / tot).alias("f1_weighted"))
 
 
+AUC_ROWS_PER_PARTITION = 1_000_000
+
+
 def _prefix_auc(groups: DataFrame) -> DataFrame:
     """groups: (g, s, pos, neg) with one row per (group, distinct score).
     Returns (g, auc_sum, P, N) where auc_sum = Σ pos·(neg below + neg/2).
 
-    Rows are range-partitioned on (g, s) and sorted; each partition computes
-    its local running negatives; per-partition totals (tiny) give the offsets.
+    Rows are range-partitioned on (g, s) (about a million distinct scores per
+    partition) and sorted; each partition streams its Arrow batches, keeping
+    only a running negative count, and tags rows with the partition's first
+    score per group; per-partition totals (tiny) then give the offsets.
     """
     sch = "g string, first_s double, s double, pos long, neg long, before long"
 
     def local(batches):
-        frames = [b for b in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values(["g", "s"], kind="mergesort")
-        out = []
-        for g, part in pdf.groupby("g", sort=False):
-            neg = part["neg"].to_numpy(dtype=np.int64)
-            before = np.concatenate([[0], np.cumsum(neg)[:-1]])
-            out.append(pd.DataFrame({"g": g, "first_s": float(part["s"].iloc[0]), "s": part["s"].to_numpy(),
-                                     "pos": part["pos"].to_numpy(dtype=np.int64), "neg": neg,
-                                     "before": before}))
-        yield pd.concat(out, ignore_index=True)
-
-    nparts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+        cur_g, first_s, run = None, None, 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            g = pdf["g"].to_numpy()
+            sv = pdf["s"].to_numpy(dtype=float)
+            neg = pdf["neg"].to_numpy(dtype=np.int64)
+            before = np.empty(len(pdf), dtype=np.int64)
+            firsts = np.empty(len(pdf), dtype=float)
+            # rows arrive sorted by (g, s): split the batch into runs of equal g
+            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            ends = np.r_[starts[1:], len(pdf)]
+            for a, b in zip(starts, ends):
+                if g[a] != cur_g:
+                    cur_g, first_s, run = g[a], float(sv[a]), 0
+                cs = np.cumsum(neg[a:b])
+                before[a:b] = run + cs - neg[a:b]
+                run += int(cs[-1])
+                firsts[a:b] = first_s
+            yield pd.DataFrame({"g": g, "first_s": firsts, "s": sv,
+                                "pos": pdf["pos"].to_numpy(dtype=np.int64), "neg": neg, "before": before})
+
+    spark = groups.sparkSession
+    rows = groups.count()
+    nparts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")),
+                 -(-rows // AUC_ROWS_PER_PARTITION))
     ranged = groups.repartitionByRange(nparts, "g", "s").sortWithinPartitions("g", "s")
     loc = ranged.mapInPandas(local, sch)
     totals = loc.groupBy("g", "first_s").agg(F.sum("neg").alias("tneg"))

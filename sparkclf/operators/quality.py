@@ -28,6 +28,7 @@ OUTLIER_THRESHOLD_PCT = 5.0
 IMBALANCE_RATIO = 0.3
 UNIQUE_THRESHOLD = 50
 DUPLICATE_THRESHOLD_PCT = 1.0
+MAX_DISTRIBUTION_CLASSES = 10_000
 ISSUE_NAMES = ("Missing Values", "Outliers", "Class Imbalance", "High Cardinality",
                "Constant Features", "Duplicates")
 
@@ -83,10 +84,13 @@ def detect_class_imbalance(df: DataFrame, target: str, ratio_threshold: float =
     if target not in df.columns:
         return spark.createDataFrame([(0, None, None, 1.0, False, {})], schema)
     g = df.groupBy(F.col(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    st = g.agg(F.count(F.lit(1)).alias("k")).first()["k"]
+    # the per-class map is one row: build it only for a class-like target
+    dist = (F.map_from_entries(F.collect_list(F.struct(F.coalesce("class", F.lit("nan")), "n")))
+            if st <= MAX_DISTRIBUTION_CLASSES else F.lit(None).cast("map<string,bigint>"))
     s = g.agg(F.count(F.lit(1)).cast("bigint").alias("n_classes"),
               F.min("n").cast("bigint").alias("min_count"), F.max("n").cast("bigint").alias("max_count"),
-              F.map_from_entries(F.collect_list(F.struct(F.coalesce("class", F.lit("nan")), "n")))
-              .alias("distribution"))
+              dist.alias("distribution"))
     ratio = F.coalesce(safe_div("min_count", "max_count"), F.lit(1.0))
     return s.select("n_classes", "min_count", "max_count", ratio.alias("ratio"),
                     (ratio < F.lit(ratio_threshold)).alias("has_issue"), "distribution")

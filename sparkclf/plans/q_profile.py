@@ -299,3 +299,27 @@ def _types(df):
     from ..functions import categorical_columns, numeric_columns
     rows = [("numeric", c) for c in numeric_columns(df)] + [("categorical", c) for c in categorical_columns(df)]
     return df.sparkSession.createDataFrame(rows, "kind string, column string")
+
+
+# -- B10 kde, binned mode (values pre-aggregated into 4096 bins per column) -----------------
+def _kde_binned_sql(table, cols, grid=200, bins=4096):
+    parts = [f"SELECT '{c}' AS \"column\", {c}::DOUBLE AS x FROM {table} WHERE {c} IS NOT NULL" for c in cols]
+    return (f"v AS ({union(parts)}), st AS (SELECT \"column\", count(*) AS n, stddev_samp(x) AS sd, "
+            "min(x) AS lo, max(x) AS hi FROM v GROUP BY 1 HAVING count(*) >= 2 AND stddev_samp(x) > 0), "
+            f"vb AS (SELECT v.\"column\", least(floor((v.x - st.lo) / (st.hi - st.lo) * {bins})::INTEGER, "
+            f"{bins - 1}) AS b, st.lo, st.hi, count(*)::DOUBLE AS w FROM v JOIN st ON v.\"column\" = st.\"column\" "
+            "GROUP BY ALL), "
+            f"wx AS (SELECT \"column\", lo + (b + 0.5) * (hi - lo) / {bins} AS x, w FROM vb), "
+            "p AS (SELECT \"column\", n, sd * pow(n, -0.2) AS bw, lo, hi FROM st), "
+            f"g AS (SELECT \"column\", n, bw, unnest(range({grid})) AS point, "
+            f"lo - 3.0 * bw AS start, (hi - lo + 6.0 * bw) / {grid - 1} AS step FROM p) "
+            "SELECT g.\"column\", g.point::INTEGER AS point, g.start + g.point * g.step AS x, "
+            "sum(wx.w * exp(-0.5 * ((g.start + g.point * g.step - wx.x) / g.bw) * "
+            "((g.start + g.point * g.step - wx.x) / g.bw))) / (g.n * g.bw * sqrt(2 * pi())) AS density "
+            "FROM g JOIN wx ON g.\"column\" = wx.\"column\" GROUP BY g.\"column\", g.point, g.start, g.step, g.n, g.bw")
+
+
+register("profile_kde_binned",
+         W(fx.LINEITEM_NUM_SQL, _kde_binned_sql("lineitem_num", ["l_extendedprice", "l_quantity"])),
+         rnd=("x", "density"))(
+    lambda spark, d: P.kde(fx.lineitem_num(spark, d), ["l_extendedprice", "l_quantity"], exact=False))

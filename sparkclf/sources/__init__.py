@@ -1,3 +1,3 @@
 """Sources and sinks."""
-from .readers import read_csv, read_table, read_path  # noqa: F401
+from .readers import raw_and_processed, read_csv, read_path, read_table  # noqa: F401
 from .sinks import write_csv, write_parquet, write_report  # noqa: F401

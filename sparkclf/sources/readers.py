@@ -67,5 +67,15 @@ def read_path(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def schema_of(df: DataFrame) -> T.StructType:
-    return df.schema
+def raw_and_processed(spark: SparkSession, path: str, threshold: float = 0.5, persist: bool = True):
+    """The raw table and its cleaned / numerically coerced twin, side by side.
+
+    Profiling reads the processed table; issue detection and preprocessing read
+    the raw one.  The raw table is persisted because both derive from it and it
+    is scanned by several passes."""
+    from ..operators.profile import clean_and_coerce
+    from ..functions import normalize_missing
+    raw = normalize_missing(read_path(spark, path))
+    if persist:
+        raw = raw.persist()
+    return raw, clean_and_coerce(raw, threshold)
