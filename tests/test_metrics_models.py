@@ -77,3 +77,26 @@ def test_separable_models_beat_baseline(spark):
         predict_all(res, s.where("split = 'test'"), "features", "id", "y")).collect()}
     for n in names[:-1]:
         assert ev[n] > ev["Rule-based (Stratified Baseline)"] and ev[n] > 0.9, (n, ev)
+
+
+def test_auc_across_partitions_and_batches(spark, monkeypatch):
+    rng = np.random.RandomState(3)
+    n = 3000
+    y = rng.randint(0, 3, size=n)
+    s = np.round(rng.uniform(size=(n, 3)), 3)       # many ties within each class column
+    rows = [("m", i, int(y[i]), int(y[i]), [float(v) for v in s[i]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "model string, id long, y_true int, y_pred int, scores array<double>")
+    monkeypatch.setattr(M, "AUC_ROWS_PER_PARTITION", 97)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = M.roc_auc(df).first()["roc_auc"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    tot, w = 0.0, 0
+    for c in range(3):
+        pos, neg = s[y == c, c], s[y != c, c]
+        a = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+        tot += a * len(pos)
+        w += len(pos)
+    assert abs(got - tot / w) < 1e-12
