@@ -107,8 +107,28 @@ def detect_constant(df: DataFrame) -> DataFrame:
     return mc.where("is_constant").select("column")
 
 
+_FIXED_WIDTH = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def row_key(df: DataFrame) -> list:
+    """Grouping key equivalent to the whole row: fixed-width columns as they are,
+    variable-length ones (text, binary, nested) as a 128-bit digest, so long
+    values never travel through the shuffle.  NULL stays NULL (one group)."""
+    out = []
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, _FIXED_WIDTH):
+            out.append(c.alias(f"k{i}"))
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            out.append(F.md5(c).alias(f"k{i}"))
+        else:
+            out.append(F.md5(F.to_json(F.struct(c))).alias(f"k{i}"))
+    return out
+
+
 def row_fingerprint(df: DataFrame):
-    """128-bit digest of a whole row; NULLs are distinguished from values."""
+    """One 128-bit digest of a whole row (NULLs distinguished from values)."""
     parts = [F.coalesce(F.to_json(F.struct(F.col(c))), F.lit("\u0000")) for c in df.columns]
     return F.md5(F.concat_ws("\u0001", *parts))
 
@@ -116,11 +136,11 @@ def row_fingerprint(df: DataFrame):
 def detect_duplicates(df: DataFrame, pct_threshold: float = DUPLICATE_THRESHOLD_PCT) -> DataFrame:
     """One row: dup_count (rows beyond the first of each identical group), percentage, has_issue.
 
-    Rows are grouped by a 128-bit fingerprint, so long text columns never
-    travel through the shuffle; the partial count runs map-side, so a group
-    holding a third of all rows collapses before the exchange.
+    Rows are grouped by ``row_key`` (long values reduced to digests); the
+    partial count runs map-side, so a group holding a third of all rows
+    collapses before the exchange.
     """
-    g = df.groupBy(row_fingerprint(df).alias("fp")).agg(F.count(F.lit(1)).alias("c"))
+    g = df.groupBy(*row_key(df)).agg(F.count(F.lit(1)).alias("c"))
     s = g.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("dup_count"),
               F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("rows"))
     pct = F.coalesce(safe_div(F.col("dup_count") * 100.0, F.col("rows")), F.lit(0.0))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fmt_fixed, numeric_columns, report_categorical_columns
-from .quality import IssueReport, row_fingerprint
+from .quality import IssueReport, row_key
 from .stats import column_stats, distinct_counts, exact_quantiles, modes
 
 HEALTH_DEFAULT = 85
@@ -24,7 +24,7 @@ def dataset_overview(df: DataFrame, target: str) -> DataFrame:
     cols = df.columns
     nulls = sum((F.count_if(F.col(c).isNull()) for c in cols), F.lit(0))
     r = df.agg(F.count(F.lit(1)).alias("n"), nulls.alias("m")).first()
-    dups = (df.groupBy(row_fingerprint(df).alias("fp")).agg(F.count(F.lit(1)).alias("c"))
+    dups = (df.groupBy(*row_key(df)).agg(F.count(F.lit(1)).alias("c"))
             .agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("d")).first()["d"])
     return df.sparkSession.createDataFrame(
         [(int(r["n"]), len(cols), target, int(r["m"]), int(dups), list(cols))],
