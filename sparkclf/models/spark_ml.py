@@ -121,12 +121,13 @@ def make_estimator(kind: str, params: dict, n_train: int, seed: int = 42, n_clas
                                   standardization=False, family="auto", **common)
     if kind == "Decision Tree":
         return DecisionTreeClassifier(impurity="gini", maxDepth=_depth(params.get("max_depth")),
-                                      minInstancesPerNode=_min_node(params), seed=seed, **common)
+                                      minInstancesPerNode=_min_node(params), seed=seed, cacheNodeIds=True,
+                                      **common)
     if kind == "Random Forest":
         return RandomForestClassifier(numTrees=int(params.get("n_estimators", 100)),
                                       maxDepth=_depth(params.get("max_depth")),
                                       minInstancesPerNode=_min_node(params), featureSubsetStrategy="sqrt",
-                                      seed=seed, **common)
+                                      seed=seed, cacheNodeIds=True, maxMemoryInMB=1024, **common)
     if kind == "SVM":
         C = float(params.get("C", 1.0))
         svc = LinearSVC(regParam=1.0 / (C * n_train), maxIter=1000, tol=SVM_TOL, standardization=False, **common)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import non_numeric_columns, numeric_columns, report_categorical_columns
+from .stats import global_positions
 
 # A column with more categories than this is one-hot encoded as one sparse
 # vector column instead of one dense 0/1 column per category.
@@ -120,9 +121,13 @@ def ordinal_fit(df: DataFrame, cols: list[str] | None = None, split_col: str | N
                  .groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     for c in cols:
         vals = tr.select(F.col(c).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-        m = vals.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
-        mapping[c] = m
         small[c] = sizes.get(c, 0) <= BROADCAST_MAPPING_MAX
+        if small[c]:
+            # bounded by the broadcast limit: one window over the sorted categories
+            m = vals.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+        else:
+            m = global_positions(vals, "value", "code", rows=sizes.get(c, 0)).select("value", "code")
+        mapping[c] = m
     model = OrdinalModel(cols, mapping)
     model.small = small
     return model

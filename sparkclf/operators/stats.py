@@ -236,3 +236,27 @@ def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     return names.join(cnt, "column", "left").select(
         "column", F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique"))
+
+
+RANK_ROWS_PER_PARTITION = 1_000_000
+
+
+def global_positions(df: DataFrame, order_col: str, out_col: str = "pos", rows: int | None = None) -> DataFrame:
+    """0-based position of every row in ``order_col`` order (values distinct),
+    without a single-task global window: rows are range-partitioned, numbered
+    inside each partition, and shifted by the row counts of earlier partitions
+    (a table with one row per partition)."""
+    from pyspark.sql import Window
+    spark = df.sparkSession
+    if rows is None:
+        rows = df.count()
+    nparts = max(1, -(-rows // RANK_ROWS_PER_PARTITION))
+    r = df.repartitionByRange(nparts, order_col).withColumn("__pid", F.spark_partition_id())
+    sizes = r.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    offs = sizes.select("__pid", F.coalesce(F.sum("__n").over(
+        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    w = Window.partitionBy("__pid").orderBy(order_col)
+    _ = spark
+    return (r.join(F.broadcast(offs), "__pid")
+            .withColumn(out_col, (F.col("__off") + F.row_number().over(w) - 1).cast("int"))
+            .drop("__pid", "__off"))

@@ -64,3 +64,14 @@ def test_standard_scaler_population_std(spark):
     mm = E.scaler_fit(spark.createDataFrame([(2.0, "train"), (2.0, "train")], "x double, split string"),
                       "minmax", ["x"])
     assert mm.params["x"] == (2.0, 1.0)
+
+
+def test_ordinal_large_mapping_path(spark, monkeypatch):
+    from sparkclf.operators import stats as ST
+    df = spark.createDataFrame([(i, f"v{i % 37:03d}", "train" if i % 5 else "test") for i in range(400)],
+                               "id long, c string, split string")
+    a = {r["id"]: r["c"] for r in E.ordinal_fit(df, ["c"]).transform(df).collect()}
+    monkeypatch.setattr(E, "BROADCAST_MAPPING_MAX", 3)
+    monkeypatch.setattr(ST, "RANK_ROWS_PER_PARTITION", 5)
+    b = {r["id"]: r["c"] for r in E.ordinal_fit(df, ["c"]).transform(df).collect()}
+    assert a == b and sorted(set(a.values())) == list(range(37))
