@@ -34,7 +34,6 @@ METRICS = ("euclidean", "manhattan")
 def neighbours(train: DataFrame, query: DataFrame, features: str, id_col: str, label: str,
                k: int, metrics=METRICS) -> DataFrame:
     """(metric, qid, tid, label, dist, rank) for the k nearest train rows of every query row."""
-    spark = train.sparkSession
     n_tr = train.count()
     n_q = query.count()
     m = max(1, math.ceil(n_tr / TRAIN_BLOCK_ROWS))
@@ -81,7 +80,6 @@ def neighbours(train: DataFrame, query: DataFrame, features: str, id_col: str, l
 
     cand = tr.groupBy("tb", "qb").cogroup(q.groupBy("tb", "qb")).applyInPandas(block, schema)
     w = Window.partitionBy("metric", "qid").orderBy("dist", "tid")
-    _ = spark
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

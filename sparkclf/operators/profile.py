@@ -230,7 +230,7 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | None = N
         s = st[c]
         if s.n == 0:
             continue
-        k = bins or int(math.ceil(math.log2(s.n)) + 1) if s.n > 0 else 1
+        k = bins or int(math.ceil(math.log2(s.n))) + 1
         spec.append((c, float(s.min), float(s.max), k))
     if not spec:
         return spark.createDataFrame([], "column string, bin int, bin_lo double, bin_hi double, count bigint")

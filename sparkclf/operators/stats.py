@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The built-in exact percentile keeps a value -> count map of the column in its
 # final task, so its memory grows with the number of distinct values.  Columns
@@ -247,7 +246,6 @@ def global_positions(df: DataFrame, order_col: str, out_col: str = "pos", rows:
     inside each partition, and shifted by the row counts of earlier partitions
     (a table with one row per partition)."""
     from pyspark.sql import Window
-    spark = df.sparkSession
     if rows is None:
         rows = df.count()
     nparts = max(1, -(-rows // RANK_ROWS_PER_PARTITION))
@@ -256,7 +254,6 @@ def global_positions(df: DataFrame, order_col: str, out_col: str = "pos", rows:
     offs = sizes.select("__pid", F.coalesce(F.sum("__n").over(
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
     w = Window.partitionBy("__pid").orderBy(order_col)
-    _ = spark
     return (r.join(F.broadcast(offs), "__pid")
             .withColumn(out_col, (F.col("__off") + F.row_number().over(w) - 1).cast("int"))
             .drop("__pid", "__off"))

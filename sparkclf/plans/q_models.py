@@ -1,8 +1,6 @@
 """Registered model queries (prior baseline, Gaussian NB, exact KNN) and twins."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from . import zoo as Z
 from .catalog import register
 from .q_prepare import split_sql

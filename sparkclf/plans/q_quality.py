@@ -1,8 +1,6 @@
 """Registered issue-detection queries and their DuckDB twins."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import quality as Q
 from . import fixtures as fx
 from .catalog import register
@@ -116,27 +114,15 @@ def _all_sql(s):
 register("issues_all", _all_sql(DIRTY), rnd=("value",))(
     lambda spark, d: Q.issue_table(Q.detect_all(fx.orders_dirty(spark, d), "priority"), spark))
 
+_BREAKDOWN = (W(*_parts_sql(DOC)) +
+              "SELECT n.position, n.issue, v.deduction FROM (VALUES (1, 'Missing Values'), (2, 'Outliers'), "
+              "(3, 'Class Imbalance'), (4, 'High Cardinality'), (5, 'Constant Features'), (6, 'Duplicates')) "
+              "AS n(position, issue) JOIN (SELECT unnest([1, 2, 3, 4, 5, 6]) AS p, unnest([-d_missing, -d_outliers, "
+              "-d_imbalance, -d_card, -d_const, -d_dup]) AS deduction FROM ded) v ON n.position = v.p")
 register("issues_breakdown",
-         W(*_parts_sql(DOC)) +
-         "SELECT * FROM (VALUES (1, 'Missing Values'), (2, 'Outliers'), (3, 'Class Imbalance'), "
-         "(4, 'High Cardinality'), (5, 'Constant Features'), (6, 'Duplicates')) AS n(position, issue) "
-         "JOIN (SELECT unnest([1, 2, 3, 4, 5, 6]) AS p, unnest([-d_missing, -d_outliers, -d_imbalance, -d_card, "
-         "-d_const, -d_dup]) AS deduction FROM ded) v ON n.position = v.p",
-         )(lambda spark, d: Q.score_breakdown(Q.detect_all(fx.doc_clf(spark, d), "quality"), spark))
-
-CATALOG_FIX = None
-
-
-def _breakdown_fix():
-    from .catalog import CATALOG
-    e = CATALOG["issues_breakdown"]
-    e.sql = ("SELECT position::INTEGER AS position, issue, deduction::INTEGER AS deduction, "
-             "CASE WHEN deduction = 0 THEN 'OK' ELSE 'Affected' END AS status FROM (" +
-             e.sql.replace("SELECT * FROM (VALUES", "SELECT n.position, n.issue, v.deduction FROM (VALUES", 1)
-             + ") AS b")
-
-
-_breakdown_fix()
+         "SELECT position::INTEGER AS position, issue, deduction::INTEGER AS deduction, "
+         "CASE WHEN deduction = 0 THEN 'OK' ELSE 'Affected' END AS status FROM (" + _BREAKDOWN + ") AS b")(
+    lambda spark, d: Q.score_breakdown(Q.detect_all(fx.doc_clf(spark, d), "quality"), spark))
 
 register("issues_tables",
          W(*_parts_sql(DIRTY)) +
