@@ -2,6 +2,7 @@
 from .scalar import (  # noqa: F401
     NUMBER_PATTERN,
     clean_text,
+    compact_key,
     fmt_fixed,
     fmt_pct,
     hash32,

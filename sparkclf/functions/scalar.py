@@ -60,3 +60,14 @@ def fmt_pct(c, digits: int = 1, scale: float = 100.0) -> Column:
     """Percentage text such as '87.5%'."""
     v = F.round(_c(c).cast("double") * F.lit(scale), digits)
     return F.format_string(f"%.{digits}f%%", v)
+
+
+def compact_key(c) -> Column:
+    """Grouping key for a text value that is never longer than 17 bytes:
+    values of up to 16 bytes are kept as they are (tag 0x00), longer ones are
+    replaced by their 128-bit md5 (tag 0x01).  NULL stays NULL."""
+    s = _c(c).cast("string")
+    raw = F.encode(s, "UTF-8")
+    return F.when(s.isNull(), F.lit(None).cast("binary")).when(
+        F.octet_length(s) <= 16, F.concat(F.unhex(F.lit("00")), raw)).otherwise(
+        F.concat(F.unhex(F.lit("01")), F.unhex(F.md5(s))))

@@ -22,6 +22,13 @@ DENSE_ONEHOT_MAX = 256
 # Ordinal code tables up to this many categories are broadcast; larger ones
 # take a shuffle join.
 BROADCAST_MAPPING_MAX = 1_000_000
+# Sparse one-hot (StringIndexer) brings the category list to the driver; past
+# this many categories the encoder refuses instead.
+ONEHOT_MAX_CATEGORIES = 1_000_000
+
+
+def sizes_of(df: DataFrame, c: str) -> int:
+    return df.select(c).where(F.col(c).isNotNull()).distinct().count()
 
 
 def _train(df: DataFrame, split_col: str | None):
@@ -81,6 +88,9 @@ def onehot_fit(df: DataFrame, cols: list[str] | None = None, split_col: str | No
     cats = categories(tr, cols)
     model = OneHotModel(cols, cats)
     for c, v in cats.items():
+        if v is None and sizes_of(tr, c) > ONEHOT_MAX_CATEGORIES:
+            raise ValueError(f"column {c!r} has more than {ONEHOT_MAX_CATEGORIES} categories; "
+                             "one-hot encoding it is not sensible — use ordinal encoding or drop it")
         if v is None:
             from pyspark.ml import Pipeline
             from pyspark.ml.feature import OneHotEncoder, StringIndexer

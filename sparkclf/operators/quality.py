@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import categorical_columns, numeric_columns, safe_div
+from ..functions import categorical_columns, compact_key, numeric_columns, safe_div
 from .profile import outliers_iqr
 from .stats import distinct_counts
 
@@ -120,7 +120,9 @@ def row_key(df: DataFrame) -> list:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, _FIXED_WIDTH):
             out.append(c.alias(f"k{i}"))
-        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+        elif isinstance(f.dataType, T.StringType):
+            out.append(compact_key(c).alias(f"k{i}"))
+        elif isinstance(f.dataType, T.BinaryType):
             out.append(F.md5(c).alias(f"k{i}"))
         else:
             out.append(F.md5(F.to_json(F.struct(c))).alias(f"k{i}"))

@@ -207,15 +207,29 @@ def modes(df: DataFrame, cols: list[str], numeric: bool = False) -> DataFrame:
     """Most frequent non-null value per column, smallest value on ties.
 
     Returns (column, value, count) with value as double (numeric=True) or text.
+    Counting groups by ``compact_key`` so long values never travel through
+    the shuffle; the value itself is recovered by a second, semi-joined pass
+    that takes the smallest value among the keys tied at the top count.
     """
     vt = "double" if numeric else "string"
     if not cols:
         return df.sparkSession.createDataFrame([], f"column string, value {vt}, count bigint")
+    if numeric:
+        stacked = df.select(*[F.col(c).cast(vt).alias(c) for c in cols]).unpivot(
+            [], cols, "column", "value").where(F.col("value").isNotNull())
+        freq = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+        top = freq.groupBy("column").agg(F.max("count").alias("count"))
+        return (freq.join(top, ["column", "count"])
+                .groupBy("column").agg(F.min("value").alias("value"), F.first("count").alias("count"))
+                .select("column", "value", "count"))
+    from ..functions import compact_key
     stacked = df.select(*[F.col(c).cast(vt).alias(c) for c in cols]).unpivot(
         [], cols, "column", "value").where(F.col("value").isNotNull())
-    freq = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    keyed = stacked.withColumn("key", compact_key("value"))
+    freq = keyed.groupBy("column", "key").agg(F.count(F.lit(1)).alias("count"))
     top = freq.groupBy("column").agg(F.max("count").alias("count"))
-    return (freq.join(top, ["column", "count"])
+    tied = freq.join(F.broadcast(top), ["column", "count"]).select("column", "key", "count")
+    return (keyed.join(tied, ["column", "key"], "left_semi").join(F.broadcast(top), "column")
             .groupBy("column").agg(F.min("value").alias("value"), F.first("count").alias("count"))
             .select("column", "value", "count"))
 
@@ -223,13 +237,15 @@ def modes(df: DataFrame, cols: list[str], numeric: bool = False) -> DataFrame:
 def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """Exact non-null distinct count per column: (column, n_unique).
 
-    Values are reduced to a 128-bit digest before the distinct so long texts do
-    not travel through the shuffle; the distinct itself is a two-stage
-    aggregate (map-side de-duplication, then a count per column).
+    Values are reduced to ``compact_key`` (short values kept, long ones as a
+    128-bit digest) so long texts do not travel through the shuffle; the
+    distinct itself is a two-stage aggregate (map-side de-duplication, then a
+    count per column).
     """
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, n_unique bigint")
-    stacked = df.select(*[F.md5(F.col(c).cast("string")).alias(c) for c in cols]).unpivot(
+    from ..functions import compact_key
+    stacked = df.select(*[compact_key(c).alias(c) for c in cols]).unpivot(
         [], cols, "column", "digest").where(F.col("digest").isNotNull())
     cnt = stacked.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
