@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 SMALL_COLUMN_NDV = 500_000
 HIST_BUCKETS = 4096
 FINAL_BRACKET_ROWS = 200_000
+MODE_BROADCAST_KEYS = 1_000_000
 
 
 @dataclass
@@ -228,8 +229,13 @@ def modes(df: DataFrame, cols: list[str], numeric: bool = False) -> DataFrame:
     keyed = stacked.withColumn("key", compact_key("value"))
     freq = keyed.groupBy("column", "key").agg(F.count(F.lit(1)).alias("count"))
     top = freq.groupBy("column").agg(F.max("count").alias("count"))
-    tied = freq.join(F.broadcast(top), ["column", "count"]).select("column", "key", "count")
-    return (keyed.join(tied, ["column", "key"], "left_semi").join(F.broadcast(top), "column")
+    tied = freq.join(F.broadcast(top), ["column", "count"]).select("column", "key").persist()
+    # A bounded tied set is broadcast (map-side semi-join: a hot value never
+    # lands in one task).  A large tied set means every tied key has a small
+    # count (ties x top count <= rows), so the shuffled semi-join has no hot key.
+    n_tied = tied.count()
+    tied_side = F.broadcast(tied) if n_tied <= MODE_BROADCAST_KEYS else tied
+    return (keyed.join(tied_side, ["column", "key"], "left_semi").join(F.broadcast(top), "column")
             .groupBy("column").agg(F.min("value").alias("value"), F.first("count").alias("count"))
             .select("column", "value", "count"))
 
