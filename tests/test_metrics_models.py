@@ -100,3 +100,28 @@ def test_auc_across_partitions_and_batches(spark, monkeypatch):
         tot += a * len(pos)
         w += len(pos)
     assert abs(got - tot / w) < 1e-12
+
+
+def test_explainability_flags_and_importances(spark):
+    from sparkclf.models.spark_ml import fit_spark_model
+    from sparkclf.models.gnb import fit_gnb
+    from sparkclf.operators import explain as X
+    rng = np.random.RandomState(1)
+    X0 = rng.normal(size=(200, 3))
+    y = (X0[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(i, X0[i].tolist(), int(y[i])) for i in range(200)],
+                               "id long, f array<double>, y int")
+    fitted = {
+        "Logistic Regression": fit_spark_model("Logistic Regression", df, "f", "y", [0, 1], {"C": 1.0}),
+        "Decision Tree": fit_spark_model("Decision Tree", df, "f", "y", [0, 1], {"max_depth": 3}),
+        "SVM": fit_spark_model("SVM", df, "f", "y", [0, 1], {"C": 1.0, "kernel": "rbf", "gamma": "scale"}),
+        "Naive Bayes": fit_gnb(df, "f", "y"),
+    }
+    imp, flags = X.explainability(spark, fitted, ["a", "b", "c"])
+    assert {r["model"]: r["supports_importance"] for r in flags.collect()} == {
+        "Logistic Regression": True, "Decision Tree": True, "SVM": False, "Naive Bayes": False}
+    top = {r["model"]: r["feature"] for r in X.top_features(imp, 1).collect()}
+    assert top == {"Logistic Regression": "b", "Decision Tree": "b"}
+    p = fitted["SVM"].predict(df, "id", "y")
+    assert p.where("y_true = y_pred").count() > 150
+    assert all(abs(sum(r["scores"]) - 1) < 1e-9 for r in p.select("scores").collect())
