@@ -128,16 +128,16 @@ register("eval_confusion_insights_rule",
 
 # -- ranking, leaderboard, melt ---------------------------------------------------------------------
 register("rank_models",
-         RESULTS_SQL + "SELECT row_number() OVER (ORDER BY f1_weighted DESC NULLS LAST, model) AS rank, * FROM results",
+         RESULTS_SQL + "SELECT (row_number() OVER (ORDER BY f1_weighted DESC NULLS LAST, model))::INTEGER AS rank, * FROM results",
          rnd=RCOLS)(lambda spark, d: M.rank_models(zoo_results(spark, d), "f1_weighted"))
 register("rank_models_by_auc",
-         RESULTS_SQL + "SELECT row_number() OVER (ORDER BY roc_auc DESC NULLS LAST, model) AS rank, * FROM results",
+         RESULTS_SQL + "SELECT (row_number() OVER (ORDER BY roc_auc DESC NULLS LAST, model))::INTEGER AS rank, * FROM results",
          rnd=RCOLS)(lambda spark, d: M.rank_models(zoo_results(spark, d), "roc_auc"))
 
 
 def _board_sql(k, metric="f1_weighted"):
     return (RESULTS_SQL + f"SELECT rank, model, coalesce(printf('%.4f', round({metric}, 4)), 'N/A') AS {metric} "
-            f"FROM (SELECT row_number() OVER (ORDER BY {metric} DESC NULLS LAST, model) AS rank, * FROM results) "
+            f"FROM (SELECT (row_number() OVER (ORDER BY {metric} DESC NULLS LAST, model))::INTEGER AS rank, * FROM results) "
             f"WHERE rank <= {k}")
 
 

@@ -186,7 +186,7 @@ register("explain_coefficients", COEF_SQL + "SELECT * FROM imp", rnd=("importanc
     lambda spark, d: X.linear_importance_long(_coef_long(spark, d)))
 register("explain_top_features",
          COEF_SQL + "SELECT 'class means' AS model, feature, importance, rank FROM (SELECT *, row_number() OVER "
-         "(ORDER BY importance DESC, feature) AS rank FROM imp) WHERE rank <= 20", rnd=("importance",))(
+         "(ORDER BY importance DESC, feature)::INTEGER AS rank FROM imp) WHERE rank <= 20", rnd=("importance",))(
     lambda spark, d: X.top_features(X.linear_importance_long(_coef_long(spark, d))
                                     .withColumn("model", F.lit("class means")), 20)
     .select("model", "feature", "importance", "rank"))
