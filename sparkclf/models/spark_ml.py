@@ -165,6 +165,7 @@ def fit_spark_model(kind: str, train: DataFrame, features: str, label: str, clas
         cal = LogisticRegression(featuresCol="margins", labelCol="label_idx", predictionCol="__cal_pred",
                                  rawPredictionCol="__cal_raw", probabilityCol="probability", maxIter=100,
                                  regParam=1e-6).fit(model.transform(data).withColumn("margins", F.col("rawPrediction")))
+    data.unpersist()
     out = SparkClassifier(kind, model, classes, features, dict(params), rff, cal)
     out.training_time = time.time() - t0
     return out
