@@ -335,38 +335,58 @@ def frequencies(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return f.select("column", "value", "count", (F.col("count") * 100.0 / F.lit(n)).alias("percentage"))
 
 
+# Pair expressions per aggregate (keeps each aggregate inside codegen limits)
+CORR_PAIRS_PER_PASS = 300
+# Past this many null-free columns the Gramian of Spark ML's Correlation is used.
+CORR_ML_MIN_COLUMNS = 60
+
+
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation, pairwise-complete, long form (col_x, col_y, corr).
 
-    One aggregate computes every pair; a constant column gives NULL (never a
-    divide-by-zero).  The diagonal is 1 where the column varies.
+    A constant column gives NULL (never a divide-by-zero); the diagonal is 1
+    where the column varies.  Pairwise sufficient statistics are aggregated
+    in passes of at most ``CORR_PAIRS_PER_PASS`` pairs; a wide table without
+    NULLs (pairwise == listwise) uses one distributed Gramian pass instead.
     """
     cols = numeric_columns(df) if cols is None else cols
     spark = df.sparkSession
-    exprs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            xb = F.when(y.isNotNull(), x)
-            yb = F.when(x.isNotNull(), y)
-            k = len(pairs)
-            exprs.append(F.try_divide(F.covar_pop(xb, yb), F.stddev_pop(xb) * F.stddev_pop(yb))
-                         .alias(f"r{k}"))
-            pairs.append((a, b))
-    if not exprs:
+    if not cols:
         return spark.createDataFrame([], "col_x string, col_y string, corr double")
-    r = df.agg(*exprs).first()
+    r0 = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
+                *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    varies = {c: bool(r0[f"s{i}"]) for i, c in enumerate(cols)}
+    no_nulls = all(r0[f"n{i}"] == 0 for i in range(len(cols)))
+    values = {}
+    if no_nulls and len(cols) >= CORR_ML_MIN_COLUMNS:
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.stat import Correlation
+        vec = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="error").transform(
+            df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+        m = Correlation.corr(vec, "__v").first()[0].toArray()
+        for i, a in enumerate(cols):
+            for j in range(i + 1, len(cols)):
+                v = float(m[i, j])
+                values[(a, cols[j])] = None if v != v or not (varies[a] and varies[cols[j]]) else v
+    else:
+        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+        for start in range(0, len(pairs), CORR_PAIRS_PER_PASS):
+            chunk = pairs[start:start + CORR_PAIRS_PER_PASS]
+            exprs = []
+            for k, (a, b) in enumerate(chunk):
+                x, y = F.col(a).cast("double"), F.col(b).cast("double")
+                xb, yb = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+                exprs.append(F.try_divide(F.covar_pop(xb, yb), F.stddev_pop(xb) * F.stddev_pop(yb)).alias(f"r{k}"))
+            r = df.agg(*exprs).first()
+            for k, ab in enumerate(chunk):
+                values[ab] = r[f"r{k}"]
     rows = []
-    for k, (a, b) in enumerate(pairs):
-        v = r[f"r{k}"]
-        if v is not None:
-            v = max(-1.0, min(1.0, float(v)))
-        if a == b:
-            v = None if v is None else 1.0
-            rows.append((a, b, v))
-        else:
+    for i, a in enumerate(cols):
+        rows.append((a, a, 1.0 if varies[a] else None))
+        for b in cols[i + 1:]:
+            v = values[(a, b)]
+            if v is not None:
+                v = max(-1.0, min(1.0, float(v)))
             rows += [(a, b, v), (b, a, v)]
     return spark.createDataFrame(rows, "col_x string, col_y string, corr double")
 

@@ -62,3 +62,18 @@ def test_coercion_threshold(spark):
     assert dict(half.dtypes)["s"] == "string"
     assert dict(P.clean_and_coerce(half, 0.5).dtypes)["s"] == "double"
     assert dict(P.clean_and_coerce(half, 0.51).dtypes)["s"] == "string"
+
+
+def test_correlation_paths_agree(spark, monkeypatch):
+    from conftest import SF01
+    from sparkclf.plans import fixtures as fx2
+    li = fx2.lineitem_num(spark, SF01)
+    a = {(r["col_x"], r["col_y"]): r["corr"] for r in P.correlation(li).collect()}
+    monkeypatch.setattr(P, "CORR_ML_MIN_COLUMNS", 2)
+    b = {(r["col_x"], r["col_y"]): r["corr"] for r in P.correlation(li).collect()}
+    monkeypatch.setattr(P, "CORR_ML_MIN_COLUMNS", 10 ** 9)
+    monkeypatch.setattr(P, "CORR_PAIRS_PER_PASS", 3)
+    c = {(r["col_x"], r["col_y"]): r["corr"] for r in P.correlation(li).collect()}
+    assert a.keys() == b.keys() == c.keys()
+    for k in a:
+        assert abs(a[k] - b[k]) < 1e-9 and a[k] == c[k], k
