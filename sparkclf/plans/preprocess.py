@@ -30,11 +30,16 @@ class PrepConfig:
     encoding: str = "onehot"          # onehot | ordinal | none
     scaling: str = "none"             # standard | minmax | none
 
+    @property
+    def has_selected_actions(self) -> bool:
+        """At least one action is chosen: an apply flag, an encoding or a scaling
+        (the split alone is not an action)."""
+        return (self.duplicates or self.drop_constant or self.impute or self.outliers
+                or self.encoding in ("onehot", "ordinal") or self.scaling in ("standard", "minmax"))
+
     @property
     def is_noop(self) -> bool:
-        """True when no cleaning action is selected (encoding/scaling aside)."""
-        return not (self.duplicates or (self.drop_constant and self.constant_columns) or self.impute
-                    or (self.outliers and self.outlier_columns and self.outlier_method != "none"))
+        return not self.has_selected_actions
 
     def summary_lines(self) -> list[str]:
         out = []

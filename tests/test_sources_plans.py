@@ -39,7 +39,9 @@ def test_report_sink_json(spark):
 
 
 def test_prep_config_guard_and_lines():
-    assert PrepConfig().is_noop
+    assert PrepConfig(encoding="none").is_noop
+    assert PrepConfig().has_selected_actions            # one-hot is the function default
+    assert PrepConfig(encoding="none", outliers=True).has_selected_actions
     cfg = PrepConfig(impute=True, impute_method="mean", scaling="minmax")
     assert not cfg.is_noop
     assert cfg.summary_lines() == ["Missing Values: Handled using mean method", "Encoding: Onehot encoding applied",
