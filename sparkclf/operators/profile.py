@@ -82,7 +82,7 @@ def describe_all(df: DataFrame) -> DataFrame:
         df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
     _, st = column_stats(df, cols, nums)
     qs = exact_quantiles(df, nums, [0.25, 0.5, 0.75], counts={c: st[c].n for c in nums},
-                         ndv={c: st[c].ndv for c in nums})
+                         ndv={c: st[c].ndv for c in nums}, bounds={c: (st[c].min, st[c].max) for c in nums})
     num_rows = [(c, st[c].n, st[c].mean, st[c].std, _f(st[c].min), qs[(c, 0.25)], qs[(c, 0.5)],
                  qs[(c, 0.75)], _f(st[c].max)) for c in nums]
     ndf = spark.createDataFrame(
@@ -144,9 +144,10 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, cou
     cols = numeric_columns(df) if cols is None else cols
     if not cols:
         return {}
+    bounds: dict = {}
     if counts is None or ndv is None:
-        counts, ndv = count_and_ndv(df, cols)
-    qs = exact_quantiles(df, cols, [0.25, 0.75], counts=counts, ndv=ndv)
+        counts, ndv = count_and_ndv(df, cols, bounds)
+    qs = exact_quantiles(df, cols, [0.25, 0.75], counts=counts, ndv=ndv, bounds=bounds)
     out = {}
     for c in cols:
         q1, q3 = qs[(c, 0.25)], qs[(c, 0.75)]

@@ -37,7 +37,7 @@ def numeric_stats(df: DataFrame, max_cols: int = 8) -> DataFrame:
     cols = numeric_columns(df)[:max_cols]
     _, st = column_stats(df, cols, cols)
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], counts={c: st[c].n for c in cols},
-                        ndv={c: st[c].ndv for c in cols})
+                        ndv={c: st[c].ndv for c in cols}, bounds={c: (st[c].min, st[c].max) for c in cols})
     rows = [(i, c, st[c].mean, st[c].std, _f(st[c].min), _f(st[c].max), q[(c, 0.5)], q[(c, 0.25)], q[(c, 0.75)])
             for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(

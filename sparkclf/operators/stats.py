@@ -75,18 +75,24 @@ def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     return stacked.where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def count_and_ndv(df: DataFrame, cols: list[str]) -> tuple[dict, dict]:
-    """One pass: non-null count and approximate distinct count per column."""
+def count_and_ndv(df: DataFrame, cols: list[str], bounds: dict | None = None) -> tuple[dict, dict]:
+    """One pass: non-null count and approximate distinct count per column
+    (and, when a ``bounds`` dict is given, each column's (min, max) into it)."""
     if not cols:
         return {}, {}
+    x = [F.col(c).cast("double") for c in cols]
     r = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-               *[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+               *[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)],
+               *[F.min(v).alias(f"lo{i}") for i, v in enumerate(x)],
+               *[F.max(v).alias(f"hi{i}") for i, v in enumerate(x)]).first()
+    if bounds is not None:
+        bounds.update({c: (r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)})
     return ({c: int(r[f"n{i}"]) for i, c in enumerate(cols)}, {c: int(r[f"d{i}"]) for i, c in enumerate(cols)})
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     counts: dict | None = None, ndv: dict | None = None, small_ndv: int = SMALL_COLUMN_NDV,
-                    buckets: int = HIST_BUCKETS) -> dict:
+                    buckets: int = HIST_BUCKETS, bounds: dict | None = None) -> dict:
     """Exact linear-interpolation quantiles (pandas ``quantile`` / DuckDB
     ``quantile_cont``) on the non-null values of each column.
 
@@ -96,7 +102,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     if not cols:
         return {}
     if counts is None or ndv is None:
-        c2, d2 = count_and_ndv(df, cols)
+        bounds = {} if bounds is None else bounds
+        c2, d2 = count_and_ndv(df, cols, bounds)
         counts = counts if counts is not None else c2
         ndv = ndv if ndv is not None else d2
     out = {}
@@ -119,7 +126,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 k0 = int(math.floor(h))
                 ranks[(c, k0)] = None
                 ranks[(c, min(k0 + 1, n - 1))] = None
-        vals = _select_ranks(df, large, sorted(ranks), buckets)
+        vals = _select_ranks(df, large, sorted(ranks), buckets, bounds)
         for c in large:
             n = counts[c]
             for p in probs:
@@ -131,12 +138,20 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out
 
 
-def _select_ranks(df: DataFrame, cols: list[str], targets: list[tuple], buckets: int) -> dict:
-    """k-th smallest value (0-based) for each (col, k) target by histogram refinement."""
+def _select_ranks(df: DataFrame, cols: list[str], targets: list[tuple], buckets: int,
+                  known: dict | None = None) -> dict:
+    """k-th smallest value (0-based) for each (col, k) target by histogram refinement.
+    ``known`` may carry each column's (min, max) from an earlier pass."""
     spark = df.sparkSession
     long = _long_numeric(df, cols)
-    mm = long.groupBy("c").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    bounds = {r["c"]: (r["lo"], r["hi"]) for r in mm}
+    def usable(b):
+        return b is not None and b[0] is not None and b[1] is not None and b[0] == b[0] and b[1] == b[1]
+
+    if known and all(usable(known.get(c)) for c in cols):     # NaN bounds are not usable
+        bounds = {c: (float(known[c][0]), float(known[c][1])) for c in cols}
+    else:
+        mm = long.groupBy("c").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        bounds = {r["c"]: (r["lo"], r["hi"]) for r in mm}
     # state: target -> [lo, hi, offset]
     state = {t: [bounds[t[0]][0], bounds[t[0]][1], 0] for t in targets}
     result = {}
