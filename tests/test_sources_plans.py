@@ -65,3 +65,16 @@ def test_best_model_tie_goes_to_first_name(spark):
                                 "f1_weighted double")
     r = R.best_model(res).first()
     assert r["model_name"] == "a" and r["best_accuracy"] == "a"
+
+
+def test_raw_and_processed_side_by_side(spark):
+    from sparkclf.sources import raw_and_processed
+    d = tempfile.mkdtemp(prefix="sparkclf-csv-")
+    p = os.path.join(d, "t.csv")
+    with open(p, "w") as f:
+        f.write("id,amount,label\n1,\" 1,5 \",a\n2,2,b\n3,n/a,a\n4,x,b\n")
+    raw, processed = raw_and_processed(spark, p)
+    assert dict(raw.dtypes)["amount"] == "string"
+    assert dict(processed.dtypes)["amount"] == "double"
+    assert {r["id"]: r["amount"] for r in processed.collect()} == {1: 1.5, 2: 2.0, 3: None, 4: None}
+    raw.unpersist()
