@@ -75,3 +75,14 @@ def test_ordinal_large_mapping_path(spark, monkeypatch):
     monkeypatch.setattr(ST, "RANK_ROWS_PER_PARTITION", 5)
     b = {r["id"]: r["c"] for r in E.ordinal_fit(df, ["c"]).transform(df).collect()}
     assert a == b and sorted(set(a.values())) == list(range(37))
+
+
+def test_allocation_and_guard():
+    assert S.allocate({0: 58, 1: 341}, 319) == {0: 46, 1: 273}
+    a = S.allocate({"a": 5, "b": 5, "c": 5}, 10)
+    assert sum(a.values()) == 10 and sorted(a.values()) == [3, 3, 4] and a["a"] == 4   # ties -> class order
+    assert S.allocate({}, 0) == {}
+    assert not S.can_stratify({"a": 10}, 0.8)                 # one class
+    assert not S.can_stratify({"a": 10, "b": 1}, 0.8)         # a class with one row
+    assert not S.can_stratify({"a": 2, "b": 2, "c": 2}, 0.9)  # test side cannot hold every class
+    assert S.can_stratify({"a": 10, "b": 10}, 0.8)
