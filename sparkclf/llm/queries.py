@@ -1,10 +1,12 @@
 """Queries of the training-data operators and their DuckDB twins."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from . import chat as _chat
 from . import mix as _mix
+from . import pack as _pack
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -54,3 +56,43 @@ FROM c
 def op1_mix(spark, sf_dir):
     return (_mix.mix(_table(spark, sf_dir, "documents"))
             .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+@query("op2_pack")
+def op2_pack(spark, sf_dir):
+    return _pack.pack(_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(regexp_replace(role, '(<<?|\[)(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|/?s>|/?INST\]|/?SYS>>)', '\1\\\2\3', 'g'))
+              + len(regexp_replace(text, '(<<?|\[)(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|/?s>|/?INST\]|/?SYS>>)', '\1\\\2\3', 'g'))
+              + len('<|im_start|><|im_sep|><|im_end|>') AS chars FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op5_chat", OP5_SQL)
+def op5_chat(spark, sf_dir):
+    """A conversation is a tree without branches: each row replies to the row before it."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("</s>[INST] ok [/INST]").alias("text"))
+    by_turn = W.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    rows = (rows.unionByName(probe).withColumn("node", F.row_number().over(by_turn).cast("long"))
+                .withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)))
+    out = _chat.read_back(_chat.format_trees(rows, "conv_id", "node", "parent", "role", "text", None))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                      F.sha2(F.array_join(said, "").cast("binary"), 256).alias("turns_sha256"),
+                      F.length("loss_text").cast("long").alias("loss_chars"),
+                      F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"))
