@@ -5,8 +5,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from . import chat as _chat
+from . import gam as _gam
 from . import mix as _mix
 from . import pack as _pack
+from . import pii as _pii
+from . import quality as _quality
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -96,3 +99,61 @@ def op5_chat(spark, sf_dir):
                       F.length("loss_text").cast("long").alias("loss_chars"),
                       F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rk, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rk, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+u AS (SELECT rk, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM w),
+g AS (SELECT rk, i, w1 || ' ' || lead(w1, 1) OVER o || ' ' || lead(w1, 2) OVER o AS gram FROM u WINDOW o AS (PARTITION BY rk ORDER BY i)),
+c AS (SELECT rk, i, CASE WHEN gram IS NOT NULL AND count(*) OVER (PARTITION BY rk, gram) > 1 THEN 1 ELSE 0 END AS dup FROM g),
+cov AS (SELECT rk, max(dup) OVER (PARTITION BY rk ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM c),
+rep AS (SELECT rk, sum(hit)::BIGINT AS n_repeat_words FROM cov GROUP BY rk),
+m AS (SELECT doc_id, lang, source, len(words)::BIGINT AS n_words, coalesce(len(list_aggregate(words, 'string_agg', '')), 0)::BIGINT AS word_chars,
+             (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             (len(text) - len(regexp_replace(text, '[!?]', '', 'g')))::BIGINT AS n_marks
+      FROM d JOIN w USING (rk) LEFT JOIN rep USING (rk)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END AS symbols,
+             CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines,
+             CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END AS repeats,
+             CASE WHEN n_words > 0 THEN 10000 * n_marks // n_words ELSE 0 END AS marks,
+             CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length FROM m),
+lv AS (UNPIVOT (SELECT lang, source, symbols, dup_lines, repeats, marks, word_length FROM f WHERE NOT base_failed)
+       ON symbols, dup_lines, repeats, marks, word_length INTO NAME measure VALUE v),
+b AS (SELECT lang, source, measure, CASE WHEN v < 128 THEN v ELSE ((v >> (len(bin(v)) - 7)::BIGINT) << (len(bin(v)) - 7)::BIGINT) END AS v FROM lv),
+q1 AS (SELECT lang, source, measure, count(*) AS size, quantile_disc(v, 0.1) AS q10, quantile_disc(v, 0.5) AS q50 FROM b GROUP BY ALL),
+q2 AS (SELECT lang, measure, count(*) AS size, quantile_disc(v, 0.1) AS q10, quantile_disc(v, 0.5) AS q50 FROM b GROUP BY ALL),
+q3 AS (SELECT measure, count(*) AS size, quantile_disc(v, 0.1) AS q10, quantile_disc(v, 0.5) AS q50 FROM b GROUP BY ALL),
+s AS (SELECT * FROM (VALUES ('symbols', 500), ('dup_lines', 5000), ('repeats', 4500), ('marks', 3000), ('word_length', 300)) AS t(measure, slack)),
+fe AS (SELECT q1.lang, q1.source, q1.measure, slack,
+              CASE WHEN q1.size >= 200 THEN q1.q10 WHEN q2.size >= 200 THEN q2.q10 ELSE q3.q10 END AS q10,
+              CASE WHEN q1.size >= 200 THEN q1.q50 WHEN q2.size >= 200 THEN q2.q50 ELSE q3.q50 END AS q50
+       FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.measure = q2.measure JOIN q3 ON q1.measure = q3.measure JOIN s ON q1.measure = s.measure),
+wd AS (SELECT lang, source, max(hi) FILTER (measure = 'symbols') AS hs, max(hi) FILTER (measure = 'dup_lines') AS hd,
+              max(hi) FILTER (measure = 'repeats') AS hr, max(hi) FILTER (measure = 'marks') AS hm,
+              max(hi) FILTER (measure = 'word_length') AS hw, max(lo) FILTER (measure = 'word_length') AS lw
+       FROM (SELECT *, q50 + 6 * (q50 - q10) + slack AS hi, q50 - 6 * (q50 - q10) - slack AS lo FROM fe) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(symbols <= hs AND dup_lines <= hd AND repeats <= hr AND marks <= hm AND word_length BETWEEN lw AND hw, true) AS kept
+FROM f LEFT JOIN wd ON f.lang IS NOT DISTINCT FROM wd.lang AND f.source IS NOT DISTINCT FROM wd.source
+"""
+
+
+@query("op6_quality", OP6_SQL)
+def op6_quality(spark, sf_dir):
+    return (_quality.judge(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
+
+
+@query("op7_pii")
+def op7_pii(spark, sf_dir):
+    return _pii.scan(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_classifier")
+def op10_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return _gam.score(docs, _gam.train(docs, _table(spark, sf_dir, "labels")))
