@@ -10,6 +10,7 @@ from . import mix as _mix
 from . import pack as _pack
 from . import pii as _pii
 from . import quality as _quality
+from . import topk as _topk
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -157,3 +158,18 @@ def op7_pii(spark, sf_dir):
 def op10_classifier(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return _gam.score(docs, _gam.train(docs, _table(spark, sf_dir, "labels")))
+
+
+OP8_SQL = """
+WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM r q JOIN r c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@query("op8_topk", OP8_SQL)
+def op8_topk(spark, sf_dir):
+    return _topk.top_k(_table(spark, sf_dir, "embeddings"))
