@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import chat as _chat
 from . import gam as _gam
+from . import license as _license
 from . import mix as _mix
 from . import pack as _pack
 from . import pii as _pii
@@ -173,3 +174,8 @@ FROM s QUALIFY rank <= 5
 @query("op8_topk", OP8_SQL)
 def op8_topk(spark, sf_dir):
     return _topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_license")
+def op4_license(spark, sf_dir):
+    return _license.scan(_table(spark, sf_dir, "documents"))
