@@ -8,6 +8,7 @@ from . import chat as _chat
 from . import gam as _gam
 from . import license as _license
 from . import mix as _mix
+from . import ngram_join as _ngram_join
 from . import pack as _pack
 from . import pii as _pii
 from . import quality as _quality
@@ -179,3 +180,23 @@ def op8_topk(spark, sf_dir):
 @query("op4_license")
 def op4_license(spark, sf_dir):
     return _license.scan(_table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rk, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rk, array_to_string(w[i:i + 4], ' ') AS g FROM
+      (SELECT rk, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rk, count(*) AS n FROM s GROUP BY rk),
+o AS (SELECT a.rk AS a, b.rk AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rk < b.rk GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.rk = a JOIN n y ON y.rk = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT rk AS a, rk AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(x.doc_id) AS component_id
+FROM d LEFT JOIN n USING (rk) JOIN r ON r.a = d.rk JOIN d x ON x.rk = r.b GROUP BY d.rk, d.doc_id
+"""
+
+
+@query("op9_ngram_join", OP9_SQL)
+def op9_ngram_join(spark, sf_dir):
+    return _ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
