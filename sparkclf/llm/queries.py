@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import chat as _chat
 from . import gam as _gam
 from . import license as _license
+from . import linedup as _linedup
 from . import mix as _mix
 from . import ngram_join as _ngram_join
 from . import pack as _pack
@@ -200,3 +201,27 @@ FROM d LEFT JOIN n USING (rk) JOIN r ON r.a = d.rk JOIN d x ON x.rk = r.b GROUP
 @query("op9_ngram_join", OP9_SQL)
 def op9_ngram_join(spark, sf_dir):
     return _ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rk, doc_id, text,
+                  list_filter(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))),
+                              lambda x: regexp_matches(x[1], '[^\x20\x09-\x0D]')) AS lines FROM documents),
+u AS (SELECT rk, unnest(lines) AS x, generate_subscripts(lines, 1) AS s FROM d),
+l AS (SELECT rk, s, x[1] AS line, x[2] AS ln, len(regexp_extract_all(x[1], '[^\x20\x09-\x0D]+')) AS w FROM u),
+p AS (SELECT b.rk, b.s, b.w, a.rk AS ark, b.s - a.s AS diag FROM l a JOIN l b ON a.line = b.line AND (a.rk, a.s) < (b.rk, b.s)),
+i AS (SELECT *, s - row_number() OVER (PARTITION BY rk, ark, diag ORDER BY s) AS isle FROM p),
+t AS (SELECT rk, s, sum(w) OVER (PARTITION BY rk, ark, diag, isle) AS words FROM i),
+gone AS (SELECT DISTINCT rk, ln FROM t JOIN l USING (rk, s) WHERE words >= 50),
+g AS (SELECT rk, list(ln) AS lns FROM gone GROUP BY rk)
+SELECT doc_id, CASE WHEN lns IS NULL THEN text ELSE coalesce(list_aggregate(list_transform(list_filter(
+           list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))), lambda x: NOT list_contains(lns, x[2])),
+           lambda x: x[1]), 'string_agg', chr(10)), '') END AS text,
+       coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lns), 0)::BIGINT AS n_removed
+FROM d LEFT JOIN g USING (rk)
+"""
+
+
+@query("op3_line_dedup", OP3_SQL)
+def op3_line_dedup(spark, sf_dir):
+    return _linedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
