@@ -93,41 +93,50 @@ def thresholds(sized: DataFrame, targets: DataFrame, stash: Stash) -> DataFrame:
     return found.select("source", F.when(nearer, F.col("lo") + 1).otherwise(F.col("lo")).alias("threshold"))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(1, 2, 3),
-        cap: int = 3, budget: int | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times, taken), one row per input row.
+def _hash(id_col, text_col):
+    key = F.coalesce(id_col.cast("string"), text_col, F.lit(""))
+    return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
 
-    ``times`` is how often the mix takes the document, ``taken`` = times * size.
-    ``budget`` is the mix's number of words (default: that of all documents).
-    """
+
+def _plan(docs: DataFrame, id_col, text_col, source_col, weights, cap, budget) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, h) of all documents, and (s, source_size, target, full, threshold) per source."""
     stash = Stash(docs.sparkSession, "mix")
     d = pick(docs, doc_id=id_col, text=text_col, source=source_col)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    sized = stash.put(d.select("doc_id", "source", n_words("text").alias("size"),
-                               F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h")),
-                      "sized")
+    sized = stash.put(d.select("doc_id", "source", n_words("text").alias("size"), _hash(F.col("doc_id"), F.col("text")).alias("h")), "sized")
     targets = stash.put(source_targets(sized, weights, cap, budget), "targets")
     cut = thresholds(sized, targets, stash).select(F.col("source").alias("cs"), "threshold")
     plan = (targets.join(cut, F.col("source").eqNullSafe(F.col("cs")), "left")
                    .select(F.col("source").alias("s"), "source_size", "target", "full", "threshold"))
-    plan = stash.put(plan, "plan")
-    more = F.coalesce((F.col("h") < F.col("threshold")).cast("long"), F.lit(0))
+    return sized, stash.put(plan, "plan")
+
+
+def _times(h, cap: int):
+    more = F.coalesce((h < F.col("threshold")).cast("long"), F.lit(0))
+    return F.least(F.col("full") + more, F.lit(cap)).cast("long")
+
+
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(1, 2, 3),
+        cap: int = 3, budget: int | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, times, taken), one row per input row.
+
+    ``times`` is how often the mix takes the document, ``taken`` = times * size.
+    ``budget`` is the mix's number of words (default: that of all documents).
+    """
+    sized, plan = _plan(docs, id_col, text_col, source_col, weights, cap, budget)
     return (sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
-                 .withColumn("times", F.least(F.col("full") + more, F.lit(cap)).cast("long"))
+                 .withColumn("times", _times(F.col("h"), cap))
                  .select("doc_id", "source", "size", "source_size", "target", "times",
                          (F.col("times") * F.col("size")).alias("taken")))
 
 
-def apply_mix(docs: DataFrame, **kw) -> DataFrame:
+def apply_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(1, 2, 3),
+              cap: int = 3, budget: int | None = None) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the mix takes it.
 
-    Rows of one id share their hash, so they are taken equally often.
+    Texts are joined only with the per-source plan, so they are not shuffled where it is small.
     """
-    id_col, source_col = kw.get("id_col", "doc_id"), kw.get("source_col", "source")
-    taken = (mix(docs, **kw).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-             .agg(F.max("times").alias("_times")).filter("_times > 0"))
-    j = docs.withColumn("_n", n_words(F.col(kw.get("text_col", "text"))))
-    j = j.join(taken, j[id_col].eqNullSafe(taken["_id"]) & j[source_col].eqNullSafe(taken["_source"])
-               & (j["_n"] == taken["_size"]))
+    _, plan = _plan(docs, id_col, text_col, source_col, weights, cap, budget)
+    j = docs.join(plan, docs[source_col].eqNullSafe(plan["s"]))
+    j = j.withColumn("_times", _times(_hash(docs[id_col], docs[text_col]), cap)).filter("_times > 0")
     return (j.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
              .select(*[docs[c] for c in docs.columns]))
