@@ -13,7 +13,7 @@ reading back takes one out, so any text survives.  The loss mask is a list of
 (start, length) code point spans of the formatted conversation.
 
 Defined cases: null role and text are empty; a missing parent makes a root; nodes
-that share an id are kept as parallel branches; a null score counts as 0; a node
+that share an id are kept as parallel branches; a null tree is a tree of its own; a null score counts as 0; a node
 in a cycle has no root and so no path; an empty table gives an empty result.
 """
 from __future__ import annotations
@@ -116,6 +116,7 @@ def format_trees(rows: DataFrame, tree_col="tree", node_col="node", parent_col="
     r = (r.withColumn("copy", F.row_number().over(twin))
           .withColumns({"node": F.struct("key", "copy"),
                         "parent": F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("key"), F.lit(1).alias("copy")))}))
+    r = r.withColumn("tree", F.struct("tree"))               # a struct joins null ids like any other
     r = stash.put(r.select("tree", "node", "parent", "role", "text", "score"), "messages")
     way = paths(r.select("tree", "node", "parent", "score"), stash, top)
-    return format_paths(r.select("tree", "node", "role", "text"), way)
+    return format_paths(r.select("tree", "node", "role", "text"), way).withColumn("tree", F.col("tree.tree"))

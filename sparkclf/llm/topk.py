@@ -100,7 +100,7 @@ def index(rows: DataFrame, stash: Stash, dim: int, top: float, total: int, route
     schema = ("subtree long, parent binary, parent_radius double, router binary, radius double, to_parent double, "
               "ids array<long>, copies array<int>, vectors binary, entry_dist binary")
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key, pdf):
         x = _matrix(pdf["v"], dim)
         ids, copies = pdf["vec_id"].to_numpy(), pdf["copy"].to_numpy()
         name = int(key[0]) * 1_000_003 + int(key[1])
@@ -202,7 +202,7 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, every: int = 50,
     p = pages.withColumn("grp", F.pmod(F.xxhash64("subtree"), F.lit(groups)).cast("int")).withColumn("block", number(blocks))
     shared = spark.sparkContext.broadcast((routers, marks))
 
-    def search(pages_: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def search(pages_, asked):
         cols = ["query_id", "query_copy", "score", "vec_id", "copy"]
         if not len(pages_) or not len(asked):
             return pd.DataFrame([], columns=cols).astype("int64")

@@ -1,0 +1,41 @@
+import random
+
+import pytest
+
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _one string, h long, words string, cls string"
+
+
+def words(rng, n, vocab=400):
+    return " ".join(f"w{rng.randrange(vocab)}" for _ in range(n))
+
+
+@pytest.fixture(scope="session")
+def doc_rows():
+    """Documents with copies, near copies, shared lines, nulls, empty and long texts, repeated rows and ids."""
+    rng = random.Random(7)
+    base = [[words(rng, rng.choice([8, 30, 60])) for _ in range(rng.choice([1, 3, 6]))] for _ in range(24)]
+    texts = ["\n".join(x) for x in base]
+    for i in range(8):                                       # copies, near copies, shared runs, repeated lines
+        texts.append(texts[i])
+        near = texts[3 + i].split(" ")
+        near[len(near) // 2] = "changed"
+        texts.append(" ".join(near))
+        texts.append("\n".join([words(rng, 9), *base[i + 1][:2], words(rng, 40)]))
+    texts += [None, "", "  \n\t", "one", "two words", "a b c d e", "A B C D E", "\n".join(["same line of text here"] * 40),
+              words(rng, 30_000, 900), "x" * 50_000, " ".join(["rep"] * 200), "é ß ñ ü — 日本語 <|endoftext|>     end"]
+    rows = [(i, t, [None, "en", "de"][i % 3], ["a", "b", None, "a"][i % 4], len(t or ""), "x", i, "y", "z") for i, t in enumerate(texts)]
+    rows.append(rows[2])                                     # a wholly equal row
+    rows.append((5, "other text of an id that is used twice", "en", "a", 1, "x", 1, "y", "z"))
+    rows.append((None, texts[0], None, None, None, None, None, None, None))
+    rows.append((None, None, None, None, None, None, None, None, None))
+    return rows
+
+
+@pytest.fixture(scope="session")
+def docs(spark, doc_rows):
+    return spark.createDataFrame(doc_rows, DOC_SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], DOC_SCHEMA)
