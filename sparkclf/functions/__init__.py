@@ -13,6 +13,7 @@ from .scalar import (  # noqa: F401
 from .types import (  # noqa: F401
     categorical_columns,
     is_numeric_type,
+    missing_as_null,
     non_numeric_columns,
     normalize_missing,
     numeric_columns,

@@ -7,6 +7,8 @@ that is not numeric).
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,13 +50,24 @@ def non_numeric_columns(df: DataFrame, exclude=()) -> list[str]:
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
-    """Map NaN to NULL on float/double columns so NaN and NULL are one notion."""
-    cols = []
-    changed = False
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            cols.append(F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
-            changed = True
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols) if changed else df
+    """Map NaN to NULL on float/double columns so NaN and NULL are one notion.
+
+    The result is marked, so operators that call each other project once.
+    """
+    if getattr(df, "_missing_is_null", False):
+        return df
+    floats = [f for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    if floats:
+        names = {f.name for f in floats}
+        df = df.select(*[F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)).alias(f.name) if f.name in names
+                         else F.col(f"`{f.name}`") for f in df.schema.fields])
+    df._missing_is_null = True
+    return df
+
+
+def missing_as_null(op):
+    """Operator decorator: its first argument reaches it with NaN as NULL."""
+    @functools.wraps(op)
+    def run(df, *args, **kwargs):
+        return op(normalize_missing(df), *args, **kwargs)
+    return run

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import non_numeric_columns, numeric_columns, report_categorical_columns
+from ..functions import missing_as_null, non_numeric_columns, normalize_missing, numeric_columns, report_categorical_columns
 from .stats import global_positions
 
 # A column with more categories than this is one-hot encoded as one sparse
@@ -78,6 +78,7 @@ class OneHotModel:
         return src.select(*keep, *dummies)
 
 
+@missing_as_null
 def onehot_fit(df: DataFrame, cols: list[str] | None = None, split_col: str | None = "split",
                exclude=()) -> OneHotModel:
     """Categories from train rows; dense columns ``<col>_<value>`` (tinyint),
@@ -111,13 +112,17 @@ class OrdinalModel:
         out = df
         for c in self.columns:
             m = self.mapping[c].withColumnRenamed("value", f"__v_{c}").withColumnRenamed("code", f"__c_{c}")
-            out = (out.withColumn(f"__v_{c}", F.col(c).cast("string"))
-                   .join(F.broadcast(m) if self.small[c] else m, f"__v_{c}", "left")
-                   .withColumn(c, F.coalesce(F.col(f"__c_{c}"), F.lit(-1)).cast("int"))
-                   .drop(f"__v_{c}", f"__c_{c}"))
+            out = out.withColumn(f"__v_{c}", F.col(c).cast("string"))
+            if self.small[c]:
+                out = out.join(F.broadcast(m), f"__v_{c}", "left")
+            else:   # NULLs are -1 anyway and would all meet in one task
+                known = out.where(F.col(f"__v_{c}").isNotNull()).join(m, f"__v_{c}", "left")
+                out = known.unionByName(out.where(F.col(f"__v_{c}").isNull()).withColumn(f"__c_{c}", F.lit(None).cast("int")))
+            out = out.withColumn(c, F.coalesce(F.col(f"__c_{c}"), F.lit(-1)).cast("int")).drop(f"__v_{c}", f"__c_{c}")
         return out.select(*df.columns)
 
 
+@missing_as_null
 def ordinal_fit(df: DataFrame, cols: list[str] | None = None, split_col: str | None = "split",
                 exclude=()) -> OrdinalModel:
     """Sorted train categories -> 0..k-1; NULL and unseen -> -1 (int)."""
@@ -156,9 +161,10 @@ class ScalerModel:
                 out.append(((F.col(c).cast("double") - F.lit(a)) / F.lit(s)).alias(c))
             else:
                 out.append(F.col(c))
-        return df.select(*out)
+        return normalize_missing(df).select(*out)
 
 
+@missing_as_null
 def scaler_fit(df: DataFrame, method: str, cols: list[str] | None = None, split_col: str | None = "split",
                exclude=()) -> ScalerModel | None:
     """standard: (x - mean) / population std (0 -> 1); minmax: (x - min) / range (0 -> 1)."""

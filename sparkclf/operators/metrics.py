@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fmt_fixed, fmt_pct, safe_div
+from ..session import cut_lineage
 
 METRICS = ("accuracy", "precision_weighted", "recall_weighted", "f1_weighted")
 
@@ -89,7 +90,9 @@ def _prefix_auc(groups: DataFrame) -> DataFrame:
     nparts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")),
                  -(-rows // AUC_ROWS_PER_PARTITION))
     ranged = groups.repartitionByRange(nparts, "g", "s").sortWithinPartitions("g", "s")
-    loc = ranged.mapInPandas(local, sch)
+    # both sides of the join below must see one and the same partitioning: the
+    # sampled range bounds are used once and the result is read from its checkpoint
+    loc = cut_lineage(ranged.mapInPandas(local, sch))
     totals = loc.groupBy("g", "first_s").agg(F.sum("neg").alias("tneg"))
     w = Window.partitionBy("g").orderBy("first_s").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select("g", "first_s", F.coalesce(F.sum("tneg").over(w), F.lit(0)).alias("off"))

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import non_numeric_columns, numeric_columns
+from ..functions import missing_as_null, non_numeric_columns, numeric_columns
 from .profile import iqr_bounds
 from .stats import exact_quantiles, modes
 
 IMPUTE_METHODS = ("drop_rows", "drop_columns", "mean", "median", "mode", "constant")
 
 
+@missing_as_null
 def drop_duplicates(df: DataFrame, apply: bool = True) -> DataFrame:
     """Full-row de-duplication (which copy survives is immaterial)."""
     return df.dropDuplicates() if apply else df
@@ -34,6 +35,7 @@ def _null_counts(df: DataFrame, cols) -> dict:
     return {c: int(r[f"n{i}"]) for i, c in enumerate(cols)}
 
 
+@missing_as_null
 def impute(df: DataFrame, method: str = "median", constant_value=None, exclude=()) -> DataFrame:
     """Fill or drop missing values.
 
@@ -89,6 +91,7 @@ def impute(df: DataFrame, method: str = "median", constant_value=None, exclude=(
     return df.select(*out)
 
 
+@missing_as_null
 def cap_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Clip the chosen numeric columns to their IQR bounds; NULL stays NULL."""
     cols = [c for c in columns or [] if c in numeric_columns(df)]
@@ -107,6 +110,7 @@ def cap_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*out)
 
 
+@missing_as_null
 def remove_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Drop rows outside the IQR bounds of any chosen column (bounds from the
     table before removal; NULL comparisons keep the row)."""
@@ -133,6 +137,7 @@ def handle_outliers(df: DataFrame, columns: list[str] | None, method: str = "non
     return df
 
 
+@missing_as_null
 def iqr_bounds_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, q1, q3, low, high) per numeric column."""
     b = iqr_bounds(df, cols)

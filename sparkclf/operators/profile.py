@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import (categorical_columns, clean_text, num, numeric_columns,
+from ..functions import (categorical_columns, clean_text, missing_as_null, num, numeric_columns,
                          safe_div, string_columns)
 from .stats import column_stats, count_and_ndv, distinct_counts, exact_quantiles, frequency_table, modes
 
@@ -22,6 +22,7 @@ from .stats import column_stats, count_and_ndv, distinct_counts, exact_quantiles
 # B1-B3: preview, shape, schema
 
 
+@missing_as_null
 def preview(df: DataFrame, key: str | list[str], n: int = 5) -> DataFrame:
     """First ``n`` rows by ``key`` (Spark has no row order, so the key is required)."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -69,6 +70,7 @@ def schema_table(df: DataFrame) -> DataFrame:
 # B4: describe(include='all'), transposed
 
 
+@missing_as_null
 def describe_all(df: DataFrame) -> DataFrame:
     """One row per column: count, unique, top, freq, mean, std, min, q25, q50, q75, max.
 
@@ -106,6 +108,7 @@ def _f(v):
 # B5: missing values
 
 
+@missing_as_null
 def missing_summary(df: DataFrame) -> DataFrame:
     """(column, missing_count, missing_percentage) in one aggregate."""
     cols = df.columns
@@ -121,6 +124,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
                                F.lit(0.0)).alias("missing_percentage")))
 
 
+@missing_as_null
 def missing_overall(df: DataFrame) -> DataFrame:
     """One row: total_missing, total_cells, overall_percentage (Σmissing / (rows·cols))."""
     cols = df.columns
@@ -136,6 +140,7 @@ def missing_overall(df: DataFrame) -> DataFrame:
 # B6-B8: outliers
 
 
+@missing_as_null
 def iqr_bounds(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, counts: dict | None = None,
                ndv: dict | None = None) -> dict:
     """{col: (q1, q3, low, high, non_null_count)} on non-null values.
@@ -159,6 +164,7 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, cou
     return out
 
 
+@missing_as_null
 def outliers_iqr(df: DataFrame, cols: list[str] | None = None, counts: dict | None = None,
                  ndv: dict | None = None) -> DataFrame:
     """(column, outlier_count, percentage): strict < low or > high; IQR 0 -> 0."""
@@ -182,6 +188,7 @@ def outliers_iqr(df: DataFrame, cols: list[str] | None = None, counts: dict | No
                                        "percentage double").drop("position")
 
 
+@missing_as_null
 def outliers_zscore(df: DataFrame, cols: list[str] | None = None, z: float = 3.0) -> DataFrame:
     """(column, outlier_count, percentage): |x-mean|/std_sample > z; std 0 or NULL -> 0."""
     cols = numeric_columns(df) if cols is None else cols
@@ -204,6 +211,7 @@ def outliers_zscore(df: DataFrame, cols: list[str] | None = None, z: float = 3.0
     return spark.createDataFrame(rows, "column string, outlier_count bigint, percentage double")
 
 
+@missing_as_null
 def outlier_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Both methods side by side: (column, iqr_count, iqr_percentage, z_count, z_percentage)."""
     a = outliers_iqr(df, cols).select("column", F.col("outlier_count").alias("iqr_count"),
@@ -217,6 +225,7 @@ def outlier_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 # B9-B10: histogram and kernel density
 
 
+@missing_as_null
 def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | None = None) -> DataFrame:
     """(column, bin, bin_lo, bin_hi, count) on non-null values, empty bins included.
 
@@ -252,6 +261,7 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | None = N
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
+@missing_as_null
 def kde(df: DataFrame, cols: list[str] | None = None, grid: int = 200, cut: float = 3.0,
         exact: bool = True, fine_bins: int = 4096) -> DataFrame:
     """Gaussian kernel density on a ``grid``-point line per column.
@@ -326,6 +336,7 @@ def kde(df: DataFrame, cols: list[str] | None = None, grid: int = 200, cut: floa
 # B11-B14: frequencies, correlation, class distribution, split sizes
 
 
+@missing_as_null
 def frequencies(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, value, count, percentage) for each categorical column, NULL is a group."""
     cols = categorical_columns(df) if cols is None else cols
@@ -342,6 +353,7 @@ CORR_PAIRS_PER_PASS = 300
 CORR_ML_MIN_COLUMNS = 60
 
 
+@missing_as_null
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation, pairwise-complete, long form (col_x, col_y, corr).
 
@@ -392,10 +404,11 @@ def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "col_x string, col_y string, corr double")
 
 
+@missing_as_null
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """(class, count, percentage) of the target, NULL class included."""
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in the dataframe.")
+        raise ValueError(f"no column {target!r} to count classes of")
     g = df.groupBy(F.col(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("count"))
     n = df.count()
     return g.select("class", "count", (F.col("count") * 100.0 / F.lit(n)).alias("percentage"))
@@ -413,6 +426,7 @@ def split_sizes(df: DataFrame, train_size: float = 0.8) -> DataFrame:
 # B15-B18: non-numeric report, cleaning, coercion, type selection
 
 
+@missing_as_null
 def non_numeric_report(df: DataFrame, sample_limit: int = 10) -> DataFrame:
     """(column, non_numeric_count, sample_values) for columns with unparseable entries.
 
@@ -476,6 +490,7 @@ def coercible_columns(df: DataFrame, threshold: float = 0.5) -> dict:
             if r[f"f{i}"] is not None and r[f"f{i}"] >= threshold}
 
 
+@missing_as_null
 def clean_and_coerce(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """String cleaning, then numeric coercion of columns that mostly parse.
 

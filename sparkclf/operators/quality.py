@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import categorical_columns, compact_key, numeric_columns, safe_div
+from ..functions import categorical_columns, compact_key, missing_as_null, numeric_columns, safe_div
 from .profile import outliers_iqr
 from .stats import distinct_counts
 
@@ -28,7 +28,6 @@ OUTLIER_THRESHOLD_PCT = 5.0
 IMBALANCE_RATIO = 0.3
 UNIQUE_THRESHOLD = 50
 DUPLICATE_THRESHOLD_PCT = 1.0
-MAX_DISTRIBUTION_CLASSES = 10_000
 ISSUE_NAMES = ("Missing Values", "Outliers", "Class Imbalance", "High Cardinality",
                "Constant Features", "Duplicates")
 
@@ -37,6 +36,7 @@ def _comparable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType,))]
 
 
+@missing_as_null
 def missing_and_constant(df: DataFrame) -> tuple[int, DataFrame]:
     """Fused pass: per column null count, missing percentage and constant flag
     (<= 1 distinct non-null value, via min <=> max)."""
@@ -61,46 +61,54 @@ def missing_and_constant(df: DataFrame) -> tuple[int, DataFrame]:
     return n, out
 
 
+@missing_as_null
 def detect_missing(df: DataFrame) -> DataFrame:
     """(column, missing_percentage) for columns with any missing value."""
     _, mc = missing_and_constant(df)
     return mc.where("missing_count > 0").select("column", "missing_percentage")
 
 
+@missing_as_null
 def detect_outliers(df: DataFrame, threshold_pct: float = OUTLIER_THRESHOLD_PCT,
                     counts: dict | None = None, ndv: dict | None = None) -> DataFrame:
     """(column, outlier_count, percentage) of numeric columns whose IQR outlier share > threshold."""
     return outliers_iqr(df, counts=counts, ndv=ndv).where(F.col("percentage") > F.lit(threshold_pct))
 
 
+@missing_as_null
 def detect_class_imbalance(df: DataFrame, target: str, ratio_threshold: float = IMBALANCE_RATIO) -> DataFrame:
-    """One row: n_classes, min_count, max_count, ratio, has_issue, distribution (map).
+    """One row: n_classes, min_count, max_count, ratio, has_issue.
 
     The NULL class counts; a missing column or empty table gives ratio 1.0.
     """
-    spark = df.sparkSession
-    schema = ("n_classes bigint, min_count bigint, max_count bigint, ratio double, "
-              "has_issue boolean, distribution map<string,bigint>")
-    if target not in df.columns:
-        return spark.createDataFrame([(0, None, None, 1.0, False, {})], schema)
-    g = df.groupBy(F.col(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    st = g.agg(F.count(F.lit(1)).alias("k")).first()["k"]
-    # the per-class map is one row: build it only for a class-like target
-    dist = (F.map_from_entries(F.collect_list(F.struct(F.coalesce("class", F.lit("nan")), "n")))
-            if st <= MAX_DISTRIBUTION_CLASSES else F.lit(None).cast("map<string,bigint>"))
-    s = g.agg(F.count(F.lit(1)).cast("bigint").alias("n_classes"),
-              F.min("n").cast("bigint").alias("min_count"), F.max("n").cast("bigint").alias("max_count"),
-              dist.alias("distribution"))
+    s = class_counts(df, target).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_classes"),
+        F.min("n").cast("bigint").alias("min_count"), F.max("n").cast("bigint").alias("max_count"))
     ratio = F.coalesce(safe_div("min_count", "max_count"), F.lit(1.0))
     return s.select("n_classes", "min_count", "max_count", ratio.alias("ratio"),
-                    (ratio < F.lit(ratio_threshold)).alias("has_issue"), "distribution")
+                    (ratio < F.lit(ratio_threshold)).alias("has_issue"))
+
+
+@missing_as_null
+def class_counts(df: DataFrame, target: str) -> DataFrame:
+    """(class, n) rows of every class of the target, NULL as 'nan'; empty for a missing column.
+
+    A table, however many classes there are: it never becomes one row or a driver map.
+    """
+    if target not in df.columns:
+        return df.sparkSession.createDataFrame([], "class string, n bigint")
+    # two levels, so that a text 'nan' and NULL stay two classes
+    return (df.groupBy(F.col(target).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+            .select(F.coalesce("c", F.lit("nan")).alias("class"), "n"))
 
 
+@missing_as_null
 def detect_high_cardinality(df: DataFrame, unique_threshold: int = UNIQUE_THRESHOLD) -> DataFrame:
     """(column, n_unique) of string/bool columns with more than ``unique_threshold`` distinct values."""
     return distinct_counts(df, categorical_columns(df)).where(F.col("n_unique") > unique_threshold)
 
 
+@missing_as_null
 def detect_constant(df: DataFrame) -> DataFrame:
     """(column) with <= 1 distinct non-null value (all-NULL counts as constant)."""
     _, mc = missing_and_constant(df)
@@ -129,12 +137,7 @@ def row_key(df: DataFrame) -> list:
     return out
 
 
-def row_fingerprint(df: DataFrame):
-    """One 128-bit digest of a whole row (NULLs distinguished from values)."""
-    parts = [F.coalesce(F.to_json(F.struct(F.col(c))), F.lit("\u0000")) for c in df.columns]
-    return F.md5(F.concat_ws("\u0001", *parts))
-
-
+@missing_as_null
 def detect_duplicates(df: DataFrame, pct_threshold: float = DUPLICATE_THRESHOLD_PCT) -> DataFrame:
     """One row: dup_count (rows beyond the first of each identical group), percentage, has_issue.
 
@@ -156,7 +159,7 @@ class IssueReport:
     outliers: dict = field(default_factory=dict)         # column -> count
     imbalance_ratio: float = 1.0
     imbalance_issue: bool = False
-    distribution: dict = field(default_factory=dict)
+    distribution: DataFrame | None = None               # (class, n) rows
     high_cardinality: dict = field(default_factory=dict)  # column -> n_unique
     constant: list = field(default_factory=list)
     dup_count: int = 0
@@ -185,6 +188,7 @@ def penalties(n_missing: int, n_outlier: int, imb_issue: bool, ratio: float, n_c
     return d
 
 
+@missing_as_null
 def detect_all(df: DataFrame, target: str) -> IssueReport:
     """Run every detector and compute the health score (driver-side summary of
     small results; the heavy work is five Spark aggregates)."""
@@ -199,7 +203,7 @@ def detect_all(df: DataFrame, target: str) -> IssueReport:
     rep.outliers = {r["column"]: r["outlier_count"] for r in detect_outliers(df, counts=nn, ndv=nd).collect()}
     imb = detect_class_imbalance(df, target).first()
     rep.imbalance_ratio, rep.imbalance_issue = float(imb["ratio"]), bool(imb["has_issue"])
-    rep.distribution = dict(imb["distribution"] or {})
+    rep.distribution = class_counts(df, target)
     rep.high_cardinality = {r["column"]: r["n_unique"] for r in detect_high_cardinality(df).collect()}
     dup = detect_duplicates(df).first()
     rep.dup_count, rep.dup_pct, rep.dup_issue = int(dup["dup_count"]), float(dup["percentage"]), bool(dup["has_issue"])
@@ -209,6 +213,7 @@ def detect_all(df: DataFrame, target: str) -> IssueReport:
     return rep
 
 
+@missing_as_null
 def health_score(df: DataFrame, target: str) -> DataFrame:
     """One row: health_score plus the six deductions (as negative numbers)."""
     rep = detect_all(df, target)
@@ -226,14 +231,17 @@ def issue_table(rep: IssueReport, spark) -> DataFrame:
     rows = []
     rows += [("missing_values", c, float(v)) for c, v in rep.missing.items()]
     rows += [("outliers", c, float(v)) for c, v in rep.outliers.items()]
-    rows += [("class_distribution", c, float(v)) for c, v in rep.distribution.items()]
     rows.append(("class_imbalance_ratio", None, float(rep.imbalance_ratio)))
     rows += [("high_cardinality", c, float(v)) for c, v in rep.high_cardinality.items()]
     rows += [("constant_features", c, 1.0) for c in rep.constant]
     rows.append(("duplicate_rows", None, float(rep.dup_count)))
     rows.append(("duplicate_percentage", None, float(rep.dup_pct)))
     rows.append(("health_score", None, float(rep.score)))
-    return spark.createDataFrame(rows, "issue string, column string, value double")
+    out = spark.createDataFrame(rows, "issue string, column string, value double")
+    if rep.distribution is None:
+        return out
+    return out.unionByName(rep.distribution.select(F.lit("class_distribution").alias("issue"), F.col("class").alias("column"),
+                                                   F.col("n").cast("double").alias("value")))
 
 
 def score_breakdown(rep: IssueReport, spark) -> DataFrame:
@@ -250,11 +258,13 @@ def formatted_issue_tables(rep: IssueReport, spark) -> DataFrame:
     rows = []
     rows += [("Missing Values", c, float(v), None) for c, v in rep.missing.items()]
     rows += [("Outliers", c, None, int(v)) for c, v in rep.outliers.items()]
-    rows += [("Class Distribution", c, None, int(v)) for c, v in rep.distribution.items()]
     rows += [("High Cardinality", c, None, int(v)) for c, v in rep.high_cardinality.items()]
     rows += [("Constant Features", c, None, None) for c in rep.constant]
     rows.append(("Duplicates", "rows", None, rep.dup_count))
     df = spark.createDataFrame(rows, "tbl string, key string, pct double, cnt bigint")
+    if rep.distribution is not None:
+        df = df.unionByName(rep.distribution.select(F.lit("Class Distribution").alias("tbl"), F.col("class").alias("key"),
+                                                    F.lit(None).cast("double").alias("pct"), F.col("n").alias("cnt")))
     txt = F.when(F.col("pct").isNotNull(), F.concat(fmt_fixed("pct", 2), F.lit("%"))).otherwise(
         F.col("cnt").cast("string"))
     return df.select(F.col("tbl").alias("table"), "key", txt.alias("value"))

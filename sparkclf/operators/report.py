@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fmt_fixed, numeric_columns, report_categorical_columns
+from ..functions import fmt_fixed, missing_as_null, numeric_columns, report_categorical_columns
 from .quality import IssueReport, row_key
 from .stats import column_stats, distinct_counts, exact_quantiles, modes
 
@@ -16,6 +16,7 @@ KEY_PARAMS = ("n_estimators", "max_depth", "learning_rate", "C", "kernel", "n_ne
               "random_state", "max_iter", "gamma", "alpha")
 
 
+@missing_as_null
 def dataset_overview(df: DataFrame, target: str) -> DataFrame:
     """One row: total_rows, total_columns, target_column, missing_values, duplicate_rows, features.
 
@@ -32,6 +33,7 @@ def dataset_overview(df: DataFrame, target: str) -> DataFrame:
         "duplicate_rows bigint, features array<string>")
 
 
+@missing_as_null
 def numeric_stats(df: DataFrame, max_cols: int = 8) -> DataFrame:
     """First ``max_cols`` numeric columns: mean, std, min, max, median, q25, q75."""
     cols = numeric_columns(df)[:max_cols]
@@ -49,6 +51,7 @@ def _f(v):
     return None if v is None else float(v)
 
 
+@missing_as_null
 def categorical_stats(df: DataFrame, max_cols: int = 5) -> DataFrame:
     """First ``max_cols`` string columns: unique_values, most_common (smallest on
     ties; 'N/A' when empty), most_common_count (0 when empty)."""

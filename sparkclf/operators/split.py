@@ -34,61 +34,81 @@ def _bits_for(max_class_rows: int) -> int:
     return min(20, int(math.ceil(math.log2(max_class_rows / TARGET_BUCKET_ROWS))))
 
 
-def allocate(counts: dict, n_draws: int) -> dict:
-    """Split ``n_draws`` over classes proportionally: floor of the exact share,
-    then one more for the largest remainders (ties -> class order)."""
-    n = sum(counts.values())
-    if n == 0:
-        return {k: 0 for k in counts}
-    cont = {k: n_draws * v / n for k, v in counts.items()}
-    alloc = {k: int(math.floor(c)) for k, c in cont.items()}
-    need = n_draws - sum(alloc.values())
-    order = sorted(counts, key=lambda k: (-(cont[k] - alloc[k]), k))
-    for k in order[:need]:
-        alloc[k] += 1
-    return alloc
-
-
-def can_stratify(counts: dict, train_size: float) -> bool:
-    n = sum(counts.values())
+def allocate(counts: DataFrame, n: int, n_draws: int) -> DataFrame:
+    """(__k, __alloc): ``n_draws`` of ``n`` rows spread over the classes of (__k, __n) proportionally:
+    floor of the exact share, then one more for the largest remainders (ties -> class order).
+    One row per class; no class list comes to the driver."""
+    share = F.lit(float(n_draws)) * F.col("__n") / F.lit(float(max(n, 1)))
+    c = counts.withColumn("__low", F.floor(share)).withColumn("__left", share - F.col("__low"))
+    c = c.withColumn("__more", F.lit(n_draws) - F.sum("__low").over(Window.partitionBy()))
+    nth = F.row_number().over(Window.orderBy(F.desc("__left"), "__k"))
+    return c.select("__k", (F.col("__low") + (nth <= F.col("__more")).cast("int")).cast("long").alias("__alloc"))
+
+
+def _totals(counts: DataFrame) -> tuple[int, int, int, int]:
+    """rows, classes, smallest and largest class."""
+    r = counts.agg(F.sum("__n"), F.count(F.lit(1)), F.min("__n"), F.max("__n")).first()
+    return tuple(int(x or 0) for x in r)
+
+
+def can_stratify(n: int, n_classes: int, smallest: int, train_size: float) -> bool:
     n_train = int(math.floor(n * train_size))
-    return (len(counts) >= 2 and min(counts.values()) >= 2
-            and n_train >= len(counts) and n - n_train >= len(counts))
+    return n_classes >= 2 and smallest >= 2 and n_train >= n_classes and n - n_train >= n_classes
+
+
+def _with_row_id(df: DataFrame) -> DataFrame:
+    """A table without an id: equal rows are counted and told apart by a number, so a row's
+    name is its content's digest and that number.  The count collapses copies before the shuffle."""
+    digest = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    g = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__c"))
+    g = g.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))))
+    return g.withColumn("__id", F.concat_ws(":", digest, F.col("__copy").cast("string"))).drop("__c", "__copy")
+
+
+def _drawn(df: DataFrame, key, id_col: str, seed: int, bits: int) -> DataFrame:
+    """With class ``__k``, draw ``__h`` and bucket ``__b``; a NULL id draws like any other value."""
+    h = hash32(F.coalesce(F.col(id_col).cast("string"), F.lit(_NULL_KEY)), seed)
+    return df.withColumn("__k", key).withColumn("__h", h).withColumn(
+        "__b", F.shiftright(F.col("__h"), 32 - bits) if bits else F.lit(0))
+
 
+def _class_sizes(df: DataFrame, key) -> DataFrame:
+    return df.groupBy(key.alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
 
-def train_test_split(df: DataFrame, label: str | None, id_col: str, train_size: float = 0.8,
+
+def train_test_split(df: DataFrame, label: str | None, id_col: str | None, train_size: float = 0.8,
                      seed: int = 42, stratify: bool = True) -> DataFrame:
     """Add ``split`` ('train' / 'test').  Stratified on ``label`` when every class
-    has at least two rows (and both sides can hold every class), else plain."""
-    spark = df.sparkSession
+    has at least two rows (and both sides can hold every class), else plain.
+
+    ``id_col`` names the row in the seeded draw (rows that share it draw alike and
+    are told apart arbitrarily); None derives a name from the row's content.
+    """
+    cols = df.columns + ["split"]
+    if id_col is None:
+        df, id_col = _with_row_id(df), "__id"
     key = class_key(label) if label else F.lit("all")
-    counts = {r["k"]: int(r["n"]) for r in
-              df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(counts.values())
+    counts = _class_sizes(df, key)
+    n, n_classes, smallest, largest = _totals(counts)
     n_train = int(math.floor(n * float(train_size)))
-    if not (stratify and label and can_stratify(counts, train_size)):
-        counts = {"all": n}
+    if not (stratify and label and can_stratify(n, n_classes, smallest, train_size)):
         key = F.lit("all")
-    alloc = allocate(counts, n_train)
-    bits = _bits_for(max(counts.values()) if counts else 0)
-    h = hash32(F.col(id_col), seed)
-    base = df.withColumn("__k", key).withColumn("__h", h).withColumn(
-        "__b", F.shiftright(F.col("__h"), 32 - bits) if bits else F.lit(0))
+        counts, largest = _class_sizes(df, key), n
+    bits = _bits_for(largest)
+    base = _drawn(df, key, id_col, seed, bits)
     hist = base.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__k").orderBy("__b")
-    adf = spark.createDataFrame([(k, a) for k, a in alloc.items()], "__k string, __alloc long")
-    cut = (hist.withColumn("__cum", F.sum("__n").over(w)).join(F.broadcast(adf), "__k")
+    cut = (hist.withColumn("__cum", F.sum("__n").over(w)).join(allocate(counts, n, n_train), "__k")
            .where((F.col("__cum") - F.col("__n") < F.col("__alloc")) & (F.col("__cum") >= F.col("__alloc")))
            .select("__k", F.col("__b").alias("__cut"), (F.col("__alloc") - F.col("__cum") + F.col("__n"))
                    .alias("__need")))
-    j = base.join(F.broadcast(cut), "__k", "left")
-    outside = j.where(F.col("__cut").isNull() | (F.col("__b") != F.col("__cut"))).withColumn(
+    j = base.join(cut, "__k", "left")       # Spark broadcasts it while it is small
+    edge = F.coalesce(F.col("__b") == F.col("__cut"), F.lit(False))
+    outside = j.where(~edge).withColumn(
         "split", F.when(F.col("__b") < F.col("__cut"), "train").otherwise("test"))
-    inside = j.where(F.col("__b") == F.col("__cut"))
     rw = Window.partitionBy("__k", "__b").orderBy("__h", id_col)
-    inside = inside.withColumn("split", F.when(F.row_number().over(rw) <= F.col("__need"), "train")
-                               .otherwise("test"))
-    cols = df.columns + ["split"]
+    inside = j.where(edge).withColumn("split", F.when(F.row_number().over(rw) <= F.col("__need"), "train")
+                                      .otherwise("test"))
     return outside.select(*cols).unionByName(inside.select(*cols))
 
 
@@ -99,11 +119,8 @@ def kfold(df: DataFrame, label: str | None, id_col: str, k: int = 5, seed: int =
     if not 2 <= k:
         raise ValueError("k must be >= 2")
     key = class_key(label) if label else F.lit("all")
-    mx = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    bits = _bits_for(int(mx))
-    h = hash32(F.col(id_col), seed + 1)
-    base = df.withColumn("__k", key).withColumn("__h", h).withColumn(
-        "__b", F.shiftright(F.col("__h"), 32 - bits) if bits else F.lit(0))
+    bits = _bits_for(_totals(_class_sizes(df, key))[3])
+    base = _drawn(df, key, id_col, seed + 1, bits)
     hist = base.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     off = hist.select("__k", "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))

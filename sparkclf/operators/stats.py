@@ -286,7 +286,9 @@ def global_positions(df: DataFrame, order_col: str, out_col: str = "pos", rows:
     if rows is None:
         rows = df.count()
     nparts = max(1, -(-rows // RANK_ROWS_PER_PARTITION))
-    r = df.repartitionByRange(nparts, order_col).withColumn("__pid", F.spark_partition_id())
+    from ..session import cut_lineage
+    # numbered and counted from one checkpoint, so the sampled bounds cannot differ between the two
+    r = cut_lineage(df.repartitionByRange(nparts, order_col).withColumn("__pid", F.spark_partition_id()))
     sizes = r.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offs = sizes.select("__pid", F.coalesce(F.sum("__n").over(
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))

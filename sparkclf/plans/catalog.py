@@ -61,7 +61,7 @@ def oracle_queries() -> dict:
 def load_all():
     """Import every module that registers queries."""
     import importlib
-    for m in ("q_profile", "q_quality", "q_prepare", "q_models", "q_evaluate", "q_report", "q_sources", "q_train"):
+    for m in ("q_profile", "q_quality", "q_prepare", "q_edges", "q_models", "q_evaluate", "q_report", "q_sources", "q_train"):
         try:
             importlib.import_module(f"{__package__}.{m}")
         except ModuleNotFoundError as e:

@@ -114,3 +114,35 @@ def preds_multi(spark: SparkSession, d: str) -> DataFrame:
 PREDS_MULTI_SQL = ("preds_multi AS (SELECT o_orderkey AS id, o_orderpriority AS y_true, "
                    "CASE WHEN o_orderkey % 3 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS y_pred "
                    "FROM orders)")
+
+
+def orders_nan(spark: SparkSession, d: str) -> DataFrame:
+    """orders with NaN and NULL side by side: outliers in ``price``, a constant with NaN in ``flat``."""
+    o = read_table(spark, d, "orders")
+    k, nan = F.col("o_orderkey"), F.lit(float("nan"))
+    price = F.when(k % 101 == 0, F.col("o_totalprice") * 50).otherwise(F.col("o_totalprice"))
+    return o.select(
+        k.alias("id"),
+        F.when(k % 13 == 0, nan).when(k % 17 == 0, F.lit(None).cast("double")).otherwise(price).alias("price"),
+        F.when(k % 7 == 0, nan).otherwise(F.col("o_custkey").cast("double")).alias("load"),
+        F.when(k % 5 == 0, nan).otherwise(F.lit(1.0)).alias("flat"),
+        F.col("o_orderpriority").alias("priority"))
+
+
+ORDERS_NAN_SQL = (
+    "orders_nan AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN NULL "
+    "WHEN o_orderkey % 101 = 0 THEN o_totalprice * 50 ELSE o_totalprice END AS price, "
+    "CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey::DOUBLE END AS load, "
+    "CASE WHEN o_orderkey % 5 <> 0 THEN 1.0::DOUBLE END AS flat, o_orderpriority AS priority FROM orders)")
+
+
+def ship(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem with a timestamp and a boolean column, both with gaps."""
+    k = F.col("l_orderkey")
+    return read_table(spark, d, "lineitem").select(
+        k.alias("id"), F.col("l_linenumber").alias("line"), F.when(k % 11 != 0, F.col("l_shipdate")).alias("shipdate"),
+        F.when(k % 13 != 0, F.col("l_quantity") > 25).alias("bulky"), F.col("l_returnflag").alias("flag"))
+
+
+SHIP_SQL = ("ship AS (SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_orderkey % 11 <> 0 THEN l_shipdate END AS shipdate, "
+            "CASE WHEN l_orderkey % 13 <> 0 THEN l_quantity > 25 END AS bulky, l_returnflag AS flag FROM lineitem)")

@@ -205,8 +205,9 @@ def _corr_sql(table, cols):
         for j, b in enumerate(cols):
             xa = f"CASE WHEN {b} IS NOT NULL THEN {a} END"
             yb = f"CASE WHEN {a} IS NOT NULL THEN {b} END"
-            expr = (f"greatest(-1.0, least(1.0, covar_pop({xa}, {yb}) / "
-                    f"nullif(stddev_pop({xa}) * stddev_pop({yb}), 0)))")
+            spread = f"nullif(stddev_pop({xa}) * stddev_pop({yb}), 0)"
+            # DuckDB's least and greatest skip NULL, so a constant column is told apart first
+            expr = f"CASE WHEN {spread} IS NOT NULL THEN greatest(-1.0, least(1.0, covar_pop({xa}, {yb}) / {spread})) END"
             if a == b:
                 expr = f"CASE WHEN nullif(stddev_pop({a}), 0) IS NULL THEN NULL ELSE 1.0 END"
             parts.append(f"SELECT '{a}' AS col_x, '{b}' AS col_y, ({expr})::DOUBLE AS corr FROM {table}")

@@ -70,7 +70,7 @@ register("issues_imbalance",
          W(*_parts_sql(DOC)) + "SELECT n_classes::BIGINT AS n_classes, min_count::BIGINT AS min_count, "
          "max_count::BIGINT AS max_count, ratio::DOUBLE AS ratio, ratio < 0.3 AS has_issue FROM imb",
          rnd=("ratio",))(
-    lambda spark, d: Q.detect_class_imbalance(fx.doc_clf(spark, d), "quality").drop("distribution"))
+    lambda spark, d: Q.detect_class_imbalance(fx.doc_clf(spark, d), "quality"))
 
 register("issues_high_cardinality",
          W(*_parts_sql(DIRTY)) + "SELECT col AS \"column\", u::BIGINT AS n_unique FROM card")(

@@ -8,6 +8,7 @@ that matters at scale is read from the running session when it is already set
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -30,7 +31,7 @@ def build_session(master: str | None = None, app: str = "sparkclf",
         b = b.master(master)
     conf = dict(_DEFAULTS)
     if master and master.startswith("local"):
-        conf["spark.driver.memory"] = "16g"      # local mode: the driver JVM runs every task
+        conf["spark.driver.memory"] = "6g"       # local mode: the driver JVM runs every task
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -46,18 +47,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared (HDFS/object-store) folder and is
-    used as is.  Only when it is unset (local tests) a scratch folder is made.
+    used as is; a cluster without it is an error, as executors do not share local
+    folders.  Only local mode (tests) gets a scratch folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        require_local(spark.sparkContext.master)
         d = tempfile.mkdtemp(prefix="sparkclf-ckpt-", dir=os.environ.get("SPARKCLF_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def require_local(master: str) -> None:
+    """Raise unless driver and executors share a machine."""
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
+
+
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

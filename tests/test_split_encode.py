@@ -77,12 +77,15 @@ def test_ordinal_large_mapping_path(spark, monkeypatch):
     assert a == b and sorted(set(a.values())) == list(range(37))
 
 
-def test_allocation_and_guard():
-    assert S.allocate({0: 58, 1: 341}, 319) == {0: 46, 1: 273}
-    a = S.allocate({"a": 5, "b": 5, "c": 5}, 10)
-    assert sum(a.values()) == 10 and sorted(a.values()) == [3, 3, 4] and a["a"] == 4   # ties -> class order
-    assert S.allocate({}, 0) == {}
-    assert not S.can_stratify({"a": 10}, 0.8)                 # one class
-    assert not S.can_stratify({"a": 10, "b": 1}, 0.8)         # a class with one row
-    assert not S.can_stratify({"a": 2, "b": 2, "c": 2}, 0.9)  # test side cannot hold every class
-    assert S.can_stratify({"a": 10, "b": 10}, 0.8)
+def test_allocation_and_guard(spark):
+    def allocate(counts, n_draws):
+        df = spark.createDataFrame([(str(k), v) for k, v in counts.items()], "__k string, __n long")
+        return {r["__k"]: r["__alloc"] for r in S.allocate(df, sum(counts.values()), n_draws).collect()}
+    assert allocate({0: 58, 1: 341}, 319) == {"0": 46, "1": 273}
+    a = allocate({"a": 5, "b": 5, "c": 5}, 10)
+    assert sum(a.values()) == 10 and a == {"a": 4, "b": 3, "c": 3}
+    assert allocate({}, 0) == {}
+    assert not S.can_stratify(10, 1, 10, 0.8)       # one class
+    assert not S.can_stratify(11, 2, 1, 0.8)        # a class with one row
+    assert not S.can_stratify(6, 3, 2, 0.9)         # test side cannot hold every class
+    assert S.can_stratify(20, 2, 10, 0.8)
