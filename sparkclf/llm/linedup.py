@@ -161,7 +161,8 @@ def earlier_copies(array: DataFrame, stash: Stash) -> DataFrame:
         right = (F.col("ln") > 0) & (F.col("next") < F.col("pos")) & (F.col("ln") >= F.col("lp"))
         x = x.withColumn("l", F.when(F.coalesce(left, F.lit(False)), F.col("lp")).when(F.coalesce(right, F.lit(False)), F.col("ln")))
         x = x.withColumn("gone", F.col("l").isNotNull() | F.coalesce((F.col("lp") == 0) & (F.col("ln") == 0), F.lit(False)))
-        x = x.withColumn("grp", F.sum((~F.col("gone")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)))
+        stays = F.sum((~F.col("gone")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1))
+        x = x.withColumn("grp", F.coalesce(stays, F.lit(0)))
         x = x.withColumn("least", F.min("lp").over(W.partitionBy("b", "grp").orderBy("r").rowsBetween(W.unboundedPreceding, 0)))
         x = stash.put(x.select("r", "pos", "l", "gone", F.col("least").alias("lp")), f"settled{k}")
         out.append(x.filter("l IS NOT NULL").select("pos.*", "l"))
