@@ -172,11 +172,14 @@ def postings(docs: DataFrame, common, width: int, threshold: int) -> DataFrame:
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
-    """(token, cls, n, leader, leader_n) of tokens that several classes share, by one sort and a streaming pass."""
-    names = ["token", "cls", "n", "leader", "leader_n"]
+    """(token, salt, cls, n, leader, leader_n) of tokens that several classes share, by one sort and a streaming pass.
+
+    A leader has a row of its own only in a salted run, where the parts' leaders have not been compared.
+    """
+    names = ["token", "salt", "cls", "n", "leader", "leader_n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_key, lead, last, told = None, None, None, False
+        run_key, lead, last = None, None, None
         for b in batches:
             token, salt, cls, n = (b.column(x).to_numpy() for x in ("token", "salt", "cls", "n"))
             if not len(token):
@@ -191,27 +194,14 @@ def shared_postings(rows: DataFrame) -> DataFrame:
             lead_cls = np.where(start >= 0, cls[start], lead[0] if lead else 0)
             lead_n = np.where(start >= 0, n[start], lead[1] if lead else 0)
             other = ~new & ~again
-            # a run's leader gets its own row together with the run's second class, or at once in a salted run
-            second = np.zeros(len(token), bool)
-            idx = np.flatnonzero(other)
-            if len(idx):
-                first_in_run = np.ones(len(idx), bool)
-                first_in_run[1:] = start[idx][1:] != start[idx][:-1]
-                if start[idx[0]] < 0 and told:
-                    first_in_run[0] = False
-                second[idx[first_in_run]] = True
-            own = (second & (salt < 0)) | (new & (salt >= 0))
+            own = new & (salt >= 0)
             pick_ = np.concatenate([np.flatnonzero(other), np.flatnonzero(own)])
-            is_own = np.concatenate([np.zeros(other.sum(), bool), np.ones(own.sum(), bool)])
             if len(pick_):
-                yield pa.RecordBatch.from_arrays([pa.array(token[pick_]), pa.array(np.where(is_own, lead_cls[pick_], cls[pick_])),
-                                                  pa.array(np.where(is_own, lead_n[pick_], n[pick_])), pa.array(lead_cls[pick_]), pa.array(lead_n[pick_])], names)
-            s = int(start[-1])
-            told = bool(other[s:].any()) if s >= 0 else told or bool(other.any())
+                yield pa.RecordBatch.from_arrays([pa.array(x[pick_]) for x in (token, salt, cls, n, lead_cls, lead_n)], names)
             run_key, lead, last = (token[-1], salt[-1]), (int(lead_cls[-1]), int(lead_n[-1])), cls[-1]
 
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "rare", "cls")
-    return dealt.mapInArrow(run, "token long, cls long, n long, leader long, leader_n long")
+    return dealt.mapInArrow(run, "token long, salt long, cls long, n long, leader long, leader_n long")
 
 
 def sizes_fit(a: str, b: str, threshold: int):
@@ -272,12 +262,12 @@ def components(edges: DataFrame, stash: Stash, name: str) -> DataFrame:
 def group_queries(shared: DataFrame, comps: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """(cls, n, grp): queries and the groups whose matrix row holds one of their prefix tokens.
 
-    Of two groups the members of the smaller one are the queries.
+    A run's leader has been compared with all of the run, so only the others can still
+    have partners that nobody has seen.  Of two groups the members of the smaller one are the queries.
     """
-    several = shared.select("token", "cls", "n").unionByName(shared.select("token", F.col("leader").alias("cls"), F.col("leader_n").alias("n"))).distinct()
     comp = F.coalesce("comp", "cls")
-    cells = several.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", comp.alias("comp"))
-    open_ = cells.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("c > 2 AND lo <> hi").select("token")
+    cells = shared.select("token", "cls", "n").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", comp.alias("comp"))
+    open_ = cells.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     cells = cells.join(open_, "token")
     facts = (classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").groupBy(comp.alias("comp"))
                     .agg(F.count("*").alias("members"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")))
@@ -312,12 +302,11 @@ def join(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH,
     common = common_tokens(seen.filter("kind = 1").select(F.col("cls").alias("token"), "n"))
     shared = stash.put(shared_postings(postings(d, common, width, threshold)), "shared")
 
-    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
-        where = wanted.join(classes, "cls").select("cls", F.col("sample.doc_id").alias("i"), F.col("sample.mark").alias("m"))
-        return stash.put(d.join(where, d["doc_id"].eqNullSafe(where["i"]) & (d["mark"] == where["m"])).select("cls", "text").dropDuplicates(["cls"]), name)
-
     pairs = stash.put(shared.filter((F.col("cls") != F.col("leader")) & sizes_fit("n", "leader_n", threshold)).select("leader", "cls").distinct(), "pairs")
-    texts = texts_of(pairs.select("cls").unionByName(pairs.select(F.col("leader").alias("cls"))).distinct(), "texts")
+    wanted = shared.select("cls").unionByName(shared.select(F.col("leader").alias("cls"))).distinct()
+    where = wanted.join(classes, "cls").select("cls", F.col("sample.doc_id").alias("i"), F.col("sample.mark").alias("m"))
+    texts = d.join(where, d["doc_id"].eqNullSafe(where["i"]) & (d["mark"] == where["m"])).select("cls", "text")
+    texts = stash.put(texts, "texts")      # wholly equal rows give a class more than once
     links = stash.put(verified(pairs, texts, width, threshold), "links")
     comps = stash.put(components(links, stash, "groups"), "groups")
 
@@ -326,14 +315,13 @@ def join(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH,
         grp = F.coalesce("comp", "cls").alias("grp")
         members = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", grp).join(ask.select("grp").distinct(), "grp")
         members = stash.put(members, "members")
-        more = texts_of(members.select("cls").unionByName(ask.select("cls")).distinct(), "more")
-        union = token_rows(members.join(more, "cls"), "grp", width).distinct()
-        tokens = token_rows(ask.select("cls").distinct().join(more, "cls"), "cls", width)
+        union = token_rows(members.join(texts, "cls"), "grp", width).distinct()
+        tokens = token_rows(texts.join(ask.select("cls").distinct(), "cls", "left_semi"), "cls", width).distinct()
         over = (tokens.join(ask, "cls").join(union, ["grp", "token"]).groupBy("cls", "n", "grp").agg(F.count("*").alias("c"))
                       .filter(100 * F.col("c") >= threshold * F.col("n")))
         opened = stash.put(over.select(F.col("cls").alias("leader"), F.col("n").alias("leader_n"), "grp").join(members, "grp")
                            .filter(sizes_fit("n", "leader_n", threshold)).select("leader", "cls").distinct(), "opened")
-        found = stash.put(verified(opened, more, width, threshold), "found")
+        found = stash.put(verified(opened, texts, width, threshold), "found")
         if has_rows(found):
             comps = stash.put(components(links.unionByName(found), stash, "all"), "components")
     of = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
