@@ -1,13 +1,19 @@
 """Column-level helpers (all built from ``pyspark.sql.functions``; no Python UDFs)."""
 from .scalar import (  # noqa: F401
     NUMBER_PATTERN,
+    capitalize,
     clean_text,
     compact_key,
+    date_text,
     fmt_fixed,
     fmt_pct,
+    fmt_thousands,
     hash32,
     num,
     safe_div,
+    shorten,
+    split_once,
+    title_case,
     uniform,
 )
 from .types import (  # noqa: F401

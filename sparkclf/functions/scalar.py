@@ -71,3 +71,33 @@ def compact_key(c) -> Column:
     return F.when(s.isNull(), F.lit(None).cast("binary")).when(
         F.octet_length(s) <= 16, F.concat(F.unhex(F.lit("00")), raw)).otherwise(
         F.concat(F.unhex(F.lit("01")), F.unhex(F.md5(s))))
+
+
+def title_case(c) -> Column:
+    """'f1_weighted' -> 'F1 Weighted'."""
+    return F.initcap(F.replace(_c(c), F.lit("_"), F.lit(" ")))
+
+
+def capitalize(c) -> Column:
+    """First letter upper case, the rest lower case."""
+    return F.concat(F.upper(F.left(_c(c), F.lit(1))), F.lower(F.substring(_c(c), 2, 2147483647)))
+
+
+def shorten(c, n: int = 12) -> Column:
+    """The first ``n`` characters and an ellipsis where the text is longer."""
+    return F.when(F.length(_c(c)) > n, F.concat(F.left(_c(c), F.lit(n)), F.lit("..."))).otherwise(_c(c))
+
+
+def split_once(c, sep: str) -> Column:
+    """array(text before the first ``sep``, text behind it), or array(text)."""
+    return F.split(_c(c), f"\\Q{sep}\\E", 2)
+
+
+def fmt_thousands(c) -> Column:
+    """Whole number with thousands separators."""
+    return F.format_number(_c(c), 0)
+
+
+def date_text(c=None) -> Column:
+    """A date as 'January 05, 2026'; today's by default."""
+    return F.date_format(F.current_timestamp() if c is None else _c(c), "MMMM dd, yyyy")

@@ -1,9 +1,10 @@
 """Model registry, parameter grids / distributions and cross-validated search.
 
-Folds come from ``kfold`` (stratified, seeded).  For the Spark ML models each
-fold fits every candidate with ``Estimator.fit(dataset, paramMaps)`` and the
-folds run concurrently (``parallelism`` driver threads submitting Spark jobs).
-KNN scores every (k, weighting, metric) candidate from one neighbour pass per
+Folds come from ``kfold`` (stratified, seeded).  Every candidate of the grid gets
+its mean fold score, but work that candidates share is done once: trees and
+forests are grown once per (fold, minInstancesPerNode) and cut to every depth and
+tree count (``tree_cv``); all logistic or SVM candidates of all folds take their
+gradients from the same pass over the data (``batch_linear``).  KNN scores every (k, weighting, metric) candidate from one neighbour pass per
 fold; Gaussian NB scores every smoothing from one fit per fold.  The best
 candidate (first on ties) is refit on all train rows.
 """
@@ -12,21 +13,21 @@ from __future__ import annotations
 import itertools
 import json
 import time
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import classification_metrics
 from ..operators.split import kfold
+from .batch_linear import LinearTask, fit_many, held_out_confusion, score_confusion
 from .common import sorted_classes
 from .gnb import fit_gnb
 from .knn import fit_knn, neighbours
 from .prior import fit_prior
-from .spark_ml import RFFTransformer, _gamma, fit_spark_model, make_estimator, with_ml_columns
+from .spark_ml import RFFTransformer, _gamma, fit_spark_model, label_index, with_ml_columns
+from .tree_cv import tree_cv
 
 LR, KNN, DT, NB, RF, SVM, BASE = ("Logistic Regression", "K-Nearest Neighbors", "Decision Tree", "Naive Bayes",
                                   "Random Forest", "SVM", "Rule-based (Stratified Baseline)")
@@ -110,10 +111,7 @@ class SearchResult:
     search_type: str
     fitted: object = None
     scores: list = field(default_factory=list)
-
-
-def _metric_name(primary: str) -> str:
-    return "accuracy" if primary == "accuracy" else "f1"
+    candidates: list = field(default_factory=list)
 
 
 ROWS_PER_PARTITION = 100_000
@@ -128,54 +126,54 @@ def _svm_key(c):
     return (c.get("C"), c.get("kernel"), c.get("gamma") if c.get("kernel", "rbf") == "rbf" else None)
 
 
-def _ml_cv(kind, data, features, label, classes, cands, k, primary, parallelism, seed):
-    """Mean fold score per candidate for a Spark ML model."""
-    ev = MulticlassClassificationEvaluator(labelCol="label_idx", predictionCol="prediction",
-                                           metricName=_metric_name(primary))
-    # candidates that need different feature transforms are scored in separate groups
-    alias: dict = {}
-    if kind == SVM:
-        first: dict = {}
-        for i, c in enumerate(cands):
-            alias[i] = first.setdefault(_svm_key(c), i)
-    groups: dict = {}
+def _fold_rows(data) -> dict:
+    return {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _tree_cv(kind, data, features, label, classes, cands, k, primary, parallelism, seed):
+    """Mean fold score per tree or forest candidate, grown once per (fold, minInstancesPerNode)."""
+    sizes = _fold_rows(data)
+    d = (with_ml_columns(data, features, label, classes).select("features_vec", "label_idx", "fold")
+         .coalesce(partitions_for(sum(sizes.values()))).persist())
+    try:
+        return tree_cv(kind, d, cands, k, sizes, len(classes), primary, parallelism, seed)
+    finally:
+        d.unpersist()
+
+
+def _linear_cv(kind, data, features, label, classes, cands, k, primary, seed):
+    """Mean fold score per linear candidate; all candidates and folds share every pass over the data."""
+    sizes = _fold_rows(data)
+    total = sum(sizes.values())
+    dim = len(data.select(features).first()[0])
+    maps, dims, map_of = [None], [dim], {}
+    first: dict = {}                      # candidates that differ only in what their kernel ignores share a score
+    tasks, owner = [], []
     for i, c in enumerate(cands):
-        if alias.get(i, i) != i:
+        rbf = kind == SVM and c.get("kernel", "rbf") == "rbf"
+        if first.setdefault(_svm_key(c) if kind == SVM else i, i) != i:
             continue
-        key = (c.get("kernel"), c.get("gamma")) if kind == SVM and c.get("kernel", "rbf") == "rbf" else None
-        groups.setdefault(key, []).append(i)
-    scores = np.zeros(len(cands))
-    for key, idx in groups.items():
-        d = data
-        if key is not None:
-            dim = len(d.select(features).first()[0])
-            d = RFFTransformer(dim, _gamma(d, features, dim, key[1]), seed=seed).transform(d, features)
-        sizes = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-        total = sum(sizes.values())
-        # iterative fits run one job per iteration / tree level: keep partitions
-        # sized to the data so small folds do not pay for idle tasks
-        d = (with_ml_columns(d, features, label, classes).select("features_vec", "label_idx", "fold")
-             .coalesce(partitions_for(total)).persist())
-
-        def one_fit(job):
-            f, i = job
-            tr = d.where(F.col("fold") != f)
-            va = d.where(F.col("fold") == f)
-            est = make_estimator(kind, cands[i], total - sizes.get(f, 0), seed, len(classes))
-            return f, i, ev.evaluate(est.fit(tr).transform(va))
-
-        jobs = [(f, i) for f in range(k) for i in idx]
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-            got = list(ex.map(one_fit, jobs))
-        per: dict = {}
-        for f, i, v in got:
-            per.setdefault(i, []).append(v)
+        if rbf and c.get("gamma") not in map_of:
+            map_of[c.get("gamma")] = len(maps)
+            maps.append(RFFTransformer(dim, _gamma(data, features, dim, c.get("gamma", "scale")), seed=seed))
+            dims.append(maps[-1].W.shape[1])
+        for f in range(k):
+            n = max(1, total - sizes.get(f, 0))
+            tasks.append(LinearTask("hinge" if kind == SVM else "logistic", 1.0 / (float(c.get("C", 1.0)) * n), f,
+                                    map_of[c.get("gamma")] if rbf else 0))
+            owner.append(i)
+    d = data.select(F.col(features).cast("array<double>").alias("x"), label_index(label, classes).cast("int").alias("y"), "fold")
+    d = d.coalesce(partitions_for(total)).persist()
+    try:
+        weights = fit_many(d, tasks, maps, dims, len(classes), sizes)
+        conf = held_out_confusion(d, tasks, weights, maps, len(classes))
+    finally:
         d.unpersist()
-        for i in idx:
-            scores[i] = float(np.mean(per[i]))
-    for i, j in alias.items():
-        scores[i] = scores[j]
-    return scores
+    per: dict = {}
+    for i, c in zip(owner, conf):
+        per.setdefault(i, []).append(score_confusion(c, primary))
+    key = _svm_key if kind == SVM else None
+    return np.array([np.mean(per[first[key(c)] if key else i]) for i, c in enumerate(cands)])
 
 
 def _knn_cv(data, features, id_col, label, classes, cands, k, primary):
@@ -241,18 +239,6 @@ def _fold_means(preds, n_cands, primary):
     return np.array([float(np.mean(acc[i])) for i in range(n_cands)])
 
 
-def _dedupe_tree(cands):
-    """Tree candidates that map to the same Spark parameters are fitted once."""
-    seen, out = set(), []
-    for c in cands:
-        key = (c.get("n_estimators"), c.get("max_depth"), max(int(c.get("min_samples_leaf", 1)),
-                                                              -(-int(c.get("min_samples_split", 2)) // 2)))
-        if key not in seen:
-            seen.add(key)
-            out.append(c)
-    return out
-
-
 def search_model(name: str, train: DataFrame, features: str, id_col: str, label: str, search: str = "grid",
                  primary: str = "f1_weighted", k: int = 5, n_iter: int = 20, seed: int = 42,
                  parallelism: int = 8) -> SearchResult:
@@ -265,11 +251,11 @@ def search_model(name: str, train: DataFrame, features: str, id_col: str, label:
         return SearchResult(name, float("nan"), {}, time.time() - t0, "none", model)
     space = (param_grids() if search == "grid" else param_distributions())[name]
     cands = grid_candidates(space) if search == "grid" else sample_candidates(space, n_iter, seed)
-    if name in (DT, RF) and search == "grid":
-        cands = _dedupe_tree(cands)
     data = kfold(tr, label, id_col, k, seed).persist()
-    if name in SPARK_ML:
-        scores = _ml_cv(name, data, features, label, classes, cands, k, primary, parallelism, seed)
+    if name in (DT, RF):
+        scores = _tree_cv(name, data, features, label, classes, cands, k, primary, parallelism, seed)
+    elif name in (LR, SVM):
+        scores = _linear_cv(name, data, features, label, classes, cands, k, primary, seed)
     elif name == KNN:
         scores = _knn_cv(data, features, id_col, label, classes, cands, k, primary)
     elif name == NB:
@@ -277,7 +263,7 @@ def search_model(name: str, train: DataFrame, features: str, id_col: str, label:
     else:
         raise ValueError(name)
     data.unpersist()
-    best = int(np.argmax(scores))
+    best = int(np.argmax(np.where(np.isnan(scores), -np.inf, scores)))      # a score that is no number ranks last
     bp = cands[best]
     if name in SPARK_ML:
         fitted = fit_spark_model(name, tr, features, label, classes, bp, seed)
@@ -285,7 +271,7 @@ def search_model(name: str, train: DataFrame, features: str, id_col: str, label:
         fitted = fit_knn(tr, features, id_col, label, int(bp["n_neighbors"]), bp["weights"], bp["metric"])
     else:
         fitted = fit_gnb(tr, features, label, float(bp["var_smoothing"]))
-    return SearchResult(name, float(scores[best]), bp, time.time() - t0, search, fitted, list(scores))
+    return SearchResult(name, float(scores[best]), bp, time.time() - t0, search, fitted, [float(x) for x in scores], cands)
 
 
 def train_and_optimize(train: DataFrame, features: str, id_col: str, label: str, search: str = "grid",

@@ -65,15 +65,14 @@ class RFFTransformer:
         self.b = rng.uniform(0.0, 2.0 * math.pi, size=components)
         self.scale = math.sqrt(2.0 / components)
 
-    def transform(self, df: DataFrame, col: str) -> DataFrame:
-        W, b, sc = self.W, self.b, self.scale
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.scale * np.cos(x @ self.W + self.b)
 
-        @F.pandas_udf("array<double>")
+    def transform(self, df: DataFrame, col: str) -> DataFrame:
         def rff(x: pd.Series) -> pd.Series:
-            if len(x) == 0:
-                return pd.Series([], dtype=object)
-            X = np.vstack(x.to_numpy())
-            return pd.Series(list(sc * np.cos(X @ W + b)))
+            return pd.Series(list(self(np.vstack(x.to_numpy()))) if len(x) else [], dtype=object)
+
+        rff = F.pandas_udf(rff, "array<double>")
         return df.withColumn(col, rff(F.col(col).cast("array<double>")))
 
 

@@ -225,22 +225,45 @@ def outlier_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 # B9-B10: histogram and kernel density
 
 
+MAX_AUTO_BINS = 100_000     # a bin table stays this small whatever the Freedman-Diaconis width
+
+
+def auto_bins(df: DataFrame, st: dict, cols: list[str]) -> dict:
+    """{col: bin count}: the smaller width of Sturges, range / (log2 n + 1), and
+    Freedman-Diaconis, 2 IQR / n^(1/3) (left out where the IQR is 0); at least 1 wide on integers."""
+    b = iqr_bounds(df, cols, counts={c: st[c].n for c in cols}, ndv={c: st[c].ndv for c in cols})
+    out = {}
+    for c in cols:
+        n, span = st[c].n, (float(st[c].max) - float(st[c].min)) if st[c].n else 0.0
+        if not n or span == 0:
+            out[c] = 1
+            continue
+        width, iqr = span / (math.log2(n) + 1), b[c][1] - b[c][0]
+        if iqr > 0:
+            width = min(width, 2 * iqr / n ** (1 / 3))
+        if isinstance(df.schema[c].dataType, T.IntegralType):
+            width = max(width, 1.0)
+        out[c] = min(MAX_AUTO_BINS, max(1, math.ceil(span / width)))
+    return out
+
+
 @missing_as_null
-def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | None = None) -> DataFrame:
+def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | str = "auto") -> DataFrame:
     """(column, bin, bin_lo, bin_hi, count) on non-null values, empty bins included.
 
-    Default bin count is Sturges' rule ceil(log2 n) + 1.  The top edge belongs
-    to the last bin.
+    ``bins`` is a number, 'auto' (see ``auto_bins``) or 'sturges' (ceil(log2 n) + 1).
+    The top edge belongs to the last bin.
     """
     cols = numeric_columns(df) if cols is None else cols
     spark = df.sparkSession
     _, st = column_stats(df, cols, cols)
+    auto = auto_bins(df, st, cols) if bins == "auto" else {}
     spec = []
     for c in cols:
         s = st[c]
         if s.n == 0:
             continue
-        k = bins or int(math.ceil(math.log2(s.n))) + 1
+        k = auto.get(c) or (int(math.ceil(math.log2(s.n))) + 1 if bins == "sturges" else int(bins))
         spec.append((c, float(s.min), float(s.max), k))
     if not spec:
         return spark.createDataFrame([], "column string, bin int, bin_lo double, bin_hi double, count bigint")
@@ -262,12 +285,13 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | None = N
 
 
 @missing_as_null
-def kde(df: DataFrame, cols: list[str] | None = None, grid: int = 200, cut: float = 3.0,
-        exact: bool = True, fine_bins: int = 4096) -> DataFrame:
+def kde(df: DataFrame, cols: list[str] | None = None, grid: int = 200, cut: float = 0.0,
+        exact: bool = True, fine_bins: int = 4096, counts: bool = False) -> DataFrame:
     """Gaussian kernel density on a ``grid``-point line per column.
 
     Bandwidth is Scott's rule (sample std · n^(-1/5)); the line spans
-    [min - cut·bw, max + cut·bw].  ``exact`` evaluates every value; otherwise
+    [min - cut·bw, max + cut·bw].  ``counts`` scales the curve to the bars of ``histogram``
+    (density · n · bin width).  ``exact`` evaluates every distinct value with its count; otherwise
     values are first pre-aggregated into ``fine_bins`` bins per column (a
     bounded shuffle) and bin centres are evaluated with their counts.
     Evaluation runs per partition in Arrow batches and emits only per-grid-point
@@ -293,8 +317,8 @@ def kde(df: DataFrame, cols: list[str] | None = None, grid: int = 200, cut: floa
     use = list(params)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in use]).unpivot(
         [], use, "column", "x").where(F.col("x").isNotNull())
-    if exact:
-        weighted = long.select("column", "x", F.lit(1.0).alias("w"))
+    if exact:      # equal values are one value with a weight
+        weighted = long.groupBy("column", "x").agg(F.count(F.lit(1)).cast("double").alias("w"))
     else:
         pdf = spark.createDataFrame([(c, p[4], p[5]) for c, p in params.items()],
                                     "column string, lo double, hi double")
@@ -322,13 +346,14 @@ def kde(df: DataFrame, cols: list[str] | None = None, grid: int = 200, cut: floa
             yield pd.DataFrame({"column": c, "point": np.arange(grid_n, dtype=np.int32), "s": tot})
 
     sums = weighted.mapInPandas(partial, "column string, point int, s double")
+    bars = auto_bins(df, st, use) if counts else {}
     pdf = spark.createDataFrame(
-        [(c, p[0], p[1], p[2], float(p[3])) for c, p in params.items()],
-        "column string, start double, step double, bw double, n double")
+        [(c, p[0], p[1], p[2], float(p[3]), p[3] * (p[5] - p[4]) / bars[c] if counts else 1.0) for c, p in params.items()],
+        "column string, start double, step double, bw double, n double, scale double")
     return (sums.groupBy("column", "point").agg(F.sum("s").alias("s"))
             .join(F.broadcast(pdf), "column")
             .select("column", "point", (F.col("start") + F.col("point") * F.col("step")).alias("x"),
-                    (F.col("s") / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))))
+                    (F.col("scale") * F.col("s") / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))))
                     .alias("density")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fmt_fixed, missing_as_null, numeric_columns, report_categorical_columns
-from .quality import IssueReport, row_key
+from .quality import IssueReport, issue_table, row_key
 from .stats import column_stats, distinct_counts, exact_quantiles, modes
 
 HEALTH_DEFAULT = 85
@@ -68,38 +68,54 @@ def categorical_stats(df: DataFrame, max_cols: int = 5) -> DataFrame:
 
 
 def issue_lines(rep: IssueReport | None, spark) -> DataFrame:
-    """(position, line) issue summary plus the health score (default 85 when not detected)."""
-    rows = []
-    if rep is not None:
-        if rep.missing:
-            rows.append(f"Missing Values: {len(rep.missing)} columns affected")
-        if rep.outliers:
-            rows.append(f"Outliers: Detected in {len(rep.outliers)} columns")
-        if rep.imbalance_issue:
-            rows.append(f"Class Imbalance: Ratio {rep.imbalance_ratio:.2f}")
-        if rep.high_cardinality:
-            rows.append(f"High Cardinality: {len(rep.high_cardinality)} categorical features")
-        if rep.constant:
-            rows.append(f"Constant Features: {len(rep.constant)} columns")
-        if rep.dup_issue:
-            rows.append(f"Duplicate Rows: {rep.dup_count} ({rep.dup_pct:.1f}%)")
-    score = rep.score if rep is not None else HEALTH_DEFAULT
-    data = [(i + 1, line) for i, line in enumerate(rows)] + [(0, f"Health Score: {score}/100")]
-    return spark.createDataFrame(data, "position int, line string")
+    """(position, line) issue summary plus the health score (default 85 when not detected),
+    as one aggregate over the long issue table."""
+    if rep is None:
+        return spark.createDataFrame([(0, f"Health Score: {HEALTH_DEFAULT}/100")], "position int, line string")
+    t = issue_table(rep, spark)
+    n = lambda issue: F.count_if(F.col("issue") == issue)
+    v = lambda issue: F.max(F.when(F.col("issue") == issue, F.col("value")))
+    a = t.agg(n("missing_values").alias("missing"), n("outliers").alias("outl"), v("class_imbalance_ratio").alias("ratio"),
+              n("high_cardinality").alias("card"), n("constant_features").alias("cons"), v("duplicate_rows").alias("dups"),
+              v("duplicate_percentage").alias("pct"), v("health_score").alias("score"))
+    # The wording of the lines.
+    lines = [(F.col("missing") > 0, F.format_string("Missing Values: %d columns affected", "missing")),
+             (F.col("outl") > 0, F.format_string("Outliers: Detected in %d columns", "outl")),
+             (F.lit(rep.imbalance_issue), F.concat(F.lit("Class Imbalance: Ratio "), fmt_fixed("ratio", 2))),
+             (F.col("card") > 0, F.format_string("High Cardinality: %d categorical features", "card")),
+             (F.col("cons") > 0, F.format_string("Constant Features: %d columns", "cons")),
+             (F.lit(rep.dup_issue), F.concat(F.format_string("Duplicate Rows: %d (", F.col("dups").cast("bigint")), fmt_fixed("pct", 1), F.lit("%)")))]
+    every = F.array(F.format_string("Health Score: %d/100", F.col("score").cast("bigint")), *[F.when(c, x) for c, x in lines])
+    shown = F.filter(every, lambda x: x.isNotNull())
+    return a.select(F.posexplode(shown).alias("position", "line"))
 
 
 def preprocessing_lines(cfg, spark) -> DataFrame:
     return spark.createDataFrame([(i + 1, s) for i, s in enumerate(cfg.summary_lines())], "position int, line string")
 
 
-def model_configurations(results: dict, spark) -> DataFrame:
-    """(model, param, value): key parameters of each tuned model, else its first five."""
-    rows = []
-    for name, r in results.items():
-        params = dict(r.best_params)
-        keep = {k: v for k, v in params.items() if k in KEY_PARAMS} or dict(list(params.items())[:5])
-        rows += [(name, k, str(v)) for k, v in keep.items()]
-    return spark.createDataFrame(rows, "model string, param string, value string")
+# The estimators' parameters and defaults, in alphabetical order.
+ESTIMATOR_PARAMS = {
+    "Logistic Regression": {"C": 1.0, "class_weight": None, "fit_intercept": True, "max_iter": 1000, "penalty": "l2", "random_state": None},
+    "K-Nearest Neighbors": {"algorithm": "auto", "leaf_size": 30, "metric": "minkowski", "n_neighbors": 5, "p": 2, "weights": "uniform"},
+    "Decision Tree": {"criterion": "gini", "max_depth": None, "min_samples_leaf": 1, "min_samples_split": 2, "random_state": 42},
+    "Naive Bayes": {"priors": None, "var_smoothing": 1e-09},
+    "Random Forest": {"criterion": "gini", "max_depth": None, "min_samples_leaf": 1, "min_samples_split": 2, "n_estimators": 100, "random_state": 42},
+    "SVM": {"C": 1.0, "gamma": "scale", "kernel": "rbf", "max_iter": -1, "probability": True, "random_state": 42},
+    "Rule-based (Stratified Baseline)": {"constant": None, "random_state": 42, "strategy": "stratified"},
+}
+FIRST_PARAMS = 5
+
+
+def model_configurations(best_params: dict, spark) -> DataFrame:
+    """(model, param, value) of each trained model, {name: tuned parameters}: its key
+    parameters, or the first five of all where it has none of them."""
+    rows = [(m, k, str({**ESTIMATOR_PARAMS.get(m, {}), **tuned}[k]), i, k in KEY_PARAMS)
+            for m, tuned in best_params.items() for i, k in enumerate(sorted({**ESTIMATOR_PARAMS.get(m, {}), **tuned}))]
+    t = spark.createDataFrame(rows, "model string, param string, value string, nth int, is_key boolean")
+    none = t.groupBy("model").agg(F.max("is_key").alias("any_key"))
+    return (t.join(F.broadcast(none), "model").where(F.col("is_key") | (~F.col("any_key") & (F.col("nth") < FIRST_PARAMS)))
+            .select("model", "param", "value"))
 
 
 def comparison_table(results: DataFrame) -> DataFrame:

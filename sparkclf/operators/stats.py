@@ -239,12 +239,20 @@ def modes(df: DataFrame, cols: list[str], numeric: bool = False) -> DataFrame:
                 .groupBy("column").agg(F.min("value").alias("value"), F.first("count").alias("count"))
                 .select("column", "value", "count"))
     from ..functions import compact_key
+    from ..session import cut_lineage
     stacked = df.select(*[F.col(c).cast(vt).alias(c) for c in cols]).unpivot(
         [], cols, "column", "value").where(F.col("value").isNotNull())
     keyed = stacked.withColumn("key", compact_key("value"))
     freq = keyed.groupBy("column", "key").agg(F.count(F.lit(1)).alias("count"))
     top = freq.groupBy("column").agg(F.max("count").alias("count"))
-    tied = freq.join(F.broadcast(top), ["column", "count"]).select("column", "key").persist()
+    tops = {r["column"]: r["count"] for r in top.collect()}          # one row per column
+    once = [c for c in cols if tops.get(c) == 1]
+    if once:      # every value is tied: the smallest one is a map-side minimum, nothing else travels
+        low = df.agg(*[F.min(F.col(c).cast(vt)).alias(c) for c in once]).unpivot([], once, "column", "value")
+        low = low.withColumn("count", F.lit(1).cast("bigint"))
+        rest = [c for c in cols if c in tops and c not in once]
+        return low.unionByName(modes(df, rest)) if rest else low
+    tied = cut_lineage(freq.join(F.broadcast(top), ["column", "count"]).select("column", "key"))
     # A bounded tied set is broadcast (map-side semi-join: a hot value never
     # lands in one task).  A large tied set means every tied key has a small
     # count (ties x top count <= rows), so the shuffled semi-join has no hot key.

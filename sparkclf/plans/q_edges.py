@@ -34,7 +34,7 @@ register("nan_outliers_zscore", _N + _z_sql("orders_nan", NAN_NUM), rnd=("percen
 register("nan_histogram", _N.rstrip() + ", " + _hist_sql("orders_nan", ["price", "load"])[5:], rnd=("bin_lo", "bin_hi"))(
     _nan(lambda df: PR.histogram(df, ["price", "load"])))
 register("nan_kde_binned", W(fx.ORDERS_NAN_SQL, _kde_binned_sql("orders_nan", ["load"])), rnd=("x", "density"))(
-    _nan(lambda df: PR.kde(df, ["load"], exact=False)))
+    _nan(lambda df: PR.kde(df, ["load"], cut=3.0, exact=False)))
 register("nan_correlation", _N + _corr_sql("orders_nan", NAN_NUM), rnd=("corr",))(_nan(PR.correlation))
 register("nan_health_score", _score_sql(NAN))(_nan(lambda df: Q.health_score(df, "priority")))
 register("nan_issues_all", _all_sql(NAN), rnd=("value",))(

@@ -145,13 +145,21 @@ register("profile_outlier_summary",
 
 
 # -- B9 histogram ---------------------------------------------------------------
-def _hist_sql(table, cols):
+def _auto_bins_sql(c, table, integers=()):
+    """(lo, hi, n, k) of a column under the automatic bin rule."""
+    wide = "greatest(w, 1.0)" if c in integers else "w"
+    return (f"(SELECT lo, hi, n, CASE WHEN hi = lo THEN 1 ELSE ceil((hi - lo) / {wide})::INTEGER END AS k FROM (SELECT *, "
+            f"CASE WHEN iqr > 0 THEN least((hi - lo) / (log2(n) + 1), 2 * iqr / pow(n, 1 / 3::DOUBLE)) ELSE (hi - lo) / (log2(n) + 1) END AS w "
+            f"FROM (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, count({c}) AS n, "
+            f"quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iqr FROM {table})))")
+
+
+def _hist_sql(table, cols, rule="auto", integers=()):
     parts = []
     for c in cols:
-        parts.append(
-            f"SELECT '{c}' AS \"column\", {c}::DOUBLE AS x, s.lo, s.hi, s.k FROM {table}, "
-            f"(SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, "
-            f"(ceil(log2(count({c}))) + 1)::INTEGER AS k FROM {table}) s WHERE {c} IS NOT NULL")
+        spec = _auto_bins_sql(c, table, integers) if rule == "auto" else (
+            f"(SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, (ceil(log2(count({c}))) + 1)::INTEGER AS k FROM {table})")
+        parts.append(f"SELECT '{c}' AS \"column\", {c}::DOUBLE AS x, s.lo, s.hi, s.k FROM {table}, {spec} s WHERE {c} IS NOT NULL")
     return (f"WITH v AS ({union(parts)}), spec AS (SELECT DISTINCT \"column\", lo, hi, k FROM v), "
             "c AS (SELECT \"column\", CASE WHEN hi = lo THEN 1 ELSE "
             "least(floor((x - lo) / ((hi - lo) / k))::INTEGER + 1, k) END AS bin, count(*) AS n "
@@ -162,13 +170,16 @@ def _hist_sql(table, cols):
             "FROM g LEFT JOIN c ON g.\"column\" = c.\"column\" AND g.bin = c.bin")
 
 
-register("profile_histogram", W(fx.LINEITEM_NUM_SQL).rstrip() + ", " + _hist_sql("lineitem_num", LI_NUM)[5:],
+register("profile_histogram", W(fx.LINEITEM_NUM_SQL).rstrip() + ", " + _hist_sql("lineitem_num", LI_NUM, "sturges")[5:],
+         rnd=("bin_lo", "bin_hi"))(
+    lambda spark, d: P.histogram(fx.lineitem_num(spark, d), bins="sturges"))
+register("profile_histogram_auto", W(fx.LINEITEM_NUM_SQL).rstrip() + ", " + _hist_sql("lineitem_num", LI_NUM, integers=("l_linenumber",))[5:],
          rnd=("bin_lo", "bin_hi"))(
     lambda spark, d: P.histogram(fx.lineitem_num(spark, d)))
 
 
 # -- B10 kde -----------------------------------------------------------------------
-def _kde_sql(table, cols, grid=200):
+def _kde_sql(table, cols, grid=200, cut=3.0):
     parts = []
     for c in cols:
         parts.append(
@@ -177,7 +188,7 @@ def _kde_sql(table, cols, grid=200):
             "min(x) AS lo, max(x) AS hi FROM v GROUP BY 1 HAVING count(*) >= 2 AND stddev_samp(x) > 0), "
             "p AS (SELECT \"column\", n, sd * pow(n, -0.2) AS bw, lo, hi FROM st), "
             f"g AS (SELECT \"column\", n, bw, unnest(range({grid})) AS point, "
-            f"lo - 3.0 * bw AS start, (hi - lo + 6.0 * bw) / {grid - 1} AS step FROM p) "
+            f"lo - {cut} * bw AS start, (hi - lo + {2 * cut} * bw) / {grid - 1} AS step FROM p) "
             "SELECT g.\"column\", g.point::INTEGER AS point, g.start + g.point * g.step AS x, "
             "sum(exp(-0.5 * ((g.start + g.point * g.step - v.x) / g.bw) * ((g.start + g.point * g.step - v.x) / g.bw))) "
             "/ (g.n * g.bw * sqrt(2 * pi())) AS density "
@@ -186,7 +197,13 @@ def _kde_sql(table, cols, grid=200):
 
 register("profile_kde", W(fx.DOC_CLF_SQL, _kde_sql("doc_clf", DOC_NUM)).replace("WITH ", "WITH ", 1),
          rnd=("x", "density"))(
-    lambda spark, d: P.kde(fx.doc_clf(spark, d), DOC_NUM))
+    lambda spark, d: P.kde(fx.doc_clf(spark, d), DOC_NUM, cut=3.0))
+register("profile_kde_curve",
+         W(fx.DOC_CLF_SQL, "k AS (SELECT c.\"column\", c.point, c.x, c.density * b.n * (b.hi - b.lo) / b.k AS density FROM (WITH " +
+           _kde_sql("doc_clf", DOC_NUM, cut=0.0) + ") c JOIN (" + union(
+               f"SELECT '{c}' AS \"column\", * FROM {_auto_bins_sql(c, 'doc_clf', DOC_NUM)}" for c in DOC_NUM) +
+           ") b ON b.\"column\" = c.\"column\")") + "SELECT * FROM k", rnd=("x", "density"))(
+    lambda spark, d: P.kde(fx.doc_clf(spark, d), DOC_NUM, counts=True))
 
 
 # -- B11-B14 ------------------------------------------------------------------
@@ -323,4 +340,4 @@ def _kde_binned_sql(table, cols, grid=200, bins=4096):
 register("profile_kde_binned",
          W(fx.LINEITEM_NUM_SQL, _kde_binned_sql("lineitem_num", ["l_extendedprice", "l_quantity"])),
          rnd=("x", "density"))(
-    lambda spark, d: P.kde(fx.lineitem_num(spark, d), ["l_extendedprice", "l_quantity"], exact=False))
+    lambda spark, d: P.kde(fx.lineitem_num(spark, d), ["l_extendedprice", "l_quantity"], cut=3.0, exact=False))

@@ -1,9 +1,9 @@
 """Registered training queries (model fits are iterative: rows-only checks).
 
-The search runs once per (session, data folder, search type) on the prepared
-documents table (documents x labels -> dedupe, median imputation, IQR capping,
-stratified split, one-hot, standard scaling) and every training query reads
-the checkpointed results.
+One query per model and search type trains only that model, with all its candidates
+and all five folds; the queries over all models train each of them once per Spark
+application and data folder.  Input: the prepared documents table (documents x labels ->
+dedupe, median imputation, IQR capping, stratified split, one-hot, standard scaling).
 """
 from __future__ import annotations
 
@@ -11,34 +11,71 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..models.search import cv_table
+from ..models import search as SM
 from ..operators import explain as X
 from ..operators import metrics as M
 from ..operators import report as R
+from ..session import cut_lineage
 from .catalog import register
 from .q_prepare import _full
-from .training import run_training
+from .training import assemble, run_training
 
 _RUNS: dict = {}
+MODELS = {"lr": SM.LR, "knn": SM.KNN, "dt": SM.DT, "nb": SM.NB, "rf": SM.RF, "svm": SM.SVM, "baseline": SM.BASE}
 
 
-def training_run(spark, d, search="grid"):
-    key = (id(spark), d, search)
+def _once(spark, d, what, make):
+    """Within one Spark application, the same input is prepared or trained once."""
+    key = (spark.sparkContext.applicationId, d, what)
     if key not in _RUNS:
-        p = _full(spark, d)
-        res, cv, ev, preds = run_training(p.data, p.features, "doc_id", "quality", search=search)
-        _RUNS[key] = (p, res, cv, ev, preds)
+        _RUNS[key] = make()
     return _RUNS[key]
 
 
+def training_run(spark, d, search="grid"):
+    def make():
+        p = _full(spark, d)
+        return (p, *run_training(p.data, p.features, "doc_id", "quality", search=search))
+    return _once(spark, d, search, make)
+
+
+def candidate_rows(spark, results) -> "DataFrame":  # noqa: F821
+    """(model, candidate, params, mean_score, best): every candidate's mean fold score."""
+    rows = []
+    for r in results:
+        for i, (c, s) in enumerate(zip(r.candidates, r.scores)):
+            rows.append((r.model, i, json.dumps(c, sort_keys=True), float(s), c is r.best_params))
+        if not r.candidates:      # the baseline has nothing to tune
+            rows.append((r.model, 0, "{}", None, True))
+    return spark.createDataFrame(rows, "model string, candidate int, params string, mean_score double, best boolean").withColumn(
+        "mean_score", F.round("mean_score", 6))
+
+
+def _one(name, search):
+    def fn(spark, d):
+        def make():
+            p = _full(spark, d)
+            return cut_lineage(assemble(p.data, p.features, "doc_id", "quality")).where("split = 'train'")
+        train = _once(spark, d, "train", make)
+        return candidate_rows(spark, [SM.search_model(name, train, "features", "doc_id", "quality", search)])
+    return fn
+
+
+for _key, _name in MODELS.items():
+    register(f"train_grid_{_key}")(_one(_name, "grid"))
+    if _name != SM.BASE:
+        register(f"train_random_{_key}")(_one(_name, "random"))
+
 register("train_cv_results")(lambda spark, d: training_run(spark, d)[2])
-register("train_cv_table")(lambda spark, d: cv_table(training_run(spark, d)[2]))
+register("train_cv_table")(lambda spark, d: SM.cv_table(training_run(spark, d)[2]))
 register("train_evaluation")(lambda spark, d: training_run(spark, d)[3])
 register("train_predictions")(lambda spark, d: training_run(spark, d)[4].select(
     "model", "id", "y_true", "y_pred", "scores"))
 register("train_rank")(lambda spark, d: M.rank_models(training_run(spark, d)[3], "f1_weighted"))
 register("train_time_order")(lambda spark, d: M.training_time_order(training_run(spark, d)[3]))
-register("train_model_configurations")(lambda spark, d: R.model_configurations(training_run(spark, d)[1], spark))
+register("train_comparison")(lambda spark, d: R.comparison_table(training_run(spark, d)[3]))
+register("train_model_configurations")(lambda spark, d: R.model_configurations(
+    {n: r.best_params for n, r in training_run(spark, d)[1].items()}, spark))
 register("train_best_model")(lambda spark, d: R.best_model(training_run(spark, d)[3]))
 
 
@@ -56,22 +93,5 @@ def _flags(spark, d):
 register("train_feature_importance")(_explain)
 register("train_explainability_flags")(_flags)
 register("train_cv_results_random")(lambda spark, d: training_run(spark, d, "random")[2])
-
-
-def _candidates(spark, d):
-    """Searched candidates with their mean CV score, per model (grid)."""
-    _, res, _, _, _ = training_run(spark, d)
-    from ..models.search import param_grids, grid_candidates, _dedupe_tree, DT, RF, BASE
-    rows = []
-    for name, r in res.items():
-        if name == BASE:
-            continue
-        cands = grid_candidates(param_grids()[name])
-        if name in (DT, RF):
-            cands = _dedupe_tree(cands)
-        rows += [(name, i, json.dumps(c, sort_keys=True), float(s)) for i, (c, s) in enumerate(zip(cands, r.scores))]
-    return spark.createDataFrame(rows, "model string, candidate int, params string, mean_score double").withColumn(
-        "mean_score", F.round("mean_score", 6))
-
-
-register("train_candidate_scores")(_candidates)
+register("train_candidate_scores")(lambda spark, d: candidate_rows(
+    spark, [r for r in training_run(spark, d)[1].values() if r.candidates]).drop("best"))

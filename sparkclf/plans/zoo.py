@@ -28,7 +28,7 @@ _CACHE: dict = {}
 
 def emb_split(spark: SparkSession, d: str) -> DataFrame:
     """Checkpointed split: train and test are read by several fits and predictions."""
-    key = ("split", id(spark), d)
+    key = ("split", spark.sparkContext.applicationId, d)
     if key not in _CACHE:
         _CACHE[key] = cut_lineage(train_test_split(fx.emb_clf(spark, d), "label", "vec_id", 0.8, 42))
     return _CACHE[key]
@@ -37,7 +37,7 @@ def emb_split(spark: SparkSession, d: str) -> DataFrame:
 def zoo_predictions(spark: SparkSession, d: str, models=(BASELINE, NB, KNN, KNN_DM)) -> DataFrame:
     """Union of (model, id, y_true, y_pred, scores) over the zoo's models
     (checkpointed once per session and data folder)."""
-    key = ("preds", id(spark), d, tuple(models))
+    key = ("preds", spark.sparkContext.applicationId, d, tuple(models))
     if key not in _CACHE:
         _CACHE[key] = cut_lineage(_predict(spark, d, models))
     return _CACHE[key]
