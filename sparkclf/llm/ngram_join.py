@@ -11,10 +11,11 @@ when 100 * |A n B| >= threshold * |A u B|; the result is exact, no partner is ca
 3. Groups: prefix tokens are brought together by a sort; in each token's run the class
    with the fewest rare tokens is the leader, and every other one is compared with it.
    Verified links make groups of similar classes (connected through their leaders).
-4. Token-group matrix: for the tokens that several groups share, (token, group) says
-   that the group's union holds the token.  A class of the smaller group is a query
-   against the larger: only if their token unions overlap by at least t |Q| can the
-   group hold a partner; only such groups are opened and their members compared.
+4. Token-group matrix: components so far are cut into groups of bounded size.  For the
+   prefix tokens that several components share, (token, group) says that the group's
+   union holds the token.  A class of the smaller component is a query against the groups
+   of the larger: one whose union holds fewer than t |Q| of its tokens cannot hold a
+   partner; only qualifying groups are opened and their members compared.
 5. Connected components of all links; a component's id is its smallest doc_id.
 
 Runs and comparisons stream over sorted partitions and hold one leader's set at a
@@ -42,7 +43,9 @@ from .common import Stash, has_rows, pick
 WIDTH, THRESHOLD = 5, 80
 CHUNK_TOKENS = 4_000_000     # tokens that a task counts at a time
 MAX_COMMON = 500_000         # entries of the broadcast table of common tokens (12 bytes each)
-SALT_BITS = 14               # runs and leaders are split into parts of about 2^14 rows
+SALT_BITS = 14               # runs, leaders and groups are split into parts of about 2^14 rows
+GROUP_TOKENS = 500_000       # token hashes of a group, 4 MB
+BITMAP_BITS = 1 << 25
 CACHE_WORDS = 400_000
 
 
@@ -259,37 +262,89 @@ def components(edges: DataFrame, stash: Stash, name: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(own)
 
 
-def group_queries(shared: DataFrame, comps: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """(cls, n, grp): queries and the groups whose matrix row holds one of their prefix tokens.
+def with_groups(classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(cls, n, comp, part): classes by component, a component being split into groups of about
+    ``GROUP_TOKENS`` tokens, so that a group's sets fit a task's memory."""
+    c = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", F.coalesce("comp", "cls").alias("comp"))
+    parts = c.groupBy("comp").agg(F.sum("n").alias("tokens"), F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("tokens") / GROUP_TOKENS))
+    return c.join(parts, "comp").select("cls", "n", "comp", "members", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
+
+
+def group_queries(shared: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
+    """(cls, comp, part): queries and the groups whose matrix row holds one of their prefix tokens.
 
     A run's leader has been compared with all of the run, so only the others can still
-    have partners that nobody has seen.  Of two groups the members of the smaller one are the queries.
+    have partners that nobody has seen.  Of two components the members of the smaller one
+    are the queries, and a group's sizes must fit.
     """
-    comp = F.coalesce("comp", "cls")
-    cells = shared.select("token", "cls", "n").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", comp.alias("comp"))
-    open_ = cells.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    cells = shared.select("token", "cls").join(groups, "cls")
+    open_ = cells.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     cells = cells.join(open_, "token")
-    facts = (classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").groupBy(comp.alias("comp"))
-                    .agg(F.count("*").alias("members"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")))
-    cells = cells.join(facts, "comp")
-    matrix = cells.select("token", F.col("comp").alias("grp"), F.col("members").alias("g_members"), "n_lo", "n_hi").distinct()
+    matrix = (cells.groupBy("token", F.col("comp").alias("g_comp"), F.col("part").alias("g_part"))
+                   .agg(F.first("members").alias("g_members"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")))
     ask = cells.select("token", "cls", "n", "comp", "members").join(matrix, "token")
-    smaller = (F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("comp") < F.col("grp")))
-    return (ask.filter((F.col("comp") != F.col("grp")) & smaller & (100 * F.col("n") >= threshold * F.col("n_lo"))
-                       & (threshold * F.col("n") <= 100 * F.col("n_hi"))).select("cls", "n", "grp").distinct())
+    smaller = (F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("comp") < F.col("g_comp")))
+    return (ask.filter((F.col("comp") != F.col("g_comp")) & smaller & (100 * F.col("n") >= threshold * F.col("n_lo"))
+                       & (threshold * F.col("n") <= 100 * F.col("n_hi")))
+               .select("cls", F.col("g_comp").alias("comp"), F.col("g_part").alias("part")).distinct())
+
 
+def opened(ask: DataFrame, groups: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(a, b): a query's first link into each group that it opens.
+
+    A group's members come first and make its token union; the queries stream past.  A
+    query is compared with the members only if the union holds enough of its tokens.
+    """
+    spread = ask.groupBy("comp", "part").agg(F.ceil(F.count("*") / (1 << SALT_BITS)).cast("int").alias("salts"))
+    members = (groups.join(spread, ["comp", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+                     .select("comp", "part", "salt", F.lit(0).alias("role"), "cls"))
+    asked = (ask.join(spread, ["comp", "part"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
+                .select("comp", "part", "salt", F.lit(1).alias("role"), "cls"))
+    rows = members.unionByName(asked).join(texts, "cls").select("comp", "part", "salt", "role", "cls", "text")
+    dealt = rows.repartition("comp", "part", "salt").sortWithinPartitions("comp", "part", "salt", "role", "cls")
 
-def token_rows(texts: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, token) of whole sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
+        shingles, key, held, union = Shingler(width), None, [], None
         for b in batches:
-            sets = [shingles(x) for x in b.column("text").to_pylist()]
-            rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            token = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows)), _signed(token)], [key, "token"])
+            a_, b_ = [], []
+            for comp, part, salt, role, cls, text in zip(*(b.column(x).to_pylist() for x in ("comp", "part", "salt", "role", "cls", "text"))):
+                if (comp, part, salt) != key:
+                    key, held, union = (comp, part, salt), [], None
+                t = shingles(text)
+                if role == 0:
+                    held.append((cls, t))
+                    continue
+                if union is None:
+                    union = np.unique(np.concatenate([x for _, x in held])) if held else t[:0]
+                if 100 * len(np.intersect1d(union, t, assume_unique=True)) < threshold * len(t):
+                    continue
+                for other, x in held:
+                    if 100 * min(len(x), len(t)) >= threshold * max(len(x), len(t)):
+                        both = len(np.intersect1d(x, t, assume_unique=True))
+                        if 100 * both >= threshold * (len(x) + len(t) - both):
+                            a_.append(cls)
+                            b_.append(other)
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], ["a", "b"])
 
-    return texts.select(key, "text").mapInArrow(run, f"{key} long, token long")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def marked_texts(docs: DataFrame, where: DataFrame) -> DataFrame:
+    """(cls, text) of the sampled documents (cls, i, m).
+
+    A bitmap of their marks, 4 MB at most whatever their number, is broadcast first: rows
+    it rules out do not enter the join's shuffle (a full bitmap rules out none).
+    """
+    def slot(mark):
+        return F.pmod(mark, F.lit(BITMAP_BITS))
+    bits = where.select(slot(F.col("m")).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    d = docs.withColumn("h", slot(F.col("mark"))).withColumn("bucket", F.bitmap_bucket_number("h"))
+    at = F.bitmap_bit_position("h")
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bitmap_bit_position(h) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    d = d.join(F.broadcast(bits), "bucket").filter(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return d.join(where, d["doc_id"].eqNullSafe(where["i"]) & (d["mark"] == where["m"])).select("cls", "text")
 
 
 def join(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
@@ -303,25 +358,21 @@ def join(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH,
     shared = stash.put(shared_postings(postings(d, common, width, threshold)), "shared")
 
     pairs = stash.put(shared.filter((F.col("cls") != F.col("leader")) & sizes_fit("n", "leader_n", threshold)).select("leader", "cls").distinct(), "pairs")
-    wanted = shared.select("cls").unionByName(shared.select(F.col("leader").alias("cls"))).distinct()
-    where = wanted.join(classes, "cls").select("cls", F.col("sample.doc_id").alias("i"), F.col("sample.mark").alias("m"))
-    texts = d.join(where, d["doc_id"].eqNullSafe(where["i"]) & (d["mark"] == where["m"])).select("cls", "text")
-    texts = stash.put(texts, "texts")      # wholly equal rows give a class more than once
+
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:      # wholly equal rows give a class more than once
+        where = wanted.distinct().join(classes, "cls").select("cls", F.col("sample.doc_id").alias("i"), F.col("sample.mark").alias("m"))
+        return stash.put(marked_texts(d, where), name)
+
+    texts = texts_of(pairs.select("cls").unionByName(pairs.select(F.col("leader").alias("cls"))), "texts")
     links = stash.put(verified(pairs, texts, width, threshold), "links")
-    comps = stash.put(components(links, stash, "groups"), "groups")
+    comps = stash.put(components(links, stash, "comps"), "comps")
 
-    ask = stash.put(group_queries(shared, comps, classes, threshold), "queries")
+    groups = stash.put(with_groups(classes, comps), "groups")
+    ask = stash.put(group_queries(shared, groups, threshold), "queries")
     if has_rows(ask):
-        grp = F.coalesce("comp", "cls").alias("grp")
-        members = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", grp).join(ask.select("grp").distinct(), "grp")
-        members = stash.put(members, "members")
-        union = token_rows(members.join(texts, "cls"), "grp", width).distinct()
-        tokens = token_rows(texts.join(ask.select("cls").distinct(), "cls", "left_semi"), "cls", width).distinct()
-        over = (tokens.join(ask, "cls").join(union, ["grp", "token"]).groupBy("cls", "n", "grp").agg(F.count("*").alias("c"))
-                      .filter(100 * F.col("c") >= threshold * F.col("n")))
-        opened = stash.put(over.select(F.col("cls").alias("leader"), F.col("n").alias("leader_n"), "grp").join(members, "grp")
-                           .filter(sizes_fit("n", "leader_n", threshold)).select("leader", "cls").distinct(), "opened")
-        found = stash.put(verified(opened, texts, width, threshold), "found")
+        asked = stash.put(groups.join(ask.select("comp", "part").distinct(), ["comp", "part"], "left_semi"), "asked")
+        more = texts_of(asked.select("cls").unionByName(ask.select("cls")), "more")
+        found = stash.put(opened(ask, asked, more, width, threshold), "found")
         if has_rows(found):
             comps = stash.put(components(links.unionByName(found), stash, "all"), "components")
     of = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
