@@ -83,8 +83,10 @@ _ALIKE = dict(zip("АВЕЅІЈКМНОРСТХУаеѕіјорсхуԁһԛԝ",
 _ALIKE |= dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρυ", "ABEZHIKMNOPTYXoavikpu"))
 _ALIKE |= {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}                      # full-width forms
 _ALIKE |= {chr(z + i): str(i) for z in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7F6) for i in range(10)}
-_ALIKE |= {"․": ".", "。": ".", "·": ".", "﹫": "@", "‐": "-", "‑": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " "}
-_HIDDEN = "​‌‍⁠﻿­"
+# further dots, at signs, hyphens and spaces, and characters that show nothing
+_ALIKE |= {"\u2024": ".", "\u3002": ".", "\u00b7": ".", "\ufe6b": "@", "\u2010": "-", "\u2011": "-", "\u2013": "-", "\u2212": "-",
+           "\u00a0": " ", "\u2009": " ", "\u202f": " "}
+_HIDDEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 _NUMBER = {w: str(i) for ws in (
     "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun",
     "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve") for i, w in enumerate(ws.split())}
