@@ -1,6 +1,8 @@
 """Shared model plumbing: feature arrays, class lists, prediction tables."""
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,12 +13,21 @@ MAX_MODEL_CELLS = 5_000_000
 
 
 def feature_array(df: DataFrame, features) -> Column:
-    """array<double> of the feature columns (or of a single array column)."""
+    """array<double> of the feature columns, vectors unrolled (or of a single array column)."""
     if isinstance(features, str):
         features = [features]
     if len(features) == 1 and isinstance(df.schema[features[0]].dataType, T.ArrayType):
         return F.col(features[0]).cast("array<double>")
-    return F.array(*[F.col(c).cast("double") for c in features])
+    parts, run = [], []
+    for c in features:
+        if isinstance(df.schema[c].dataType, VectorUDT):     # one-hot of a column with very many categories
+            parts += [F.array(*run), vector_to_array(F.col(c))] if run else [vector_to_array(F.col(c))]
+            run = []
+        else:
+            run.append(F.col(c).cast("double"))
+    if run or not parts:
+        parts.append(F.array(*run))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def sorted_classes(train: DataFrame, label: str) -> list:

@@ -120,3 +120,18 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
     for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             require_local(master)
+
+
+def test_training_with_very_many_categories(spark):
+    """Beyond 256 categories the one-hot columns are one vector; it is unrolled into the features."""
+    from sparkclf.models.search import LR, search_model
+    from sparkclf.plans.preprocess import PrepConfig, apply_preprocessing
+    from sparkclf.plans.training import assemble
+    rows = [(i, f"t{i % 300}", float(i % 7), "ab"[(i % 7) > 3]) for i in range(420)]
+    df = spark.createDataFrame(rows, "id long, txt string, x double, y string")
+    p = apply_preprocessing(df, "y", PrepConfig(encoding="onehot", scaling="standard"), "id")
+    assert p.features == ["x", "txt_onehot"]
+    data = assemble(p.data, p.features, "id", "y")
+    assert data.select(F.size("features")).distinct().collect()[0][0] >= 257
+    r = search_model(LR, data.where("split = 'train'"), "features", "id", "y")
+    assert r.best_score > 0.9 and len(r.scores) == 4
