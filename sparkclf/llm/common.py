@@ -55,3 +55,24 @@ def pick(df: DataFrame, **cols) -> DataFrame:
 
 def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
+
+
+BITMAP_BITS = 1 << 25
+
+
+def may_be_in(df: DataFrame, mark: str, members: DataFrame, member_mark: str, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: false only where no row of ``members`` has this mark.
+
+    The marks of ``members`` set bits of a bitmap of 2^25 bits, 4 MB at most whatever their
+    number, which is broadcast.  It keeps rows that cannot match out of a shuffle; a bitmap
+    that has filled up keeps out none.
+    """
+    def slot(m):
+        return F.pmod(F.col(m), F.lit(BITMAP_BITS))
+    bits = (members.select(slot(member_mark).alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
+                   .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")))
+    d = df.withColumn("_slot", slot(mark)).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
+    d = d.join(F.broadcast(bits), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(bitmap_bit_position(_slot) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, (F.bitmap_bit_position("_slot") % 8).cast("int"))
+    return d.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_slot", "_bucket", "_bits")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, Stash, has_rows
+from .common import WORD, Stash, has_rows, may_be_in
 
 MIN_WORDS, RADIX = 50, 17
 SPACES = " \t\n\x0b\f\r"
@@ -54,12 +54,16 @@ def worded(text):
     return F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
 
 
-def segments(docs: DataFrame, stash: Stash, min_words: int) -> DataFrame:
+def line_rows(docs: DataFrame, stash: Stash) -> DataFrame:
+    """(id, dig, s, w, h1, h2): the lines with a word, numbered, with their words and two hashes."""
+    lines = docs.select(*KEY, F.posexplode(worded(F.col("text"))).alias("s", "line"))
+    return stash.put(lines.select(*KEY, "s", F.regexp_count("line", F.lit(WORD)).cast("long").alias("w"),
+                                  F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
+
+
+def segments(lines: DataFrame, stash: Stash, min_words: int) -> DataFrame:
     """(id, dig, seg, s, r, rem, m): lines of segments of repeated lines; r = rank of the line,
     rem = lines to the segment's end, m = lines until ``min_words`` words are reached (null: never)."""
-    lines = docs.select(*KEY, F.posexplode(worded(F.col("text"))).alias("s", "line"))
-    lines = stash.put(lines.select(*KEY, "s", F.regexp_count("line", F.lit(WORD)).cast("long").alias("w"),
-                                   F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
     many = lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").withColumn("top", F.shiftrightunsigned("h1", 48))
     base = many.groupBy("top").agg(F.sum("c").alias("n"))     # at most 2^16 rows
     before = W.orderBy("top").rowsBetween(W.unboundedPreceding, -1)
@@ -88,7 +92,9 @@ def suffix_ranks(seg: DataFrame, stash: Stash) -> DataFrame:
         x = stash.put(x, f"round{k}")
         done.append(x.filter("NOT alive").drop("r2", "alive", "tied"))
         if not has_rows(x.filter("alive")):
-            return reduce(DataFrame.unionByName, done)
+            ranks = stash.put(reduce(DataFrame.unionByName, done), "ranks")
+            stash.drop(*[f"round{i}" for i in range(k + 1)])
+            return ranks
         tied = x.filter("alive AND tied").drop("alive")
         g = (tied.groupBy("r", "r2").agg(F.count("*").alias("n"), F.min(F.struct("id", "dig", "s")).alias("first"))
                  .withColumn("b", F.shiftright("r2", RADIX)))
@@ -171,10 +177,9 @@ def earlier_copies(array: DataFrame, stash: Stash) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else array.select(*KEY, "s", F.col("lp").alias("l")).limit(0)
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deletions(lines: DataFrame, stash: Stash, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, dig, cuts): disjoint (from, to) spans of worded lines to delete, per document that has any."""
-    stash = Stash(docs.sparkSession, "linedup")
-    ranks = suffix_ranks(segments(docs, stash, min_words), stash)
+    ranks = suffix_ranks(segments(lines, stash, min_words), stash)
     copies = earlier_copies(neighbours(ranks, stash), stash)
     spans = copies.select(*KEY, F.col("s").cast("int").alias("s"), (F.col("s") + F.col("l") - 1).cast("int").alias("e")).unionByName(
         ranks.filter("state = 2 AND m IS NOT NULL").select(*KEY, F.col("s").cast("int").alias("s"), (F.col("s") + F.col("rem") - 1).cast("int").alias("e")))
@@ -189,21 +194,28 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words: in
     """``docs`` with the deduplicated text, n_lines (lines with a word) and n_removed; one row per input row."""
     keys = _key_columns(docs, id_col, text_col)
     keyed = docs.select(keys[0].alias("id"), keys[1].alias("dig"), docs[text_col].alias("text"))
-    cuts = deletions(keyed, min_words).select(F.col("id").alias("_id"), F.col("dig").alias("_dig"), "cuts")
+    stash = Stash(docs.sparkSession, "linedup")
+    lines = line_rows(keyed, stash)
+    # wholly equal rows: the later ones are copies of the first, whatever the runs in them
+    repeated = stash.put(lines.filter("s = 0").groupBy(*KEY).agg(F.count("*").alias("c")).filter("c > 1"), "repeated")
+    cuts = deletions(lines, stash, min_words).join(repeated, KEY, "full")
+    cuts = stash.put(cuts.select(F.col("id").alias("_id"), F.col("dig").alias("_dig"), "cuts"), "plan")
     j = docs.select("*", *[c.alias(f"_k_{n}") for n, c in zip(KEY, keys)])
-    j = j.join(cuts, (F.col("_k_id") == F.col("_id")) & (F.col("_k_dig") == F.col("_dig")), "left")
-    text = docs[text_col]
+    j = may_be_in(j, "_k_dig", cuts, "_dig", "_hit")
+    # only texts that may lose lines are shuffled to the join
+    hit = j.filter("_hit").join(cuts, (F.col("_k_id") == F.col("_id")) & (F.col("_k_dig") == F.col("_dig")), "left")
+    hit = hit.withColumn("_nth", F.row_number().over(W.partitionBy("_k_id", "_k_dig").orderBy(F.lit(0))))
+    rest = j.filter("NOT _hit").select("*", *[F.lit(None).cast(cuts.schema[c].dataType).alias(c) for c in cuts.columns]).withColumn("_nth", F.lit(1))
+    j = rest.unionByName(hit)
+    text = F.col(f"`{text_col}`")
     j = j.withColumn("_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
     at = F.filter(F.transform("_lines", lambda x, i: F.when(F.length(F.btrim(x, F.lit(SPACES))) > 0, i)), lambda i: i.isNotNull())
     j = j.withColumn("_at", at)
     gone = F.flatten(F.transform("cuts", lambda c: F.slice(F.col("_at"), c["s"] + 1, c["e"] - c["s"] + 1)))
     j = j.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
-    repeated = keyed.groupBy(*KEY).agg(F.count("*").alias("c")).filter("c > 1")
-    if has_rows(repeated):    # wholly equal rows: later ones are copies of the first
-        nth = F.row_number().over(W.partitionBy("_k_id", "_k_dig").orderBy(F.lit(0)))
-        long = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)) >= min_words
-        j = j.withColumn("_nth", nth).withColumn("_gone", F.when((F.col("_nth") > 1) & long, F.col("_at")).otherwise(F.col("_gone")))
+    copy = (F.col("_nth") > 1) & (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)) >= min_words)
+    j = j.withColumn("_gone", F.when(copy, F.col("_at")).otherwise(F.col("_gone")))
     keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     new = F.when(F.size("_gone") == 0, text).otherwise(F.array_join(F.transform(keep, lambda i: F.get("_lines", i)), "\n"))
-    return j.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns],
+    return j.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
                     F.size("_at").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"))

@@ -38,14 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import Stash, has_rows, pick
+from .common import Stash, has_rows, may_be_in, pick
 
 WIDTH, THRESHOLD = 5, 80
 CHUNK_TOKENS = 4_000_000     # tokens that a task counts at a time
 MAX_COMMON = 500_000         # entries of the broadcast table of common tokens (12 bytes each)
 SALT_BITS = 14               # runs, leaders and groups are split into parts of about 2^14 rows
 GROUP_TOKENS = 500_000       # token hashes of a group, 4 MB
-BITMAP_BITS = 1 << 25
 CACHE_WORDS = 400_000
 
 
@@ -331,19 +330,8 @@ def opened(ask: DataFrame, groups: DataFrame, texts: DataFrame, width: int, thre
 
 
 def marked_texts(docs: DataFrame, where: DataFrame) -> DataFrame:
-    """(cls, text) of the sampled documents (cls, i, m).
-
-    A bitmap of their marks, 4 MB at most whatever their number, is broadcast first: rows
-    it rules out do not enter the join's shuffle (a full bitmap rules out none).
-    """
-    def slot(mark):
-        return F.pmod(mark, F.lit(BITMAP_BITS))
-    bits = where.select(slot(F.col("m")).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    d = docs.withColumn("h", slot(F.col("mark"))).withColumn("bucket", F.bitmap_bucket_number("h"))
-    at = F.bitmap_bit_position("h")
-    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bitmap_bit_position(h) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
-    d = d.join(F.broadcast(bits), "bucket").filter(F.getbit(byte, (at % 8).cast("int")) == 1)
+    """(cls, text) of the sampled documents (cls, i, m); a bitmap keeps the others out of the join's shuffle."""
+    d = may_be_in(docs, "mark", where, "m", "wanted").filter("wanted")
     return d.join(where, d["doc_id"].eqNullSafe(where["i"]) & (d["mark"] == where["m"])).select("cls", "text")
 
 
