@@ -81,20 +81,20 @@ register("prep_iqr_bounds",
 _EV_B = ("b AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM "
          "(SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events_num))")
 register("prep_cap_outliers",
-         W(fx.EVENTS_NUM_SQL, _EV_B) + "SELECT event_id, user_id, CASE WHEN value IS NULL THEN NULL "
-         "ELSE least(greatest(value, lo), hi) END::DOUBLE AS value FROM events_num, b", rnd=("value",))(
-    lambda spark, d: P.cap_outliers(fx.events_num(spark, d), ["value"]))
+         W(fx.EVENTS_NUM_SQL, _EV_B) + "SELECT event_id, ts, user_id, event_type, CASE WHEN value IS NULL THEN NULL "
+         "ELSE least(greatest(value, lo), hi) END::DOUBLE AS value, props FROM events, b", rnd=("value",))(
+    lambda spark, d: P.cap_outliers(read_table(spark, d, "events"), ["value"]))
 register("prep_remove_outliers",
-         W(fx.EVENTS_NUM_SQL, _EV_B) + "SELECT event_id, user_id, value FROM events_num, b "
+         W(fx.EVENTS_NUM_SQL, _EV_B) + "SELECT event_id, ts, user_id, event_type, value, props FROM events, b "
          "WHERE NOT coalesce(value < lo OR value > hi, false)")(
-    lambda spark, d: P.remove_outliers(fx.events_num(spark, d), ["value"]))
+    lambda spark, d: P.remove_outliers(read_table(spark, d, "events"), ["value"]))
 
 _DOC_B = ("b AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM "
           "(SELECT quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.75) AS q3 FROM doc_clf))")
 register("prep_remove_outliers_docs",
-         W(fx.DOC_CLF_SQL, _DOC_B) + "SELECT doc_id, n_chars, lang, source, quality FROM doc_clf, b "
+         W(fx.DOC_CLF_SQL, _DOC_B) + "SELECT doc_id, n_chars, text, lang, source, quality FROM doc_clf, b "
          "WHERE NOT coalesce(n_chars < lo OR n_chars > hi, false)")(
-    lambda spark, d: P.remove_outliers(fx.doc_clf(spark, d), ["n_chars"]).drop("text"))
+    lambda spark, d: P.remove_outliers(fx.doc_clf(spark, d), ["n_chars"]))
 
 # -- D5 X / y projection ------------------------------------------------------------
 register("prep_features_label",
@@ -181,7 +181,7 @@ register("encode_onehot",
 
 def _ordinal_sql():
     parts = []
-    for c in ["lang", "source"]:
+    for c in ["text", "lang", "source"]:
         parts.append(f"m_{c} AS (SELECT v, (row_number() OVER (ORDER BY v) - 1)::INTEGER AS code FROM "
                      f"(SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM splitted WHERE split = 'train' "
                      f"AND {c} IS NOT NULL))")
@@ -189,20 +189,20 @@ def _ordinal_sql():
 
 
 register("encode_ordinal",
-         W(fx.DOC_CLF_SQL, split_sql("doc_clf", "doc_id", "quality", DOC_ENC), *_ordinal_sql()) +
-         "SELECT doc_id, n_chars, coalesce(m_lang.code, -1)::INTEGER AS lang, "
+         W(fx.DOC_CLF_SQL, split_sql("doc_clf", "doc_id", "quality", [*DOC_ENC, "text"]), *_ordinal_sql()) +
+         "SELECT doc_id, n_chars, coalesce(m_text.code, -1)::INTEGER AS text, coalesce(m_lang.code, -1)::INTEGER AS lang, "
          "coalesce(m_source.code, -1)::INTEGER AS source, quality, split FROM splitted "
+         "LEFT JOIN m_text ON splitted.text = m_text.v "
          "LEFT JOIN m_lang ON splitted.lang = m_lang.v LEFT JOIN m_source ON splitted.source = m_source.v")(
     lambda spark, d: (lambda s: E.ordinal_fit(s, exclude=("quality", "doc_id", "split")).transform(s))(
-        _doc_split(spark, d)))
+        S.train_test_split(fx.doc_clf(spark, d), "quality", "doc_id")))
 
 ORD_SPLIT = split_sql("orders", "o_orderkey", "o_orderpriority",
-                      ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"])
+                      ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
 
 
 def _orders_split(spark, d):
-    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
-    return S.train_test_split(o, "o_orderpriority", "o_orderkey")
+    return S.train_test_split(read_table(spark, d, "orders"), "o_orderpriority", "o_orderkey")
 
 
 def _scaled(method):
@@ -216,15 +216,15 @@ register("scale_standard",
          W(ORD_SPLIT, "st AS (SELECT avg(o_custkey) AS m1, coalesce(nullif(stddev_pop(o_custkey), 0), 1) AS s1, "
            "avg(o_totalprice) AS m2, coalesce(nullif(stddev_pop(o_totalprice), 0), 1) AS s2 FROM splitted "
            "WHERE split = 'train')") +
-         "SELECT o_orderkey, (o_custkey - m1) / s1 AS o_custkey, (o_totalprice - m2) / s2 AS o_totalprice, "
-         "o_orderpriority, split FROM splitted, st", rnd=("o_custkey", "o_totalprice"))(_scaled("standard"))
+         "SELECT o_orderkey, (o_custkey - m1) / s1 AS o_custkey, o_orderstatus, (o_totalprice - m2) / s2 AS o_totalprice, "
+         "o_orderdate, o_orderpriority, split FROM splitted, st", rnd=("o_custkey", "o_totalprice"))(_scaled("standard"))
 
 register("scale_minmax",
          W(ORD_SPLIT, "st AS (SELECT min(o_custkey) AS a1, coalesce(nullif(max(o_custkey) - min(o_custkey), 0), 1) "
            "AS r1, min(o_totalprice) AS a2, coalesce(nullif(max(o_totalprice) - min(o_totalprice), 0), 1) AS r2 "
            "FROM splitted WHERE split = 'train')") +
-         "SELECT o_orderkey, (o_custkey - a1) / r1 AS o_custkey, (o_totalprice - a2) / r2 AS o_totalprice, "
-         "o_orderpriority, split FROM splitted, st", rnd=("o_custkey", "o_totalprice"))(_scaled("minmax"))
+         "SELECT o_orderkey, (o_custkey - a1) / r1 AS o_custkey, o_orderstatus, (o_totalprice - a2) / r2 AS o_totalprice, "
+         "o_orderdate, o_orderpriority, split FROM splitted, st", rnd=("o_custkey", "o_totalprice"))(_scaled("minmax"))
 
 # -- D8 / D10 full preprocessing and split shapes ---------------------------------------------------
 FULL_CFG = PrepConfig(duplicates=True, impute=True, impute_method="median", outliers=True,
