@@ -90,6 +90,19 @@ def count_and_ndv(df: DataFrame, cols: list[str], bounds: dict | None = None) ->
     return ({c: int(r[f"n{i}"]) for i, c in enumerate(cols)}, {c: int(r[f"d{i}"]) for i, c in enumerate(cols)})
 
 
+def _chunks(cols: list[str], ndv: dict, limit: int) -> list[list[str]]:
+    """Columns in order, cut so that the distinct counts of a chunk add up to ``limit`` or are one column's."""
+    out, total = [], 0
+    for c in cols:
+        n = ndv.get(c, 0)
+        if not out or total + n > limit:
+            out.append([])
+            total = 0
+        out[-1].append(c)
+        total += n
+    return out
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     counts: dict | None = None, ndv: dict | None = None, small_ndv: int = SMALL_COLUMN_NDV,
                     buckets: int = HIST_BUCKETS, bounds: dict | None = None) -> dict:
@@ -111,12 +124,14 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     large = [c for c in cols if ndv.get(c, 0) > small_ndv]
     if small:
         arr = F.array(*[F.lit(float(p)) for p in probs])
-        r = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(f"q{i}")
-                     for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            vals = r[f"q{i}"]
-            for j, p in enumerate(probs):
-                out[(c, p)] = None if vals is None or counts[c] == 0 else float(vals[j])
+        # the value maps of one pass meet in one task: their sizes add up to at most small_ndv
+        for chunk in _chunks(small, ndv, small_ndv):
+            r = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(f"q{i}")
+                         for i, c in enumerate(chunk)]).first()
+            for i, c in enumerate(chunk):
+                vals = r[f"q{i}"]
+                for j, p in enumerate(probs):
+                    out[(c, p)] = None if vals is None or counts[c] == 0 else float(vals[j])
     if large:
         ranks = {}
         for c in large:
@@ -195,17 +210,16 @@ def _select_ranks(df: DataFrame, cols: list[str], targets: list[tuple], buckets:
                     break
                 cum += n
         if small_brackets:
-            wins = sorted({(t[0], state[t][0], state[t][1]) for t in small_brackets})
+            # a bracket is sorted and its rank picked on an executor; one number per target comes back
             wdf = spark.createDataFrame(
-                [(i, c, float(lo), float(hi)) for i, (c, lo, hi) in enumerate(wins)],
-                "w int, c string, wlo double, whi double")
+                [(i, t[0], float(state[t][0]), float(state[t][1]), int(t[1] - state[t][2])) for i, t in enumerate(small_brackets)],
+                "w int, c string, wlo double, whi double, nth int")
             got = (long.join(F.broadcast(wdf), "c")
                    .where((F.col("x") >= F.col("wlo")) & (F.col("x") <= F.col("whi")))
-                   .groupBy("w").agg(F.sort_array(F.collect_list("x")).alias("v")).collect())
-            byw = {r["w"]: r["v"] for r in got}
-            for t in small_brackets:
-                lo, hi, off = state[t]
-                result[t] = byw[wins.index((t[0], lo, hi))][t[1] - off]
+                   .groupBy("w", "nth").agg(F.sort_array(F.collect_list("x")).alias("v"))
+                   .select("w", F.get("v", F.col("nth")).alias("x")).collect())
+            for r in got:
+                result[small_brackets[r["w"]]] = r["x"]
     return result
 
 
