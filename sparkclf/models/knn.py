@@ -70,10 +70,14 @@ def neighbours(train: DataFrame, query: DataFrame, features: str, id_col: str, l
                     D = np.sqrt((diff * diff).sum(axis=2))
                 else:
                     D = np.abs(diff).sum(axis=2)
-                order = np.lexsort((np.broadcast_to(tids, D.shape), D), axis=1)[:, :kq]
-                rows = np.repeat(np.arange(D.shape[0]), kq)
-                cols = order.reshape(-1)
-                out.append(pd.DataFrame({"metric": metric, "qid": np.repeat(qids[i:i + step], kq),
+                # only what is not farther than the k-th distance is sorted (ties by train id)
+                kth = np.partition(D, kq - 1, axis=1)[:, kq - 1:kq]
+                rows, cols = np.nonzero(D <= kth)
+                o = np.lexsort((tids[cols], D[rows, cols], rows))
+                rows, cols = rows[o], cols[o]
+                first = np.arange(len(rows)) - np.searchsorted(rows, rows) < kq
+                rows, cols = rows[first], cols[first]
+                out.append(pd.DataFrame({"metric": metric, "qid": qids[i:i + step][rows],
                                          "tid": tids[cols], "label": labels[cols],
                                          "dist": D[rows, cols]}))
         return pd.concat(out, ignore_index=True)
@@ -116,8 +120,10 @@ class KNNModel:
     weights: str = "uniform"
     metric: str = "euclidean"
 
-    def predict(self, df: DataFrame, name: str = "K-Nearest Neighbors") -> DataFrame:
-        nb = neighbours(self.train, df, self.features, self.id_col, self.label, self.k, (self.metric,))
+    def predict(self, df: DataFrame, name: str = "K-Nearest Neighbors", nb: DataFrame | None = None) -> DataFrame:
+        """``nb``: a neighbour list of ``df`` with this metric and at least k ranks, where one exists already."""
+        if nb is None:
+            nb = neighbours(self.train, df, self.features, self.id_col, self.label, self.k, (self.metric,))
         v = vote(nb, self.classes, self.k, self.weights, self.metric)
         j = df.select(F.col(self.id_col).alias("qid"), F.col(self.label).alias("__y")).join(v, "qid", "left")
         return pred_table(j, "qid", "__y", F.col("y_pred"), F.col("scores"), name)

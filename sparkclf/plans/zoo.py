@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..models.gnb import fit_gnb
-from ..models.knn import fit_knn
+from ..models.knn import fit_knn, neighbours
 from ..models.prior import fit_prior
 from ..operators.split import train_test_split
 from ..session import cut_lineage
@@ -52,10 +52,13 @@ def _predict(spark: SparkSession, d: str, models) -> DataFrame:
         out.append(fit_prior(train, "label").predict(test, "vec_id", "label", BASELINE))
     if NB in models:
         out.append(fit_gnb(train, "embedding", "label").predict(test, "embedding", "vec_id", "label", NB))
-    if KNN in models:
-        out.append(fit_knn(train, "embedding", "vec_id", "label", 5, "uniform", "euclidean").predict(test, KNN))
-    if KNN_DM in models:
-        out.append(fit_knn(train, "embedding", "vec_id", "label", 7, "distance", "manhattan").predict(test, KNN_DM))
+    knn = {KNN: (5, "uniform", "euclidean"), KNN_DM: (7, "distance", "manhattan")}
+    asked = [m for m in knn if m in models]
+    if asked:      # one neighbour pass serves all of them
+        nb = neighbours(train.where(F.col("label").isNotNull()), test, "embedding", "vec_id", "label",
+                        max(knn[m][0] for m in asked), tuple(knn[m][2] for m in asked))
+        nb = cut_lineage(nb) if len(asked) > 1 else nb
+        out += [fit_knn(train, "embedding", "vec_id", "label", *knn[m]).predict(test, m, nb) for m in asked]
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
