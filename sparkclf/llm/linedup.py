@@ -202,8 +202,8 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words: in
     cuts = stash.put(cuts.select(F.col("id").alias("_id"), F.col("dig").alias("_dig"), "cuts"), "plan")
     j = docs.select("*", *[c.alias(f"_k_{n}") for n, c in zip(KEY, keys)])
     j = may_be_in(j, "_k_dig", cuts, "_dig", "_hit")
-    # only texts that may lose lines are shuffled to the join
-    hit = j.filter("_hit").join(cuts, (F.col("_k_id") == F.col("_id")) & (F.col("_k_dig") == F.col("_dig")), "left")
+    # only texts that may lose lines are shuffled to the join, at every size
+    hit = j.filter("_hit").join(cuts.hint("merge"), (F.col("_k_id") == F.col("_id")) & (F.col("_k_dig") == F.col("_dig")), "left")
     hit = hit.withColumn("_nth", F.row_number().over(W.partitionBy("_k_id", "_k_dig").orderBy(F.lit(0))))
     rest = j.filter("NOT _hit").select("*", *[F.lit(None).cast(cuts.schema[c].dataType).alias(c) for c in cuts.columns]).withColumn("_nth", F.lit(1))
     j = rest.unionByName(hit)

@@ -5,7 +5,8 @@ when 100 * |A n B| >= threshold * |A u B|; the result is exact, no partner is ca
 
 1. Equal sets fall into one class (hash of the set); only classes go on.
 2. In an order of tokens that puts those found in many documents last, linked sets
-   share a token among each one's first |A| - ceil(t |A|) + 1 (prefix filter).  The
+   share a token among the larger one's first |A| - ceil(t |A|) + 1 and the smaller one's
+   first |A| - ceil(2 t |A| / (1 + t)) + 1 (prefix filter).  The
    order needs no exact counts, any order is valid: each task counts the tokens that
    it meets twice or more in a chunk, and these counts are added up over all documents.
 3. Groups: prefix tokens are brought together by a sort; in each token's run the class
@@ -85,9 +86,15 @@ def _class_of(t: np.ndarray) -> int:
 
 
 def _prefix(n: int, threshold: int) -> int:
+    """Tokens of a set that meet those of a smaller or equal one: an overlap is at least t n."""
     return n - (threshold * n + 99) // 100 + 1
 
 
+def _short(n: int, threshold: int) -> int:
+    """Of these, those that meet a larger or equal one: the overlap is then at least 2 t n / (1 + t)."""
+    return n + (-2 * threshold * n) // (100 + threshold) + 1
+
+
 def census(docs: DataFrame, width: int) -> DataFrame:
     """Rows (kind, doc_id, mark, cls, n): kind 0 a document's class and set size, kind 1 a token and its count in a chunk."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -140,14 +147,15 @@ def common_tokens(counts: DataFrame, limit: int = MAX_COMMON) -> tuple[np.ndarra
 
 
 def postings(docs: DataFrame, common, width: int, threshold: int) -> DataFrame:
-    """(token, salt, rare, cls, n): each class's prefix tokens; rare = how many of its tokens are not common."""
+    """(token, salt, rare, cls, n, short): each class's prefix tokens; rare = how many of its tokens are
+    not common, short = the token is among the first that a larger partner must share."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(width), set()
         tokens, levels = shared.value
         for b in batches:
-            out = [], [], [], [], []
+            out = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 t = shingles(text)
                 cls = _class_of(t) if len(t) else None
@@ -164,26 +172,27 @@ def postings(docs: DataFrame, common, width: int, threshold: int) -> DataFrame:
                 out[0].append(t[first])
                 over = np.maximum(level[first].astype(np.int64) - SALT_BITS, 0)
                 out[1].append(np.where(over > 0, cls % (1 << over), -1))
-                for col, v in zip(out[2:], (rare, cls, len(t))):
+                for col, v in zip(out[2:5], (rare, cls, len(t))):
                     col.append(np.full(len(first), v, np.int64))
+                out[5].append(np.arange(len(first)) < _short(len(t), threshold))
             if out[0]:
                 c = [np.concatenate(x) for x in out]
-                yield pa.RecordBatch.from_arrays([_signed(c[0]), *map(pa.array, c[1:])], ["token", "salt", "rare", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([_signed(c[0]), *map(pa.array, c[1:])], ["token", "salt", "rare", "cls", "n", "short"])
 
-    return docs.select("text").mapInArrow(run, "token long, salt long, rare long, cls long, n long")
+    return docs.select("text").mapInArrow(run, "token long, salt long, rare long, cls long, n long, short boolean")
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
-    """(token, salt, cls, n, leader, leader_n) of tokens that several classes share, by one sort and a streaming pass.
+    """(token, salt, cls, n, short, leader, leader_n, leader_short) of tokens that several classes share, by one sort and a streaming pass.
 
     A leader has a row of its own only in a salted run, where the parts' leaders have not been compared.
     """
-    names = ["token", "salt", "cls", "n", "leader", "leader_n"]
+    names = ["token", "salt", "cls", "n", "short", "leader", "leader_n", "leader_short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_key, lead, last = None, None, None
         for b in batches:
-            token, salt, cls, n = (b.column(x).to_numpy() for x in ("token", "salt", "cls", "n"))
+            token, salt, cls, n, short = (b.column(x).to_numpy(zero_copy_only=False) for x in ("token", "salt", "cls", "n", "short"))
             if not len(token):
                 continue
             new = np.ones(len(token), bool)
@@ -195,19 +204,22 @@ def shared_postings(rows: DataFrame) -> DataFrame:
             start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
             lead_cls = np.where(start >= 0, cls[start], lead[0] if lead else 0)
             lead_n = np.where(start >= 0, n[start], lead[1] if lead else 0)
+            lead_short = np.where(start >= 0, short[start], lead[2] if lead else False)
             other = ~new & ~again
             own = new & (salt >= 0)
             pick_ = np.concatenate([np.flatnonzero(other), np.flatnonzero(own)])
             if len(pick_):
-                yield pa.RecordBatch.from_arrays([pa.array(x[pick_]) for x in (token, salt, cls, n, lead_cls, lead_n)], names)
-            run_key, lead, last = (token[-1], salt[-1]), (int(lead_cls[-1]), int(lead_n[-1])), cls[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(x[pick_]) for x in (token, salt, cls, n, short, lead_cls, lead_n, lead_short)], names)
+            run_key, lead, last = (token[-1], salt[-1]), (int(lead_cls[-1]), int(lead_n[-1]), bool(lead_short[-1])), cls[-1]
 
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "rare", "cls")
-    return dealt.mapInArrow(run, "token long, salt long, cls long, n long, leader long, leader_n long")
+    return dealt.mapInArrow(run, "token long, salt long, cls long, n long, short boolean, leader long, leader_n long, leader_short boolean")
 
 
-def sizes_fit(a: str, b: str, threshold: int):
-    return (100 * F.least(a, b) >= threshold * F.greatest(a, b))
+def may_link(threshold: int):
+    """A class and its run's leader, by their sizes and by where the token stands in their orders."""
+    return ((100 * F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n"))
+            & ((F.col("n") > F.col("leader_n")) | F.col("short")) & ((F.col("n") < F.col("leader_n")) | F.col("leader_short")))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -217,9 +229,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
     """
     parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / (1 << SALT_BITS)).cast("int").alias("parts"))
     members = (pairs.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-                    .join(texts, "cls").select("leader", "part", F.lit(1).alias("role"), "cls", "text"))
+                    .join(texts.hint("merge"), "cls").select("leader", "part", F.lit(1).alias("role"), "cls", "text"))
     leaders = (parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-                    .join(texts.withColumnRenamed("cls", "leader"), "leader")
+                    .join(texts.withColumnRenamed("cls", "leader").hint("merge"), "leader")
                     .select("leader", "part", F.lit(0).alias("role"), F.col("leader").alias("cls"), "text"))
     dealt = leaders.unionByName(members).repartition("leader", "part").sortWithinPartitions("leader", "part", "role", "cls")
 
@@ -276,15 +288,18 @@ def group_queries(shared: DataFrame, groups: DataFrame, threshold: int) -> DataF
     have partners that nobody has seen.  Of two components the members of the smaller one
     are the queries, and a group's sizes must fit.
     """
-    cells = shared.select("token", "cls").join(groups, "cls")
+    cells = shared.select("token", "cls", "short").join(groups, "cls")
     open_ = cells.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     cells = cells.join(open_, "token")
     matrix = (cells.groupBy("token", F.col("comp").alias("g_comp"), F.col("part").alias("g_part"))
-                   .agg(F.first("members").alias("g_members"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")))
-    ask = cells.select("token", "cls", "n", "comp", "members").join(matrix, "token")
+                   .agg(F.first("members").alias("g_members"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
+                        F.min(F.when(F.col("short"), F.col("n"))).alias("s_lo"), F.max(F.when(F.col("short"), F.col("n"))).alias("s_hi")))
+    ask = cells.select("token", "cls", "n", "short", "comp", "members").join(matrix, "token")
+    n = F.col("n")
+    larger = F.col("short") & (F.col("n_hi") >= n) & (100 * n >= threshold * F.col("n_lo"))
+    lower = (F.col("s_lo") <= n) & (100 * F.col("s_hi") >= threshold * n)
     smaller = (F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("comp") < F.col("g_comp")))
-    return (ask.filter((F.col("comp") != F.col("g_comp")) & smaller & (100 * F.col("n") >= threshold * F.col("n_lo"))
-                       & (threshold * F.col("n") <= 100 * F.col("n_hi")))
+    return (ask.filter((F.col("comp") != F.col("g_comp")) & smaller & (larger | F.coalesce(lower, F.lit(False))))
                .select("cls", F.col("g_comp").alias("comp"), F.col("g_part").alias("part")).distinct())
 
 
@@ -299,7 +314,7 @@ def opened(ask: DataFrame, groups: DataFrame, texts: DataFrame, width: int, thre
                      .select("comp", "part", "salt", F.lit(0).alias("role"), "cls"))
     asked = (ask.join(spread, ["comp", "part"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
                 .select("comp", "part", "salt", F.lit(1).alias("role"), "cls"))
-    rows = members.unionByName(asked).join(texts, "cls").select("comp", "part", "salt", "role", "cls", "text")
+    rows = members.unionByName(asked).join(texts.hint("merge"), "cls").select("comp", "part", "salt", "role", "cls", "text")
     dealt = rows.repartition("comp", "part", "salt").sortWithinPartitions("comp", "part", "salt", "role", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,6 +347,7 @@ def opened(ask: DataFrame, groups: DataFrame, texts: DataFrame, width: int, thre
 def marked_texts(docs: DataFrame, where: DataFrame) -> DataFrame:
     """(cls, text) of the sampled documents (cls, i, m); a bitmap keeps the others out of the join's shuffle."""
     d = may_be_in(docs, "mark", where, "m", "wanted").filter("wanted")
+    where = where.hint("merge")         # by shuffle at every size
     return d.join(where, d["doc_id"].eqNullSafe(where["i"]) & (d["mark"] == where["m"])).select("cls", "text")
 
 
@@ -345,7 +361,7 @@ def join(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH,
     common = common_tokens(seen.filter("kind = 1").select(F.col("cls").alias("token"), "n"))
     shared = stash.put(shared_postings(postings(d, common, width, threshold)), "shared")
 
-    pairs = stash.put(shared.filter((F.col("cls") != F.col("leader")) & sizes_fit("n", "leader_n", threshold)).select("leader", "cls").distinct(), "pairs")
+    pairs = stash.put(shared.filter((F.col("cls") != F.col("leader")) & may_link(threshold)).select("leader", "cls").distinct(), "pairs")
 
     def texts_of(wanted: DataFrame, name: str) -> DataFrame:      # wholly equal rows give a class more than once
         where = wanted.distinct().join(classes, "cls").select("cls", F.col("sample.doc_id").alias("i"), F.col("sample.mark").alias("m"))

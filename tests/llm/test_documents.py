@@ -254,7 +254,7 @@ def test_shared_postings_across_batches(spark):
     rng = random.Random(1)
     post = [(t, -1, rng.randrange(3), c, 10) for t in range(200) for c in rng.sample(range(1000), rng.choice([1, 1, 2, 5, 40]))]
     post += rng.sample(post, 300) + [(999, c % 4, 1, c, 10) for c in range(50)]
-    df = spark.createDataFrame([(t, s, c % 3, c, n) for t, s, _, c, n in post], "token long, salt long, rare long, cls long, n long")
+    df = spark.createDataFrame([(t, s, c % 3, c, n, c % 2 == 0) for t, s, _, c, n in post], "token long, salt long, rare long, cls long, n long, short boolean")
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
     try:
@@ -270,6 +270,7 @@ def test_shared_postings_across_batches(spark):
             lead = min(cs, key=lambda c: (c % 3, c))
             want |= {(t, c, lead) for c in cs if c != lead or s >= 0}
     assert Counter((r["token"], r["cls"], r["leader"]) for r in got) == Counter(want)
+    assert all(r["short"] == (r["cls"] % 2 == 0) and r["leader_short"] == (r["leader"] % 2 == 0) for r in got)
 
 
 def test_quality_rules(docs, doc_rows, no_docs):
