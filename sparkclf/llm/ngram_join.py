@@ -291,15 +291,25 @@ def group_queries(shared: DataFrame, groups: DataFrame, threshold: int) -> DataF
     cells = shared.select("token", "cls", "short").join(groups, "cls")
     open_ = cells.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     cells = cells.join(open_, "token")
+    # at most a prefix of tokens per class: two classes meet at one token only, the smallest that counts for them
+    lists = cells.groupBy("cls").agg(F.collect_list("token").alias("all"), F.collect_list(F.when(F.col("short"), F.col("token"))).alias("first"))
+    cells = cells.join(lists, "cls")
+    alone = F.first("members") == 1
     matrix = (cells.groupBy("token", F.col("comp").alias("g_comp"), F.col("part").alias("g_part"))
                    .agg(F.first("members").alias("g_members"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
-                        F.min(F.when(F.col("short"), F.col("n"))).alias("s_lo"), F.max(F.when(F.col("short"), F.col("n"))).alias("s_hi")))
-    ask = cells.select("token", "cls", "n", "short", "comp", "members").join(matrix, "token")
+                        F.min(F.when(F.col("short"), F.col("n"))).alias("s_lo"), F.max(F.when(F.col("short"), F.col("n"))).alias("s_hi"),
+                        F.when(alone, F.first("all")).alias("g_all"), F.when(alone, F.first("first")).alias("g_first")))
+    ask = cells.select("token", "cls", "n", "short", "comp", "members", "all", "first").join(matrix, "token")
     n = F.col("n")
     larger = F.col("short") & (F.col("n_hi") >= n) & (100 * n >= threshold * F.col("n_lo"))
     lower = (F.col("s_lo") <= n) & (100 * F.col("s_hi") >= threshold * n)
     smaller = (F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("comp") < F.col("g_comp")))
-    return (ask.filter((F.col("comp") != F.col("g_comp")) & smaller & (larger | F.coalesce(lower, F.lit(False))))
+    common = (F.when(n < F.col("n_lo"), F.array_intersect("first", "g_all")).when(n > F.col("n_lo"), F.array_intersect("all", "g_first"))
+               .otherwise(F.array_intersect("first", "g_first")))
+    fits = 100 * F.least(n, F.col("n_lo")) >= threshold * F.greatest(n, F.col("n_lo"))
+    one = fits & F.coalesce(F.col("token") == F.array_min(common), F.lit(False))
+    meets = F.when(F.col("g_all").isNotNull(), one).otherwise(larger | F.coalesce(lower, F.lit(False)))
+    return (ask.filter((F.col("comp") != F.col("g_comp")) & smaller & meets)
                .select("cls", F.col("g_comp").alias("comp"), F.col("g_part").alias("part")).distinct())
 
 
