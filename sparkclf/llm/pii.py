@@ -5,7 +5,8 @@ disguised ones: a transducer rewrites the text piece by piece - homoglyphs, full
 and zero-width characters, spelled digits, "at" / "dot" disguises - and keeps for
 every written character the source span it stands for.  The same detectors run on
 the rewritten text and their spans are mapped back to source characters.  A mapped
-span is added unless it touches a plain one.  Each text is handled on its own, whole,
+span is added unless it lies within a plain one of its kind, so a disguised identifier
+stands beside the plain fragment that it holds.  Each text is handled on its own, whole,
 in Arrow batches; nothing is shuffled.
 
 Spans are code points, end exclusive.  Defined cases: null is empty text; repeated
@@ -98,7 +99,9 @@ _SPELT_RUN = re.compile(rf"(?:(?<!\w)(?:plus[ -]+)?(?:{_SPELT})(?!\w)|\+)(?:[ .,
 _SPELT_WORD = re.compile(rf"(?<!\w)(?:plus|{_SPELT})(?!\w)", re.I)
 _AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*|\s+(?:at|arroba)\s+|\s+@\s+|\s+@|@\s+|@|_at_|-at-)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punto|punkt|point)\s*[\])}>]\s*|\s+(?:dot|punto|punkt)\s+|_dot_|-dot-)"
-_MAIL_RUN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*?(?P<at>{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.I)
+_HOST = rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+"
+# "me at bob.smith@site.org" is prose before a plain address: a host that goes on to a plain @ and a host is a local part
+_MAIL_RUN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*?(?P<at>{_AT}){_HOST}(?![A-Za-z0-9._%+-]*@{_HOST})", re.I)
 _DOT_RUN, _AT_RUN = re.compile(_DOT, re.I), re.compile(_AT, re.I)
 _MAIL_HINT = re.compile(r"dot|punto|punkt|[\[({<]\s*(?:at|@|dot|\.|arroba|point)\s*[\])}>]")      # of lower-cased text
 _SPELT_HINT = re.compile(rf"(?:{_SPELT})[ .,()-]{{1,3}}(?:{_SPELT}|[0-9]+)[ .,()-]")
@@ -184,7 +187,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, s
     """(plain spans, all spans), each by start and then kind."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(detect(text), key=order)
-    more = [s for s in dict.fromkeys(disguised(text)) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+    more = [s for s in dict.fromkeys(disguised(text)) if not any(a <= s[0] and s[1] <= b and k == s[2] for a, b, k in base)]
     return base, sorted(base + more, key=order)
 
 

@@ -342,6 +342,19 @@ def test_pii_disguises_keep_source_offsets():
         assert base == every
 
 
+def test_pii_disguised_spans_beside_their_plain_fragment():
+    cases = {"j\u0430ne.doe@example.com": "ne.doe@example.com", "jane.doe@example.c\u043em": "jane.doe@example.c", "ja\u200bne@example.com": "ne@example.com",
+             "bob@mail.example [dot] com": "bob@mail.example", "jane@example.co\u200bm": "jane@example.co", "jane.d\u043ee@example.com": "e@example.com"}
+    for text, part in cases.items():
+        line = f"write to {text} now"
+        base, every = pii.spans(line)
+        assert [line[a:b] for a, b, _ in base] == [part]
+        assert {(line[a:b], k) for a, b, k in every} == {(part, "email"), (text, "email")} and len(every) == 2, text
+    for text in ("mail me at bob.smith@site.org dot", "bob@site.org and a dot"):
+        base, every = pii.spans(text)
+        assert len(base) == 1 and base == every, text
+
+
 def test_pii_query(docs, doc_rows, no_docs):
     got = pii.scan(docs).collect()
     want = [(r[0], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in brute_pii(r[1] or "")).encode()).hexdigest()) for r in doc_rows]
