@@ -97,14 +97,23 @@ _SPELT = "|".join(sorted(_NUMBER, key=len, reverse=True))
 _ALIKE_RUN = re.compile("[" + "".join(re.escape(c) for c in _ALIKE) + _HIDDEN + "]")
 _SPELT_RUN = re.compile(rf"(?:(?<!\w)(?:plus[ -]+)?(?:{_SPELT})(?!\w)|\+)(?:[ .,()-]{{1,3}}(?:(?:{_SPELT})(?!\w)|[0-9]+)){{5,}}", re.I)
 _SPELT_WORD = re.compile(rf"(?<!\w)(?:plus|{_SPELT})(?!\w)", re.I)
-_AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*|\s+(?:at|arroba)\s+|\s+@\s+|\s+@|@\s+|@|_at_|-at-)"
+# Signs written otherwise than @ and dot, and what an address may be made of.  Words and spaces count as signs only between
+# a local part and a host whose last label is not a number: "at 10.30" and "3 @ 4.50" are prose.  Hosts of addresses with
+# // or www. are no local parts.
+_AT_SIGN = r"\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*|\s+(?:at|arroba)\s+|\s+@\s+|\s+@|@\s+|_at_|-at-"
+_AT = rf"(?:{_AT_SIGN}|@)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punto|punkt|point)\s*[\])}>]\s*|\s+(?:dot|punto|punkt)\s+|_dot_|-dot-)"
-_HOST = rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+"
+# a label ends before _dot_ and -dot-, so that there is one way only to read a run
+_LABEL = r"[A-Za-z0-9_%+-](?:(?!(?:_dot_|-dot-)[A-Za-z0-9_%+-])[A-Za-z0-9_%+-])*"
+_HOST_LABEL = r"[A-Za-z0-9-](?:(?!-dot-[A-Za-z0-9-])[A-Za-z0-9-])*"
+_HOST = rf"{_HOST_LABEL}(?:(?:\.|{_DOT}){_HOST_LABEL})+"
 # "me at bob.smith@site.org" is prose before a plain address: a host that goes on to a plain @ and a host is a local part
-_MAIL_RUN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*?(?P<at>{_AT}){_HOST}(?![A-Za-z0-9._%+-]*@{_HOST})", re.I)
-_DOT_RUN, _AT_RUN = re.compile(_DOT, re.I), re.compile(_AT, re.I)
-_MAIL_HINT = re.compile(r"dot|punto|punkt|[\[({<]\s*(?:at|@|dot|\.|arroba|point)\s*[\])}>]")      # of lower-cased text
-_SPELT_HINT = re.compile(rf"(?:{_SPELT})[ .,()-]{{1,3}}(?:{_SPELT}|[0-9]+)[ .,()-]")
+_MAIL_RUN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?<!//)(?!www\.){_LABEL}(?:(?:\.|{_DOT}){_LABEL})*?(?P<at>{_AT}){_HOST}(?![A-Za-z0-9._%+-]*@{_HOST})", re.I)
+_DOT_RUN, _NUMBER_END = re.compile(_DOT, re.I), re.compile(r"(?<![A-Za-z0-9-])[0-9]+\Z")
+# Holds wherever _AT before a host (other than a plain @) or _DOT does, so without it no run is rewritten; one character is tried first, which is fast.
+_SIGN_HINT = re.compile(rf"[\s_[({{<@-](?:(?<=\s)(?:(?:at|arroba)\s+{_HOST}|@\s*{_HOST}|(?:dot|punto|punkt)\s)|(?<=@)\s+{_HOST}|(?<=[_-])(?:at|dot)[_-]"
+                        r"|(?<=[\[({<])\s*(?:at|@|arroba|dot|\.|punto|punkt|point)\s*[\])}>])", re.I)
+_SPELT_HINT = re.compile(rf"(?:{_SPELT})[ .,()-]{{1,3}}(?:{_SPELT}|[0-9]+)[ .,()-]|\+[ .,()-]")      # of lower-cased text
 _IP_HINT = re.compile(rf"[0-9]+(?:{_DOT})[0-9]+", re.I)
 
 
@@ -148,7 +157,10 @@ def _signs(t: Tape) -> Tape:
     edits = []
     for run in _MAIL_RUN.finditer(t.text):
         a, b = run.span("at")
-        if run.group("at") != "@" or _DOT_RUN.search(run.group()):
+        sign = run.group("at")
+        if sign != "@" and sign.strip().lower() in ("at", "arroba", "@") and _NUMBER_END.search(run.group()):
+            continue
+        if sign != "@" or _DOT_RUN.search(run.group()):
             found = {(a, b): "@"}
             for lo, hi in ((run.start(), a), (b, run.end())):
                 found |= {m.span(): "." for m in _DOT_RUN.finditer(t.text, lo, hi)}
@@ -172,7 +184,7 @@ def _may_be_alike(text: str) -> bool:
 def disguised(text: str) -> list[tuple[int, int, str]]:
     """Identifiers of the rewritten text as source spans; empty where nothing is disguised."""
     alike, low = not text.isascii() and _may_be_alike(text), text.lower()
-    spelt, signs = _SPELT_HINT.search(low), _MAIL_HINT.search(low)
+    spelt, signs = _SPELT_HINT.search(low), _SIGN_HINT.search(text)
     if not (alike or spelt or signs):
         return []
     t = _alike(Tape(text)) if alike else Tape(text)
