@@ -1,11 +1,17 @@
 """License scan: Dice coefficient over word bigrams against licence templates.
 
 Units are every line, every paragraph of several lines (between blank lines) and the
-whole text, normalised to lower-case words without punctuation.  The Dice coefficient
+whole text, normalised to lower-case words without punctuation.  Beside them stand
+windows of consecutive sentences, over line ends and blank lines: per template the best
+window from each sentence on, less those that better ones cover by half, given where no
+unit of the same lines has the same licence.  The Dice coefficient
 2 |A n B| / (|A| + |B|) of two bigram sets can reach t only if their sizes differ by
-at most the factor (2 - t) / t: templates outside these bounds are not compared, and
-a unit that shares no bigram with any template is dropped at once.  Texts are read
-whole, each in its row; the templates are a fixed short list in the task's closure.
+at most the factor (2 - t) / t, and the same share of the smaller one is common to both:
+a template of which the whole text holds less is not compared at all, a text without any
+such template is dropped at once, and windows end at the template's size times the factor.
+Texts are read whole, each in its row; the templates are a fixed short list in the
+task's closure.  Paragraphs of a template are templates too, unless they stand in several
+licences alike.
 
 Defined cases: null and empty texts match nothing; a unit of one word has no bigram;
 of equally good templates the first by name wins; repeated rows give repeated
@@ -14,6 +20,8 @@ results; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,42 +30,47 @@ from pyspark.sql import DataFrame
 from .common import pick
 
 THRESHOLD = 0.8
-# Short notices and standard headers of common public licences.
-TEMPLATES = {
+_HOPE = ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+         "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {}General Public License for more details.")
+_COPY = "You should have received a copy of the GNU {}General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+# Short notices and standard headers of common public licences; those of several paragraphs as tuples.
+_TEXTS = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
-                   'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
-                   'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
-                   "either express or implied. See the License for the specific language governing permissions and limitations under the License."],
+                   ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+                    "You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0",
+                    "Unless required by applicable law or agreed to in "
+                    'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+                    "either express or implied. See the License for the specific language governing permissions and limitations under the License.")],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License.",
-                     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-                     "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
-                     "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
-                     "disclaimer in the documentation and/or other materials provided with the distribution."],
+                     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+                      "are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+                      "disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+                      "disclaimer in the documentation and/or other materials provided with the distribution.")],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
-                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-                "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
-                "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
-                "PURPOSE. See the GNU General Public License for more details."],
+                ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                 "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", _HOPE.format("")),
+                ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                 "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", _HOPE.format(""), _COPY.format(""))],
     "ISC": ["Released under the ISC License.",
             "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
             "above copyright notice and this permission notice appear in all copies."],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.",
-            'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+            ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
             "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
             "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
-            "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+            "conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.")],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
                 "file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 _WORD = re.compile(r"[^\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
 
 
 def bigrams(text: str) -> frozenset:
@@ -65,26 +78,95 @@ def bigrams(text: str) -> frozenset:
     return frozenset(zip(words, words[1:]))
 
 
+def _with_paragraphs(texts: dict[str, list]) -> dict[str, list[str]]:
+    """Texts joined from their paragraphs, and then each paragraph that one licence alone has."""
+    parts = {name: {bigrams(p): p for t in ts if isinstance(t, tuple) for p in t} for name, ts in texts.items()}
+    held = Counter(b for p in parts.values() for b in p)
+    return {name: [*(t if isinstance(t, str) else " ".join(t) for t in ts), *(p for b, p in parts[name].items() if b and held[b] == 1)]
+            for name, ts in texts.items()}
+
+
+TEMPLATES = _with_paragraphs(_TEXTS)
+
+
 class Matcher:
-    """Best template of a unit's bigram set, by size-bounded candidates."""
+    """Best templates of a text's units and windows, by size-bounded candidates."""
 
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD):
-        self.sets = [(name, bigrams(t)) for name in sorted(templates) for t in templates[name]]
-        self.threshold, self.reach = threshold, (2 - threshold) / threshold
-        self.known = frozenset().union(*(s for _, s in self.sets))
-
-    def best(self, unit: frozenset) -> tuple[str, float] | None:
-        hits = unit & self.known
-        if not hits:
-            return None
+        sets = dict.fromkeys((name, bigrams(t), len(_WORD.findall(t))) for name in sorted(templates) for t in templates[name])
+        self.sets = [(k, *x) for k, x in enumerate(x for x in sets if x[1])]
+        self.threshold, self.reach = threshold, (2 - threshold) / threshold + 1e-9     # the comparison with the threshold decides
+        self.known = frozenset().union(*(s for _, _, s, _ in self.sets))
+
+    def live(self, whole: frozenset) -> list[tuple]:
+        """The templates of which a text's bigrams hold enough for any part of it to match, by size."""
+        hits = whole & self.known
+        return sorted((x for x in self.sets if len(x[2]) <= len(hits) * self.reach and len(x[2]) <= len(hits & x[2]) * self.reach), key=lambda x: len(x[2]))
+
+    def best(self, unit: frozenset, live: list[tuple]) -> tuple[str, float] | None:
         n, found = len(unit), None
-        for name, s in self.sets:
-            if len(s) > n * self.reach or n > len(s) * self.reach:
-                continue
-            dice = 2 * len(hits & s) / (n + len(s))
-            if dice >= self.threshold and (found is None or dice > found[1]):
-                found = name, dice
-        return found
+        size = lambda x: len(x[2])
+        for k, name, s, _ in live[bisect_left(live, n / self.reach, key=size):bisect_right(live, n * self.reach, key=size)]:
+            dice = 2 * len(unit & s) / (n + len(s))
+            if dice >= self.threshold and (found is None or (dice, -k) > found[:2]):
+                found = dice, -k, name
+        return found and (found[2], found[0])
+
+    def windows(self, text: str, live: list[tuple]) -> Iterator[tuple[int, int, str, float]]:
+        """(first line, line after the last, licence, Dice) of the best windows of sentences, less those that better ones cover by half."""
+        words, start, line = [], [], []
+        for i, x in enumerate(text.split("\n")):
+            for piece in _SENTENCE.split(x):
+                w = _WORD.findall(piece.casefold())
+                if w:
+                    start.append(len(words))
+                    line.append(i)
+                    words += w
+        start.append(len(words))
+        pairs, found = list(zip(words, words[1:])), []
+        for k, _, s, n_words in live:
+            before = [0]                                     # hits among the pairs before each
+            for p in pairs:
+                before.append(before[-1] + (p in s))
+            for i in range(len(line)):
+                last = min(len(pairs), start[i] + int(n_words * self.reach))
+                if before[min(start[i + 1], len(pairs))] == before[start[i]] or (before[last] - before[start[i]]) * self.reach < len(s):
+                    continue
+                seen, hits, top, at = set(), 0, None, start[i]
+                for j in range(i + 1, len(start)):
+                    if start[j] - start[i] > n_words * self.reach:
+                        break
+                    for p in pairs[at:start[j] - 1]:
+                        if p not in seen:
+                            seen.add(p)
+                            hits += p in s
+                    at = max(at, start[j] - 1)
+                    if len(seen) > len(s) * self.reach:
+                        break
+                    dice = 2 * hits / (len(seen) + len(s))
+                    if dice >= self.threshold and (top is None or dice > top[0]):
+                        top = dice, j
+                if top:
+                    found.append((-top[0], -len(s), i, k, top[1]))
+        taken = bytearray(len(line))
+        names = {x[0]: x[1] for x in live}
+        for dice, _, i, k, j in sorted(found):
+            if 2 * sum(taken[i:j]) < j - i:
+                taken[i:j] = b"\1" * (j - i)
+                yield line[i], line[j - 1] + 1, names[k], -dice
+
+    def rows(self, text: str) -> list[tuple[int, int, str, float]]:
+        """(first line, line after the last, licence, Dice) of the matching units, then of windows that no unit gives."""
+        live = self.live(bigrams(text))
+        if not live:
+            return []
+        out = [(lo, hi, *found) for lo, hi, unit in units(text) if (found := self.best(bigrams(unit), live))]
+        given = {x[:3] for x in out}
+        for x in self.windows(text, live):
+            if x[:3] not in given:
+                given.add(x[:3])
+                out.append(x)
+        return out
 
 
 def units(text: str) -> Iterator[tuple[int, int, str]]:
@@ -105,7 +187,7 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def scan(docs: DataFrame, id_col="doc_id", text_col="text", templates: dict = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, first_line, end_line, license, dice), one row per matching unit."""
+    """(doc_id, first_line, end_line, license, dice), one row per matching unit or window."""
     d = pick(docs, doc_id=id_col, text=text_col)
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, first_line long, end_line long, license string, dice double"
 
@@ -114,10 +196,7 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", templates: dict = TE
         for b in batches:
             rows = []
             for r, text in enumerate(b.column("text").to_pylist()):
-                for lo, hi, unit in units(text or ""):
-                    found = match.best(bigrams(unit))
-                    if found:
-                        rows.append((r, lo, hi, *found))
+                rows += ((r, *x) for x in match.rows(text or ""))
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),

@@ -399,6 +399,24 @@ def test_license_scan(spark, docs, doc_rows, no_docs):
     assert license.scan(docs).count() == 0 and license.scan(no_docs).count() == 0
 
 
+def test_license_windows():
+    """Notices inside longer lines, over line ends and over blank lines, inside longer texts."""
+    rng = random.Random(5)
+    match, filler = license.Matcher(), lambda n: ". ".join(words(rng, 9) for _ in range(n))
+    got = lambda t: [x for x in match.rows(t) if x[3] >= 0.8]
+    assert got("Notes on the parser. Licensed under the MIT License. See the wiki.") == [(0, 1, "MIT", 1.0)]
+    assert got(f"{filler(40)}. Licensed under the MIT License. Released under the BSD 2-Clause License. {filler(40)}") == [(0, 1, "BSD-2-Clause", 1.0), (0, 1, "MIT", 1.0)]
+    assert got(f"{filler(3)}.\nLicensed\nunder the Apache License,\nVersion 2.0.\n{filler(3)}") == [(1, 4, "Apache-2.0", 1.0)]
+    for name, texts in license._TEXTS.items():
+        for parts in (t for t in texts if isinstance(t, tuple)):
+            text = "\n".join([filler(30), "", "\n\n".join(p.replace(", ", ",\n * ") for p in parts), "", filler(60)])
+            lines = text.split("\n")
+            lo, hi = 2, len(lines) - 2
+            assert (lo, hi, name, 1.0) in got(text), (name, got(text))
+            assert {x[2] for x in got(text)} == {name}
+    assert got(filler(400)) == [] and got("\n\n") == [] and got("word") == []
+
+
 def test_classifier(spark, docs, doc_rows, no_docs):
     rng = random.Random(2)
     rows, labels = [], []
