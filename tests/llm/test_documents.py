@@ -417,6 +417,23 @@ def test_license_windows():
     assert got(filler(400)) == [] and got("\n\n") == [] and got("word") == []
 
 
+def test_license_full_texts_and_headers():
+    """Full texts are found whole, alone and within a longer text, and headers go to their own version."""
+    rng, match = random.Random(6), license.Matcher()
+    for name in license.FULL:
+        full = next(t for t in license.TEMPLATES[name] if len(t) > 5000)
+        lines = full.split("\n")
+        assert max(match.rows(full), key=lambda x: x[1] - x[0])[2:] == (name, 1.0), name
+        text = words(rng, 3000) + ".\n\n" + full + "\n" + words(rng, 9000)
+        best = max(match.rows(text), key=lambda x: x[1] - x[0])
+        assert best[2] == name and best[3] > 0.99 and best[1] - best[0] > 0.9 * len(lines), (name, best)
+    head = license.TEMPLATES["GPL-3.0"][1]
+    for old, new, name in (("", "", "GPL-3.0"), ("version 3", "version 2", "GPL-2.0"), ("GNU", "GNU Affero", "AGPL-3.0"), ("GNU", "GNU Lesser", "LGPL-3.0")):
+        assert {x[2] for x in match.rows(head.replace(old, new))} == {name}
+    bsd = license._BSD
+    assert match.rows("\n".join(bsd[:4]))[-1][2] == "BSD-3-Clause" and match.rows("\n".join([*bsd[:3], bsd[4]]))[-1][2] == "BSD-2-Clause"
+
+
 def test_classifier(spark, docs, doc_rows, no_docs):
     rng = random.Random(2)
     rows, labels = [], []
