@@ -362,7 +362,9 @@ def marked_texts(docs: DataFrame, where: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, mark, n_shingles, class_id, component_id), one row per document; mark = xxhash64 of its text."""
+    """(doc_id, mark, n_shingles, class_id, component, component_id), one row per document.
+
+    mark = xxhash64 of its text; component = a class of its component, component_id = the smallest doc_id there."""
     stash = Stash(docs.sparkSession, "jaccard")
     d = pick(docs, doc_id=id_col, text=text_col).withColumn("mark", F.xxhash64("text"))
     seen = stash.put(census(d, width), "census")
@@ -390,16 +392,16 @@ def join(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH,
         if has_rows(found):
             comps = stash.put(components(links.unionByName(found), stash, "all"), "components")
     of = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
-    of = stash.put(of.join(of.groupBy("comp").agg(F.min("first").alias("component")), "comp").select("cls", "component"), "of")
+    of = stash.put(of.join(of.groupBy("comp").agg(F.min("first").alias("least")), "comp").select("cls", "comp", "least"), "of")
     return (rows.join(of, "cls", "left")
-                .select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"),
-                        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")))
+                .select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.col("comp").alias("component"),
+                        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", **kw) -> DataFrame:
-    """One document of each group: that with the smallest id (of rows of one id, one).  Documents without words stay."""
+    """One document of each group: that with the smallest id (of rows of one id, one; of a group without ids, one).  Documents without words stay."""
     j = join(docs, id_col, text_col, **kw)
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("class "), F.col("class_id").cast("string")))
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("component "), F.col("component").cast("string")))
     first = j.filter("class_id IS NOT NULL").groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("x"))
     keep = first.select(F.col("x.doc_id").alias("_id"), F.col("x.mark").alias("_mark")).unionByName(
         j.filter("class_id IS NULL").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct())

@@ -233,6 +233,14 @@ def test_ngram_join(docs, doc_rows, no_docs):
     assert ngram_join.join(no_docs).count() == 0 and ngram_join.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_of_linked_rows_without_ids(spark):
+    w = [f"w{i}" for i in range(80)]
+    texts = [" ".join(w), " ".join([*w[:79], "x"]), " ".join([*w[:78], "y", "z"]), " ".join(reversed(w))]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(None, texts[0])], "doc_id long, text string")
+    kept = [r["text"] for r in ngram_join.keep_one(df).collect()]
+    assert len(kept) == 2 and texts[3] in kept
+
+
 def test_ngram_join_opens_groups(spark):
     """Chains of near copies: links that no leader sees must be found through the token-group matrix."""
     rng = random.Random(5)
