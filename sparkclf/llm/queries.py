@@ -11,8 +11,10 @@ from . import linedup as _linedup
 from . import mix as _mix
 from . import ngram_join as _ngram_join
 from . import pack as _pack
+from . import piece_bpe as _piece_bpe
 from . import pii as _pii
 from . import quality as _quality
+from . import repair as _repair
 from . import topk as _topk
 
 QUERIES: dict = {}
@@ -225,3 +227,80 @@ FROM d LEFT JOIN g USING (rk)
 @query("op3_line_dedup", OP3_SQL)
 def op3_line_dedup(spark, sf_dir):
     return _linedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark, sf_dir):
+    docs = _piece_bpe.decode(_piece_bpe.encode(_table(spark, sf_dir, "documents")))
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _op12_sql() -> str:
+    """One list_reduce per conversation carries the cheapest (cost, audit, text) of the states z, s, u and a."""
+    def way(state, cost, letter, row=None):
+        text = f"{state}.o || chr(10) || {row}" if row else f"{state}.o"
+        return f"{{'c': {state}.c + {cost}, 't': {state}.t || '{letter}', 'o': {text}}}"
+
+    def least(*ways):
+        return f"list_min([{', '.join(ways)}])"
+
+    def insert(acc):
+        return (f"{{'z': {acc}.z, 's': {acc}.s, 'u': {least(f'{acc}.u', *(way(f'{acc}.{x}', 2, 'I', chr(39) + 'user:' + chr(39)) for x in 'zsa'))}, "
+                f"'a': {least(f'{acc}.a', way(f'{acc}.u', 2, 'I', chr(39) + 'assistant:' + chr(39)))}}}")
+
+    def edit(x, initial, name):
+        kept, given = "x.role || ':' || x.text", f"'{name}:' || x.text"
+        return (f"CASE WHEN x.fault IN (1, 2) THEN {{'c': 1000000000::BIGINT, 't': '', 'o': ''}} WHEN x.initial = '{initial}' "
+                f"THEN {way(x, 'x.pay', 'K', kept)} ELSE {way(x, '2 + x.pay', 'R', given)} END")
+
+    def step(acc):
+        keep_s = (f"CASE WHEN x.initial = 's' AND x.fault NOT IN (1, 2) THEN {way(f'{acc}.z', 'x.pay', 'K', 'x.role || chr(58) || x.text')} "
+                  f"ELSE {{'c': 1000000000::BIGINT, 't': '', 'o': ''}} END")
+        return (f"{{'z': {way(f'{acc}.z', 3, 'D')}, 's': {least(way(f'{acc}.s', 3, 'D'), keep_s)}, "
+                f"'u': {least(way(f'{acc}.u', 3, 'D'), *(edit(f'{acc}.{y}', 'u', 'user') for y in 'zsa'))}, "
+                f"'a': {least(way(f'{acc}.a', 3, 'D'), edit(f'{acc}.u', 'a', 'assistant'))}}}")
+
+    def after(expr, fn, acc):
+        return f"list_reduce([0], lambda {acc}, _{acc}: {fn(acc)}, {expr})"
+
+    none = "{'c': 1000000000::BIGINT, 't': '', 'o': ''}"
+    start = f"{{'z': {{'c': 0::BIGINT, 't': '', 'o': ''}}, 's': {none}, 'u': {none}, 'a': {none}}}"
+    def ins(expr, p):
+        return after(after(expr, insert, p), insert, p + "2")
+
+    return rf"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+c AS (SELECT *, xor(list_reduce(string_split(key, ''), lambda h, ch: list_reduce(range(8), lambda g, _: xor(g >> 1, 3988292384 * (g & 1)),
+                    xor(h, ascii(ch)::BIGINT)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, substr(role, 1, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM o),
+g AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN nth > 1 THEN 2 WHEN bare[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM f),
+h AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+             count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+             count(*) FILTER (prev IS NOT NULL AND prev || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+             list({{'role': role, 'text': text, 'initial': initial, 'fault': fault, 'pay': (fault = 3)::BIGINT}} ORDER BY i) AS rows
+      FROM g GROUP BY conv_id),
+r AS (SELECT * EXCLUDE (rows), {ins(f"list_reduce(rows, lambda b, x: {after(ins('b', 'p'), step, 'q')}, {start})", 'e')} AS w FROM h),
+b AS (SELECT *, list_min([w.z, w.a]) AS best FROM r)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+       coalesce(best.t, '') AS audit, sha256(coalesce(substr(best.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN b ON i.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+@query("op12_repair", OP12_SQL)
+def op12_repair(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations")
+    return _repair.repair(_repair.damage(rows), rows)
