@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from . import align as _align
 from . import chat as _chat
 from . import gam as _gam
 from . import license as _license
@@ -304,3 +305,11 @@ OP12_SQL = _op12_sql()
 def op12_repair(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations")
     return _repair.repair(_repair.damage(rows), rows)
+
+
+@query("op13_align")
+def op13_align(spark, sf_dir):
+    aligned = _align.align(_table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    out = _align.score(aligned.withColumn("groups_sha256", digest), ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"])
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
