@@ -25,7 +25,6 @@ an empty result.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,14 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import Stash, pick
 from .pack import Encoder, public_encoder
-from .piece_bpe import PieceModel, public_model
 
 CHUNK_DOCS = 1 << 16
 CHUNK_LINKS = 1 << 22
-CACHE_RUNS = 200_000     # aligned runs a task remembers; it starts anew beyond that
-CACHE_CHARS = 48
-#: A space between two characters that are no white space: neither tokeniser's tokens reach over its left side.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+SLICE = 256              # documents encoded at a time
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,68 +49,56 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Aligner:
-    """Aligned tokens of a text: (number of A ids, of B ids, of groups, group text, linked (A id << 32 | B id) as bytes)."""
+    """Aligned tokens of texts: (number of A ids, of B ids, of groups, group text, linked A id * 2^32 + B id)."""
 
-    def __init__(self, a: Encoder, b: PieceModel):
-        self.a, self.b = a, b
+    NONE = (0, 0, 0, "", np.zeros(0, np.int64))
+
+    def __init__(self, a: Encoder, b_path: str):
+        import sentencepiece
+        self.a, self.b = a, sentencepiece.SentencePieceProcessor(model_file=b_path)
         table = byte_alphabet()
         names = a.whole.get_vocab(with_added_tokens=True)
-        self.a_bytes = {i: bytes(table[c] for c in x) for x, i in names.items() if all(c in table for c in x)}
-        self._cache: dict[str, tuple | None] = {}
-
-    def run(self, text: str) -> tuple | None:
-        """Alignment of a stretch that begins with a space; None where the tokens' bytes differ from it."""
-        raw = text.encode()
-        a = np.frombuffer(self.a(text), "<u4").tolist()
-        b = np.frombuffer(self.b.encode(text[1:]) if len(text) > 1 else b"", "<i4").tolist()
-        left, right = [self.a_bytes.get(i, b"") for i in a], [self.b.surface[i] for i in b]
-        if b"".join(left) != raw or b"".join(right) != raw:
-            return None
-        groups, links, i, j, at = [], [], 0, 0, 0
-        while i < len(a):
-            i0, j0 = i, j
-            x, y = at + len(left[i]), at + len(right[j])
-            while x != y:
-                if x < y:
-                    i += 1
-                    x += len(left[i])
-                else:
-                    j += 1
-                    y += len(right[j])
-            groups.append(",".join(map(str, a[i0:i + 1])) + "|" + ",".join(map(str, b[j0:j + 1])))
-            links.append(a[i] << 32 | b[j])
-            i, j, at = i + 1, j + 1, x
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, "<i8").tobytes()
-
-    def __call__(self, text: str | None) -> tuple:
-        if not text:
-            return 0, 0, 0, "", b""
-        cache, out = self._cache, []
+        self.a_bytes = [b""] * (max(names.values()) + 1)
+        for x, i in names.items():
+            if all(c in table for c in x):
+                self.a_bytes[i] = bytes(table[c] for c in x)
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(x[3:-1], 16)]) if self.b.is_byte(i) else x.replace("\u2581", " ").encode() for i, x in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # An id as it stands in the group text: A inside a group, A at its end, B inside, B at its end.
+        n, m = len(self.a_bytes), len(pieces)
+        self.shown = [*(f"{i}," for i in range(n)), *(f"{i}|" for i in range(n)), *(f"{i}," for i in range(m)), *(f"{i};" for i in range(m))]
+
+    def one(self, text: str, b_ids: list[int]) -> tuple:
         text = " " + text
-        edges = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
-        for lo, hi in zip(edges, edges[1:]):
-            run = text[lo:hi]
-            got = cache.get(run, cache)
-            if got is cache:
-                got = self.run(run)
-                if len(run) <= CACHE_CHARS:
-                    if len(cache) > CACHE_RUNS:
-                        cache.clear()
-                    cache[run] = got
-            if got is None:
-                return 0, 0, 0, "", b""
-            out.append(got)
-        n_a, n_b, n_groups, groups, links = zip(*out)
-        return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links)
+        raw, a, b = text.encode(), np.frombuffer(self.a(text), "<u4").astype(np.int64), np.array(b_ids, np.int64)
+        if (b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw
+                or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw):
+            return self.NONE
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        meets = np.searchsorted(b_end, a_end)                 # both end at the text's end, so every place exists
+        a_last = b_end[meets] == a_end
+        b_last = np.zeros(len(b), bool)
+        b_last[meets[a_last]] = True
+        order = np.argsort(np.concatenate([2 * (np.cumsum(a_last) - a_last), 2 * (np.cumsum(b_last) - b_last) + 1]), kind="stable")
+        n, m = len(self.a_bytes), len(self.b_bytes)
+        code = np.concatenate([a + n * a_last, b + 2 * n + m * b_last])[order]
+        groups = "".join(map(self.shown.__getitem__, code.tolist()))[:-1]
+        return len(a), len(b), int(a_last.sum()), groups, (a[a_last] << 32) | b[b_last]
+
+    def __call__(self, texts: list[str | None]) -> list[tuple]:
+        ids = self.b.encode([t or "" for t in texts], num_threads=1)
+        return [self.one(t, i) if t else self.NONE for t, i in zip(texts, ids)]
 
 
 @functools.lru_cache(maxsize=2)
-def load(encoder: Callable, model: Callable) -> Aligner:
-    return Aligner(encoder(), model())
+def load(encoder: Callable, b_path: str) -> Aligner:
+    return Aligner(encoder(), b_path)
 
 
 def public_aligner() -> Aligner:
-    return load(public_encoder, public_model)
+    import public_tokenizers as P
+    return load(public_encoder, P.path("piece_bpe_32k.model"))
 
 
 def align(docs: DataFrame, id_col="doc_id", text_col="text", aligner=public_aligner) -> DataFrame:
@@ -125,14 +108,14 @@ def align(docs: DataFrame, id_col="doc_id", text_col="text", aligner=public_alig
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = aligner()
         for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                part = b.slice(s, 1024)
-                n_a, n_b, n_groups, groups, links = zip(*map(each, part.column("text").to_pylist()))
-                ends = np.cumsum([0, *(len(x) // 8 for x in links)], dtype=np.int64)
-                ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(links), "<i8")))
+            for s in range(0, b.num_rows, SLICE):
+                part = b.slice(s, SLICE)
+                n_a, n_b, n_groups, groups, links = zip(*each(part.column("text").to_pylist()))
+                ends = np.cumsum([0, *map(len, links)]).astype("<i4")
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)), pa.array(groups, pa.string()),
-                     ids.cast(pa.list_(pa.int64()))], ["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(links)))],
+                    ["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
     return d.mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, groups string, links array<long>")

@@ -9,9 +9,9 @@ position, one compatibility test per candidate fills the table from left to righ
 the ids are read off backwards from its end.  Work and memory are linear in the text.
 
 The library turns spaces into U+2581 and puts one in front; characters without a piece
-become one byte piece per UTF-8 byte.  As no piece of the model holds a U+2581 behind
-another character, no merge crosses such a place and texts are encoded word by word,
-short words from a cache.  A model that has such pieces is encoded text by text.
+become one byte piece per UTF-8 byte.  Texts are encoded word by word, short words from a
+cache; words end where no piece of the model reaches across (``word_pattern``).  A model
+whose pieces hold a U+2581 behind another character is encoded text by text.
 
 Defined cases: null and empty texts have no ids, and decode to the empty text; white space,
 control strings such as ``<s>`` and byte names such as ``<0x0A>`` inside a text are ordinary
@@ -39,6 +39,33 @@ CACHE_PAIRS = 2_000_000  # remembered compatibility tests
 _HIGH = re.compile("[\udc80-\udcff]")
 
 
+def word_pattern(pieces) -> str:
+    """Pattern of stretches that no merge crosses.
+
+    Characters that stand side by side in a piece belong together.  The largest set of such
+    characters (the letters, in the public model) is never merged with any other character
+    but a U+2581 before it, nor is any character with a U+2581 behind it.
+    """
+    if any(SPACE in x.lstrip(SPACE) for x in pieces):
+        return "(?s:.+)"
+    head: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while head.setdefault(c, c) != c:
+            head[c] = c = head[head[c]]
+        return c
+
+    for x in pieces:
+        x = x.lstrip(SPACE)
+        for c, d in zip(x, x[1:]):
+            head[find(c)] = find(d)
+    sets: dict[str, list[str]] = {}
+    for c in list(head):
+        sets.setdefault(find(c), []).append(c)
+    most = re.escape("".join(sorted(max(sets.values(), key=len, default=[SPACE]))))
+    return f"{SPACE}*[{most}]+|{SPACE}*[^{SPACE}{most}]+|{SPACE}+"
+
+
 class PieceModel:
     """A SentencePiece BPE model with identity normalisation, dummy prefix and byte fallback."""
 
@@ -60,8 +87,7 @@ class PieceModel:
         for i in plain:
             self.automaton.add_word(names[i], i)
         self.automaton.make_automaton()
-        cut = not any(SPACE in x.lstrip(SPACE) for x in self.ids)
-        self._words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if cut else "(?s:.+)")
+        self._words = re.compile(word_pattern(self.ids))
         # What a piece decodes to; bytes from 0x80 on stand as lone surrogates until runs are known.
         self.shown = [x.replace(SPACE, " ") for x in names]
         for b, i in byte.items():
