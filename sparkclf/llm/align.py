@@ -25,6 +25,7 @@ an empty result.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,8 +38,9 @@ from .common import Stash, pick
 from .pack import Encoder, public_encoder
 
 CHUNK_DOCS = 1 << 16
-CHUNK_LINKS = 1 << 22
+CHUNK_LINKS = 1 << 20
 SLICE = 256              # documents encoded at a time
+CACHE_WORDS = 150_000    # entries of a task's word cache of A
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -87,6 +89,8 @@ class Aligner:
         return len(a), len(b), int(a_last.sum()), groups, (a[a_last] << 32) | b[b_last]
 
     def __call__(self, texts: list[str | None]) -> list[tuple]:
+        if len(self.a.words) > CACHE_WORDS:
+            self.a.words.clear()
         ids = self.b.encode([t or "" for t in texts], num_threads=1)
         return [self.one(t, i) if t else self.NONE for t, i in zip(texts, ids)]
 
@@ -167,47 +171,58 @@ def postings(links: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
         yield int(pair[lo]), [pack_bits(at if top == 1 else at[(n >> k) & 1 == 1], size) for k in range(top)]
 
 
-def invert(aligned: DataFrame, keep: list[str], chunk_docs: int = CHUNK_DOCS, chunk_links: int = CHUNK_LINKS) -> DataFrame:
-    """(chunk, docs array<struct<keep>>, postings array<struct<pair, planes, n_docs, n_links>>), one row per chunk."""
+_DOC = "n_a:long,n_b:long,n_groups:long,groups_sha256:string"
+
+
+def invert(docs: DataFrame, id_col="doc_id", text_col="text", aligner=public_aligner, chunk_docs: int = CHUNK_DOCS,
+           chunk_links: int = CHUNK_LINKS) -> DataFrame:
+    """(chunk, docs array<struct<doc_id, n_a, n_b, n_groups, groups_sha256>>,
+    postings array<struct<pair, planes, n_docs, n_links>>), one row per chunk of aligned documents.
+
+    groups_sha256: hex digest of the group text that ``align`` returns, empty for a document without tokens.
+    """
     if not 0 < chunk_docs <= CHUNK_DOCS:
         raise ValueError(f"a chunk has 1 to {CHUNK_DOCS} documents")
-    rows = aligned.select(*keep, "links")
-    doc = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    schema = f"chunk long, docs array<struct<{doc}>>, postings array<struct<pair:long,planes:array<binary>,n_docs:long,n_links:long>>"
+    d = pick(docs, doc_id=id_col, text=text_col)
+    kind = d.schema["doc_id"].dataType.simpleString()
+    schema = (f"chunk long, docs array<struct<doc_id:{kind},{_DOC}>>, "
+              "postings array<struct<pair:long,planes:array<binary>,n_docs:long,n_links:long>>")
+
+    def close(number: int, ids: list, figures: list, links: list) -> pa.RecordBatch:
+        found = list(postings(links))
+        n_a, n_b, n_groups, digest = zip(*figures)
+        kept = pa.StructArray.from_arrays(
+            [pa.concat_arrays(ids), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)), pa.array(digest, pa.string())],
+            ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"])
+        post = pa.StructArray.from_arrays(
+            [pa.array([p for p, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.binary())),
+             pa.array([popcount(or_merge(x, len(links))) for _, x in found], pa.int64()),
+             pa.array([sum(popcount(y) << k for k, y in enumerate(x)) for _, x in found], pa.int64())],
+            ["pair", "planes", "n_docs", "n_links"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept),
+             pa.ListArray.from_arrays(pa.array([0, len(post)], pa.int32()), post)], ["chunk", "docs", "postings"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, docs, links, held = TaskContext.get().partitionId() << 32, [], [], 0
-
-        def close() -> pa.RecordBatch:
-            found = list(postings(links))
-            kept = pa.concat_arrays(docs)
-            post = pa.StructArray.from_arrays(
-                [pa.array([p for p, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.binary())),
-                 pa.array([popcount(or_merge(x, len(links))) for _, x in found], pa.int64()),
-                 pa.array([sum(popcount(y) << k for k, y in enumerate(x)) for _, x in found], pa.int64())],
-                ["pair", "planes", "n_docs", "n_links"])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept),
-                 pa.ListArray.from_arrays(pa.array([0, len(post)], pa.int32()), post)], ["chunk", "docs", "postings"])
-
+        each, number, ids, figures, links, held = aligner(), TaskContext.get().partitionId() << 32, [], [], [], 0
         for b in batches:
-            cells = b.column("links")
-            ends, ids = cells.offsets.to_numpy(), cells.values.to_numpy()
-            kept = pa.StructArray.from_arrays([b.column(k) for k in keep], keep)
-            start = 0
-            for i in range(b.num_rows):
-                links.append(np.array(ids[ends[i]:ends[i + 1]]))
-                held += len(links[-1])
-                if len(links) >= chunk_docs or held >= chunk_links:
-                    docs.append(kept.slice(start, i + 1 - start))
-                    yield close()
-                    number, docs, links, held, start = number + 1, [], [], 0, i + 1
-            if start < b.num_rows:
-                docs.append(kept.slice(start))
+            for s in range(0, b.num_rows, SLICE):
+                part = b.slice(s, SLICE)
+                start = 0
+                for i, (n_a, n_b, n_groups, groups, linked) in enumerate(each(part.column("text").to_pylist())):
+                    figures.append((n_a, n_b, n_groups, hashlib.sha256(groups.encode()).hexdigest() if groups else ""))
+                    links.append(linked)
+                    held += len(linked)
+                    if len(links) >= chunk_docs or held >= chunk_links:
+                        ids.append(part.column("doc_id").slice(start, i + 1 - start))
+                        yield close(number, ids, figures, links)
+                        number, ids, figures, links, held, start = number + 1, [], [], [], 0, i + 1
+                if start < part.num_rows:
+                    ids.append(part.column("doc_id").slice(start))
         if links:
-            yield close()
+            yield close(number, ids, figures, links)
 
-    return rows.mapInArrow(run, schema)
+    return d.mapInArrow(run, schema)
 
 
 def pair_counts(chunks: DataFrame) -> DataFrame:
@@ -228,10 +243,10 @@ def lexicon(counts: DataFrame) -> DataFrame:
                           (F.col("n_links") == F.col("top")).alias("best")))
 
 
-def score(aligned: DataFrame, keep: list[str], chunk_docs: int = CHUNK_DOCS, chunk_links: int = CHUNK_LINKS) -> DataFrame:
-    """The ``keep`` columns of each document with n_links, n_best and count_sum (sum of its links' corpus-wide counts)."""
-    stash = Stash(aligned.sparkSession, "align")
-    chunks = stash.put(invert(aligned, keep, chunk_docs, chunk_links), "chunks")
+def score(chunks: DataFrame) -> DataFrame:
+    """Each document of ``invert`` with n_links, n_best (links of a best pair) and count_sum (its links' corpus-wide counts)."""
+    stash = Stash(chunks.sparkSession, "align")
+    chunks = stash.put(chunks, "chunks")
     words = stash.put(lexicon(pair_counts(chunks)), "lexicon")
     mine = chunks.select(F.col("chunk").alias("to_chunk"), F.explode("postings.pair").alias("pair"))
     back = mine.join(words.select("pair", "n_links", "best"), "pair")

@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from .common import pick
 
 SPACE = "▁"
-CACHE_WORDS = 300_000    # entries of a task's word cache; it starts anew beyond that
+CACHE_WORDS = 200_000    # entries of a task's word cache; it starts anew beyond that
 CACHE_CHARS = 64         # longer words are encoded each time
-CACHE_PAIRS = 2_000_000  # remembered compatibility tests
+CACHE_PAIRS = 300_000    # remembered compatibility tests
+SLICE = 256              # documents encoded at a time
 _HIGH = re.compile("[\udc80-\udcff]")
 
 
@@ -101,7 +102,7 @@ class PieceModel:
         for b, i in byte.items():
             self.surface[i] = bytes([b])
         self._plain = set(plain)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._cache: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -119,7 +120,7 @@ class PieceModel:
 
     def fits(self, left: int, right: int) -> bool:
         """Do the pieces stay apart when they meet?  ``left`` -1: nothing that merges stands before."""
-        key = (left, right)
+        key = left << 32 | right
         ok = self._fits.get(key)
         if ok is None:
             if len(self._fits) > CACHE_PAIRS:
@@ -135,7 +136,7 @@ class PieceModel:
             end += 1
             if last[end] < 0:
                 before = last[end - size[t]]
-                ok = known.get((before, t))
+                ok = known.get(before << 32 | t)
                 if ok or (ok is None and self.fits(before, t)):
                     last[end] = t
         return last
@@ -199,21 +200,27 @@ def public_model() -> PieceModel:
     return load(P.path("piece_bpe_32k.model"))
 
 
-def encode(docs: DataFrame, id_col="doc_id", text_col="text", model=public_model) -> DataFrame:
-    """(doc_id, ids array<int>), one row per row of ``docs``; ``model`` is called in the tasks."""
+def encode(docs: DataFrame, id_col="doc_id", text_col="text", model=public_model, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>), one row per row of ``docs``; ``model`` is called in the tasks.
+
+    ``decoded`` adds ``text``, decoded from the ids, in the same pass.
+    """
     d = pick(docs, doc_id=id_col, text=text_col)
+    names = ["doc_id", "ids", *(["text"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
         for b in batches:
-            found = [m.encode(t or "") for t in b.column("text").to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int64)
-            for lo, hi in _spans(ends):
-                ids = pa.ListArray.from_arrays(pa.array((ends[lo:hi + 1] - ends[lo]).astype("<i4")),
-                                               pa.array(np.frombuffer(b"".join(found[lo:hi]), "<i4")))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), ids], ["doc_id", "ids"])
+            for s in range(0, b.num_rows, SLICE):
+                part = b.slice(s, SLICE)
+                found = [np.frombuffer(m.encode(t or ""), "<i4") for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, found)]).astype("<i4")
+                cols = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))]
+                if decoded:
+                    cols.append(pa.array([m.decode(x.tolist()) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", text string" * decoded)
 
 
 def decode(tokens: DataFrame, id_col="doc_id", ids_col="ids", model=public_model) -> DataFrame:
@@ -228,12 +235,3 @@ def decode(tokens: DataFrame, id_col="doc_id", ids_col="ids", model=public_model
                                              ["doc_id", "ids", "text"])
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
-
-
-def _spans(ends: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` ids each (or one row)."""
-    lo, n = 0, len(ends) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
-        yield lo, hi
-        lo = hi

@@ -232,7 +232,7 @@ def op3_line_dedup(spark, sf_dir):
 
 @query("op11_sentencepiece")
 def op11_sentencepiece(spark, sf_dir):
-    docs = _piece_bpe.decode(_piece_bpe.encode(_table(spark, sf_dir, "documents")))
+    docs = _piece_bpe.encode(_table(spark, sf_dir, "documents"), decoded=True)
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
@@ -309,7 +309,5 @@ def op12_repair(spark, sf_dir):
 
 @query("op13_align")
 def op13_align(spark, sf_dir):
-    aligned = _align.align(_table(spark, sf_dir, "documents"))
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-    out = _align.score(aligned.withColumn("groups_sha256", digest), ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256"])
+    out = _align.score(_align.invert(_table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -71,6 +71,8 @@ def test_word_pattern_never_cuts_where_a_piece_reaches():
 
 def test_encode_and_decode_rows(spark, docs, texts, library):
     got = piece_bpe.decode(piece_bpe.encode(docs)).collect()
+    assert Counter((r["doc_id"], tuple(r["ids"]), r["text"]) for r in got) == Counter(
+        (r["doc_id"], tuple(r["ids"]), r["text"]) for r in piece_bpe.encode(docs, decoded=True).collect())
     assert Counter((r["doc_id"], tuple(r["ids"]), r["text"]) for r in got) == Counter(
         (i if i % 50 else None, tuple(library.encode(t or "")), library.decode(library.encode(t or ""))) for i, t in enumerate(texts))
     empty = piece_bpe.decode(piece_bpe.encode(spark.createDataFrame([], SCHEMA)))
@@ -134,11 +136,15 @@ def test_align(spark, docs, texts, library):
     for i, f in enumerate(found):
         key = i if i % 50 else None
         want[(key, *((0, 0, 0, "", 0, 0, 0) if f is None else (
-            *f[:4], len(f[4]), sum(count[x] == top[x[1]] for x in f[4]), sum(count[x] for x in f[4]))))] += 1
+            *f[:3], hashlib.sha256(f[3].encode()).hexdigest(), len(f[4]), sum(count[x] == top[x[1]] for x in f[4]), sum(count[x] for x in f[4]))))] += 1
     for chunk_docs, chunk_links in ((1 << 16, 1 << 22), (7, 1 << 22), (1 << 16, 50)):
-        got = align.score(align.align(docs), ["doc_id", "n_a", "n_b", "n_groups", "groups"], chunk_docs, chunk_links).collect()
+        got = align.score(align.invert(docs, chunk_docs=chunk_docs, chunk_links=chunk_links)).collect()
         assert Counter(tuple(r) for r in got) == want
-    chunks = align.invert(align.align(docs), ["doc_id"], 7)
+    rows = align.align(docs).collect()
+    assert Counter((*r[:5], tuple(r["links"])) for r in rows) == Counter(
+        (i if i % 50 else None, *((0, 0, 0, "", ()) if f is None else (*f[:4], tuple(a << 32 | b for a, b in f[4]))))
+        for i, f in enumerate(found))
+    chunks = align.invert(docs, chunk_docs=7)
     words = align.lexicon(align.pair_counts(chunks)).collect()
     assert {(r["a_id"], r["b_id"]): r["n_links"] for r in words} == dict(count)
     per_doc = Counter(x for f in found if f for x in set(f[4]))
@@ -148,11 +154,11 @@ def test_align(spark, docs, texts, library):
 
 def test_align_without_rows_or_tokens(spark):
     none = spark.createDataFrame([], SCHEMA)
-    assert align.score(align.align(none), ["doc_id"]).count() == 0
+    assert align.score(align.invert(none)).count() == 0 and align.align(none).count() == 0
     blank = spark.createDataFrame([(1, None), (2, ""), (3, "a▁")], "doc_id long, text string")
-    assert sorted(tuple(r) for r in align.score(align.align(blank), ["doc_id"]).collect()) == [(i, 0, 0, 0) for i in (1, 2, 3)]
+    assert sorted(tuple(r) for r in align.score(align.invert(blank)).collect()) == [(i, 0, 0, 0, "", 0, 0, 0) for i in (1, 2, 3)]
     with pytest.raises(ValueError):
-        align.invert(align.align(blank), ["doc_id"], 1 << 17)
+        align.invert(blank, chunk_docs=1 << 17)
 
 
 def test_bitmaps():
