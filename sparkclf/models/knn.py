@@ -1,90 +1,274 @@
-"""Exact k-nearest-neighbour classification.
+"""Exact k-nearest-neighbour classification on a metric partitioning.
 
-Brute-force KNN compares every query with every train row; this runs it as a
-blocked join so that no task holds more than one train block and one query
-block:
+Train rows are dealt to cells, each around a pivot; pivots are train rows sampled by the
+hash of their id.  A row's distance to its pivot is stored.  By the triangle inequality a
+row t of a cell with pivot p is at least |d(q, p) - d(t, p)| away from a query q, so with
+the smallest and largest stored distance of a cell a whole cell can be ruled out, and with
+the stored distance of a row the row:
 
-* train rows are hashed into ``m`` blocks and query rows into ``p`` blocks;
-  each (train block, query block) pair is one cogroup group;
-* inside a group, distances are computed with numpy (in bounded chunks) and
-  only each query's top-k candidates (by distance, then train id) leave it;
-* a final window over each query's ``m·k`` candidates keeps the global top-k.
+1. every query is compared with its own cell, which gives it k candidates and with them
+   an upper bound on the distance of its k-th neighbour (where the cell has fewer rows, the
+   bound comes from the nearest cells' sizes and radii);
+2. the query is sent to those other cells alone whose smallest possible distance does not
+   exceed the bound; there it is compared with the rows that the stored distances leave;
+3. the candidates of both passes are ranked per query by distance, then train id.
 
-One neighbour list of the largest k serves every smaller k, both weightings
-and both metrics (the search grid is scored from one pass).
+Nothing is approximated: where the data leave nothing to rule out (one cell, or vectors
+that are all equally far apart) every query meets every row.  A cell with very many rows
+or queries is split into blocks by id, so a task holds one block of either, whatever the
+share of one cell (a vector repeated a million times is one).  Pivots and cell bounds are
+all that is broadcast: at most ``MAX_PIVOTS`` vectors and ``PIVOT_BYTES``.
+
+One neighbour list of the largest k serves every smaller k, both weightings and both
+metrics (the search grid is scored from one pass).
 """
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import pred_table, sorted_classes
 
+CELL_ROWS = 4096            # train rows a cell is meant to have
 TRAIN_BLOCK_ROWS = 8192
 QUERY_BLOCK_ROWS = 8192
+MAX_PIVOTS = 4096
+PIVOT_BYTES = 64 << 20
 CHUNK_CELLS = 8_000_000
 METRICS = ("euclidean", "manhattan")
+SLACK = 1e-9                # a bound is widened by this share, for rounding
+
+
+def _matrix(column) -> np.ndarray:
+    """Rows of an Arrow list column as a float matrix."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = a.flatten()
+    if a.null_count or flat.null_count or len(flat) % max(1, len(a)):
+        raise ValueError("KNN needs vectors of one length without missing values")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(a), -1)
+
+
+def distances(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all rows of ``q`` to all rows of ``t``, in bounded steps."""
+    out = np.empty((len(q), len(t)))
+    step = max(1, CHUNK_CELLS // max(1, t.size))
+    for i in range(0, len(q), step):
+        diff = q[i:i + step, None, :] - t[None, :, :]
+        out[i:i + step] = np.sqrt((diff * diff).sum(axis=2)) if metric == "euclidean" else np.abs(diff).sum(axis=2)
+    return out
+
+
+@dataclass
+class Cells:
+    """Pivots, and per metric the rows and the smallest and largest stored distance of each cell."""
+    pivots: np.ndarray
+    count: dict | None = None
+    low: dict | None = None
+    high: dict | None = None
+
+    def to_pivots(self, x: np.ndarray, metric: str) -> np.ndarray:
+        return distances(x, self.pivots, metric)
+
+    def home(self, d: np.ndarray, metric: str) -> np.ndarray:
+        """The nearest cell that has rows."""
+        return np.where(self.count[metric] > 0, d, np.inf).argmin(axis=1)
+
+    def first_bound(self, d: np.ndarray, metric: str, k: int) -> np.ndarray:
+        """Upper bound of the k-th distance from cell sizes and radii alone."""
+        far = np.where(self.count[metric] > 0, d + self.high[metric], np.inf)
+        order = np.argsort(far, axis=1)
+        have = np.cumsum(self.count[metric][order], axis=1) >= k
+        at = np.where(have.any(axis=1), have.argmax(axis=1), 0)
+        found = np.take_along_axis(far, np.take_along_axis(order, at[:, None], axis=1), axis=1)[:, 0]
+        return np.where(have.any(axis=1), found, np.inf)
+
+    def lower(self, d: np.ndarray, metric: str) -> np.ndarray:
+        """Least possible distance to a row of each cell."""
+        gap = np.maximum(np.maximum(d - self.high[metric], self.low[metric] - d), 0.0)
+        return np.where(self.count[metric] > 0, gap, np.inf)
+
+
+def choose_pivots(rows: DataFrame, n: int) -> np.ndarray:
+    """Vectors of the sampled rows (those with the smallest id hashes), as many as cells are wanted and fit."""
+    first = rows.select(F.size("x").alias("d")).first()
+    most = max(1, PIVOT_BYTES // (8 * max(1, first["d"])))
+    want = min(max(1, math.ceil(n / CELL_ROWS)), MAX_PIVOTS, most)
+    got = (rows.select("x", F.xxhash64("tid").alias("h")).orderBy("h").limit(want).toArrow()).column("x")
+    return np.unique(_matrix(got), axis=0)
+
+
+def deal(rows: DataFrame, cells: Cells, metrics) -> DataFrame:
+    """(metric, cell, pd, ...): every train row beside its nearest pivot, per metric, with the distance to it."""
+    names = rows.columns
+    schema = "metric string, cell int, pd double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column("x"))
+            for m in metrics if len(x) else ():
+                d = cells.to_pivots(x, m)
+                near = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([m] * len(x)), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near]),
+                     *(b.column(c) for c in names)], ["metric", "cell", "pd", *names])
+
+    return rows.mapInArrow(run, schema)
+
+
+def measure(dealt: DataFrame, cells: Cells, metrics) -> Cells:
+    """Cell sizes and distance bounds: at most pivots x metrics rows."""
+    n = len(cells.pivots)
+    cells.count = {m: np.zeros(n, np.int64) for m in metrics}
+    cells.low = {m: np.full(n, np.inf) for m in metrics}
+    cells.high = {m: np.full(n, -np.inf) for m in metrics}
+    for r in dealt.groupBy("metric", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("pd").alias("lo"), F.max("pd").alias("hi")).collect():
+        cells.count[r["metric"]][r["cell"]] = r["n"]
+        cells.low[r["metric"]][r["cell"]] = r["lo"]
+        cells.high[r["metric"]][r["cell"]] = r["hi"]
+    return cells
+
+
+def route(queries: DataFrame, cells: Cells, metrics, k: int, bounds: bool) -> DataFrame:
+    """(metric, cell, qid, x, bound): without ``bounds`` each query's own cell; with them - ``queries`` then has
+    (metric, qid, x, bound) - the other cells that may hold a neighbour within the bound."""
+    qt = queries.schema["qid"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column("x"))
+            asked = np.array(b.column("metric").to_pylist()) if bounds else None
+            for m in metrics:
+                at = np.flatnonzero(asked == m) if bounds else np.arange(len(x))
+                if not len(at):
+                    continue
+                d = cells.to_pivots(x[at], m)
+                home = cells.home(d, m)
+                bound = cells.first_bound(d, m, k)
+                if bounds:
+                    known = b.column("bound").to_numpy(zero_copy_only=False).astype(np.float64)[at]
+                    bound = np.fmin(bound, known)                     # null is NaN: no bound from the own cell
+                    near = cells.lower(d, m) <= (bound * (1 + SLACK) + 1e-300)[:, None]
+                    near &= cells.count[m] > 0
+                    near[np.arange(len(at)), home] = False
+                    row, cell = np.nonzero(near)
+                else:
+                    row, cell = np.arange(len(at)), home
+                take = pa.array(at[row])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([m] * len(row), pa.string()), pa.array(cell.astype(np.int32)), b.column("qid").take(take),
+                     b.column("x").take(take), pa.array(bound[row])], ["metric", "cell", "qid", "x", "bound"])
+
+    return queries.mapInArrow(run, f"metric string, cell int, qid {qt}, x array<double>, bound double")
+
+
+def _nearest(t: pa.Table, q: pa.Table, cells: Cells, k: int) -> pa.Table:
+    """Candidates of one block of train rows for one block of queries of a cell."""
+    metric, cell = q.column("metric")[0].as_py(), q.column("cell")[0].as_py()
+    t = t.take(pc.sort_indices(t.column("pd")))
+    pd_, x = t.column("pd").to_numpy(), _matrix(t.column("x"))
+    tid = pc.rank(t.column("tid").combine_chunks(), tiebreaker="dense").to_numpy()
+    qx, bound = _matrix(q.column("x")), q.column("bound").to_numpy() * (1 + SLACK) + 1e-300
+    d = distances(qx, cells.pivots[cell:cell + 1], metric)[:, 0]
+    low, high = np.searchsorted(pd_, d - bound, side="left"), np.searchsorted(pd_, d + bound, side="right")
+    by_place = np.argsort(low, kind="stable")          # queries that need the same rows go together
+    step = max(1, CHUNK_CELLS // max(1, x.size))
+    rows, cols, far = [], [], []
+    for i in range(0, len(by_place), step):
+        some = by_place[i:i + step]
+        lo, hi = int(low[some].min()), int(high[some].max())
+        if lo >= hi:
+            continue
+        dist = distances(qx[some], x[lo:hi], metric)
+        kq = min(k, hi - lo)
+        limit = np.minimum(np.partition(dist, kq - 1, axis=1)[:, kq - 1], bound[some])
+        r, c = np.nonzero(dist <= limit[:, None])
+        o = np.lexsort((tid[lo + c], dist[r, c], r))
+        r, c = r[o], c[o]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        rows.append(some[r[first]])
+        cols.append(lo + c[first])
+        far.append(dist[r[first], c[first]])
+    rows, cols, far = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, cols, far))
+    return pa.table({"metric": pa.array([metric] * len(rows), pa.string()), "qid": q.column("qid").take(pa.array(rows)),
+                     "tid": t.column("tid").take(pa.array(cols)), "label": t.column("label").take(pa.array(cols)),
+                     "dist": pa.array(far.astype(np.float64))})
+
+
+def _compare(dealt: DataFrame, routed: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """Top-k candidates (metric, qid, tid, label, dist) of routed queries, per block of their cells."""
+    spark = dealt.sparkSession
+    asked = routed.groupBy("metric", "cell").agg(F.count(F.lit(1)).alias("n")).collect()      # <= pivots x metrics rows
+    sizes = [(r["metric"], r["cell"], math.ceil(int(cells.count[r["metric"]][r["cell"]]) / TRAIN_BLOCK_ROWS),
+              math.ceil(r["n"] / QUERY_BLOCK_ROWS)) for r in asked]
+    blocks = F.broadcast(spark.createDataFrame(sizes, "metric string, cell int, tblocks int, qblocks int"))
+    t = (dealt.join(blocks, ["metric", "cell"])
+              .withColumn("tb", F.pmod(F.xxhash64("tid"), F.col("tblocks")).cast("int"))
+              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1))).drop("tblocks", "qblocks"))
+    q = (routed.join(blocks, ["metric", "cell"])
+               .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("qblocks")).cast("int"))
+               .withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("tblocks") - 1))).drop("tblocks", "qblocks"))
+    types = {f.name: f.dataType.simpleString() for f in [*dealt.schema, *routed.schema]}
+    schema = f"metric string, qid {types['qid']}, tid {types['tid']}, label {types['label']}, dist double"
+    empty = _arrow_schema(spark, schema)
+
+    def block(tt: pa.Table, qq: pa.Table) -> pa.Table:
+        return _nearest(tt, qq, cells, k) if tt.num_rows and qq.num_rows else empty.empty_table()
+
+    keys = ["metric", "cell", "tb", "qb"]
+    return t.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(block, schema)
+
+
+def _arrow_schema(spark, schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    return to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+
+def _ranked(candidates: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("metric", "qid").orderBy("dist", "tid")
+    return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def prepare(train: DataFrame, features: str, id_col: str, label: str, metrics=METRICS) -> tuple[DataFrame, Cells] | None:
+    """The dealt train rows and their cells; None for an empty table."""
+    rows = train.select(F.col(id_col).alias("tid"), F.col(label).alias("label"), F.col(features).cast("array<double>").alias("x"))
+    n = rows.count()
+    if not n:
+        return None
+    cells = Cells(choose_pivots(rows, n))
+    dealt = cut_lineage(deal(rows, cells, metrics))
+    return dealt, measure(dealt, cells, metrics)
 
 
 def neighbours(train: DataFrame, query: DataFrame, features: str, id_col: str, label: str,
                k: int, metrics=METRICS) -> DataFrame:
     """(metric, qid, tid, label, dist, rank) for the k nearest train rows of every query row."""
-    n_tr = train.count()
-    n_q = query.count()
-    m = max(1, math.ceil(n_tr / TRAIN_BLOCK_ROWS))
-    p = max(1, math.ceil(n_q / QUERY_BLOCK_ROWS))
-    tr = train.select(F.col(id_col).alias("tid"), F.col(label).alias("label"),
-                      F.col(features).cast("array<double>").alias("x"),
-                      F.pmod(F.xxhash64(F.col(id_col)), F.lit(m)).alias("tb"))
-    tr = tr.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
-    q = query.select(F.col(id_col).alias("qid"), F.col(features).cast("array<double>").alias("x"),
-                     F.pmod(F.xxhash64(F.col(id_col)), F.lit(p)).alias("qb"))
-    q = q.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    lt = train.schema[label].dataType.simpleString()
-    it = train.schema[id_col].dataType.simpleString()
-    qt = query.schema[id_col].dataType.simpleString()
-    schema = f"metric string, qid {qt}, tid {it}, label {lt}, dist double"
-    kk = k
-    mets = tuple(metrics)
-
-    def block(key, tdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
-        if tdf.empty or qdf.empty:
-            return pd.DataFrame({"metric": [], "qid": [], "tid": [], "label": [], "dist": []})
-        T = np.vstack(tdf["x"].to_numpy())
-        tids = tdf["tid"].to_numpy()
-        labels = tdf["label"].to_numpy()
-        Q = np.vstack(qdf["x"].to_numpy())
-        qids = qdf["qid"].to_numpy()
-        kq = min(kk, len(tids))
-        step = max(1, CHUNK_CELLS // max(1, T.shape[0] * T.shape[1]))
-        out = []
-        for metric in mets:
-            for i in range(0, len(qids), step):
-                diff = Q[i:i + step, None, :] - T[None, :, :]
-                if metric == "euclidean":
-                    D = np.sqrt((diff * diff).sum(axis=2))
-                else:
-                    D = np.abs(diff).sum(axis=2)
-                # only what is not farther than the k-th distance is sorted (ties by train id)
-                kth = np.partition(D, kq - 1, axis=1)[:, kq - 1:kq]
-                rows, cols = np.nonzero(D <= kth)
-                o = np.lexsort((tids[cols], D[rows, cols], rows))
-                rows, cols = rows[o], cols[o]
-                first = np.arange(len(rows)) - np.searchsorted(rows, rows) < kq
-                rows, cols = rows[first], cols[first]
-                out.append(pd.DataFrame({"metric": metric, "qid": qids[i:i + step][rows],
-                                         "tid": tids[cols], "label": labels[cols],
-                                         "dist": D[rows, cols]}))
-        return pd.concat(out, ignore_index=True)
-
-    cand = tr.groupBy("tb", "qb").cogroup(q.groupBy("tb", "qb")).applyInPandas(block, schema)
-    w = Window.partitionBy("metric", "qid").orderBy("dist", "tid")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    metrics = tuple(dict.fromkeys(metrics))
+    q = query.select(F.col(id_col).alias("qid"), F.col(features).cast("array<double>").alias("x"))
+    ready = prepare(train, features, id_col, label, metrics)
+    if ready is None:
+        types = [train.schema[c].dataType.simpleString() for c in (id_col, label)]
+        return query.sparkSession.createDataFrame(
+            [], f"metric string, qid {q.schema['qid'].dataType.simpleString()}, tid {types[0]}, label {types[1]}, dist double, rank int")
+    dealt, cells = ready
+    own = _ranked(_compare(dealt, route(q, cells, metrics, k, bounds=False), cells, k), k)
+    if len(cells.pivots) == 1:
+        return own                                               # there is no other cell
+    own = cut_lineage(own)
+    kth = own.where(F.col("rank") == k).select(F.col("metric").alias("_m"), F.col("qid").alias("_q"), F.col("dist").alias("bound"))
+    wide = q.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
+    wide = wide.join(kth, (F.col("metric") == F.col("_m")) & (F.col("qid") == F.col("_q")), "left").select("metric", "qid", "x", "bound")
+    more = _compare(dealt, cut_lineage(route(wide, cells, metrics, k, bounds=True)), cells, k)
+    return _ranked(own.drop("rank").unionByName(more), k)
 
 
 def vote(nb: DataFrame, classes: list, k: int, weights: str = "uniform", metric: str = "euclidean") -> DataFrame:
