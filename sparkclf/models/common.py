@@ -12,16 +12,26 @@ from pyspark.sql import types as T
 MAX_MODEL_CELLS = 5_000_000
 
 
+def _unrolled(c: str) -> Column:
+    """0/1 features of a sparse one-hot column (struct of size and index)."""
+    at, size = F.col(f"{c}.index"), F.col(f"{c}.size")
+    zeros = F.array_repeat(F.lit(0.0), size)
+    return F.when(at.isNull(), zeros).otherwise(F.concat(F.array_repeat(F.lit(0.0), at), F.array(F.lit(1.0)),
+                                                         F.array_repeat(F.lit(0.0), size - at - 1)))
+
+
 def feature_array(df: DataFrame, features) -> Column:
-    """array<double> of the feature columns, vectors unrolled (or of a single array column)."""
+    """array<double> of the feature columns, vectors and sparse one-hot columns unrolled (or of a single array column)."""
     if isinstance(features, str):
         features = [features]
     if len(features) == 1 and isinstance(df.schema[features[0]].dataType, T.ArrayType):
         return F.col(features[0]).cast("array<double>")
     parts, run = [], []
     for c in features:
-        if isinstance(df.schema[c].dataType, VectorUDT):     # one-hot of a column with very many categories
-            parts += [F.array(*run), vector_to_array(F.col(c))] if run else [vector_to_array(F.col(c))]
+        kind = df.schema[c].dataType
+        if isinstance(kind, (VectorUDT, T.StructType)):
+            hot = vector_to_array(F.col(c)) if isinstance(kind, VectorUDT) else _unrolled(c)
+            parts += [F.array(*run), hot] if run else [hot]
             run = []
         else:
             run.append(F.col(c).cast("double"))

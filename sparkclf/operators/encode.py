@@ -1,125 +1,140 @@
 """Encoders and scalers fitted on the train split, applied to both splits.
 
-Fits are small aggregates over train rows only (distinct categories, means,
-population standard deviations, min/max); transforms are single projections
-with the fitted values as literals, so train and test are transformed in one
-pass without a join.
+Categories are numbered in a dictionary table (column, value digest, index): the distinct
+train values in their sorted order, numbered by a range-partitioned ranking, so neither
+the values nor their number have to fit the driver or one task.  Ordinal codes and the
+sparse one-hot form are look-ups in it.  Values are looked up by their 128-bit digest; a
+column of few categories is joined to its part of the dictionary where the rows are (entries
+have a fixed size, so their number bounds the bytes sent), columns of many categories send
+(row, column, digest) through the shuffle and one aggregation brings a row's indices back.
+
+Scaler fits are small aggregates over train rows; their transform is one projection.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import missing_as_null, non_numeric_columns, normalize_missing, numeric_columns, report_categorical_columns
+from ..session import cut_lineage
 from .stats import global_positions
 
-# A column with more categories than this is one-hot encoded as one sparse
-# vector column instead of one dense 0/1 column per category.
-DENSE_ONEHOT_MAX = 256
-# Ordinal code tables up to this many categories are broadcast; larger ones
-# take a shuffle join.
-BROADCAST_MAPPING_MAX = 1_000_000
-# Sparse one-hot (StringIndexer) brings the category list to the driver; past
-# this many categories the encoder refuses instead.
-ONEHOT_MAX_CATEGORIES = 1_000_000
-
-
-def sizes_of(df: DataFrame, c: str) -> int:
-    return df.select(c).where(F.col(c).isNotNull()).distinct().count()
+# Dictionary entries (a 16-byte digest and an int) that are sent to every task; 12 MB at most.
+BROADCAST_MAPPING_MAX = 200_000
+# The form with a column per category lists the categories in its schema; beyond this the schema itself is the limit.
+MAX_DUMMY_COLUMNS = 20_000
 
 
 def _train(df: DataFrame, split_col: str | None):
     return df.where(F.col(split_col) == "train") if split_col else df
 
 
-def categories(df: DataFrame, cols: list[str]) -> dict:
-    """Sorted distinct non-null values per column, as text."""
+def _digest(c: str) -> Column:
+    return F.unhex(F.md5(F.col(c).cast("string").cast("binary")))
+
+
+@dataclass
+class Dictionary:
+    """Numbered categories: ``table`` has (col int, key binary, index int), ``col`` counting ``columns``."""
+    columns: list
+    table: DataFrame | None
+    sizes: dict
+
+    def lookup(self, df: DataFrame, prefix: str = "__index") -> DataFrame:
+        """``df`` with one int column ``<prefix><i>`` per dictionary column; null for null and unseen values."""
+        out, wide = df, []
+        for i, c in enumerate(self.columns):
+            if not self.sizes[c]:
+                out = out.withColumn(f"{prefix}{i}", F.lit(None).cast("int"))
+            elif self.sizes[c] <= BROADCAST_MAPPING_MAX:
+                part = self.table.where(F.col("col") == i).select(F.col("key").alias("__key"), F.col("index").alias(f"{prefix}{i}"))
+                out = out.withColumn("__key", _digest(c)).join(F.broadcast(part), "__key", "left").drop("__key")
+            else:
+                wide.append(i)
+        if not wide:
+            return out
+        # rows are named once; the same names must be read twice
+        rows = cut_lineage(out.withColumn("__row", F.monotonically_increasing_id()))
+        cells = rows.select("__row", F.explode(F.array(*[F.struct(F.lit(i).alias("col"), _digest(self.columns[i]).alias("key"))
+                                                         for i in wide])).alias("e")).select("__row", "e.col", "e.key")
+        hits = cells.where(F.col("key").isNotNull()).join(self.table.where(F.col("col").isin(wide)), ["col", "key"])
+        found = hits.groupBy("__row").agg(*[F.max(F.when(F.col("col") == i, F.col("index"))).alias(f"{prefix}{i}") for i in wide])
+        return rows.join(found, "__row", "left").drop("__row")
+
+
+def dictionary_fit(train: DataFrame, cols: list[str]) -> Dictionary:
+    """Sorted distinct non-null values (as text) of each column -> 0..k-1."""
     if not cols:
-        return {}
-    st = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    got = (st.where(F.col("value").isNotNull()).distinct()
-           .groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect())
-    sizes = {r["column"]: r["n"] for r in got}
-    small = [c for c in cols if sizes.get(c, 0) <= DENSE_ONEHOT_MAX]
-    out = {c: [] for c in cols}
-    if small:
-        s2 = df.select(*[F.col(c).cast("string").alias(c) for c in small]).unpivot([], small, "column", "value")
-        for r in (s2.where(F.col("value").isNotNull()).distinct().groupBy("column")
-                  .agg(F.array_sort(F.collect_list("value")).alias("v")).collect()):
-            out[r["column"]] = list(r["v"])
-    for c in cols:
-        if c not in small:
-            out[c] = None          # too many for dense columns
-    return out
+        return Dictionary([], None, {})
+    cells = train.select(F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("value"))
+                                             for i, c in enumerate(cols)])).alias("e")).select("e.col", "e.value")
+    cells = cells.where(F.col("value").isNotNull()).withColumn("key", _digest("value"))
+    one = cells.groupBy("col", "key").agg(F.min("value").alias("value")).select(F.struct("col", "value").alias("ord"), "key")
+    placed = cut_lineage(global_positions(cut_lineage(one), "ord", "pos").select(F.col("ord.col").alias("col"), "key", "pos"))
+    firsts = {r["col"]: (r["first"], r["n"]) for r in
+              placed.groupBy("col").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).collect()}   # a row per column
+    shift = F.element_at(F.create_map(*[x for i, (f, _) in firsts.items() for x in (F.lit(i), F.lit(f))]), F.col("col")) if firsts else F.lit(0)
+    table = placed.select("col", "key", (F.col("pos") - shift).cast("int").alias("index"))
+    return Dictionary(cols, table, {c: firsts.get(i, (0, 0))[1] for i, c in enumerate(cols)})
 
 
 @dataclass
 class OneHotModel:
     columns: list
-    cats: dict = field(default_factory=dict)
-    sparse: dict = field(default_factory=dict)
+    cats: dict = field(default_factory=dict)      # column -> sorted values, in the form with a column per category
+    dictionary: Dictionary | None = None          # in the sparse form
+
+    @property
+    def width(self) -> int:
+        """Number of 0/1 features that the encoded columns stand for."""
+        return sum(self.dictionary.sizes.values()) if self.dictionary else sum(map(len, self.cats.values()))
 
     def transform(self, df: DataFrame) -> DataFrame:
         keep = [F.col(c) for c in df.columns if c not in self.columns]
-        dummies = []
-        for c in self.columns:
-            if self.cats.get(c) is None:
-                dummies.append(F.col(f"{c}_onehot"))
-                continue
-            s = F.col(c).cast("string")
-            for v in self.cats[c]:
-                dummies.append(F.when(s == F.lit(v), 1).otherwise(0).cast("tinyint").alias(f"{c}_{v}"))
-        src = df
-        for c, m in self.sparse.items():
-            src = m.transform(src)
-        return src.select(*keep, *dummies)
+        if self.dictionary is not None:
+            hot = [F.struct(F.lit(self.dictionary.sizes[c]).cast("int").alias("size"), F.col(f"__index{i}").alias("index")).alias(f"{c}_onehot")
+                   for i, c in enumerate(self.columns)]
+            return self.dictionary.lookup(df).select(*keep, *hot)
+        dummies = [F.when(F.col(c).cast("string") == F.lit(v), 1).otherwise(0).cast("tinyint").alias(f"{c}_{v}")
+                   for c in self.columns for v in self.cats[c]]
+        return df.select(*keep, *dummies)
 
 
 @missing_as_null
 def onehot_fit(df: DataFrame, cols: list[str] | None = None, split_col: str | None = "split",
-               exclude=()) -> OneHotModel:
-    """Categories from train rows; dense columns ``<col>_<value>`` (tinyint),
-    NULL and unseen values give all zeros.  Columns with very many categories
-    get one sparse vector column ``<col>_onehot`` with the same semantics."""
+               exclude=(), layout: str = "columns") -> OneHotModel:
+    """Categories from train rows; NULL and unseen values give all zeros.
+
+    ``layout`` alone decides the schema, whatever the data's size.  "columns": a tinyint column
+    ``<col>_<value>`` per category, for columns of few categories (their names are the schema).
+    "sparse": a column ``<col>_onehot`` struct<size, index> per column, for any number of
+    categories: the row's ``index``-th of ``size`` features is 1 (null index: none is).
+    """
     cols = report_categorical_columns(df, exclude) if cols is None else cols
     tr = _train(df, split_col)
-    cats = categories(tr, cols)
-    model = OneHotModel(cols, cats)
-    for c, v in cats.items():
-        if v is None and sizes_of(tr, c) > ONEHOT_MAX_CATEGORIES:
-            raise ValueError(f"column {c!r} has more than {ONEHOT_MAX_CATEGORIES} categories; "
-                             "one-hot encoding it is not sensible — use ordinal encoding or drop it")
-        if v is None:
-            from pyspark.ml import Pipeline
-            from pyspark.ml.feature import OneHotEncoder, StringIndexer
-            pipe = Pipeline(stages=[
-                StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
-                              handleInvalid="keep"),
-                OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}_onehot", dropLast=True)])
-            model.sparse[c] = pipe.fit(tr)
-    return model
+    if layout == "sparse":
+        return OneHotModel(cols, dictionary=dictionary_fit(tr, cols))
+    if layout != "columns":
+        raise ValueError(f"unknown layout {layout!r}")
+    if not cols:
+        return OneHotModel([])
+    cells = (tr.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+               .where(F.col("value").isNotNull()).distinct())
+    names = cells.limit(MAX_DUMMY_COLUMNS + 1).collect()
+    if len(names) > MAX_DUMMY_COLUMNS:
+        raise ValueError(f"more than {MAX_DUMMY_COLUMNS} categories cannot be columns of a table; use layout='sparse'")
+    return OneHotModel(cols, {c: sorted(r["value"] for r in names if r["column"] == c) for c in cols})
 
 
 @dataclass
 class OrdinalModel:
-    columns: list
-    mapping: dict          # column -> DataFrame(value string, code int)
+    dictionary: Dictionary
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for c in self.columns:
-            m = self.mapping[c].withColumnRenamed("value", f"__v_{c}").withColumnRenamed("code", f"__c_{c}")
-            out = out.withColumn(f"__v_{c}", F.col(c).cast("string"))
-            if self.small[c]:
-                out = out.join(F.broadcast(m), f"__v_{c}", "left")
-            else:   # NULLs are -1 anyway and would all meet in one task
-                known = out.where(F.col(f"__v_{c}").isNotNull()).join(m, f"__v_{c}", "left")
-                out = known.unionByName(out.where(F.col(f"__v_{c}").isNull()).withColumn(f"__c_{c}", F.lit(None).cast("int")))
-            out = out.withColumn(c, F.coalesce(F.col(f"__c_{c}"), F.lit(-1)).cast("int")).drop(f"__v_{c}", f"__c_{c}")
-        return out.select(*df.columns)
+        codes = {c: F.coalesce(F.col(f"__index{i}"), F.lit(-1)).alias(c) for i, c in enumerate(self.dictionary.columns)}
+        return self.dictionary.lookup(df).select(*[codes.get(c, F.col(c)) for c in df.columns])
 
 
 @missing_as_null
@@ -127,25 +142,7 @@ def ordinal_fit(df: DataFrame, cols: list[str] | None = None, split_col: str | N
                 exclude=()) -> OrdinalModel:
     """Sorted train categories -> 0..k-1; NULL and unseen -> -1 (int)."""
     cols = non_numeric_columns(df, exclude) if cols is None else cols
-    tr = _train(df, split_col)
-    mapping, small = {}, {}
-    sizes = {}
-    if cols:
-        st = tr.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-        sizes = {r["column"]: r["n"] for r in st.where(F.col("value").isNotNull()).distinct()
-                 .groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for c in cols:
-        vals = tr.select(F.col(c).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-        small[c] = sizes.get(c, 0) <= BROADCAST_MAPPING_MAX
-        if small[c]:
-            # bounded by the broadcast limit: one window over the sorted categories
-            m = vals.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
-        else:
-            m = global_positions(vals, "value", "code", rows=sizes.get(c, 0)).select("value", "code")
-        mapping[c] = m
-    model = OrdinalModel(cols, mapping)
-    model.small = small
-    return model
+    return OrdinalModel(dictionary_fit(_train(df, split_col), cols))
 
 
 @dataclass
@@ -187,9 +184,3 @@ def scaler_fit(df: DataFrame, method: str, cols: list[str] | None = None, split_
             rng = (hi - lo) if lo is not None and hi is not None else 0.0
             params[c] = (lo or 0.0, rng if rng else 1.0)
     return ScalerModel(method, params)
-
-
-def encoded_feature_columns(df: DataFrame, exclude=()) -> list[str]:
-    return [f.name for f in df.schema.fields if f.name not in exclude
-            and (isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
-                                         T.DoubleType, T.DecimalType, T.BooleanType)))]

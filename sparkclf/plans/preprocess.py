@@ -29,6 +29,7 @@ class PrepConfig:
     outlier_method: str = "none"
     encoding: str = "onehot"          # onehot | ordinal | none
     scaling: str = "none"             # standard | minmax | none
+    onehot_layout: str = "sparse"     # sparse (any number of categories) | columns (one 0/1 column per category)
 
     @property
     def has_selected_actions(self) -> bool:
@@ -64,6 +65,7 @@ class Prepared:
     data: DataFrame               # encoded + scaled, with ``split``
     features: list = field(default_factory=list)
     target: str = ""
+    n_features: int = 0           # width of the feature matrix, sparse one-hot columns unrolled
 
 
 def apply_preprocessing(df: DataFrame, target: str, cfg: PrepConfig, id_col: str,
@@ -84,12 +86,15 @@ def apply_preprocessing(df: DataFrame, target: str, cfg: PrepConfig, id_col: str
     if materialize:
         split = cut_lineage(split)
     skip = (target, id_col, "split")
+    width = 0
     if cfg.encoding == "onehot":
-        split = E.onehot_fit(split, exclude=skip).transform(split)
+        hot = E.onehot_fit(split, exclude=skip, layout=cfg.onehot_layout)
+        split, width = hot.transform(split), hot.width
     elif cfg.encoding == "ordinal":
         split = E.ordinal_fit(split, exclude=skip).transform(split)
     sc = E.scaler_fit(split, cfg.scaling, exclude=skip)
     if sc is not None:
         split = sc.transform(split)
     feats = [c for c in split.columns if c not in skip]
-    return Prepared(clean, split, feats, target)
+    width += sum(not (cfg.encoding == "onehot" and c not in clean.columns) for c in feats)
+    return Prepared(clean, split, feats, target, width)

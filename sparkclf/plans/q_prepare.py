@@ -228,7 +228,8 @@ register("scale_minmax",
 
 # -- D8 / D10 full preprocessing and split shapes ---------------------------------------------------
 FULL_CFG = PrepConfig(duplicates=True, impute=True, impute_method="median", outliers=True,
-                      outlier_columns=("n_chars",), outlier_method="cap", encoding="onehot", scaling="standard")
+                      outlier_columns=("n_chars",), outlier_method="cap", encoding="onehot", scaling="standard",
+                      onehot_layout="columns")
 
 
 def _full(spark, d):
@@ -268,3 +269,56 @@ register("split_shape",
          f"SELECT 'X_' || split AS split, count(*)::BIGINT AS rows, {len(_FULL_FEATS)}::BIGINT AS cols "
          "FROM splitted GROUP BY 1 UNION ALL SELECT 'y_' || split, count(*)::BIGINT, 1::BIGINT FROM splitted "
          "GROUP BY 1")(_shapes)
+
+# -- the same over the whole table, text included: sparse one-hot ------------------------------------------
+def _index_sql(table, cols):
+    return [f"m_{c} AS (SELECT v, (row_number() OVER (ORDER BY v) - 1)::INTEGER AS i, (count(*) OVER ())::INTEGER AS n FROM "
+            f"(SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {table} WHERE split = 'train' AND {c} IS NOT NULL))" for c in cols]
+
+
+_WIDE = ["text", "lang", "source"]
+_WIDE_SEL = ", ".join(f"m_{c}.i AS {c}_index, (SELECT max(n) FROM m_{c}) AS {c}_size" for c in _WIDE)
+_WIDE_JOIN = " ".join(f"LEFT JOIN m_{c} ON splitted.{c} = m_{c}.v" for c in _WIDE)
+
+
+def _flat(df):
+    """Sparse one-hot columns as two plain columns each."""
+    hot = [c for c in df.columns if c.endswith("_onehot")]
+    return df.select(*[c for c in df.columns if c not in hot],
+                     *[F.col(f"{c}.{x}").alias(f"{c[:-7]}_{x}") for c in hot for x in ("index", "size")])
+
+
+register("encode_onehot_sparse",
+         W(fx.DOC_CLF_SQL, split_sql("doc_clf", "doc_id", "quality", [*DOC_ENC, "text"]), *_index_sql("splitted", _WIDE)) +
+         f"SELECT doc_id, n_chars, quality, split, {_WIDE_SEL} FROM splitted {_WIDE_JOIN}")(
+    lambda spark, d: (lambda s: _flat(E.onehot_fit(s, exclude=("quality", "doc_id", "split"), layout="sparse").transform(s)))(
+        S.train_test_split(fx.doc_clf(spark, d), "quality", "doc_id")))
+
+SPARSE_CFG = PrepConfig(duplicates=True, impute=True, impute_method="median", outliers=True, outlier_columns=("n_chars",),
+                        outlier_method="cap", encoding="onehot", scaling="standard")
+_CAPPED = ("capped AS (SELECT doc_id, CASE WHEN n_chars IS NULL THEN NULL ELSE least(greatest(n_chars::DOUBLE, lo), hi) "
+           "END AS n_chars, text, lang, source, quality FROM (SELECT DISTINCT * FROM doc_clf), b)")
+_WHOLE = (fx.DOC_CLF_SQL, _DOC_B, _CAPPED, split_sql("capped", "doc_id", "quality", [*DOC_ENC, "text"]), *_index_sql("splitted", _WIDE))
+
+
+def _whole(spark, d):
+    return apply_preprocessing(fx.doc_clf(spark, d), "quality", SPARSE_CFG, "doc_id")
+
+
+register("prep_full_text",
+         W(*_WHOLE, "st AS (SELECT avg(n_chars) AS m, coalesce(nullif(stddev_pop(n_chars), 0), 1) AS s FROM splitted WHERE split = 'train')") +
+         f"SELECT doc_id, (n_chars - m) / s AS n_chars, quality, split, {_WIDE_SEL} FROM splitted {_WIDE_JOIN}, st",
+         rnd=("n_chars",))(lambda spark, d: _flat(_whole(spark, d).data))
+
+
+def _whole_shapes(spark, d):
+    p = _whole(spark, d)
+    g = p.data.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    return g.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"{x}_"), "split").alias("split"), F.col("rows"),
+                                                 F.lit(n).cast("bigint").alias("cols")) for x, n in (("X", p.n_features), ("y", 1))])).alias("r")).select("r.*")
+
+
+register("split_shape_text",
+         W(*_WHOLE, "w AS (SELECT 1 + " + " + ".join(f"(SELECT max(n) FROM m_{c})" for c in _WIDE) + " AS cols)") +
+         "SELECT 'X_' || split AS split, count(*)::BIGINT AS rows, max(cols)::BIGINT AS cols FROM splitted, w GROUP BY 1 "
+         "UNION ALL SELECT 'y_' || split, count(*)::BIGINT, 1::BIGINT FROM splitted GROUP BY 1")(_whole_shapes)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sparkclf.operators import encode as E
@@ -89,3 +90,43 @@ def test_allocation_and_guard(spark):
     assert not S.can_stratify(11, 2, 1, 0.8)        # a class with one row
     assert not S.can_stratify(6, 3, 2, 0.9)         # test side cannot hold every class
     assert S.can_stratify(20, 2, 10, 0.8)
+
+
+def test_sparse_onehot_is_one_schema_at_every_size(spark, monkeypatch):
+    from sparkclf.models.common import feature_array
+    from sparkclf.operators import stats as ST
+    rows = [(i, f"v{i % 41:03d}" if i % 11 else None, ["x", "y", None][i % 3], "train" if i % 5 else "test") for i in range(600)]
+    rows.append((600, "unseen", "unseen", "test"))
+    df = spark.createDataFrame(rows, "id long, a string, b string, split string")
+    want = {c: sorted({r[i] for r in rows if r[3] == "train" and r[i] is not None}) for i, c in ((1, "a"), (2, "b"))}
+    seen = []
+    for few, part in ((200_000, 100_000), (3, 100_000), (0, 7)):      # joined in place, both ways, through the shuffle
+        monkeypatch.setattr(E, "BROADCAST_MAPPING_MAX", few)
+        monkeypatch.setattr(ST, "RANK_ROWS_PER_PARTITION", part)
+        m = E.onehot_fit(df, ["a", "b"], layout="sparse")
+        out = m.transform(df)
+        assert m.width == len(want["a"]) + len(want["b"])
+        got = {r["id"]: (r["a_onehot"], r["b_onehot"]) for r in out.collect()}
+        for i, a, b, _ in rows:
+            for v, c, g in ((a, "a", got[i][0]), (b, "b", got[i][1])):
+                assert g["size"] == len(want[c]) and g["index"] == (want[c].index(v) if v in want[c] else None)
+        seen.append(out.schema)
+        x = out.select("id", feature_array(out, ["a_onehot", "id", "b_onehot"]).alias("x")).collect()
+        for r in x:
+            hot = [g["index"] for g in got[r["id"]]]
+            n = len(want["a"])
+            assert len(r["x"]) == n + 1 + len(want["b"]) and r["x"][n] == r["id"]
+            assert [i for i, v in enumerate(r["x"]) if v and i < n] == ([] if hot[0] is None else [hot[0]])
+            assert [i - n - 1 for i, v in enumerate(r["x"]) if v and i > n] == ([] if hot[1] is None else [hot[1]])
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_onehot_of_nothing_and_of_too_many_columns(spark, monkeypatch):
+    df = spark.createDataFrame([(1, None, "train"), (2, "z", "test")], "id long, c string, split string")
+    assert [r["c_onehot"] for r in E.onehot_fit(df, ["c"], layout="sparse").transform(df).orderBy("id").collect()] == [(0, None), (0, None)]
+    assert E.onehot_fit(df, [], layout="sparse").transform(df).columns == df.columns
+    assert E.ordinal_fit(df, ["c"]).transform(df).where("c = -1").count() == 2
+    monkeypatch.setattr(E, "MAX_DUMMY_COLUMNS", 1)
+    many = spark.createDataFrame([("a", "train"), ("b", "train")], "c string, split string")
+    with pytest.raises(ValueError, match="sparse"):
+        E.onehot_fit(many, ["c"])
