@@ -7,11 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A fitted model's per-class parameters travel to the executors inside the
-# task closure; this bounds classes x features so that stays small.
-MAX_MODEL_CELLS = 5_000_000
-
-
 def _unrolled(c: str) -> Column:
     """0/1 features of a sparse one-hot column (struct of size and index)."""
     at, size = F.col(f"{c}.index"), F.col(f"{c}.size")
@@ -50,11 +45,6 @@ def class_counts(train: DataFrame, label: str) -> dict:
     return {r[label]: int(r["n"]) for r in rows}
 
 
-def check_size(classes: int, dims: int):
-    if classes * max(dims, 1) > MAX_MODEL_CELLS:
-        raise ValueError(f"model of {classes} classes x {dims} features exceeds {MAX_MODEL_CELLS} cells")
-
-
 def pred_table(df: DataFrame, id_col: str, label: str, pred: Column, scores: Column, model: str) -> DataFrame:
     return df.select(F.lit(model).alias("model"), F.col(id_col).alias("id"), F.col(label).alias("y_true"),
                      pred.alias("y_pred"), scores.alias("scores"))
