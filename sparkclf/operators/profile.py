@@ -372,61 +372,133 @@ def frequencies(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return f.select("column", "value", "count", (F.col("count") * 100.0 / F.lit(n)).alias("percentage"))
 
 
-# Pair expressions per aggregate (keeps each aggregate inside codegen limits)
-CORR_PAIRS_PER_PASS = 300
-# Past this many null-free columns the Gramian of Spark ML's Correlation is used.
-CORR_ML_MIN_COLUMNS = 60
+# Column pairs whose sums one task holds (six numbers each); more pairs take another scan.
+GRAM_CELLS = 2_000_000
+GRAM_ROWS = 64               # matrix rows that are merged together
+GRAM_GROUPS = 64             # groups of tasks merged before the rest
+_SUMS = ("n", "mx", "my", "cxx", "cyy", "cxy")
+
+
+def _pair_sums(x, known, shift, rows) -> dict:
+    """Sums over the rows where both columns are known, for column pairs (``rows``, all): count, means, central products."""
+    import numpy as np
+    m = known.astype(float)
+    z = np.where(known, x - shift, 0.0)
+    zr, mr = z[:, rows], m[:, rows]
+    n = mr.T @ m
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sx, sy = zr.T @ m, mr.T @ z
+        sxx, syy = (zr * zr).T @ m, mr.T @ (z * z)
+        cxx, cyy = sxx - sx * sx / n, syy - sy * sy / n
+        out = {"n": n, "mx": shift[rows, None] + sx / n, "my": shift[None, :] + sy / n,
+               "cxx": np.where(cxx > 1e-13 * sxx, cxx, 0.0), "cyy": np.where(cyy > 1e-13 * syy, cyy, 0.0),
+               "cxy": zr.T @ z - sx * sy / n}
+    return {k: np.where(n > 0, v, 0.0) for k, v in out.items()}
+
+
+def _merge_sums(a: dict, b: dict) -> dict:
+    """Sums of the union of two disjoint sets of rows."""
+    import numpy as np
+    n = a["n"] + b["n"]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+        share, w = np.where(n > 0, b["n"] / n, 0.0), np.where(n > 0, a["n"] * b["n"] / n, 0.0)
+    return {"n": n, "mx": a["mx"] + dx * share, "my": a["my"] + dy * share, "cxx": a["cxx"] + b["cxx"] + dx * dx * w,
+            "cyy": a["cyy"] + b["cyy"] + dy * dy * w, "cxy": a["cxy"] + b["cxy"] + dx * dy * w}
+
+
+def _gram(df: DataFrame, cols: list[str], chunks: list[int]) -> DataFrame:
+    """(chunk, n, mx, my, cxx, cyy, cxy): pairwise-complete sums of the matrix rows of each chunk, from one scan."""
+    import numpy as np
+    import pyarrow as pa
+    k, width = len(cols), GRAM_ROWS
+    fields = ", ".join(f"{s} array<double>" for s in _SUMS)
+
+    def row(c: int, sums: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *(pa.array([sums[s].ravel()], pa.list_(pa.float64())) for s in _SUMS)],
+                                          ["chunk", *_SUMS])
+
+    def fold(batches):
+        held, shift = {}, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(k)], axis=1)   # null is NaN
+            known = ~np.isnan(x)
+            if shift is None:        # close to the values, and equal to them in a column that does not vary
+                some = known.any(axis=0)
+                count = np.maximum(known.sum(axis=0), 1)
+                low = np.where(some, np.where(known, x, np.inf).min(axis=0), 0.0)
+                high = np.where(some, np.where(known, x, -np.inf).max(axis=0), 0.0)
+                shift = np.where(low == high, low, low + np.where(known, x - low, 0.0).sum(axis=0) / count)
+            for c in chunks:
+                new = _pair_sums(x, known, shift, slice(c * width, (c + 1) * width))
+                held[c] = _merge_sums(held[c], new) if c in held else new
+        for c, sums in held.items():
+            yield row(c, sums)
+
+    def run(batches):
+        now, held = None, None
+        for b in batches:
+            for i, c in enumerate(b.column("chunk").to_pylist()):
+                new = {s: b.column(s)[i].values.to_numpy() for s in _SUMS}
+                if now is not None and c != now:
+                    yield row(now, held)
+                held = _merge_sums(held, new) if c == now else new
+                now = c
+        if now is not None:
+            yield row(now, held)
+
+    schema = f"chunk int, {fields}"
+    cells = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    parts = cells.mapInArrow(fold, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(GRAM_GROUPS)))
+    some = parts.repartition("chunk", "part").sortWithinPartitions("chunk", "part").drop("part").mapInArrow(run, schema)
+    return some.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, schema)
 
 
 @missing_as_null
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation, pairwise-complete, long form (col_x, col_y, corr).
 
-    A constant column gives NULL (never a divide-by-zero); the diagonal is 1
-    where the column varies.  Pairwise sufficient statistics are aggregated
-    in passes of at most ``CORR_PAIRS_PER_PASS`` pairs; a wide table without
-    NULLs (pairwise == listwise) uses one distributed Gramian pass instead.
+    A constant column gives NULL (never a divide-by-zero), as does a pair that no row
+    knows both of; the diagonal is 1 where the column varies.  One scan adds up masked
+    products: with x centred near its mean and 0 where unknown, and m the 0/1 mask, the
+    matrices m'm, x'm, (x^2)'m and x'x hold the counts, means and central products of every
+    pair over the rows that know both columns.  Tasks' sums are merged in parallel, a few
+    matrix rows at a time.  Up to 1,400 columns are one scan; wider tables take as many as
+    their pairs need, each task holding at most ``GRAM_CELLS`` pairs.
     """
     cols = numeric_columns(df) if cols is None else cols
     spark = df.sparkSession
-    if not cols:
-        return spark.createDataFrame([], "col_x string, col_y string, corr double")
-    r0 = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
-                *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    varies = {c: bool(r0[f"s{i}"]) for i, c in enumerate(cols)}
-    no_nulls = all(r0[f"n{i}"] == 0 for i in range(len(cols)))
-    values = {}
-    if no_nulls and len(cols) >= CORR_ML_MIN_COLUMNS:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="error").transform(
-            df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-        m = Correlation.corr(vec, "__v").first()[0].toArray()
-        for i, a in enumerate(cols):
-            for j in range(i + 1, len(cols)):
-                v = float(m[i, j])
-                values[(a, cols[j])] = None if v != v or not (varies[a] and varies[cols[j]]) else v
-    else:
-        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-        for start in range(0, len(pairs), CORR_PAIRS_PER_PASS):
-            chunk = pairs[start:start + CORR_PAIRS_PER_PASS]
-            exprs = []
-            for k, (a, b) in enumerate(chunk):
-                x, y = F.col(a).cast("double"), F.col(b).cast("double")
-                xb, yb = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-                exprs.append(F.try_divide(F.covar_pop(xb, yb), F.stddev_pop(xb) * F.stddev_pop(yb)).alias(f"r{k}"))
-            r = df.agg(*exprs).first()
-            for k, ab in enumerate(chunk):
-                values[ab] = r[f"r{k}"]
-    rows = []
-    for i, a in enumerate(cols):
-        rows.append((a, a, 1.0 if varies[a] else None))
-        for b in cols[i + 1:]:
-            v = values[(a, b)]
-            if v is not None:
-                v = max(-1.0, min(1.0, float(v)))
-            rows += [(a, b, v), (b, a, v)]
-    return spark.createDataFrame(rows, "col_x string, col_y string, corr double")
+    schema = "col_x string, col_y string, corr double"
+    if not cols or df.isEmpty():      # without rows there are no sums; the pairs are listed all the same
+        return spark.createDataFrame([(a, b, None) for a in cols for b in cols], schema)
+    k, width = len(cols), GRAM_ROWS
+    n_chunks = -(-k // width)
+    per = max(1, GRAM_CELLS // (width * k))
+    sums = None
+    for lo in range(0, n_chunks, per):
+        g = _gram(df, cols, list(range(lo, min(n_chunks, lo + per))))
+        sums = g if sums is None else sums.unionByName(g)
+
+    def pairs(batches):
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            for i, c in enumerate(b.column("chunk").to_pylist()):
+                s = {x: b.column(x)[i].values.to_numpy().reshape(-1, k) for x in _SUMS}
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    # rounding in the means leaves a constant column a variance of this size
+                    still = (s["cxx"] <= s["n"] * (1e-12 * s["mx"]) ** 2) | (s["cyy"] <= s["n"] * (1e-12 * s["my"]) ** 2)
+                    r = np.clip(s["cxy"] / np.sqrt(s["cxx"] * s["cyy"]), -1.0, 1.0)
+                here = np.arange(len(r))
+                r[here, here + c * width] = 1.0
+                r = np.where(still | (s["n"] == 0), np.nan, r).ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.array(cols, object)[c * width:(c + 1) * width], k), pa.string()),
+                     pa.array(np.tile(np.array(cols, object), len(here)), pa.string()), pa.array(r, mask=np.isnan(r))], ["col_x", "col_y", "corr"])
+
+    return sums.mapInArrow(pairs, schema)
 
 
 @missing_as_null

@@ -69,11 +69,36 @@ def test_correlation_paths_agree(spark, monkeypatch):
     from sparkclf.plans import fixtures as fx2
     li = fx2.lineitem_num(spark, SF01)
     a = {(r["col_x"], r["col_y"]): r["corr"] for r in P.correlation(li).collect()}
-    monkeypatch.setattr(P, "CORR_ML_MIN_COLUMNS", 2)
+    monkeypatch.setattr(P, "GRAM_ROWS", 2)
+    monkeypatch.setattr(P, "GRAM_GROUPS", 1)
     b = {(r["col_x"], r["col_y"]): r["corr"] for r in P.correlation(li).collect()}
-    monkeypatch.setattr(P, "CORR_ML_MIN_COLUMNS", 10 ** 9)
-    monkeypatch.setattr(P, "CORR_PAIRS_PER_PASS", 3)
-    c = {(r["col_x"], r["col_y"]): r["corr"] for r in P.correlation(li).collect()}
+    monkeypatch.setattr(P, "GRAM_CELLS", 1)                 # a scan per two matrix rows
+    c = {(r["col_x"], r["col_y"]): r["corr"] for r in P.correlation(li.repartition(7)).collect()}
     assert a.keys() == b.keys() == c.keys()
     for k in a:
-        assert abs(a[k] - b[k]) < 1e-9 and a[k] == c[k], k
+        assert abs(a[k] - b[k]) < 1e-9 and abs(a[k] - c[k]) < 1e-9, k
+
+
+def test_correlation_of_a_wide_table_with_nulls(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.RandomState(2)
+    x = rng.normal(size=(120, 200)).cumsum(axis=1) * 10.0 ** rng.randint(-3, 6, 200) + 1e6
+    x[rng.random(size=x.shape) < 0.3] = np.nan
+    x[:, 7], x[:, 8], x[:, 9] = np.nan, 0.1, np.where(rng.random(120) < 0.5, np.nan, 3.3)
+    x[:60, 10], x[60:, 11] = np.nan, np.nan                 # never known together
+    cols = [f"c{i}" for i in range(200)]
+    df = spark.createDataFrame([[None if v != v else float(v) for v in r] for r in x], ", ".join(f"{c} double" for c in cols)).repartition(5)
+    got = {(r["col_x"], r["col_y"]): r["corr"] for r in P.correlation(df).collect()}
+    assert len(got) == 200 * 200
+    for i in range(200):
+        for j in range(i, 200, 7):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            u, v = x[both, i], x[both, j]
+            want = None
+            if both.any() and len(set(u)) > 1 and len(set(v)) > 1:
+                want = np.corrcoef(u, v)[0, 1]
+            for g in (got[(f"c{i}", f"c{j}")], got[(f"c{j}", f"c{i}")]):
+                assert (g is None) == (want is None) and (g is None or abs(g - want) < 1e-6), (i, j, g, want)
+    plan = P.correlation(df)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("Scan") == 1
+    assert all(r["corr"] is None for r in P.correlation(df.select("c1", "c2").limit(0)).collect())
