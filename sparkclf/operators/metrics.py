@@ -51,54 +51,61 @@ def classification_metrics(preds: DataFrame) -> DataFrame:
 AUC_ROWS_PER_PARTITION = 1_000_000
 
 
+def label_table(rows: DataFrame, *cols: str) -> DataFrame:
+    """(model, label, pos): the sorted distinct labels of each model in ``cols``, as rows numbered from 0."""
+    one = None
+    for c in cols:
+        r = rows.select("model", F.col(c).alias("label"))
+        one = r if one is None else one.unionByName(r)
+    one = one.where(F.col("label").isNotNull()).distinct()
+    return one.withColumn("pos", F.row_number().over(Window.partitionBy("model").orderBy("label")) - 1)
+
+
 def _prefix_auc(groups: DataFrame) -> DataFrame:
     """groups: (g, s, pos, neg) with one row per (group, distinct score).
     Returns (g, auc_sum, P, N) where auc_sum = Σ pos·(neg below + neg/2).
 
-    Rows are range-partitioned on (g, s) (about a million distinct scores per
-    partition) and sorted; each partition streams its Arrow batches, keeping
-    only a running negative count, and tags rows with the partition's first
-    score per group; per-partition totals (tiny) then give the offsets.
+    A prefix scan on two levels.  Rows are range-partitioned on (g, s) (about a million
+    distinct scores per partition) and sorted; each partition streams its Arrow batches and
+    yields, per group, only its totals: positives, negatives and Σ pos·(neg before, within
+    the partition, + neg/2).  The negatives of earlier partitions are then added from these
+    totals - a row per (group, partition) - as their number times the positives.  Every row
+    is used once, so nothing depends on two runs sampling the same range bounds.
     """
-    sch = "g string, first_s double, s double, pos long, neg long, before long"
+    sch = "g string, first_s double, inside double, pos long, neg long"
 
     def local(batches):
-        cur_g, first_s, run = None, None, 0
+        now, total = None, None
+
+        def row():
+            return pd.DataFrame([(now, *total)], columns=["g", "first_s", "inside", "pos", "neg"])
+
         for pdf in batches:
             if pdf.empty:
                 continue
-            g = pdf["g"].to_numpy()
-            sv = pdf["s"].to_numpy(dtype=float)
-            neg = pdf["neg"].to_numpy(dtype=np.int64)
-            before = np.empty(len(pdf), dtype=np.int64)
-            firsts = np.empty(len(pdf), dtype=float)
+            g, sv = pdf["g"].to_numpy(), pdf["s"].to_numpy(dtype=float)
+            pos, neg = pdf["pos"].to_numpy(dtype=np.int64), pdf["neg"].to_numpy(dtype=np.int64)
             # rows arrive sorted by (g, s): split the batch into runs of equal g
             starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            ends = np.r_[starts[1:], len(pdf)]
-            for a, b in zip(starts, ends):
-                if g[a] != cur_g:
-                    cur_g, first_s, run = g[a], float(sv[a]), 0
-                cs = np.cumsum(neg[a:b])
-                before[a:b] = run + cs - neg[a:b]
-                run += int(cs[-1])
-                firsts[a:b] = first_s
-            yield pd.DataFrame({"g": g, "first_s": firsts, "s": sv,
-                                "pos": pdf["pos"].to_numpy(dtype=np.int64), "neg": neg, "before": before})
+            for a, b in zip(starts, np.r_[starts[1:], len(pdf)]):
+                if g[a] != now:
+                    if now is not None:
+                        yield row()
+                    now, total = g[a], (float(sv[a]), 0.0, 0, 0)
+                first, inside, p, n = total
+                below = n + np.cumsum(neg[a:b]) - neg[a:b]
+                inside += float((pos[a:b] * (below + neg[a:b] / 2.0)).sum())
+                total = (first, inside, p + int(pos[a:b].sum()), n + int(neg[a:b].sum()))
+        if now is not None:
+            yield row()
 
     spark = groups.sparkSession
-    rows = groups.count()
-    nparts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")),
-                 -(-rows // AUC_ROWS_PER_PARTITION))
-    ranged = groups.repartitionByRange(nparts, "g", "s").sortWithinPartitions("g", "s")
-    # both sides of the join below must see one and the same partitioning: the
-    # sampled range bounds are used once and the result is read from its checkpoint
-    loc = cut_lineage(ranged.mapInPandas(local, sch))
-    totals = loc.groupBy("g", "first_s").agg(F.sum("neg").alias("tneg"))
+    groups = cut_lineage(groups)                       # counted, sampled and sorted from here
+    nparts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), -(-groups.count() // AUC_ROWS_PER_PARTITION))
+    totals = groups.repartitionByRange(nparts, "g", "s").sortWithinPartitions("g", "s").mapInPandas(local, sch)
     w = Window.partitionBy("g").orderBy("first_s").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("g", "first_s", F.coalesce(F.sum("tneg").over(w), F.lit(0)).alias("off"))
-    j = loc.join(F.broadcast(offs), ["g", "first_s"])
-    contrib = F.col("pos") * (F.col("off") + F.col("before") + F.col("neg") / 2.0)
-    return j.groupBy("g").agg(F.sum(contrib).alias("auc_sum"), F.sum("pos").alias("P"),
+    t = totals.withColumn("off", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    return t.groupBy("g").agg(F.sum(F.col("inside") + F.col("off") * F.col("pos")).alias("auc_sum"), F.sum("pos").alias("P"),
                               F.sum("neg").alias("N"))
 
 
@@ -107,18 +114,16 @@ def roc_auc(preds: DataFrame, score_col: str = "scores") -> DataFrame:
     multiclass: one-vs-rest per class weighted by support; NULL when the
     labels do not fit the scores (e.g. a single class)."""
     lab = preds.where(F.col("y_true").isNotNull())
-    classes = (lab.groupBy("model").agg(F.array_sort(F.collect_set("y_true")).alias("cls"))
-               .select("model", "cls", F.size("cls").alias("nc")))
-    j = lab.join(F.broadcast(classes), "model").withColumn("ns", F.size(score_col))
+    labels = label_table(lab, "y_true")
+    sizes = labels.groupBy("model").agg(F.count(F.lit(1)).alias("nc"))
+    j = (lab.join(labels.withColumnRenamed("label", "y_true"), ["model", "y_true"]).join(sizes, "model")
+            .select("model", "nc", "pos", F.col(score_col).alias("__s")).withColumn("ns", F.size("__s")))
     ok = ((F.col("nc") == 2) & (F.col("ns") == 2)) | ((F.col("nc") > 2) & (F.col("nc") == F.col("ns")))
     j = j.where(ok)
     bin_rows = j.where(F.col("nc") == 2).select(
-        "model", F.lit(1).alias("ci"), (F.col("y_true") == F.col("cls")[1]).alias("is_pos"),
-        F.col(score_col)[1].cast("double").alias("s"))
-    multi = j.where(F.col("nc") > 2).select(
-        "model", "y_true", "cls", F.posexplode(score_col).alias("ci", "s"))
-    multi_rows = multi.select("model", "ci", (F.col("y_true") == F.col("cls")[F.col("ci")]).alias("is_pos"),
-                              F.col("s").cast("double").alias("s"))
+        "model", F.lit(1).alias("ci"), (F.col("pos") == 1).alias("is_pos"), F.col("__s")[1].cast("double").alias("s"))
+    multi = j.where(F.col("nc") > 2).select("model", "pos", F.posexplode("__s").alias("ci", "s"))
+    multi_rows = multi.select("model", "ci", (F.col("pos") == F.col("ci")).alias("is_pos"), F.col("s").cast("double").alias("s"))
     rows = bin_rows.unionByName(multi_rows)
     g = F.concat_ws("\u0001", F.col("model"), F.col("ci").cast("string"))
     hist = rows.groupBy(g.alias("g"), "s").agg(F.count_if("is_pos").alias("pos"),
@@ -146,24 +151,24 @@ def evaluate_all(preds: DataFrame, with_auc: bool = True) -> DataFrame:
     return m.select("model", *METRICS, "roc_auc")
 
 
+# Groups that the rows of a model's confusion matrix are dealt to.
+MATRIX_GROUPS = 64
+
+
 def confusion_matrix(preds: DataFrame) -> DataFrame:
     """Long confusion matrix with zero cells over the sorted union of labels:
-    (model, i, j, y_true, y_pred, n)."""
+    (model, i, j, y_true, y_pred, n).  The cells of a model come from many tasks:
+    its rows are dealt to groups, each of which meets the model's labels."""
     cm = confusion_counts(preds)
-    labels = (cm.select("model", F.col("y_true").alias("l")).unionByName(cm.select("model", F.col("y_pred").alias("l")))
-              .where(F.col("l").isNotNull()).groupBy("model").agg(F.array_sort(F.collect_set("l")).alias("ls")))
-    grid = (labels.select("model", F.posexplode("ls").alias("i", "y_true"), "ls")
-            .select("model", "i", "y_true", F.posexplode("ls").alias("j", "y_pred")))
-    return (grid.join(cm, ["model", "y_true", "y_pred"], "left")
+    labels = label_table(cm, "y_true", "y_pred")
+    down = labels.select("model", F.col("pos").alias("i"), F.col("label").alias("y_true"),
+                         F.pmod("pos", F.lit(MATRIX_GROUPS)).cast("int").alias("grp"))
+    across = labels.select("model", F.col("pos").alias("j"), F.col("label").alias("y_pred"),
+                           F.explode(F.sequence(F.lit(0), F.lit(MATRIX_GROUPS - 1))).alias("grp"))
+    return (down.join(across, ["model", "grp"]).join(cm, ["model", "y_true", "y_pred"], "left")
             .select("model", "i", "j", "y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
-def confusion_wide(preds: DataFrame, labels: list) -> DataFrame:
-    """Wide matrix per model: one row per true label, one column per predicted label."""
-    cm = confusion_counts(preds)
-    return (cm.groupBy("model", "y_true").pivot("y_pred", labels).agg(F.sum("n")).na.fill(0))
-
-
 def confusion_insights(cm_long: DataFrame) -> DataFrame:
     """(model, metric, value): overall accuracy, best and worst recall class,
     most common error, with classes named 'Class <i>' by sorted position.
