@@ -263,7 +263,8 @@ def search_model(name: str, train: DataFrame, features: str, id_col: str, label:
     else:
         raise ValueError(name)
     data.unpersist()
-    best = int(np.argmax(np.where(np.isnan(scores), -np.inf, scores)))      # a score that is no number ranks last
+    # the first of equal scores; equal up to the order in which folds and classes were added up
+    best = int(np.argmax(np.round(np.where(np.isnan(scores), -np.inf, scores), 12)))      # a score that is no number ranks last
     bp = cands[best]
     if name in SPARK_ML:
         fitted = fit_spark_model(name, tr, features, label, classes, bp, seed)
