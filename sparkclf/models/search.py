@@ -26,7 +26,8 @@ from .common import sorted_classes
 from .gnb import fit_gnb
 from .knn import fit_knn, neighbours
 from .prior import fit_prior
-from .spark_ml import RFFTransformer, _gamma, fit_spark_model, label_index, with_ml_columns
+from .nystroem import fit_kernel_map
+from .spark_ml import _gamma, fit_spark_model, label_index, with_ml_columns
 from .tree_cv import tree_cv
 
 LR, KNN, DT, NB, RF, SVM, BASE = ("Logistic Regression", "K-Nearest Neighbors", "Decision Tree", "Naive Bayes",
@@ -155,8 +156,8 @@ def _linear_cv(kind, data, features, label, classes, cands, k, primary, seed):
             continue
         if rbf and c.get("gamma") not in map_of:
             map_of[c.get("gamma")] = len(maps)
-            maps.append(RFFTransformer(dim, _gamma(data, features, dim, c.get("gamma", "scale")), seed=seed))
-            dims.append(maps[-1].W.shape[1])
+            maps.append(fit_kernel_map(data, features, _gamma(data, features, dim, c.get("gamma", "scale")), seed=seed))
+            dims.append(maps[-1].dims)
         for f in range(k):
             n = max(1, total - sizes.get(f, 0))
             tasks.append(LinearTask("hinge" if kind == SVM else "logistic", 1.0 / (float(c.get("C", 1.0)) * n), f,

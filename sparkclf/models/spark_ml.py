@@ -8,9 +8,10 @@ Parameter mapping (documented approximations where Spark has no twin):
   min_samples_leaf -> minInstancesPerNode, min_samples_split s has no twin and is
   folded in as minInstancesPerNode = max(leaf, ceil(s / 2)); forest uses
   featureSubsetStrategy 'sqrt';
-* SVM: LinearSVC (one-vs-rest for more than two classes), C -> regParam = 1/(C·n);
-  the RBF kernel is approximated with random Fourier features (Rahimi & Recht,
-  2007) with gamma 'scale' = 1 / (d · var(X)) or 'auto' = 1 / d; probabilities by
+* SVM: hinge loss (one-vs-rest for more than two classes), C -> regParam = 1/(C·n), by the
+  solver of the search (``batch_linear``), so the model that is kept is one that was scored;
+  the RBF kernel is a landmark map (``nystroem``) whose error on the train rows is
+  measured, with gamma 'scale' = 1 / (d · var(X)) or 'auto' = 1 / d; probabilities by
   Platt-style calibration (a multinomial logistic regression on the margins).
 """
 from __future__ import annotations
@@ -23,16 +24,18 @@ import pandas as pd
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batch_linear import LinearTask, fit_many
 from .common import pred_table
+from .nystroem import KernelMap, fit_kernel_map, kernel_error
 
 MAX_DEPTH_UNLIMITED = 30
 # Solver tolerances of the reference's estimators (logistic regression 1e-4, SVC 1e-3).
 LR_TOL = 1e-4
 SVM_TOL = 1e-3
-RFF_COMPONENTS = 256
 
 
 def label_index(label: str, classes: list):
@@ -56,24 +59,24 @@ def _min_node(params):
     return max(leaf, int(math.ceil(split / 2)))
 
 
-class RFFTransformer:
-    """Random Fourier features z(x) = sqrt(2/D)·cos(xW + b), W ~ N(0, 2γ), b ~ U[0, 2π)."""
+class MarginModel:
+    """Linear margins of the SVM solver, with the columns that Spark ML's models add."""
 
-    def __init__(self, dim: int, gamma: float, components: int = RFF_COMPONENTS, seed: int = 42):
-        rng = np.random.RandomState(seed)
-        self.W = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(dim, components))
-        self.b = rng.uniform(0.0, 2.0 * math.pi, size=components)
-        self.scale = math.sqrt(2.0 / components)
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights                       # (outputs, features + 1), the intercept last
+        self.coefficientMatrix = DenseMatrix(*weights[:, :-1].shape, weights[:, :-1].ravel().tolist(), isTransposed=True)
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self.scale * np.cos(x @ self.W + self.b)
+    def transform(self, df: DataFrame) -> DataFrame:
+        w = self.weights
 
-    def transform(self, df: DataFrame, col: str) -> DataFrame:
-        def rff(x: pd.Series) -> pd.Series:
-            return pd.Series(list(self(np.vstack(x.to_numpy()))) if len(x) else [], dtype=object)
+        def margins(x: pd.Series) -> pd.Series:
+            m = np.vstack(x.to_numpy()) @ w[:, :-1].T + w[:, -1] if len(x) else np.zeros((0, len(w)))
+            return pd.Series(list(np.column_stack([-m, m]) if len(w) == 1 else m), dtype=object)
 
-        rff = F.pandas_udf(rff, "array<double>")
-        return df.withColumn(col, rff(F.col(col).cast("array<double>")))
+        raw = F.pandas_udf(margins, "array<double>")(vector_to_array("features_vec"))
+        out = df.withColumn("__margins", raw)
+        top = F.array_position("__margins", F.array_max("__margins")) - 1
+        return out.withColumn("prediction", top.cast("double")).withColumn("rawPrediction", array_to_vector("__margins")).drop("__margins")
 
 
 @dataclass
@@ -84,13 +87,14 @@ class SparkClassifier:
     classes: list
     features: str
     params: dict = field(default_factory=dict)
-    rff: RFFTransformer | None = None
+    kernel: KernelMap | None = None
+    kernel_error: float | None = None     # bound on |k - z·z| over all pairs of train rows
     calibrator: object = None
     training_time: float = 0.0
 
     def _prepared(self, df: DataFrame) -> DataFrame:
-        if self.rff is not None:
-            df = self.rff.transform(df, self.features)
+        if self.kernel is not None:
+            df = self.kernel.transform(df, self.features)
         return df.withColumn("features_vec", array_to_vector(F.col(self.features).cast("array<double>")))
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -150,22 +154,27 @@ def fit_spark_model(kind: str, train: DataFrame, features: str, label: str, clas
     t0 = time.time()
     tr = train.where(F.col(label).isNotNull())
     n = tr.count()
-    rff = None
+    kernel, error = None, None
     if kind == "SVM" and params.get("kernel", "rbf") == "rbf":
         dim = len(tr.select(features).first()[0])
-        rff = RFFTransformer(dim, _gamma(tr, features, dim, params.get("gamma", "scale")), seed=seed)
-        tr = rff.transform(tr, features)
+        kernel = fit_kernel_map(tr, features, _gamma(tr, features, dim, params.get("gamma", "scale")), seed=seed)
+        error = float(kernel_error(tr, features, kernel).first()["worst"])
+        tr = kernel.transform(tr, features)
     from .search import partitions_for
     data = with_ml_columns(tr, features, label, classes).coalesce(partitions_for(n)).persist()
-    est = make_estimator(kind, params, n, seed, len(classes))
-    model = est.fit(data)
     cal = None
-    if kind == "SVM":
+    if kind != "SVM":
+        model = make_estimator(kind, params, n, seed, len(classes)).fit(data)
+    else:                                             # by the solver that scored the candidates
+        dims = data.select(F.size(features)).first()[0]
+        rows = data.select(F.col(features).cast("array<double>").alias("x"), F.col("label_idx").cast("int").alias("y"), F.lit(0).alias("fold"))
+        task = LinearTask("hinge", 1.0 / (float(params.get("C", 1.0)) * max(1, n)), -1)
+        model = MarginModel(fit_many(rows, [task], [None], [dims], len(classes), {0: n})[0])
         cal = LogisticRegression(featuresCol="margins", labelCol="label_idx", predictionCol="__cal_pred",
                                  rawPredictionCol="__cal_raw", probabilityCol="probability", maxIter=100,
-                                 regParam=1e-6).fit(model.transform(data).withColumn("margins", F.col("rawPrediction")))
+                                 regParam=1e-6).fit(model.transform(data).withColumnRenamed("rawPrediction", "margins"))
     data.unpersist()
-    out = SparkClassifier(kind, model, classes, features, dict(params), rff, cal)
+    out = SparkClassifier(kind, model, classes, features, dict(params), kernel, error, cal)
     out.training_time = time.time() - t0
     return out
 

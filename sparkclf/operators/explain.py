@@ -21,8 +21,8 @@ def _importances(fitted) -> np.ndarray | None:
     m = fitted.model
     if hasattr(m, "featureImportances"):
         return m.featureImportances.toArray()
-    if fitted.rff is not None:
-        return None                     # RBF: coefficients live in the random feature space
+    if fitted.kernel is not None:
+        return None                     # RBF: coefficients live in the space of the landmark map
     if hasattr(m, "coefficientMatrix"):
         return np.abs(m.coefficientMatrix.toArray()).mean(axis=0)
     if hasattr(m, "coefficients"):

@@ -173,3 +173,23 @@ register("train_explainability_flags")(_flags)
 register("train_cv_results_random")(lambda spark, d: training_run(spark, d, "random")[2])
 register("train_candidate_scores")(lambda spark, d: candidate_rows(
     spark, [r for r in training_run(spark, d)[1].values() if r.candidates]).drop("best"))
+
+# -- result tables of the orders: one "model" per priority, so that their rows can be checked by value ---------
+_ORDER_RESULTS = ("res AS (SELECT o_orderpriority AS model, avg((o_orderstatus = 'F')::INT) AS best_score, '{}' AS best_params, "
+                  "CASE WHEN o_orderpriority LIKE '5%' THEN NULL ELSE avg(o_totalprice) / 1000 END AS training_time, 'grid' AS search_type "
+                  "FROM orders GROUP BY 1)")
+
+
+def _order_results(spark, d):
+    from ..sources import read_table
+    g = read_table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("model"))
+    r = g.agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("best_score"), F.avg("o_totalprice").alias("p"))
+    return r.select("model", "best_score", F.lit("{}").alias("best_params"),
+                    F.when(~F.col("model").startswith("5"), F.col("p") / 1000).alias("training_time"), F.lit("grid").alias("search_type"))
+
+
+register("time_order_orders", f"WITH {_ORDER_RESULTS} SELECT row_number() OVER (ORDER BY training_time NULLS LAST, model)::INTEGER "
+         "AS position, model, training_time FROM res", rnd=("training_time",))(
+    lambda spark, d: M.training_time_order(_order_results(spark, d)))
+register("cv_table_orders", f"WITH {_ORDER_RESULTS} SELECT model, round(best_score, 4) AS best_score, best_params, "
+         "round(training_time, 3) AS training_time, search_type FROM res")(lambda spark, d: SM.cv_table(_order_results(spark, d)))
