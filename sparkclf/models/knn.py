@@ -96,10 +96,9 @@ class Cells:
         return np.where(self.count[metric] > 0, gap, np.inf)
 
 
-def choose_pivots(rows: DataFrame, n: int) -> np.ndarray:
+def choose_pivots(rows: DataFrame, n: int, dims: int) -> np.ndarray:
     """Vectors of the sampled rows (those with the smallest id hashes), as many as cells are wanted and fit."""
-    first = rows.select(F.size("x").alias("d")).first()
-    most = max(1, PIVOT_BYTES // (8 * max(1, first["d"])))
+    most = max(1, PIVOT_BYTES // (8 * max(1, dims)))
     want = min(max(1, math.ceil(n / CELL_ROWS)), MAX_PIVOTS, most)
     got = (rows.select("x", F.xxhash64("tid").alias("h")).orderBy("h").limit(want).toArrow()).column("x")
     return np.unique(_matrix(got), axis=0)
@@ -241,11 +240,15 @@ def _ranked(candidates: DataFrame, k: int) -> DataFrame:
 def prepare(train: DataFrame, features: str, id_col: str, label: str, metrics=METRICS) -> tuple[DataFrame, Cells] | None:
     """The dealt train rows and their cells; None for an empty table."""
     rows = train.select(F.col(id_col).alias("tid"), F.col(label).alias("label"), F.col(features).cast("array<double>").alias("x"))
-    n = rows.count()
-    if not n:
-        return None
-    cells = Cells(choose_pivots(rows, n))
-    dealt = cut_lineage(deal(rows, cells, metrics))
+    rows = rows.persist()                  # counted, sampled and dealt
+    try:
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
+        if not size["n"]:
+            return None
+        cells = Cells(choose_pivots(rows, size["n"], size["d"]))
+        dealt = cut_lineage(deal(rows, cells, metrics))
+    finally:
+        rows.unpersist()
     return dealt, measure(dealt, cells, metrics)
 
 
@@ -260,6 +263,7 @@ def neighbours(train: DataFrame, query: DataFrame, features: str, id_col: str, l
         return query.sparkSession.createDataFrame(
             [], f"metric string, qid {q.schema['qid'].dataType.simpleString()}, tid {types[0]}, label {types[1]}, dist double, rank int")
     dealt, cells = ready
+    q = cut_lineage(q)                     # routed, counted and compared from here
     own = _ranked(_compare(dealt, route(q, cells, metrics, k, bounds=False), cells, k), k)
     if len(cells.pivots) == 1:
         return own                                               # there is no other cell
