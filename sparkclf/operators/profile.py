@@ -523,16 +523,31 @@ def split_sizes(df: DataFrame, train_size: float = 0.8) -> DataFrame:
 # B15-B18: non-numeric report, cleaning, coercion, type selection
 
 
+def smallest_values(df: DataFrame, c: str, k: int) -> list[str]:
+    """The ``k`` smallest distinct non-null values of a column, as text.
+
+    Every task keeps its few smallest rows (a top-k, no shuffle of the column); where repeated
+    values fill them, the search goes on behind the largest value found, so each scan finds at
+    least one more.
+    """
+    found: list[str] = []
+    text = df.select(F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull())
+    while len(found) < k:
+        rest = text.where(F.col("v") > F.lit(found[-1])) if found else text
+        got = [r["v"] for r in rest.orderBy("v").limit(4 * k).collect()]
+        found += list(dict.fromkeys(got))
+        if len(got) < 4 * k:
+            break
+    return found[:k]
+
+
 @missing_as_null
 def non_numeric_report(df: DataFrame, sample_limit: int = 10) -> DataFrame:
     """(column, non_numeric_count, sample_values) for columns with unparseable entries.
 
     A value counts when it is not NULL and does not parse as a number after
-    trimming.  Samples are the ``sample_limit`` smallest distinct non-null
-    values, found with a per-partition partial top-k and a bounded final merge.
+    trimming.  Samples are the ``sample_limit`` smallest distinct non-null values.
     """
-    import pandas as pd
-
     cols = [c for c in df.columns if not isinstance(
         df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
     spark = df.sparkSession
@@ -545,28 +560,8 @@ def non_numeric_report(df: DataFrame, sample_limit: int = 10) -> DataFrame:
         bad = s.isNotNull() & num(F.regexp_replace(s, r"^\s+|\s+$", "")).isNull()
         exprs.append(F.count_if(bad).cast("bigint").alias(f"b{i}"))
     r = df.agg(*exprs).first()
-    flagged = [c for i, c in enumerate(cols) if r[f"b{i}"] > 0]
-    counts = {c: int(r[f"b{i}"]) for i, c in enumerate(cols)}
-    if not flagged:
-        return spark.createDataFrame([], schema)
-    k = sample_limit
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in flagged]).unpivot(
-        [], flagged, "column", "value").where(F.col("value").isNotNull())
-
-    def smallest(batches):
-        best: dict[str, set] = {}
-        for pdf in batches:
-            for c, g in pdf.groupby("column"):
-                cur = best.get(c, set()) | set(g["value"].unique().tolist())
-                best[c] = set(sorted(cur)[:k])
-        for c, vals in best.items():
-            yield pd.DataFrame({"column": c, "value": sorted(vals)})
-
-    part = long.mapInPandas(smallest, "column string, value string")
-    samples = part.groupBy("column").agg(
-        F.slice(F.array_sort(F.collect_set("value")), 1, k).alias("sample_values"))
-    cnt = spark.createDataFrame([(c, counts[c]) for c in flagged], "column string, non_numeric_count bigint")
-    return cnt.join(samples, "column", "left")
+    rows = [(c, int(r[f"b{i}"]), smallest_values(df, c, sample_limit)) for i, c in enumerate(cols) if r[f"b{i}"] > 0]
+    return spark.createDataFrame(rows, schema)
 
 
 def clean_strings(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

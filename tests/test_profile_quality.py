@@ -102,3 +102,14 @@ def test_correlation_of_a_wide_table_with_nulls(spark, monkeypatch):
     plan = P.correlation(df)._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("Scan") == 1
     assert all(r["corr"] is None for r in P.correlation(df.select("c1", "c2").limit(0)).collect())
+
+
+def test_smallest_values_behind_repeated_ones(spark):
+    rows = [("",)] * 500 + [("aa",)] * 300 + [(None,)] * 50 + [(f"v{i:03d} é\U0001F600",) for i in range(200)]
+    df = spark.createDataFrame(rows, "s string").repartition(5)
+    values = sorted({r[0] for r in rows if r[0] is not None})
+    for k in (1, 3, 10):
+        assert P.smallest_values(df, "s", k) == values[:k]
+    assert P.smallest_values(df.where("s = 'aa'"), "s", 4) == ["aa"] and P.smallest_values(df.limit(0), "s", 4) == []
+    r = P.non_numeric_report(df, 3).first()
+    assert (r["column"], r["non_numeric_count"], r["sample_values"]) == ("s", 1000, values[:3])
