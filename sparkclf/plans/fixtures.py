@@ -68,14 +68,6 @@ LINEITEM_NUM_SQL = ("lineitem_num AS (SELECT l_quantity, l_extendedprice, l_disc
                     "FROM lineitem)")
 
 
-def seg_clf(spark: SparkSession, d: str) -> DataFrame:
-    """customer features; target ``c_mktsegment``."""
-    return read_table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
-
-
-SEG_CLF_SQL = "seg_clf AS (SELECT c_custkey, c_acctbal, c_nationkey, c_mktsegment FROM customer)"
-
-
 def emb_clf(spark: SparkSession, d: str) -> DataFrame:
     """embeddings; features ``embedding`` (array<float>), target ``label``."""
     return read_table(spark, d, "embeddings").select("vec_id", "embedding", "label")

@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import capitalize, date_text, fmt_thousands, shorten, split_once
+from ..functions import capitalize, date_text, fmt_thousands, shorten, split_once, title_case
 from ..operators.metrics import rank_models
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import read_csv, read_table, write_csv, write_report
@@ -67,6 +67,11 @@ register("scalar_text",
         "c_custkey", capitalize("c_mktsegment").alias("capital"), shorten("c_name", 12).alias("short_name"),
         F.get(split_once("c_name", "#"), F.lit(1)).alias("number"),
         fmt_thousands(F.round(F.abs(F.col("c_acctbal")) * 1000)).alias("thousands")))
+register("scalar_title",
+         "SELECT c_custkey, array_to_string(list_transform(string_split(replace(lower(c_mktsegment) || '_market_of_' || c_nationkey, '_', ' '), ' '), "
+         "lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS title FROM customer")(
+    lambda spark, d: read_table(spark, d, "customer").select(
+        "c_custkey", title_case(F.concat(F.lower("c_mktsegment"), F.lit("_market_of_"), F.col("c_nationkey").cast("string"))).alias("title")))
 register("scalar_dates", "SELECT o_orderkey, strftime(o_orderdate, '%B %d, %Y') AS day FROM orders")(
     lambda spark, d: read_table(spark, d, "orders").select("o_orderkey", date_text("o_orderdate").alias("day")))
 
