@@ -2,138 +2,164 @@
 
 Growing a tree to depth d and cutting a deeper one at d give the same tree, because a
 node's split does not depend on what grows below it; and the first n trees of a forest are a forest of n trees.
-So each (fold, minInstancesPerNode) is grown once, to the largest depth and tree count
-asked for.  Its nodes are read from the saved model; for every leaf of the grown tree and
-every depth limit the node that would stand there is looked up (Spark merges sibling leaves
-with equal predictions, which is done here too), and one pass over the validation rows adds
-up the votes for all candidates by table look-ups.
+So each (fold, minInstancesPerNode) is grown once, to the largest depth and tree count asked for.
+
+The model stays a table: its saved nodes are read as a DataFrame, pointer doubling finds
+every leaf's ancestors, aggregates find the node that stands in a leaf's place under each
+depth limit (Spark merges sibling leaves with equal predictions, which is done here too),
+and validation rows meet the votes of their leaves by a join on (tree, leaf).  Spark
+broadcasts the votes while they are below its own size threshold and shuffles both sides
+beyond it.  Votes are whole numbers, so the order in which they are added changes nothing.
 """
 from __future__ import annotations
 
+import functools
+import math
 import uuid
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from .batch_linear import score_confusion
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .spark_ml import _depth, _min_node, make_estimator
 
+VOTE_UNIT = 2 ** 40      # a leaf's class shares as whole numbers of 1 / VOTE_UNIT
 
-def node_tables(model, spark) -> list[dict]:
-    """Per tree: children, class counts and predictions by node id (preorder), from the saved model.
 
-    As large as the model, which the driver holds anyway.
+def _delete(spark, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def read_nodes(spark, path: str, job: int = 0) -> DataFrame:
+    """(job, tree, id, left, right, stats, pred, said) of a model saved at ``path``.
+
+    ``said`` is the class the node would name as a leaf: its prediction if it is one, else that of its class counts.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/trees-{uuid.uuid4().hex}"
-    model.write().save(path)
     rows = spark.read.parquet(f"{path}/data")
+    tree = F.col("treeID").cast("int") if "nodeData" in rows.columns else F.lit(0)
     if "nodeData" in rows.columns:
         rows = rows.select("treeID", "nodeData.*")
-    else:
-        rows = rows.withColumn("treeID", F.lit(0))
-    pdf = rows.select("treeID", "id", "leftChild", "rightChild", "impurityStats", "prediction").toPandas().sort_values(["treeID", "id"])
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    return [{"left": g["leftChild"].to_numpy(), "right": g["rightChild"].to_numpy(), "stats": np.stack(list(g["impurityStats"])),
-             "pred": g["prediction"].to_numpy()} for _, g in pdf.groupby("treeID")]
-
-
-def cut_leaves(tree: dict, limit: int) -> np.ndarray:
-    """For each leaf (preorder) the id of the node that stands in its place under a depth limit."""
-    left, right = tree["left"], tree["right"]
-    n = len(left)
-    depth, parent = np.zeros(n, int), np.full(n, -1)
-    for i in range(n):
-        if left[i] >= 0:
-            for c in (left[i], right[i]):
-                depth[c], parent[c] = depth[i] + 1, i
-    end, pred = (left < 0) | (depth >= limit), tree["stats"].argmax(1)
-    pred = np.where(left < 0, tree["pred"], pred)
-    for i in range(n - 1, -1, -1):
-        if not end[i] and end[left[i]] and end[right[i]] and pred[left[i]] == pred[right[i]]:
-            end[i], pred[i] = True, pred[left[i]]
-    stand = np.arange(n)
-    for i in range(n):                       # parents come first
-        if parent[i] >= 0 and end[stand[parent[i]]]:
-            stand[i] = stand[parent[i]]
-    return stand[left < 0]
-
-
-def vote_tables(trees: list[dict], limits: list[int], forest: bool) -> list[list[np.ndarray]]:
-    """[limit][tree] -> (leaf, class) votes: class shares in a forest, class counts in a single tree."""
-    out = []
-    for limit in limits:
-        votes = []
-        for t in trees:
-            s = t["stats"][cut_leaves(t, limit)]
-            votes.append(s / np.maximum(s.sum(1, keepdims=True), 1e-300) if forest else s)
-        out.append(votes)
-    return out
-
-
-def _confusions(rows: DataFrame, tables, counts: list[tuple[int, int]], classes: int) -> np.ndarray:
-    """(candidate, true, predicted) over rows (leaf array<double>, label_idx); counts: (limit index, trees) per candidate."""
-    sent = rows.sparkSession.sparkContext.broadcast(tables)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(counts), classes, classes))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            col = b.column("leaf")
-            leaf = col.flatten().to_numpy(zero_copy_only=False).astype(int).reshape(len(col), -1)
-            y = b.column("label_idx").to_numpy(zero_copy_only=False).astype(int)
-            for limit, votes in enumerate(sent.value):
-                asked = sorted({n for m, n in counts if m == limit})
-                if not asked:
-                    continue
-                raw = np.zeros((len(y), classes))
-                for t in range(asked[-1]):
-                    raw[:, :votes[t].shape[1]] += votes[t][leaf[:, t]]
-                    if t + 1 in asked:
-                        p = raw.argmax(1)
-                        for i, c in enumerate(counts):
-                            if c == (limit, t + 1):
-                                np.add.at(total[i], (y, p), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
-
-    parts = rows.select("leaf", "label_idx").mapInArrow(run, "s binary").collect()     # one small array per partition
-    return sum((np.frombuffer(r["s"]) for r in parts), np.zeros(1)).reshape(len(counts), classes, classes)
+    most = F.array_position("impurityStats", F.array_max("impurityStats")) - 1
+    return rows.select(F.lit(job).alias("job"), tree.alias("tree"), F.col("id").cast("int").alias("id"),
+                       F.col("leftChild").cast("int").alias("left"), F.col("rightChild").cast("int").alias("right"),
+                       F.col("impurityStats").alias("stats"),
+                       F.when(F.col("leftChild") < 0, F.col("prediction").cast("long")).otherwise(most).alias("said"))
+
+
+def leaf_chains(nodes: DataFrame, deepest: int) -> DataFrame:
+    """(job, tree, leaf, chain): each leaf's nodes from the root down to itself, by pointer doubling.
+
+    ``leaf`` is the leaf's number in its tree, in preorder, as the models name it.  Every node starts with its parent; in each round it takes over the ancestors of the
+    farthest one it knows, so trees of depth d need log2(d) joins.
+    """
+    edge = nodes.where("left >= 0").select("job", "tree", F.explode(F.array("left", "right")).alias("id"), F.col("id").alias("top"))
+    up = (nodes.select("job", "tree", "id", "left").join(edge, ["job", "tree", "id"], "left")
+          .withColumn("chain", F.when(F.col("top").isNull(), F.array().cast("array<int>")).otherwise(F.array("top"))))
+    for _ in range(math.ceil(math.log2(max(deepest, 1)))):
+        up = cut_lineage(up)
+        far = up.where("size(chain) > 0").select("job", "tree", F.col("id").alias("top"), F.col("top").alias("__top"), F.col("chain").alias("__more"))
+        up = up.join(far, ["job", "tree", "top"], "left").select(
+            "job", "tree", "id", "left", F.col("__top").alias("top"),
+            F.concat(F.coalesce("__more", F.array().cast("array<int>")), "chain").alias("chain"))
+    number = F.row_number().over(Window.partitionBy("job", "tree").orderBy("id")) - 1        # a tree is grown by one driver, so it fits
+    return up.where("left < 0").select("job", "tree", number.alias("leaf"), F.concat("chain", F.array("id")).alias("chain"))
+
+
+def stand_ins(nodes: DataFrame, chains: DataFrame, limits: list[int]) -> DataFrame:
+    """(job, tree, leaf, cut, stand): the node in a leaf's place under depth limit number ``cut``.
+
+    Under a limit a leaf gives way to its ancestor at that depth.  A node whose leaves then all
+    name one class is merged into a leaf itself, and the topmost such node of the chain stands.
+    """
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), F.lit(v).alias("limit")) for i, v in enumerate(limits)]))
+    c = chains.select("*", at.alias("__l")).select("job", "tree", "leaf", "__l.cut", F.slice("chain", 1, F.col("__l.limit") + 1).alias("chain"))
+    said = nodes.select("job", "tree", F.col("id").alias("__last"), "said")
+    c = c.withColumn("__last", F.element_at("chain", -1)).join(said, ["job", "tree", "__last"])
+    way = c.select("job", "tree", "leaf", "cut", "said", F.posexplode("chain").alias("depth", "node"))
+    same = (way.groupBy("job", "tree", "cut", "node").agg(F.min("said").alias("a"), F.max("said").alias("b"))
+            .where("a = b").select("job", "tree", "cut", "node"))
+    return (way.join(same, ["job", "tree", "cut", "node"]).groupBy("job", "tree", "leaf", "cut")
+            .agg(F.min_by("node", "depth").alias("stand")))
+
+
+def vote_table(nodes: DataFrame, deepest: int, limits: list[int], forest: bool) -> DataFrame:
+    """(job, tree, leaf, cut, class, vote): whole numbers; class shares in a forest, class counts in a single tree."""
+    stand = stand_ins(nodes, leaf_chains(nodes, deepest), limits)
+    v = stand.join(nodes.select("job", "tree", F.col("id").alias("stand"), "stats"), ["job", "tree", "stand"])
+    total = F.aggregate("stats", F.lit(0.0), lambda a, x: a + x)
+    v = v.select("job", "tree", "leaf", "cut", total.alias("__n"), F.posexplode("stats").alias("class", "__w")).where("__w > 0")
+    vote = F.round(F.col("__w") / F.col("__n") * F.lit(float(VOTE_UNIT))) if forest else F.round("__w")
+    return v.select("job", "tree", "leaf", "cut", "class", vote.cast("long").alias("vote"))
+
+
+def predictions(leaves: DataFrame, votes: DataFrame, counts: list[int]) -> DataFrame:
+    """(job, row, y, cut, n, pred): the class most votes of the first n trees name, the smallest of equal ones.
+
+    leaves: (job, row, y, leaf array), the array by tree.  Votes are added inside a task
+    before any shuffle, as a row's trees lie together.
+    """
+    met = leaves.select("job", "row", "y", F.posexplode("leaf").alias("tree", "leaf")).join(votes, ["job", "tree", "leaf"])
+    sums = met.groupBy("job", "row", "y", "cut", "class").agg(
+        *[F.sum(F.when(F.col("tree") < n, F.col("vote")).otherwise(0)).alias(f"s{n}") for n in counts])
+    best = sums.groupBy("job", "row", "y", "cut").agg(
+        *[F.max(F.struct(F.col(f"s{n}"), (-F.col("class")).alias("c"))).alias(f"m{n}") for n in counts])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), (-F.col(f"m{n}.c")).alias("pred")) for n in counts]))
+    return best.select("job", "row", "y", "cut", each.alias("e")).select("job", "row", "y", "cut", "e.*")
+
+
+def scores(preds: DataFrame, primary: str) -> DataFrame:
+    """(job, cut, n, score): accuracy or support-weighted F1, from counts per class."""
+    g = preds.groupBy("job", "cut", "n", "y", "pred").agg(F.count(F.lit(1)).alias("c"))
+    zero = F.lit(0).cast("long")
+    side = F.explode(F.array(
+        F.struct(F.col("y").cast("int").alias("k"), F.col("c").alias("t"), zero.alias("p"),
+                 F.when(F.col("y") == F.col("pred"), F.col("c")).otherwise(zero).alias("h")),
+        F.struct(F.col("pred").cast("int").alias("k"), zero.alias("t"), F.col("c").alias("p"), zero.alias("h"))))
+    k = g.select("job", "cut", "n", side.alias("s")).groupBy("job", "cut", "n", "s.k").agg(
+        *[F.sum(f"s.{x}").alias(x) for x in "tph"])
+    hit = F.sum("h") if primary == "accuracy" else F.sum(F.col("t") * 2 * F.col("h") / (F.col("t") + F.col("p")))
+    return k.groupBy("job", "cut", "n").agg((hit / F.sum("t")).alias("score"))
 
 
 def tree_cv(kind: str, data: DataFrame, cands: list[dict], k: int, fold_rows: dict[int, int], classes: int, primary: str,
             parallelism: int, seed: int) -> np.ndarray:
-    """Mean score over the folds of every candidate.  data: (features_vec, label_idx, fold), persisted."""
+    """Mean score over the folds of every candidate.  data: (features_vec, label_idx, fold), persisted.
+
+    Each (fold, minInstancesPerNode) writes its model's nodes and its validation rows' leaves
+    to the shared folder; cutting, voting and scoring are then one job over all of them.
+    """
     from pyspark.ml.functions import vector_to_array
-    forest = kind == "Random Forest"
-    groups: dict = {}
-    for i, c in enumerate(cands):
-        groups.setdefault(_min_node(c), []).append(i)
+    spark, forest = data.sparkSession, kind == "Random Forest"
     total = sum(fold_rows.values())
-
-    def one(job):
-        f, node, idx = job
-        limits = sorted({_depth(cands[i].get("max_depth")) for i in idx})
-        trees = max(int(cands[i].get("n_estimators", 100)) for i in idx) if forest else 1
-        params = {"max_depth": limits[-1], "min_samples_leaf": node, "n_estimators": trees}
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or ensure_checkpoint_dir(spark)).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    plan = [(_min_node(c), _depth(c.get("max_depth")), int(c.get("n_estimators", 100)) if forest else 1) for c in cands]
+    limits, counts = sorted({d for _, d, _ in plan}), sorted({n for _, _, n in plan})
+    jobs = [(f, node) for node in dict.fromkeys(p[0] for p in plan) for f in range(k)]
+
+    def grow(job: int) -> int:
+        f, node = jobs[job]
+        params = {"max_depth": max(d for m, d, _ in plan if m == node), "min_samples_leaf": node,
+                  "n_estimators": max(n for m, _, n in plan if m == node)}
         model = make_estimator(kind, params, total - fold_rows.get(f, 0), seed, classes).fit(data.where(F.col("fold") != f))
         model.setLeafCol("leaf")
-        val = model.transform(data.where(F.col("fold") == f))
-        val = val.select(vector_to_array("leaf").alias("leaf") if forest else F.array("leaf").alias("leaf"), "label_idx")
-        asked = [(limits.index(_depth(cands[i].get("max_depth"))), int(cands[i].get("n_estimators", 100)) if forest else 1) for i in idx]
-        conf = _confusions(val, vote_tables(node_tables(model, data.sparkSession), limits, forest), asked, classes)
-        return [(i, score_confusion(c, primary)) for i, c in zip(idx, conf)]
-
-    jobs = [(f, node, idx) for f in range(k) for node, idx in groups.items()]
-    scores: dict = {}
+        model.write().save(f"{base}/model{job}")
+        leaf = vector_to_array("leaf") if forest else F.array("leaf")
+        # a row's number is written with it, so it stays the same whatever is computed anew
+        (model.transform(data.where(F.col("fold") == f))
+         .select(F.lit(job).alias("job"), F.monotonically_increasing_id().alias("row"), F.col("label_idx").cast("int").alias("y"),
+                 leaf.cast("array<int>").alias("leaf")).write.parquet(f"{base}/leaves{job}"))
+        return max(t.depth for t in model.trees) if forest else model.depth
+
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        for got in pool.map(one, jobs):
-            for i, s in got:
-                scores.setdefault(i, []).append(s)
-    return np.array([np.mean(scores[i]) for i in range(len(cands))])
+        depths = list(pool.map(grow, range(len(jobs))))
+    nodes = functools.reduce(DataFrame.unionByName, [read_nodes(spark, f"{base}/model{j}", j) for j in range(len(jobs))])
+    vote_table(cut_lineage(nodes), max(depths), limits, forest).write.parquet(f"{base}/votes")
+    leaves = spark.read.parquet(*[f"{base}/leaves{j}" for j in range(len(jobs))])
+    out = scores(predictions(leaves, spark.read.parquet(f"{base}/votes"), counts), primary).collect()    # a number per cut model
+    _delete(spark, base)
+    got = {(r["job"], r["cut"], r["n"]): r["score"] for r in out}
+    found = [[got.get((j, limits.index(d), n), float("nan")) for j, (_, m) in enumerate(jobs) if m == node] for node, d, n in plan]
+    return np.array([np.mean(x) for x in found])

@@ -55,27 +55,95 @@ def test_batched_svm_scores_like_linear_svc(spark):
     data.unpersist()
 
 
-def test_cut_tree_equals_tree_of_that_depth(spark):
+def _nodes(model, spark, tmp_path):
+    model.write().overwrite().save(f"file://{tmp_path}/model")
+    return T.read_nodes(spark, f"file://{tmp_path}/model").cache()
+
+
+def _brute_cut(nodes, limit):
+    """{leaf number: (node in its place, its class counts)} of one tree's rows, node by node."""
+    by = {r["id"]: r for r in nodes}
+    depth, parent, order = {0: 0}, {}, sorted(by)
+    for i in order:
+        for c in (by[i]["left"], by[i]["right"]):
+            if c >= 0:
+                depth[c], parent[c] = depth[i] + 1, i
+    end = {i: by[i]["left"] < 0 or depth[i] >= limit for i in order}
+    said = {i: int(by[i]["prediction"]) if by[i]["left"] < 0 else int(np.argmax(by[i]["stats"])) for i in order}
+    for i in reversed(order):
+        l, r = by[i]["left"], by[i]["right"]
+        if not end[i] and end[l] and end[r] and said[l] == said[r]:
+            end[i], said[i] = True, said[l]
+    stand = {}
+    for i in order:
+        stand[i] = stand[parent[i]] if i in parent and end[stand[parent[i]]] else i
+    return {n: stand[i] for n, i in enumerate(i for i in order if by[i]["left"] < 0)}
+
+
+def test_cut_tree_equals_tree_of_that_depth(spark, tmp_path):
     df = with_ml_columns(_table(spark, 300, 3, 4), "features", "label", [0, 1, 2]).cache()
     deep = make_estimator("Decision Tree", {"max_depth": None}, 300).fit(df).setLeafCol("leaf")
-    tree = T.node_tables(deep, spark)
-    for limit in (1, 2, 3, 5):
-        votes = T.vote_tables(tree, [limit], False)[0][0]
-        rows = deep.transform(df).select("id", "leaf").collect()
-        got = {r["id"]: int(votes[int(r["leaf"])].argmax()) for r in rows}
+    limits = [1, 2, 3, 5]
+    votes = T.vote_table(_nodes(deep, spark, tmp_path), deep.depth, limits, False)
+    leaves = deep.transform(df).select(F.lit(0).alias("job"), F.col("id").alias("row"), F.col("label_idx").cast("int").alias("y"),
+                                       F.array(F.col("leaf").cast("int")).alias("leaf"))
+    preds = T.predictions(leaves, votes, [1]).collect()
+    for cut, limit in enumerate(limits):
+        got = {r["row"]: r["pred"] for r in preds if r["cut"] == cut}
         own = make_estimator("Decision Tree", {"max_depth": limit}, 300).fit(df)
         assert got == {r["id"]: int(r["prediction"]) for r in own.transform(df).select("id", "prediction").collect()}
     df.unpersist()
 
 
-def test_whole_forest_votes_equal_its_predictions(spark):
-    df = with_ml_columns(_table(spark, 200, 3, 5), "features", "label", [0, 1, 2]).cache()
-    m = make_estimator("Random Forest", {"n_estimators": 15, "max_depth": None}, 200).fit(df).setLeafCol("leaf")
-    votes = T.vote_tables(T.node_tables(m, spark), [30], True)[0]
-    for r in m.transform(df).select("leaf", "rawPrediction").collect():
-        raw = sum(votes[t][int(leaf)] for t, leaf in enumerate(r["leaf"]))
-        assert np.allclose(raw, r["rawPrediction"].toArray())
-    df.unpersist()
+def test_forest_of_300_trees_cut_as_node_by_node(spark, tmp_path):
+    """Stand-ins of every leaf, votes, scores and their order of 300 trees against a plain walk over the nodes."""
+    from collections import Counter
+    from pyspark.ml.functions import vector_to_array
+    df = with_ml_columns(_table(spark, 150, 3, 5), "features", "label", [0, 1, 2]).cache()
+    m = make_estimator("Random Forest", {"n_estimators": 300, "max_depth": None}, 150).fit(df).setLeafCol("leaf")
+    nodes, limits, deepest = _nodes(m, spark, tmp_path), [2, 4, 30], max(t.depth for t in m.trees)
+    raw = spark.read.parquet(f"file://{tmp_path}/model/data").select("treeID", "nodeData.*")
+    trees = {}
+    for r in raw.select(F.col("treeID").alias("tree"), "id", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
+                        F.col("impurityStats").alias("stats"), "prediction").collect():
+        trees.setdefault(r["tree"], []).append(r)
+    stats = {(t, r["id"]): np.array(r["stats"]) for t, rows in trees.items() for r in rows}
+    got = {(r["tree"], r["leaf"], r["cut"]): r["stand"] for r in T.stand_ins(nodes, T.leaf_chains(nodes, deepest), limits).collect()}
+    want = {(t, n, c): at for t, rows in trees.items() for c, v in enumerate(limits) for n, at in _brute_cut(rows, v).items()}
+    assert got == want and len({t for t, _, _ in got}) == 300
+
+    data = m.transform(df).select(F.lit(0).alias("job"), F.col("id").alias("row"), F.col("label_idx").cast("int").alias("y"),
+                                  vector_to_array("leaf").cast("array<int>").alias("leaf"), "rawPrediction").cache()
+    votes = T.vote_table(nodes, deepest, limits, True).cache()
+    preds = T.predictions(data.drop("rawPrediction"), votes, [7, 300]).cache()
+    shares = {k: stats[k[0], at] / stats[k[0], at].sum() for k, at in want.items()}
+    hits, rows = Counter(), data.collect()
+    for r in rows:
+        for c in range(len(limits)):
+            for n in (7, 300):
+                sums = sum(np.rint(shares[t, leaf, c] * T.VOTE_UNIT) for t, leaf in enumerate(r["leaf"][:n]))
+                hits[c, n] += int(np.argmax(sums)) == r["y"]
+                if c == 2 and n == 300:
+                    assert np.allclose(sums / T.VOTE_UNIT, r["rawPrediction"].toArray())
+    acc = {(r["cut"], r["n"]): r["score"] for r in T.scores(preds, "accuracy").collect()}
+    assert acc == {k: v / len(rows) for k, v in hits.items()}
+    f1 = {(r["cut"], r["n"]): r["score"] for r in T.scores(preds, "f1_weighted").collect()}
+    pairs = {}
+    for r in preds.collect():
+        pairs.setdefault((r["cut"], r["n"]), np.zeros((3, 3)))[r["y"], r["pred"]] += 1
+    assert all(abs(f1[k] - B.score_confusion(v, "f1_weighted")) < 1e-12 for k, v in pairs.items())
+    for x in (df, nodes, data, votes, preds):
+        x.unpersist()
+
+
+def test_one_node_trees_and_folds_without_rows(spark):
+    """A tree that never splits votes too; a fold that no row is in gives no score."""
+    df = spark.createDataFrame([(i, [0.0], i % 2, i % 2) for i in range(40)], "id long, features array<double>, label int, fold int")
+    data = with_ml_columns(df, "features", "label", [0, 1]).select("features_vec", "label_idx", "fold").cache()
+    got = T.tree_cv("Decision Tree", data, [{"max_depth": 3}, {"max_depth": None}], 2, {0: 20, 1: 20}, 2, "accuracy", 2, 0)
+    assert got.tolist() == [0.0, 0.0]
+    assert np.isnan(T.tree_cv("Decision Tree", data, [{"max_depth": 3}], 3, {0: 20, 1: 20}, 2, "accuracy", 2, 0)[0])
+    data.unpersist()
 
 
 def test_auc_does_not_lean_on_exchange_reuse(spark):
