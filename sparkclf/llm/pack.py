@@ -45,21 +45,25 @@ class Encoder:
 
     Texts of Latin letters are split by the vocabulary's pattern and each distinct
     piece is encoded once (``tiktoken`` over the same ranks); any other text goes to
-    ``tokenizers`` whole.  The ids are those of ``tokenizers`` either way.
+    ``tokenizers`` whole.  The ids are those of ``tokenizers`` either way.  Strings of
+    special tokens in a text are ordinary text, unless ``specials`` is set: then they get
+    their own ids, as in a plain call of the file's tokenizer.
     """
 
-    def __init__(self, json_path: str, rank_path: str, pattern: str):
+    def __init__(self, json_path: str, rank_path: str, pattern: str, specials: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
         with open(rank_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(json_path)
-        self.whole.encode_special_tokens = True   # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = not specials
+        named = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()] if specials else []
+        self.to_whole = re.compile("|".join([_OTHER.pattern, *named]))
         self.words: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if _OTHER.search(text):
+        if self.to_whole.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, out = self.words, []
         if len(words) > CACHE_WORDS:
@@ -72,13 +76,18 @@ class Encoder:
         return b"".join(out)
 
 
-def public_encoder() -> Encoder:
+def public_encoder(specials: bool = False) -> Encoder:
     import public_tokenizers as P
-    return Encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return Encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, specials)
+
+
+def file_encoder() -> Encoder:
+    """Ids as the vocabulary file's own tokenizer gives them, special tokens inside texts included."""
+    return public_encoder(specials=True)
 
 
 def pieces(docs: DataFrame, id_col="doc_id", text_col="text", capacity: int = CAPACITY, end_id: int = END_ID,
-           encoder=public_encoder) -> DataFrame:
+           encoder=file_encoder) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents longer than ``capacity`` are cut, the first piece takes the remainder."""
     d = pick(docs, doc_id=id_col, text=text_col)
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
@@ -170,7 +179,7 @@ def _places(plans) -> dict[int, tuple]:
 
 
 def pack(docs: DataFrame, id_col="doc_id", text_col="text", capacity: int = CAPACITY, end_id: int = END_ID,
-         encoder=public_encoder) -> DataFrame:
+         encoder=file_encoder) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
     spark = docs.sparkSession
     stash = Stash(spark, "pack")

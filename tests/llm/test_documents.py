@@ -103,7 +103,6 @@ def test_pack(docs, doc_rows, no_docs):
     import public_tokenizers as P
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = Counter()
     for r in doc_rows:
         ids = tok.encode(r[1] or "", add_special_tokens=False).ids + [2]
@@ -139,6 +138,57 @@ def test_plan_bins_places_every_length_once():
     assert pack.plan_bins({6: 1, 2: 1, 1: 2, 3: 1}, 10)[0] == (1, [6, 3, 1])
 
 
+def slow_bin(lengths, cap):
+    """One bin of best-two-fit over single documents: greedy, then the smallest against the pair that fits most tightly."""
+    here, free = [], sorted(lengths, reverse=True)
+    for n in list(free):
+        if sum(here) + n <= cap:
+            here.append(n)
+            free.remove(n)
+    while sum(here) < cap and len(here) > 1:
+        small = min(here)
+        room = cap - sum(here) + small
+        pairs = [(a + b, -a) for i, a in enumerate(free) for b in free[i + 1:] if a + b <= room]
+        if not pairs or max(pairs)[0] <= small:
+            break
+        total, a = max(pairs)
+        here.remove(small)
+        free.append(small)
+        for n in (-a, total + a):
+            free.remove(n)
+            here.append(n)
+        free.sort(reverse=True)
+    return sorted(here, reverse=True)
+
+
+def test_plan_bins_equals_slow_best_two_fit():
+    rng, swapped = random.Random(11), 0
+    for cap, most, n in [(10, 10, 25), (30, 20, 40), (100, 60, 60), (64, 64, 60), (1024, 1024, 70), (7, 3, 30)] * 4:
+        left = [rng.randint(1, most) for _ in range(n)]
+        for times, lengths in pack.plan_bins(dict(Counter(left)), cap):
+            assert slow_bin(left, cap) == lengths
+            greedy = []
+            for x in sorted(left, reverse=True):
+                greedy += [x] * (sum(greedy) + x <= cap)
+            swapped += greedy != lengths
+            for x in lengths * times:
+                left.remove(x)
+        assert not left
+    assert swapped > 20
+
+
+def test_pack_ids_of_special_strings(spark):
+    """Special strings inside texts get the ids of an untouched tokenizer; elsewhere they are ordinary text."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    enc, plain = pack.file_encoder(), pack.public_encoder()
+    texts = ["<|endoftext|> hi", "a <|endoftext|>b  <|endoftext|>", "  <|endoftext|>  x", "<|endoftext|>" * 3, "<|endoftext| >", "日本<|endoftext|>語", "no such token"]
+    for t in texts:
+        assert np.frombuffer(enc(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(enc(texts[0]), "<u4") and 50256 not in np.frombuffer(plain(texts[0]), "<u4")
+
+
 def brute_lines(rows, least=50):
     order = sorted(range(len(rows)), key=lambda i: ((rows[i][0] is not None, rows[i][0] or 0)))
     lines = {i: [x for x in (rows[i][1] or "").split("\n") if WORD.search(x)] for i in order}
