@@ -15,24 +15,18 @@ from __future__ import annotations
 
 import functools
 import math
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, delete_path, shared_path
 from .spark_ml import _depth, _min_node, make_estimator
 
 VOTE_UNIT = 2 ** 40      # a leaf's class shares as whole numbers of 1 / VOTE_UNIT
 
 
-def _delete(spark, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def read_nodes(spark, path: str, job: int = 0) -> DataFrame:
     """(job, tree, id, left, right, stats, pred, said) of a model saved at ``path``.
 
@@ -134,7 +128,7 @@ def tree_cv(kind: str, data: DataFrame, cands: list[dict], k: int, fold_rows: di
     from pyspark.ml.functions import vector_to_array
     spark, forest = data.sparkSession, kind == "Random Forest"
     total = sum(fold_rows.values())
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or ensure_checkpoint_dir(spark)).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    base = shared_path(spark, "trees")
     plan = [(_min_node(c), _depth(c.get("max_depth")), int(c.get("n_estimators", 100)) if forest else 1) for c in cands]
     limits, counts = sorted({d for _, d, _ in plan}), sorted({n for _, _, n in plan})
     jobs = [(f, node) for node in dict.fromkeys(p[0] for p in plan) for f in range(k)]
@@ -159,7 +153,7 @@ def tree_cv(kind: str, data: DataFrame, cands: list[dict], k: int, fold_rows: di
     vote_table(cut_lineage(nodes), max(depths), limits, forest).write.parquet(f"{base}/votes")
     leaves = spark.read.parquet(*[f"{base}/leaves{j}" for j in range(len(jobs))])
     out = scores(predictions(leaves, spark.read.parquet(f"{base}/votes"), counts), primary).collect()    # a number per cut model
-    _delete(spark, base)
+    delete_path(spark, base)
     got = {(r["job"], r["cut"], r["n"]): r["score"] for r in out}
     found = [[got.get((j, limits.index(d), n), float("nan")) for j, (_, m) in enumerate(jobs) if m == node] for node, d, n in plan]
     return np.array([np.mean(x) for x in found])

@@ -1,7 +1,7 @@
 """Data-quality issue detectors and the 0-100 health score.
 
-Every detector returns a small DataFrame; ``detect_all`` runs them with shared
-passes (one fused aggregate for missing values and constant columns, the IQR
+Every detector returns a small DataFrame; ``detect_all`` writes the source once,
+long texts as digests, and runs them on that table with shared passes (one fused aggregate for missing values and constant columns, the IQR
 quantile pass, one grouping each for the class counts, the distinct counts and
 the duplicate count) and assembles the long issue table and the score.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import categorical_columns, compact_key, missing_as_null, numeric_columns, safe_div
+from ..session import cut_lineage, delete_path, shared_path
 from .profile import outliers_iqr
 from .stats import distinct_counts
 
@@ -188,10 +189,36 @@ def penalties(n_missing: int, n_outlier: int, imb_issue: bool, ratio: float, n_c
     return d
 
 
+def _written(df: DataFrame, target: str, path: str) -> DataFrame:
+    """The table as Parquet at ``path``: the source and its joins run once, and each pass reads its own columns only.
+
+    Texts other than the target are kept as ``compact_key``s, which are equal where the
+    texts are, so null, distinct, constant and duplicate counts stay the same.
+    """
+    cols = []
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType) and f.name != target:
+            c = F.hex(compact_key(c))        # text again, so the column keeps its class
+        elif isinstance(f.dataType, T.NullType):
+            c = c.cast("binary")             # Parquet has no such type; all missing either way
+        cols.append(c.alias(f"c{i}"))
+    df.select(*cols).write.parquet(path)
+    return df.sparkSession.read.parquet(path).toDF(*df.columns)
+
+
 @missing_as_null
 def detect_all(df: DataFrame, target: str) -> IssueReport:
     """Run every detector and compute the health score (driver-side summary of
-    small results; the heavy work is five Spark aggregates)."""
+    small results; the heavy work is one write of the source and five Spark aggregates over it)."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "issues")
+    try:
+        return _detect_all(_written(df, target, path), target)
+    finally:
+        delete_path(spark, path)
+
+
+def _detect_all(df: DataFrame, target: str) -> IssueReport:
     n, mc = missing_and_constant(df)
     mrows = mc.collect()
     rep = IssueReport(rows=n)
@@ -203,7 +230,7 @@ def detect_all(df: DataFrame, target: str) -> IssueReport:
     rep.outliers = {r["column"]: r["outlier_count"] for r in detect_outliers(df, counts=nn, ndv=nd).collect()}
     imb = detect_class_imbalance(df, target).first()
     rep.imbalance_ratio, rep.imbalance_issue = float(imb["ratio"]), bool(imb["has_issue"])
-    rep.distribution = class_counts(df, target)
+    rep.distribution = cut_lineage(class_counts(df, target))      # outlives the written table
     rep.high_cardinality = {r["column"]: r["n_unique"] for r in detect_high_cardinality(df).collect()}
     dup = detect_duplicates(df).first()
     rep.dup_count, rep.dup_pct, rep.dup_issue = int(dup["dup_count"]), float(dup["percentage"]), bool(dup["has_issue"])

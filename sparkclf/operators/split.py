@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash32
+from ..session import cut_lineage
+from .stats import global_positions
 
 _NULL_KEY = "\u0000<null>"
 TARGET_BUCKET_ROWS = 50_000
+ONE_TASK_CLASSES = 50_000     # more classes than this are ranked in range partitions
 
 
 def class_key(label: str):
@@ -34,15 +37,25 @@ def _bits_for(max_class_rows: int) -> int:
     return min(20, int(math.ceil(math.log2(max_class_rows / TARGET_BUCKET_ROWS))))
 
 
-def allocate(counts: DataFrame, n: int, n_draws: int) -> DataFrame:
+def allocate(counts: DataFrame, n: int, n_draws: int, classes: int | None = None) -> DataFrame:
     """(__k, __alloc): ``n_draws`` of ``n`` rows spread over the classes of (__k, __n) proportionally:
     floor of the exact share, then one more for the largest remainders (ties -> class order).
-    One row per class; no class list comes to the driver."""
+
+    One row per class; no class list comes to the driver.  Many classes are ranked in range
+    partitions of (remainder, class), so equal remainders spread over partitions too.
+    """
     share = F.lit(float(n_draws)) * F.col("__n") / F.lit(float(max(n, 1)))
     c = counts.withColumn("__low", F.floor(share)).withColumn("__left", share - F.col("__low"))
-    c = c.withColumn("__more", F.lit(n_draws) - F.sum("__low").over(Window.partitionBy()))
-    nth = F.row_number().over(Window.orderBy(F.desc("__left"), "__k"))
-    return c.select("__k", (F.col("__low") + (nth <= F.col("__more")).cast("int")).cast("long").alias("__alloc"))
+    if classes is None:
+        classes = counts.count()
+    if classes <= ONE_TASK_CLASSES:
+        c = c.withColumn("__more", F.lit(n_draws) - F.sum("__low").over(Window.partitionBy()))
+        c = c.withColumn("__nth", F.row_number().over(Window.orderBy(F.desc("__left"), "__k")) - 1)
+    else:
+        c = cut_lineage(c.withColumn("__rank", F.struct((-F.col("__left")).alias("l"), "__k")))
+        c = c.withColumn("__more", F.lit(n_draws - int(c.agg(F.sum("__low")).first()[0])))
+        c = global_positions(c, "__rank", "__nth", classes, ONE_TASK_CLASSES)
+    return c.select("__k", (F.col("__low") + (F.col("__nth") < F.col("__more")).cast("int")).cast("long").alias("__alloc"))
 
 
 def _totals(counts: DataFrame) -> tuple[int, int, int, int]:
@@ -93,12 +106,12 @@ def train_test_split(df: DataFrame, label: str | None, id_col: str | None, train
     n_train = int(math.floor(n * float(train_size)))
     if not (stratify and label and can_stratify(n, n_classes, smallest, train_size)):
         key = F.lit("all")
-        counts, largest = _class_sizes(df, key), n
+        counts, largest, n_classes = _class_sizes(df, key), n, 1
     bits = _bits_for(largest)
     base = _drawn(df, key, id_col, seed, bits)
     hist = base.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__k").orderBy("__b")
-    cut = (hist.withColumn("__cum", F.sum("__n").over(w)).join(allocate(counts, n, n_train), "__k")
+    cut = (hist.withColumn("__cum", F.sum("__n").over(w)).join(allocate(counts, n, n_train, n_classes), "__k")
            .where((F.col("__cum") - F.col("__n") < F.col("__alloc")) & (F.col("__cum") >= F.col("__alloc")))
            .select("__k", F.col("__b").alias("__cut"), (F.col("__alloc") - F.col("__cum") + F.col("__n"))
                    .alias("__need")))

@@ -299,7 +299,8 @@ def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 RANK_ROWS_PER_PARTITION = 1_000_000
 
 
-def global_positions(df: DataFrame, order_col: str, out_col: str = "pos", rows: int | None = None) -> DataFrame:
+def global_positions(df: DataFrame, order_col: str, out_col: str = "pos", rows: int | None = None,
+                     per_partition: int | None = None) -> DataFrame:
     """0-based position of every row in ``order_col`` order (values distinct),
     without a single-task global window: rows are range-partitioned, numbered
     inside each partition, and shifted by the row counts of earlier partitions
@@ -307,7 +308,7 @@ def global_positions(df: DataFrame, order_col: str, out_col: str = "pos", rows:
     from pyspark.sql import Window
     if rows is None:
         rows = df.count()
-    nparts = max(1, -(-rows // RANK_ROWS_PER_PARTITION))
+    nparts = max(1, -(-rows // (per_partition or RANK_ROWS_PER_PARTITION)))
     from ..session import cut_lineage
     # numbered and counted from one checkpoint, so the sampled bounds cannot differ between the two
     r = cut_lineage(df.repartitionByRange(nparts, order_col).withColumn("__pid", F.spark_partition_id()))

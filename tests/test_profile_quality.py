@@ -1,5 +1,7 @@
 import math
 
+from pyspark.sql import functions as F
+
 from sparkclf.operators import profile as P
 from sparkclf.operators import quality as Q
 from sparkclf.plans import fixtures as fx
@@ -113,3 +115,25 @@ def test_smallest_values_behind_repeated_ones(spark):
     assert P.smallest_values(df.where("s = 'aa'"), "s", 4) == ["aa"] and P.smallest_values(df.limit(0), "s", 4) == []
     r = P.non_numeric_report(df, 3).first()
     assert (r["column"], r["non_numeric_count"], r["sample_values"]) == ("s", 1000, values[:3])
+
+
+def test_detectors_read_the_source_once(spark):
+    """The source is evaluated once for all detectors; long texts, nested and null-typed columns and odd names keep their counts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rows = [(i % 50, "x" * 100 + str(i % 45), ["a", "b"][i % 2], None, bytes([i % 3]), [i % 2], i % 2) for i in range(100)]
+    schema = "`a b` long, long_text string, short string, gone string, raw binary, list array<int>, label int"
+    src = spark.createDataFrame(rows, schema).repartition(2).mapInArrow(count, schema)
+    rep = Q.detect_all(src.withColumn("void", F.lit(None)), "label")
+    assert seen.value == 100 and rep.rows == 100
+    assert rep.missing == {"gone": 100.0, "void": 100.0} and set(rep.constant) == {"gone", "void"}
+    assert rep.dup_count == 0 and rep.high_cardinality == {}
+    assert sorted(map(tuple, rep.distribution.collect())) == [("0", 50), ("1", 50)]
+    twice = Q.detect_all(spark.createDataFrame(rows + rows, schema), "label")
+    assert twice.dup_count == 100 and twice.dup_issue
+    wide = Q.detect_all(spark.createDataFrame([("y" * 40 + str(i), "t" * 30) for i in range(60)], "t string, label string"), "label")
+    assert wide.high_cardinality == {"t": 60} and wide.distribution.first()["class"] == "t" * 30

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,30 @@ def test_allocation_and_guard(spark):
     assert S.can_stratify(20, 2, 10, 0.8)
 
 
+def test_allocation_ranked_in_range_partitions(spark, monkeypatch):
+    """Many classes: the same allocation as in one task, with every remainder equal too."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(2, 40, 3000).tolist()
+    for n_per in (sizes, [5] * 3000):
+        df = spark.createDataFrame([(f"k{i:05d}", int(v)) for i, v in enumerate(n_per)], "__k string, __n long")
+        n = sum(n_per)
+        one = S.allocate(df, n, n * 7 // 10).collect()
+        with monkeypatch.context() as m:
+            m.setattr(S, "ONE_TASK_CLASSES", 400)
+            many = S.allocate(df, n, n * 7 // 10)
+            assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one))
+            plan = many._jdf.queryExecution().toString()
+            assert "rangepartitioning" in plan or "Scan ExistingRDD" in plan
+        assert sum(r["__alloc"] for r in one) == n * 7 // 10
+
+
+def test_split_of_a_million_classes(spark):
+    df = spark.range(1_000_000).select((F.col("id") * 3 + 1).alias("__n"), F.concat(F.lit("c"), F.col("id")).alias("__k"))
+    n = 3 * (1_000_000 * 999_999 // 2) + 1_000_000
+    got = S.allocate(df, n, n // 2, 1_000_000).agg(F.sum("__alloc"), F.count("*")).first()
+    assert tuple(got) == (n // 2, 1_000_000)
+
+
 def test_sparse_onehot_is_one_schema_at_every_size(spark, monkeypatch):
     from sparkclf.models.common import feature_array
     from sparkclf.operators import stats as ST
