@@ -5,9 +5,10 @@ column:
 
 * ``column_stats`` is one aggregate with map-side partial aggregation.
 * ``exact_quantiles`` uses Spark's exact ``percentile`` only when the column has
-  few enough distinct values for its value->count map to fit one task; otherwise it narrows
-  the target ranks with value-range histograms (bounded output per pass) until
-  the bracket holding the rank is tiny or single-valued.
+  few enough distinct values for its value->count map to fit one task; otherwise mergeable
+  rank-error sketches of all columns bracket the target ranks in one scan and one more scan
+  counts and picks (each sketch leaves about one row in 1,600, so columns of more than some
+  300 million rows take another).
 * ``modes`` uses a frequency table and two aggregates (max count, then smallest
   value at that count) instead of ``mode()``, whose buffer is a whole-column map.
 """
@@ -16,15 +17,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The built-in exact percentile keeps a value -> count map of the column in its
 # final task, so its memory grows with the number of distinct values.  Columns
 # with at most this many (approximate, HLL) distinct values use it in one pass;
-# the others use the histogram refinement.
+# the others use sketch-guided brackets.
 SMALL_COLUMN_NDV = 500_000
-HIST_BUCKETS = 4096
+SKETCH_LEVELS = 2048        # a sketch's rank error is 1 / (4 * levels) of the rows it reads
+SKETCHES_PER_SCAN = 128
 FINAL_BRACKET_ROWS = 200_000
 MODE_BROADCAST_KEYS = 1_000_000
 
@@ -105,12 +107,12 @@ def _chunks(cols: list[str], ndv: dict, limit: int) -> list[list[str]]:
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     counts: dict | None = None, ndv: dict | None = None, small_ndv: int = SMALL_COLUMN_NDV,
-                    buckets: int = HIST_BUCKETS, bounds: dict | None = None) -> dict:
+                    buckets: int = SKETCH_LEVELS, bounds: dict | None = None) -> dict:
     """Exact linear-interpolation quantiles (pandas ``quantile`` / DuckDB
     ``quantile_cont``) on the non-null values of each column.
 
     ``counts`` / ``ndv`` (non-null and approximate distinct counts) may come
-    from an earlier fused pass.  Returns {(col, p): value or None}.
+    from an earlier fused pass; ``buckets`` are the levels of a sketch.  Returns {(col, p): value or None}.
     """
     if not cols:
         return {}
@@ -121,7 +123,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         ndv = ndv if ndv is not None else d2
     out = {}
     small = [c for c in cols if ndv.get(c, 0) <= small_ndv]
-    large = [c for c in cols if ndv.get(c, 0) > small_ndv]
+    large = [c for c in cols if c not in small and counts[c]]
+    out.update({(c, p): None for c in cols if c not in small and not counts[c] for p in probs})
     if small:
         arr = F.array(*[F.lit(float(p)) for p in probs])
         # the value maps of one pass meet in one task: their sizes add up to at most small_ndv
@@ -141,7 +144,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 k0 = int(math.floor(h))
                 ranks[(c, k0)] = None
                 ranks[(c, min(k0 + 1, n - 1))] = None
-        vals = _select_ranks(df, large, sorted(ranks), buckets, bounds)
+        vals = _select_ranks(df, sorted(ranks), buckets, counts, bounds)
         for c in large:
             n = counts[c]
             for p in probs:
@@ -153,76 +156,102 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out
 
 
-def _select_ranks(df: DataFrame, cols: list[str], targets: list[tuple], buckets: int,
-                  known: dict | None = None) -> dict:
-    """k-th smallest value (0-based) for each (col, k) target by histogram refinement.
-    ``known`` may carry each column's (min, max) from an earlier pass."""
-    spark = df.sparkSession
-    long = _long_numeric(df, cols)
-    def usable(b):
-        return b is not None and b[0] is not None and b[1] is not None and b[0] == b[0] and b[1] == b[1]
-
-    if known and all(usable(known.get(c)) for c in cols):     # NaN bounds are not usable
-        bounds = {c: (float(known[c][0]), float(known[c][1])) for c in cols}
-    else:
-        mm = long.groupBy("c").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        bounds = {r["c"]: (r["lo"], r["hi"]) for r in mm}
-    # state: target -> [lo, hi, offset]
-    state = {t: [bounds[t[0]][0], bounds[t[0]][1], 0] for t in targets}
+def _select_ranks(df: DataFrame, targets: list[tuple], levels: int, counts: dict, known: dict | None = None) -> dict:
+    """k-th smallest value (0-based) for each (col, k) target.
+
+    One scan takes a rank-error sketch of every open window of values (``percentile_approx``, error
+    1 / (4 * levels) of the window's rows), which narrows each target to the values between two
+    levels.  A window expected to hold at most ``FINAL_BRACKET_ROWS`` rows is finished by one more scan,
+    shared by all targets, that counts the rows below it and the values inside.  A heavy value is one
+    counted value there, and a bracket that turns out not to hold its rank is taken again, wider.
+    ``known`` may carry each column's (min, max) from an earlier pass.
+    """
+    eps = 1.0 / (4 * levels)
+    cols = sorted({c for c, _ in targets})
+    whole = {c: tuple((known or {}).get(c) or (None, None)) for c in cols}
+    whole = {c: tuple(-math.inf if i == 0 and v is None or v != v else math.inf if v is None else float(v)
+                      for i, v in enumerate(b)) for c, b in whole.items()}
+    window = {t: whole[t[0]] for t in targets}
+    size = {t: counts[t[0]] for t in targets}
+    margin = {t: 1.5 * eps for t in targets}
     result = {}
-    for _ in range(64):
-        open_t = {t: s for t, s in state.items() if t not in result}
-        if not open_t:
-            break
-        for t, (lo, hi, off) in open_t.items():
-            if lo == hi:
-                result[t] = lo
-        open_t = {t: s for t, s in open_t.items() if t not in result}
-        if not open_t:
-            break
-        windows = sorted({(t[0], s[0], s[1]) for t, s in open_t.items()})
-        wdf = spark.createDataFrame(
-            [(i, c, float(lo), float(hi)) for i, (c, lo, hi) in enumerate(windows)],
-            "w int, c string, wlo double, whi double")
-        wid = {w: i for i, w in enumerate(windows)}
-        joined = long.join(F.broadcast(wdf), "c").where(
-            (F.col("x") >= F.col("wlo")) & (F.col("x") <= F.col("whi")))
-        bucket = F.least(F.floor((F.col("x") - F.col("wlo")) / (F.col("whi") - F.col("wlo"))
-                                 * F.lit(buckets)).cast("int"), F.lit(buckets - 1))
-        hist = (joined.groupBy("w", bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("bmin"), F.max("x").alias("bmax"))
-                .collect())
-        per_w: dict[int, list] = {}
-        for r in hist:
-            per_w.setdefault(r["w"], []).append((r["b"], r["n"], r["bmin"], r["bmax"]))
-        small_brackets = []
-        for t, (lo, hi, off) in open_t.items():
-            rows = sorted(per_w[wid[(t[0], lo, hi)]])
-            need = t[1] - off
-            cum = 0
-            for b, n, bmin, bmax in rows:
-                if cum + n > need:
-                    state[t] = [bmin, bmax, off + cum]
-                    if bmin == bmax:
-                        result[t] = bmin
-                    elif n <= FINAL_BRACKET_ROWS:
-                        small_brackets.append(t)
-                    break
-                cum += n
-        if small_brackets:
-            # a bracket is sorted and its rank picked on an executor; one number per target comes back
-            wdf = spark.createDataFrame(
-                [(i, t[0], float(state[t][0]), float(state[t][1]), int(t[1] - state[t][2])) for i, t in enumerate(small_brackets)],
-                "w int, c string, wlo double, whi double, nth int")
-            got = (long.join(F.broadcast(wdf), "c")
-                   .where((F.col("x") >= F.col("wlo")) & (F.col("x") <= F.col("whi")))
-                   .groupBy("w", "nth").agg(F.sort_array(F.collect_list("x")).alias("v"))
-                   .select("w", F.get("v", F.col("nth")).alias("x")).collect())
-            for r in got:
-                result[small_brackets[r["w"]]] = r["x"]
+    while len(result) < len(targets):
+        left = [t for t in targets if t not in result]
+        wide = [t for t in left if size[t] > FINAL_BRACKET_ROWS and window[t][0] < window[t][1] and margin[t] < 0.5]
+        if wide:
+            for t, found in _narrow(df, wide, window, margin, levels, eps, counts, whole).items():
+                window[t], size[t] = found
+            continue
+        got = _finish(df, left, window)
+        result |= got
+        for t in left:      # not in its bracket: the sketch was further off than its bound
+            if t not in got:
+                if window[t] == whole[t[0]]:
+                    raise RuntimeError(f"the rows of {t[0]} changed between two scans")
+                window[t], size[t], margin[t] = whole[t[0]], counts[t[0]], 4 * margin[t]
     return result
 
 
+def _narrow(df: DataFrame, targets: list[tuple], window: dict, margin: dict, levels: int, eps: float,
+            counts: dict, whole: dict) -> dict:
+    """One scan of sketches: {target: ((lo, hi), expected rows)}."""
+    asked: dict[tuple, set] = {}
+    for t in targets:
+        w = (t[0], *window[t])
+        if window[t] == whole[t[0]]:       # ranks within the whole column are known before the scan
+            p = t[1] / counts[t[0]]
+            asked.setdefault(w, set()).update((max(0.0, p - margin[t]), min(1.0, p + margin[t])))
+        else:
+            asked[w] = {i / levels for i in range(levels + 1)}
+    order = sorted(asked)
+    out, sketches = {}, {}
+    for at in range(0, len(order), SKETCHES_PER_SCAN):
+        part, exprs = order[at:at + SKETCHES_PER_SCAN], []
+        for i, (c, lo, hi) in enumerate(part):
+            x = F.col(c).cast("double")
+            there = ~F.isnan(x) & (x >= lo) & (x <= hi)
+            exprs += [F.count_if(~F.isnan(x) & (x < lo)).alias(f"b{i}"), F.count_if(there).alias(f"n{i}"),
+                      F.percentile_approx(F.when(there, x), F.array(*[F.lit(p) for p in sorted(asked[part[i]])]),
+                                          F.lit(4 * levels)).alias(f"q{i}")]
+        r = df.agg(*exprs).first()
+        for i, w in enumerate(part):
+            sketches[w] = (r[f"b{i}"], r[f"n{i}"], list(zip(sorted(asked[w]), r[f"q{i}"] or [])))
+    for t in targets:
+        lo, hi = window[t]
+        below, inside, found = sketches[(t[0], lo, hi)]
+        p = (t[1] - below) / max(1, inside)
+        under = [q for q in found if q[0] <= p - margin[t] + 1e-12 and q[0] > 0]
+        over = [q for q in found if q[0] >= p + margin[t] - 1e-12 and q[0] < 1]
+        a, b = (under[-1] if under else (0.0, lo)), (over[0] if over else (1.0, hi))
+        expected = int(inside * (b[0] - a[0] + 2 * eps)) + 1
+        # a step that does not narrow leaves the window to the finishing scan
+        out[t] = ((a[1], b[1]), expected if (a[1], b[1]) != (lo, hi) else 0)
+    return out
+
+
+def _finish(df: DataFrame, targets: list[tuple], window: dict) -> dict:
+    """One scan: the values of all windows with their counts and the rows below; ranks are read off on executors."""
+    spark = df.sparkSession
+    spans: dict[str, list] = {}
+    for c, lo, hi in sorted({(t[0], *window[t]) for t in targets}):      # windows that overlap are one
+        if spans.get(c) and lo <= spans[c][-1][1]:
+            spans[c][-1][1] = max(hi, spans[c][-1][1])
+        else:
+            spans.setdefault(c, []).append([lo, hi])
+    flat = [(i, c, float(lo), float(hi)) for i, (c, lo, hi) in enumerate((c, lo, hi) for c, v in spans.items() for lo, hi in v)]
+    own = {t: next(i for i, c, lo, hi in flat if c == t[0] and lo <= window[t][0] <= hi) for t in targets}
+    wdf = spark.createDataFrame(flat, "w int, c string, wlo double, whi double")
+    ranks = spark.createDataFrame([(own[t], int(t[1]), n) for n, t in enumerate(targets)], "w int, k bigint, target int")
+    counted = (_long_numeric(df, sorted(spans)).join(F.broadcast(wdf), "c").where(F.col("x") <= F.col("whi"))
+               .groupBy("w", F.when(F.col("x") >= F.col("wlo"), F.col("x")).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("w").orderBy(F.col("v").asc_nulls_first()))
+    below = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("n"))).over(Window.partitionBy("w")), F.lit(0))
+    got = (counted.select("w", "v", upto.alias("upto"), below.alias("below")).join(F.broadcast(ranks), "w")
+           .where(F.col("v").isNotNull() & (F.col("upto") > F.col("k")) & (F.col("below") <= F.col("k")))
+           .groupBy("target").agg(F.min("v").alias("x")).collect())       # one number per target
+    return {targets[r["target"]]: r["x"] for r in got}
+
+
 def frequency_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, count) including a NULL group per column; values as text."""
     if not cols:
@@ -305,7 +334,6 @@ def global_positions(df: DataFrame, order_col: str, out_col: str = "pos", rows:
     without a single-task global window: rows are range-partitioned, numbered
     inside each partition, and shifted by the row counts of earlier partitions
     (a table with one row per partition)."""
-    from pyspark.sql import Window
     if rows is None:
         rows = df.count()
     nparts = max(1, -(-rows // (per_partition or RANK_ROWS_PER_PARTITION)))

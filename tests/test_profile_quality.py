@@ -137,3 +137,26 @@ def test_detectors_read_the_source_once(spark):
     assert twice.dup_count == 100 and twice.dup_issue
     wide = Q.detect_all(spark.createDataFrame([("y" * 40 + str(i), "t" * 30) for i in range(60)], "t string, label string"), "label")
     assert wide.high_cardinality == {"t": 60} and wide.distribution.first()["class"] == "t" * 30
+
+
+def test_kde_equals_the_full_sum_and_leaves_gaps_empty(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.normal(0, 1, 400), np.repeat([2.5, -1.0], 150), [1e6]])      # a far value: most points meet nothing
+    near = vals[:-1]
+    df = spark.createDataFrame([(float(v), float(round(w)), float(w)) for v, w in zip(vals, np.append(near, 0.5))],
+                               "far double, few double, near double")
+    got = {(r["column"], r["point"]): (r["x"], r["density"]) for r in P.kde(df, cut=3.0).collect()}
+    assert len(got) == 600
+    for c, data in (("far", vals), ("few", np.round(np.append(near, 0.5))), ("near", np.append(near, 0.5))):
+        bw = data.std(ddof=1) * len(data) ** -0.2
+        for p in range(200):
+            x, dens = got[(c, p)]
+            full = np.exp(-0.5 * ((x - data) / bw) ** 2).sum() / (len(data) * bw * math.sqrt(2 * math.pi))
+            assert abs(full - dens) <= math.exp(-0.5 * 8.6 ** 2) / (bw * math.sqrt(2 * math.pi)) + 1e-12 * full
+    assert P.kde(spark.createDataFrame([(1.0, float("inf")), (1.0, 2.0)], "flat double, inf double")).count() == 0
+
+
+def test_kde_keeps_values_on_executors(spark):
+    df = spark.range(100).selectExpr("double(id * id) AS x")
+    assert "MapInPandas" not in P.kde(df)._jdf.queryExecution().toString()
