@@ -95,3 +95,32 @@ def test_top_k(spark, monkeypatch, shape):
     assert topk.top_k(df.limit(0)).count() == 0
     assert sorted(tuple(r) for r in topk.top_k(df.filter("vec_id < 3")).collect()) == sorted((0, n + 1, j, s) for n, (s, j) in enumerate(
         sorted([(sum(a * b for a, b in zip(ok[0][1], ok[j][1])), j) for j in (1, 2)], key=lambda x: (-x[0], x[1]))))
+
+
+def test_top_k_routes_queries_to_few_regions(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(topk, "SUBTREE_ROWS", 50)
+    monkeypatch.setattr(topk, "REGION_ROWS", 20)
+    monkeypatch.setattr(topk, "PAGE_ROWS", 8)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (12, 8))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = centres[np.arange(600) % 12] + rng.normal(0, 0.02, (600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    routed, put = {}, topk.Stash.put
+
+    def counted(self, d, name):
+        out = put(self, d, name)
+        routed[name] = out.count()
+        return out
+
+    monkeypatch.setattr(topk.Stash, "put", counted)
+    got = sorted(tuple(r) for r in topk.top_k(df, every=3).collect())
+    q = np.floor(256 * x).astype(int)
+    s = q @ q.T
+    want = []
+    for i in range(0, 600, 3):
+        order = sorted((j for j in range(600) if j != i), key=lambda j: (-s[i, j], j))[:5]
+        want += [(i, n + 1, j, int(s[i, j])) for n, j in enumerate(order)]
+    assert got == sorted(want)
+    assert routed["first"] == 200 and 200 <= routed["asked"] < 200 * 30 / 2      # 30 regions, most of them ruled out
