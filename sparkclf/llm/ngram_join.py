@@ -12,16 +12,19 @@ when 100 * |A n B| >= threshold * |A u B|; the result is exact, no partner is ca
 3. Groups: prefix tokens are brought together by a sort; in each token's run the class
    with the fewest rare tokens is the leader, and every other one is compared with it.
    Verified links make groups of similar classes (connected through their leaders).
-4. Token-group matrix: components so far are cut into groups of bounded size.  For the
-   prefix tokens that several components share, (token, group) says that the group's
-   union holds the token.  A class of the smaller component is a query against the groups
-   of the larger: one whose union holds fewer than t |Q| of its tokens cannot hold a
-   partner; only qualifying groups are opened and their members compared.
+4. Token-group matrix: components so far are cut into groups of bounded size.  A class of the
+   smaller component is a query against the groups of the larger with which it shares a
+   prefix token.  The matrix stores the whole token union of each such group, as bits at hashed
+   tokens: a bit of the query that the union lacks is a token or more that no member has.  A group
+   whose union can hold fewer than t |Q| of its tokens cannot hold a partner; only
+   qualifying groups are opened and their members compared.
 5. Connected components of all links; a component's id is its smallest doc_id.
 
+Every class has such bits (at least four per token, so at most a byte per token); a pair of a
+leader and another class is bounded by them as well.  Texts travel only for pairs and groups
+that the bits leave open, and decide by the shingles themselves.
 Runs and comparisons stream over sorted partitions and hold one leader's set at a
 time.  Runs of very common tokens and the members of one leader are split by salt.
-Texts travel only for classes that share a prefix token.
 
 Defined cases: null text, or text without words, has an empty set, linked with nothing;
 texts with fewer words than ``width`` have one shingle, the whole sequence; repeated
@@ -85,6 +88,30 @@ def _class_of(t: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(t.tobytes())).view(np.int64))
 
 
+def _level(n: int) -> int:
+    """log2 of the number of bits for n tokens; sizes of linked sets differ by one level at most."""
+    return max(6, (4 * n - 1).bit_length())
+
+
+def _bits(t: np.ndarray) -> bytes:
+    """A set's bits: one at each token's hash modulo their number."""
+    size = 1 << _level(len(t))
+    bits = np.zeros(size, np.uint8)
+    bits[(t & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bits that fewer bytes would have had."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def _lacking(a: np.ndarray, b: np.ndarray) -> int:
+    """At least so many tokens of the set with bits ``a`` are not in that with bits ``b``."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_fold(a, size) & ~_fold(b, size)).sum())
+
+
 def _prefix(n: int, threshold: int) -> int:
     """Tokens of a set that meet those of a smaller or equal one: an overlap is at least t n."""
     return n - (threshold * n + 99) // 100 + 1
@@ -96,9 +123,10 @@ def _short(n: int, threshold: int) -> int:
 
 
 def census(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (kind, doc_id, mark, cls, n): kind 0 a document's class and set size, kind 1 a token and its count in a chunk."""
+    """Rows (kind, doc_id, mark, cls, n, bits): kind 0 a document's class and set size, with its bits where
+    a task first meets the class, kind 1 a token and its count in a chunk."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    names = ["kind", "doc_id", "mark", "cls", "n"]
+    names = ["kind", "doc_id", "mark", "cls", "n", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held, size, seen, id_t = Shingler(width), [], 0, set(), None
@@ -107,26 +135,29 @@ def census(docs: DataFrame, width: int) -> DataFrame:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), id_t), pa.nulls(len(tokens), pa.int64()),
-                                               _signed(tokens), pa.array(counts.astype(np.int64))], names)
+                                               _signed(tokens), pa.array(counts.astype(np.int64)), pa.nulls(len(tokens), pa.binary())], names)
 
         for b in batches:
-            id_t, cls, n = b.column("doc_id").type, [], []
+            id_t, cls, n, bits = b.column("doc_id").type, [], [], []
             for text in b.column("text").to_pylist():
                 t = shingles(text)
                 n.append(len(t))
                 cls.append(_class_of(t) if len(t) else None)
+                bits.append(None)
                 if len(t) and cls[-1] not in seen:
                     seen.add(cls[-1])
                     held.append(t)
                     size += len(t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("doc_id"), b.column("mark"), pa.array(cls, pa.int64()), pa.array(n, pa.int64())], names)
+                    bits[-1] = _bits(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("doc_id"), b.column("mark"), pa.array(cls, pa.int64()),
+                                              pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names)
             if size > CHUNK_TOKENS:
                 yield counted()
                 held, size, seen = [], 0, set()
         if held:
             yield counted()
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, f"kind int, doc_id {id_type}, mark long, cls long, n long")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, f"kind int, doc_id {id_type}, mark long, cls long, n long, bits binary")
 
 
 def common_tokens(counts: DataFrame, limit: int = MAX_COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -222,19 +253,43 @@ def may_link(threshold: int):
             & ((F.col("n") > F.col("leader_n")) | F.col("short")) & ((F.col("n") < F.col("leader_n")) | F.col("leader_short")))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """(a, b) of the (leader, cls) pairs that link.  texts: (cls, text).
+def led(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(leader, part, role, cls, ...): the rows (cls, ...) of leaders, role 0, before those of their members, role 1.
 
-    A leader's text is repeated for each part of its members; a part streams past it.
+    A leader's row is repeated for each part of its members; a part streams past it.
     """
+    carried = [c for c in rows.columns if c != "cls"]
     parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / (1 << SALT_BITS)).cast("int").alias("parts"))
     members = (pairs.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-                    .join(texts.hint("merge"), "cls").select("leader", "part", F.lit(1).alias("role"), "cls", "text"))
+                    .join(rows.hint("merge"), "cls").select("leader", "part", F.lit(1).alias("role"), "cls", *carried))
     leaders = (parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-                    .join(texts.withColumnRenamed("cls", "leader").hint("merge"), "leader")
-                    .select("leader", "part", F.lit(0).alias("role"), F.col("leader").alias("cls"), "text"))
-    dealt = leaders.unionByName(members).repartition("leader", "part").sortWithinPartitions("leader", "part", "role", "cls")
+                    .join(rows.withColumnRenamed("cls", "leader").hint("merge"), "leader")
+                    .select("leader", "part", F.lit(0).alias("role"), F.col("leader").alias("cls"), *carried))
+    return leaders.unionByName(members).repartition("leader", "part").sortWithinPartitions("leader", "part", "role", "cls")
+
+
+def near(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
+    """The (leader, cls) pairs that may link by their bits.  bits: (cls, n, bits)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, lead_n, held = None, 0, None
+        for b in batches:
+            a_, b_ = [], []
+            for leader, role, cls, n, x in zip(*(b.column(x).to_pylist() for x in ("leader", "role", "cls", "n", "bits"))):
+                own = np.frombuffer(x, np.uint8)
+                if role == 0:
+                    lead, lead_n, held = leader, n, own
+                elif lead == leader:
+                    both = min(n - _lacking(own, held), lead_n - _lacking(held, own))
+                    if 100 * both >= threshold * (n + lead_n - both):
+                        a_.append(leader)
+                        b_.append(cls)
+            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], ["leader", "cls"])
 
+    return led(pairs, bits).mapInArrow(run, "leader long, cls long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(a, b) of the (leader, cls) pairs that link.  texts: (cls, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, lead, held = Shingler(width), None, None
         for b in batches:
@@ -250,7 +305,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
                         b_.append(cls)
             yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return led(pairs, texts).mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, stash: Stash, name: str) -> DataFrame:
@@ -313,6 +368,65 @@ def group_queries(shared: DataFrame, groups: DataFrame, threshold: int) -> DataF
                .select("cls", F.col("g_comp").alias("comp"), F.col("g_part").alias("part")).distinct())
 
 
+def unions(groups: DataFrame, bits: DataFrame) -> DataFrame:
+    """The matrix: (comp, part, level, bits), the token union of each group's members of a level, in one streaming pass."""
+    names = ["comp", "part", "level", "bits"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()),
+                                               pa.array([held.tobytes()], pa.binary())], names)
+
+        for b in batches:
+            for comp, part, level, x in zip(*(b.column(x).to_pylist() for x in names)):
+                own = np.frombuffer(x, np.uint8)
+                if (comp, part, level) == key:
+                    held = held | own
+                else:
+                    if key:
+                        yield row()
+                    key, held = (comp, part, level), own
+        if key:
+            yield row()
+
+    level = F.length(F.bin(F.octet_length("bits"))) + 2         # 8 * 2^(level - 3) bits
+    rows = groups.join(bits.hint("merge"), "cls").select("comp", "part", level.alias("level"), "bits")
+    return rows.repartition("comp", "part", "level").sortWithinPartitions("comp", "part", "level").mapInArrow(run, "comp long, part int, level int, bits binary")
+
+
+def qualifying(ask: DataFrame, matrix: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
+    """The (cls, comp, part) of ``ask`` whose group's union may hold enough of the query's tokens.
+
+    A query meets the unions of its own level and the two beside it; those queries of a group that
+    make more than a part's rows are split by salt, the unions being repeated.
+    """
+    spread = ask.groupBy("comp", "part").agg(F.ceil(F.count("*") / (1 << SALT_BITS)).cast("int").alias("salts"))
+    rows = (matrix.join(spread, ["comp", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+                  .select("comp", "part", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("cls"), F.lit(0).cast("long").alias("n"), "bits"))
+    asked = (ask.join(spread, ["comp", "part"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
+                .join(bits.hint("merge"), "cls").select("comp", "part", "salt", F.lit(1).alias("role"), "cls", "n", "bits"))
+    dealt = rows.unionByName(asked).repartition("comp", "part", "salt").sortWithinPartitions("comp", "part", "salt", "role", "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+        for b in batches:
+            out = [], [], []
+            for comp, part, salt, role, cls, n, x in zip(*(b.column(x).to_pylist() for x in ("comp", "part", "salt", "role", "cls", "n", "bits"))):
+                if (comp, part, salt) != key:
+                    key, held = (comp, part, salt), {}
+                own = np.frombuffer(x, np.uint8)
+                if role == 0:
+                    held[len(own)] = own
+                elif any(100 * (n - _lacking(own, held[size])) >= threshold * n for size in (len(own) // 2, len(own), len(own) * 2) if size in held):
+                    for col, v in zip(out, (cls, comp, part)):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["cls", "comp", "part"])
+
+    return dealt.mapInArrow(run, "cls long, comp long, part int")
+
+
 def opened(ask: DataFrame, groups: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
     """(a, b): a query's first link into each group that it opens.
 
@@ -368,12 +482,15 @@ def join(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH,
     stash = Stash(docs.sparkSession, "jaccard")
     d = pick(docs, doc_id=id_col, text=text_col).withColumn("mark", F.xxhash64("text"))
     seen = stash.put(census(d, width), "census")
-    rows = seen.filter("kind = 0").select("doc_id", "mark", "cls", "n")
-    classes = stash.put(rows.filter("cls IS NOT NULL").groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "mark")).alias("sample")), "classes")
+    rows = seen.filter("kind = 0").select("doc_id", "mark", "cls", "n", "bits")
+    classes = stash.put(rows.filter("cls IS NOT NULL").groupBy("cls", "n").agg(
+        F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "mark")).alias("sample"), F.first("bits", True).alias("bits")), "classes")
+    bits = classes.select("cls", "n", "bits")
     common = common_tokens(seen.filter("kind = 1").select(F.col("cls").alias("token"), "n"))
     shared = stash.put(shared_postings(postings(d, common, width, threshold)), "shared")
 
-    pairs = stash.put(shared.filter((F.col("cls") != F.col("leader")) & may_link(threshold)).select("leader", "cls").distinct(), "pairs")
+    led_by = shared.filter((F.col("cls") != F.col("leader")) & may_link(threshold)).select("leader", "cls").distinct()
+    pairs = stash.put(near(stash.put(led_by, "led"), bits, threshold), "pairs")
 
     def texts_of(wanted: DataFrame, name: str) -> DataFrame:      # wholly equal rows give a class more than once
         where = wanted.distinct().join(classes, "cls").select("cls", F.col("sample.doc_id").alias("i"), F.col("sample.mark").alias("m"))
@@ -381,10 +498,15 @@ def join(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH,
 
     texts = texts_of(pairs.select("cls").unionByName(pairs.select(F.col("leader").alias("cls"))), "texts")
     links = stash.put(verified(pairs, texts, width, threshold), "links")
+    stash.drop("led", "pairs", "texts")
     comps = stash.put(components(links, stash, "comps"), "comps")
 
     groups = stash.put(with_groups(classes, comps), "groups")
     ask = stash.put(group_queries(shared, groups, threshold), "queries")
+    stash.drop("shared")
+    if has_rows(ask):
+        matrix = stash.put(unions(groups.join(ask.select("comp", "part").distinct(), ["comp", "part"], "left_semi"), bits), "matrix")
+        ask = stash.put(qualifying(ask, matrix, bits, threshold), "qualifying")
     if has_rows(ask):
         asked = stash.put(groups.join(ask.select("comp", "part").distinct(), ["comp", "part"], "left_semi"), "asked")
         more = texts_of(asked.select("cls").unionByName(ask.select("cls")), "more")
