@@ -50,6 +50,7 @@ MAX_COMMON = 500_000         # entries of the broadcast table of common tokens (
 SALT_BITS = 14               # runs, leaders and groups are split into parts of about 2^14 rows
 GROUP_TOKENS = 500_000       # token hashes of a group, 4 MB
 CACHE_WORDS = 400_000
+SLICE_ROWS = 1024            # rows of an Arrow batch that a task turns into Python values at a time
 
 
 class Shingler:
@@ -88,6 +89,13 @@ def _class_of(t: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(t.tobytes())).view(np.int64))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that a task holds few texts and tokens as Python values."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(at, SLICE_ROWS)
+
+
 def _level(n: int) -> int:
     """log2 of the number of bits for n tokens; sizes of linked sets differ by one level at most."""
     return max(6, (4 * n - 1).bit_length())
@@ -132,12 +140,16 @@ def census(docs: DataFrame, width: int) -> DataFrame:
         shingles, held, size, seen, id_t = Shingler(width), [], 0, set(), None
 
         def counted():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            tokens, counts = tokens[counts > 1], counts[counts > 1]
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()               # in place: np.unique would hold several copies
+            twice = np.flatnonzero(tokens[1:] == tokens[:-1])
+            tokens, counts = np.unique(tokens[twice], return_counts=True)
+            counts = counts + 1
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), id_t), pa.nulls(len(tokens), pa.int64()),
                                                _signed(tokens), pa.array(counts.astype(np.int64)), pa.nulls(len(tokens), pa.binary())], names)
 
-        for b in batches:
+        for b in _slices(batches):
             id_t, cls, n, bits = b.column("doc_id").type, [], [], []
             for text in b.column("text").to_pylist():
                 t = shingles(text)
@@ -185,7 +197,7 @@ def postings(docs: DataFrame, common, width: int, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(width), set()
         tokens, levels = shared.value
-        for b in batches:
+        for b in _slices(batches):
             out = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 t = shingles(text)
@@ -272,7 +284,7 @@ def near(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
     """The (leader, cls) pairs that may link by their bits.  bits: (cls, n, bits)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, lead_n, held = None, 0, None
-        for b in batches:
+        for b in _slices(batches):
             a_, b_ = [], []
             for leader, role, cls, n, x in zip(*(b.column(x).to_pylist() for x in ("leader", "role", "cls", "n", "bits"))):
                 own = np.frombuffer(x, np.uint8)
@@ -292,7 +304,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
     """(a, b) of the (leader, cls) pairs that link.  texts: (cls, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, lead, held = Shingler(width), None, None
-        for b in batches:
+        for b in _slices(batches):
             a_, b_ = [], []
             for leader, role, cls, text in zip(*(b.column(x).to_pylist() for x in ("leader", "role", "cls", "text"))):
                 if role == 0:
@@ -379,7 +391,7 @@ def unions(groups: DataFrame, bits: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()),
                                                pa.array([held.tobytes()], pa.binary())], names)
 
-        for b in batches:
+        for b in _slices(batches):
             for comp, part, level, x in zip(*(b.column(x).to_pylist() for x in names)):
                 own = np.frombuffer(x, np.uint8)
                 if (comp, part, level) == key:
@@ -411,7 +423,7 @@ def qualifying(ask: DataFrame, matrix: DataFrame, bits: DataFrame, threshold: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
-        for b in batches:
+        for b in _slices(batches):
             out = [], [], []
             for comp, part, salt, role, cls, n, x in zip(*(b.column(x).to_pylist() for x in ("comp", "part", "salt", "role", "cls", "n", "bits"))):
                 if (comp, part, salt) != key:
@@ -443,7 +455,7 @@ def opened(ask: DataFrame, groups: DataFrame, texts: DataFrame, width: int, thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, key, held, union = Shingler(width), None, [], None
-        for b in batches:
+        for b in _slices(batches):
             a_, b_ = [], []
             for comp, part, salt, role, cls, text in zip(*(b.column(x).to_pylist() for x in ("comp", "part", "salt", "role", "cls", "text"))):
                 if (comp, part, salt) != key:

@@ -560,3 +560,40 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 def docs_schema():
     return "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_ngram_bits_bound_overlaps_from_above():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for n, m, both in ((1, 1, 0), (1, 1, 1), (5, 6, 5), (300, 280, 260), (300, 280, 20), (900, 1100, 850), (4000, 5, 5), (2049, 2048, 1)):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * (n + m), dtype=np.uint64))
+        rng.shuffle(pool)
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n:n + m - both]]))
+        x, y = (np.frombuffer(ngram_join._bits(t), np.uint8) for t in (a, b))
+        assert len(x) * 8 == 1 << ngram_join._level(n) and len(x) <= max(8, n)
+        assert n - ngram_join._lacking(x, y) >= both and m - ngram_join._lacking(y, x) >= both
+        if both < 0.1 * n and 100 < n < 2 * m:      # unlike sets of like sizes are ruled out
+            assert 100 * (n - ngram_join._lacking(x, y)) < 80 * n
+
+
+def test_ngram_bits_keep_texts_at_home(spark, monkeypatch):
+    """Documents that share a rare shingle but little else: no text travels for them; linked ones stay linked."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
+    passages = [[word() for _ in range(15)] for _ in range(54)]
+    rows = [(i, " ".join(passages[i // 3] + [word() for _ in range(60)])) for i in range(160)]
+    base = [word() for _ in range(100)]
+    rows += [(1000 + i, " ".join(base[:-1 - i] + ["x"])) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes, put = {}, ngram_join.Stash.put
+
+    def counted(self, d, name):
+        out = put(self, d, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Stash, "put", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(df).collect()}
+    assert all(got[i] == (1000 if i >= 1000 else i) for i in got) and len(got) == 166
+    assert sizes["led"] >= 40 and sizes["pairs"] <= 15 and sizes["texts"] <= 6
+    assert sizes.get("qualifying", 0) <= 15 and sizes.get("more", 0) <= 6
