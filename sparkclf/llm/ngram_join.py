@@ -34,6 +34,7 @@ are taken for equal, or two shingles, only if their 64-bit hashes agree.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -356,8 +357,14 @@ def group_queries(shared: DataFrame, groups: DataFrame, threshold: int) -> DataF
     are the queries, and a group's sizes must fit.
     """
     cells = shared.select("token", "cls", "short").join(groups, "cls")
-    open_ = cells.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    cells = cells.join(open_, "token")
+    # sizes of partners lie in one bucket or in two that touch: a token counts where another component is that near in size
+    step = max(math.log(100 / threshold), 1e-3) * (1 + 1e-9)
+    cells = cells.withColumn("size", F.floor(F.log("n") / step).cast("int"))
+    open_ = (cells.withColumn("pair", F.explode(F.array("size", F.col("size") + 1))).groupBy("token", "pair")
+                  .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("short")).filter("lo <> hi AND short")
+                  .groupBy("token").agg(F.collect_set("pair").alias("pairs")))      # a few dozen sizes at most
+    cells = (cells.join(open_, "token").filter(F.array_contains("pairs", F.col("size")) | F.array_contains("pairs", F.col("size") + 1))
+                  .drop("pairs", "size"))
     # at most a prefix of tokens per class: two classes meet at one token only, the smallest that counts for them
     lists = cells.groupBy("cls").agg(F.collect_list("token").alias("all"), F.collect_list(F.when(F.col("short"), F.col("token"))).alias("first"))
     cells = cells.join(lists, "cls")
