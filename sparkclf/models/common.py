@@ -7,6 +7,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ROWS_PER_PARTITION = 100_000
+
+
+ROWS_WORTH_A_TASK = 1_000
+PARTITION_BYTES = 64 << 20
+
+
+def partitions_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_PER_PARTITION))
+
+
+def spread(data: DataFrame, rows: int, width: int) -> DataFrame:
+    """Rows of ``width`` doubles over every core, in partitions of bounded bytes: a small table
+    arrives in one or two partitions, however much work its rows are."""
+    cores = min(data.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_WORTH_A_TASK))
+    return data.repartition(max(partitions_for(rows), cores, -(-rows * width * 8 // PARTITION_BYTES), 1))
+
+
 def _unrolled(c: str) -> Column:
     """0/1 features of a sparse one-hot column (struct of size and index)."""
     at, size = F.col(f"{c}.index"), F.col(f"{c}.size")

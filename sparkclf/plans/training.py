@@ -1,13 +1,14 @@
 """Train -> evaluate -> rank on a prepared table (split column, numeric features)."""
 from __future__ import annotations
 
+import functools
 import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..models.common import feature_array
-from ..models.search import MODEL_NAMES, predict_all, train_and_optimize
+from ..models.search import MODEL_NAMES, each_at_once, predict_all, train_and_optimize
 from ..operators.metrics import evaluate_all
 from ..session import cut_lineage
 
@@ -31,16 +32,15 @@ def run_training(prepared: DataFrame, features: list, id_col: str, label: str, s
     test = data.where("split = 'test'")
     res, cv = train_and_optimize(train, "features", id_col, label, search, primary, k, n_iter, seed, names,
                                  parallelism)
-    preds = []
-    times = []
-    for name, r in res.items():
+
+    def predict(name):
         t0 = time.time()
-        p = cut_lineage(predict_all({name: r}, test, "features", id_col, label))
-        times.append((name, time.time() - t0, float(r.training_time)))
-        preds.append(p)
-    u = preds[0]
-    for p in preds[1:]:
-        u = u.unionByName(p)
+        p = cut_lineage(predict_all({name: res[name]}, test, "features", id_col, label))
+        return p, (name, time.time() - t0, float(res[name].training_time))
+
+    made = each_at_once(predict, res)
+    u = functools.reduce(DataFrame.unionByName, [p for p, _ in made])
+    times = [t for _, t in made]
     ev = evaluate_all(u)
     t = prepared.sparkSession.createDataFrame(times, "model string, inference_time double, training_time double")
     return res, cv, ev.join(F.broadcast(t), "model"), u
