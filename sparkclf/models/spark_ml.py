@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batch_linear import LinearTask, fit_many
-from .common import pred_table
+from .common import partitions_for, pred_table, spread
 from .nystroem import KernelMap, fit_kernel_map, kernel_error
 
 MAX_DEPTH_UNLIMITED = 30
@@ -160,8 +160,11 @@ def fit_spark_model(kind: str, train: DataFrame, features: str, label: str, clas
         kernel = fit_kernel_map(tr, features, _gamma(tr, features, dim, params.get("gamma", "scale")), seed=seed)
         error = float(kernel_error(tr, features, kernel).first()["worst"])
         tr = kernel.transform(tr, features)
-    from .search import partitions_for
-    data = with_ml_columns(tr, features, label, classes).coalesce(partitions_for(n)).persist()
+    data = with_ml_columns(tr, features, label, classes)
+    if kind == "SVM":
+        data = spread(data, n, 2 * (kernel.dims if kernel else len(tr.select(features).first()[0]))).persist()
+    else:
+        data = data.coalesce(partitions_for(n)).persist()
     cal = None
     if kind != "SVM":
         model = make_estimator(kind, params, n, seed, len(classes)).fit(data)
