@@ -35,14 +35,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import pred_table, sorted_classes
+from .common import pred_table, sorted_classes, spread
 
 CELL_ROWS = 4096            # train rows a cell is meant to have
 TRAIN_BLOCK_ROWS = 8192
 QUERY_BLOCK_ROWS = 8192
 MAX_PIVOTS = 4096
+MAX_BLOCK_TASKS = 2000
 PIVOT_BYTES = 64 << 20
-CHUNK_CELLS = 8_000_000
+CHUNK_CELLS = 8_000_000      # rough distances held at once
+STEP_CELLS = 1 << 17         # exact differences held at once
+ROUGH_CELLS = 1 << 16
+ROUGH_QUERIES = 512
+SINGLE_MOST = 1e30           # larger values are not compared in single precision
 METRICS = ("euclidean", "manhattan")
 SLACK = 1e-9                # a bound is widened by this share, for rounding
 
@@ -57,15 +62,89 @@ def _matrix(column) -> np.ndarray:
 
 
 def distances(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of all rows of ``q`` to all rows of ``t``, in bounded steps."""
+    """Distances of all rows of ``q`` to all rows of ``t``, in steps that stay in a core's cache."""
     out = np.empty((len(q), len(t)))
-    step = max(1, CHUNK_CELLS // max(1, t.size))
-    for i in range(0, len(q), step):
-        diff = q[i:i + step, None, :] - t[None, :, :]
-        out[i:i + step] = np.sqrt((diff * diff).sum(axis=2)) if metric == "euclidean" else np.abs(diff).sum(axis=2)
+    width = max(1, q.shape[1])
+    wide = max(1, min(len(t), STEP_CELLS // width))
+    step = max(1, STEP_CELLS // (wide * width))
+    for j in range(0, len(t), wide):
+        for i in range(0, len(q), step):
+            diff = q[i:i + step, None, :] - t[None, j:j + wide, :]
+            out[i:i + step, j:j + wide] = _lengths(diff, metric)
     return out
 
 
+def _lengths(diff: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "euclidean":
+        return np.sqrt(np.multiply(diff, diff, out=diff).sum(axis=-1))
+    return np.abs(diff, out=diff).sum(axis=-1)
+
+
+def paired_distances(q: np.ndarray, t: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the pairs (q[rows], t[cols]), as ``distances`` gives them."""
+    out = np.empty(len(rows))
+    step = max(1, STEP_CELLS // max(1, q.shape[1]))
+    for i in range(0, len(rows), step):
+        out[i:i + step] = _lengths(q[rows[i:i + step]] - t[cols[i:i + step]], metric)
+    return out
+
+
+class Rough:
+    """Fast distances of centred rows, with bounds of their error: squared ones by a matrix product
+    for the euclidean metric, sums in single precision for the manhattan one.
+
+    ``between(q, lo, hi)`` gives (value, slack): |value - true| <= slack for a query's every row,
+    where "true" is the distance (manhattan) or its square (euclidean)."""
+
+    def __init__(self, x: np.ndarray, centre: np.ndarray, metric: str):
+        self.metric, self.centre = metric, centre
+        t = x - centre
+        self.size = np.abs(x).sum(axis=1).max(initial=0.0) + np.abs(centre).sum()
+        if metric == "euclidean":
+            self.t, self.norm = t, (t * t).sum(axis=1)
+            self.far = float(np.sqrt(self.norm.max(initial=0.0)))
+        else:
+            self.t, self.far = np.ascontiguousarray(t.T.astype(np.float32)), float(np.abs(t).sum(axis=1).max(initial=0.0))
+
+    def between(self, q: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        c = q - self.centre
+        d = c.shape[1] + 8
+        raw = 4e-16 * d * (np.abs(q).sum(axis=1) + self.size)               # lost by centring
+        if self.metric == "euclidean":
+            norm = (c * c).sum(axis=1)
+            value = norm[:, None] + self.norm[None, lo:hi] - 2.0 * (c @ self.t[lo:hi].T)
+            reach = np.sqrt(norm) + self.far
+            return value, 4e-16 * d * reach * reach + 2 * raw * reach + raw * raw + 1e-300
+        c32 = np.ascontiguousarray(c.T.astype(np.float32))
+        value = np.zeros((len(c), hi - lo), np.float32)
+        wide = max(1, min(hi - lo, ROUGH_CELLS // 8))
+        step = max(1, ROUGH_CELLS // wide)
+        for j in range(lo, hi, wide):
+            e = min(hi, j + wide)
+            for i in range(0, len(c), step):
+                part = np.zeros((min(step, len(c) - i), e - j), np.float32)
+                gap = np.empty_like(part)
+                for a in range(c.shape[1]):
+                    np.subtract(c32[a, i:i + step, None], self.t[a][None, j:e], out=gap)
+                    part += np.abs(gap, out=gap)
+                value[i:i + step, j - lo:e - lo] = part
+        return value, 1.2e-7 * d * (np.abs(c).sum(axis=1) + self.far) + raw + 1e-30
+
+    def limit(self, bound: np.ndarray) -> np.ndarray:
+        """A bound on distances, in the unit of ``between``."""
+        return bound * bound * (1 + SLACK) if self.metric == "euclidean" else bound
+
+
+def first_copies(x: np.ndarray, tid: np.ndarray, k: int) -> np.ndarray:
+    """Places, in order, of the rows that can be among k nearest ones: of equal vectors the k with the smallest ids."""
+    order = np.lexsort((tid, *x.T[::-1])) if x.shape[1] else np.argsort(tid, kind="stable")
+    s = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (s[1:] != s[:-1]).any(axis=1)
+    start = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+    return np.sort(order[np.arange(len(x)) - start < k])
+
+
 @dataclass
 class Cells:
     """Pivots, and per metric the rows and the smallest and largest stored distance of each cell."""
@@ -174,29 +253,46 @@ def _nearest(t: pa.Table, q: pa.Table, cells: Cells, k: int) -> pa.Table:
     """Candidates of one block of train rows for one block of queries of a cell."""
     metric, cell = q.column("metric")[0].as_py(), q.column("cell")[0].as_py()
     t = t.take(pc.sort_indices(t.column("pd")))
-    pd_, x = t.column("pd").to_numpy(), _matrix(t.column("x"))
+    x = _matrix(t.column("x"))
     tid = pc.rank(t.column("tid").combine_chunks(), tiebreaker="dense").to_numpy()
+    kept = first_copies(x, tid, k)
+    if len(kept) < len(x):
+        t, x, tid = t.take(pa.array(kept)), x[kept], tid[kept]
+    pd_ = t.column("pd").to_numpy()
     qx, bound = _matrix(q.column("x")), q.column("bound").to_numpy() * (1 + SLACK) + 1e-300
     d = distances(qx, cells.pivots[cell:cell + 1], metric)[:, 0]
     low, high = np.searchsorted(pd_, d - bound, side="left"), np.searchsorted(pd_, d + bound, side="right")
     by_place = np.argsort(low, kind="stable")          # queries that need the same rows go together
-    step = max(1, CHUNK_CELLS // max(1, x.size))
+    tame = max(np.abs(x).max(initial=0.0), np.abs(qx).max(initial=0.0)) < SINGLE_MOST
+    rough = Rough(x, cells.pivots[cell], metric) if tame else None
+    step = max(1, min(ROUGH_QUERIES, CHUNK_CELLS // max(1, len(x))))
     rows, cols, far = [], [], []
     for i in range(0, len(by_place), step):
         some = by_place[i:i + step]
         lo, hi = int(low[some].min()), int(high[some].max())
         if lo >= hi:
             continue
-        dist = distances(qx[some], x[lo:hi], metric)
-        kq = min(k, hi - lo)
-        limit = np.minimum(np.partition(dist, kq - 1, axis=1)[:, kq - 1], bound[some])
-        r, c = np.nonzero(dist <= limit[:, None])
-        o = np.lexsort((tid[lo + c], dist[r, c], r))
-        r, c = r[o], c[o]
+        if rough is None:
+            dist = distances(qx[some], x[lo:hi], metric)
+            kq = min(k, hi - lo)
+            r, c = np.nonzero(dist <= np.minimum(np.partition(dist, kq - 1, axis=1)[:, kq - 1], bound[some])[:, None])
+            real = dist[r, c]
+        else:
+            near, slack = rough.between(qx[some], lo, hi)
+            limit = rough.limit(bound[some]) + slack
+            many = np.flatnonzero((near <= limit[:, None]).sum(axis=1) > k)
+            if len(many):                              # the k-th rough distance bounds them closer
+                limit[many] = np.minimum(limit[many], np.partition(near[many], k - 1, axis=1)[:, k - 1] + 2 * slack[many])
+            r, c = np.nonzero(near <= limit[:, None])
+            real = paired_distances(qx, x, some[r], lo + c, metric)
+            keep = real <= bound[some[r]]
+            r, c, real = r[keep], c[keep], real[keep]
+        o = np.lexsort((tid[lo + c], real, r))
+        r, c, real = r[o], c[o], real[o]
         first = np.arange(len(r)) - np.searchsorted(r, r) < k
         rows.append(some[r[first]])
         cols.append(lo + c[first])
-        far.append(dist[r[first], c[first]])
+        far.append(real[first])
     rows, cols, far = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, cols, far))
     return pa.table({"metric": pa.array([metric] * len(rows), pa.string()), "qid": q.column("qid").take(pa.array(rows)),
                      "tid": t.column("tid").take(pa.array(cols)), "label": t.column("label").take(pa.array(cols)),
@@ -223,7 +319,11 @@ def _compare(dealt: DataFrame, routed: DataFrame, cells: Cells, k: int) -> DataF
     def block(tt: pa.Table, qq: pa.Table) -> pa.Table:
         return _nearest(tt, qq, cells, k) if tt.num_rows and qq.num_rows else empty.empty_table()
 
+    # Blocks are much work for few bytes: they are dealt to as many partitions as there are blocks (up to
+    # MAX_BLOCK_TASKS), which Spark would otherwise join into a few by their bytes.
     keys = ["metric", "cell", "tb", "qb"]
+    parts = max(1, min(MAX_BLOCK_TASKS, sum(a * b for _, _, a, b in sizes)))
+    t, q = (x.repartition(parts, *keys) for x in (t, q))
     return t.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(block, schema)
 
 
@@ -246,7 +346,7 @@ def prepare(train: DataFrame, features: str, id_col: str, label: str, metrics=ME
         if not size["n"]:
             return None
         cells = Cells(choose_pivots(rows, size["n"], size["d"]))
-        dealt = cut_lineage(deal(rows, cells, metrics))
+        dealt = cut_lineage(deal(spread(rows, size["n"], size["d"]), cells, metrics))
     finally:
         rows.unpersist()
     return dealt, measure(dealt, cells, metrics)
@@ -263,7 +363,7 @@ def neighbours(train: DataFrame, query: DataFrame, features: str, id_col: str, l
         return query.sparkSession.createDataFrame(
             [], f"metric string, qid {q.schema['qid'].dataType.simpleString()}, tid {types[0]}, label {types[1]}, dist double, rank int")
     dealt, cells = ready
-    q = cut_lineage(q)                     # routed, counted and compared from here
+    q = cut_lineage(spread(q, q.count(), len(cells.pivots[0])))                     # routed, counted and compared from here
     own = _ranked(_compare(dealt, route(q, cells, metrics, k, bounds=False), cells, k), k)
     if len(cells.pivots) == 1:
         return own                                               # there is no other cell
