@@ -23,8 +23,10 @@ from ..session import cut_lineage
 from .stats import global_positions
 
 _NULL_KEY = "\u0000<null>"
-TARGET_BUCKET_ROWS = 50_000
+TARGET_BUCKET_ROWS = 20_000
 ONE_TASK_CLASSES = 50_000     # more classes than this are ranked in range partitions
+SENT_ROWS = 50_000            # histogram rows that are sent to the tasks instead of shuffling the table
+COPIES_AT_ONCE = 10_000       # copies of an equal row that one step numbers
 
 
 def class_key(label: str):
@@ -74,8 +76,22 @@ def _with_row_id(df: DataFrame) -> DataFrame:
     name is its content's digest and that number.  The count collapses copies before the shuffle."""
     digest = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
     g = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__c"))
-    g = g.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))))
-    return g.withColumn("__id", F.concat_ws(":", digest, F.col("__copy").cast("string"))).drop("__c", "__copy")
+    # a few distinct rows may stand for very many: runs of copies are dealt to tasks before they are written out
+    step = F.lit(COPIES_AT_ONCE).cast("long")
+    g = g.withColumn("__digest", digest).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__c") - 1) / step))))
+    g = g.repartition(_shuffle_partitions(df))
+    g = g.withColumn("__copy", F.explode(F.sequence(F.col("__run") * step + 1, F.least(F.col("__c"), (F.col("__run") + 1) * step))))
+    return g.withColumn("__id", F.concat_ws(":", "__digest", F.col("__copy").cast("string"))).drop("__c", "__run", "__copy", "__digest")
+
+
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def _meet(rows: DataFrame, small: DataFrame, keys: list, size: int, how: str) -> DataFrame:
+    """Join with a table of at most ``size`` rows.  It is sent to the tasks while that is few: a shuffle by
+    class would put a whole class into one task (Spark keeps to it where most partitions of ``small`` are empty)."""
+    return rows.join(F.broadcast(small) if size <= SENT_ROWS else small, keys, how)
 
 
 def _drawn(df: DataFrame, key, id_col: str, seed: int, bits: int) -> DataFrame:
@@ -115,7 +131,7 @@ def train_test_split(df: DataFrame, label: str | None, id_col: str | None, train
            .where((F.col("__cum") - F.col("__n") < F.col("__alloc")) & (F.col("__cum") >= F.col("__alloc")))
            .select("__k", F.col("__b").alias("__cut"), (F.col("__alloc") - F.col("__cum") + F.col("__n"))
                    .alias("__need")))
-    j = base.join(cut, "__k", "left")       # Spark broadcasts it while it is small
+    j = _meet(base, cut, ["__k"], n_classes, "left")
     edge = F.coalesce(F.col("__b") == F.col("__cut"), F.lit(False))
     outside = j.where(~edge).withColumn(
         "split", F.when(F.col("__b") < F.col("__cut"), "train").otherwise("test"))
@@ -132,11 +148,12 @@ def kfold(df: DataFrame, label: str | None, id_col: str, k: int = 5, seed: int =
     if not 2 <= k:
         raise ValueError("k must be >= 2")
     key = class_key(label) if label else F.lit("all")
-    bits = _bits_for(_totals(_class_sizes(df, key))[3])
+    _, n_classes, _, largest = _totals(_class_sizes(df, key))
+    bits = _bits_for(largest)
     base = _drawn(df, key, id_col, seed + 1, bits)
     hist = base.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     off = hist.select("__k", "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
     rw = Window.partitionBy("__k", "__b").orderBy("__h", id_col)
-    ranked = base.join(off, ["__k", "__b"]).withColumn("__r", F.col("__off") + F.row_number().over(rw) - 1)
+    ranked = _meet(base, off, ["__k", "__b"], n_classes << bits, "inner").withColumn("__r", F.col("__off") + F.row_number().over(rw) - 1)
     return ranked.withColumn("fold", (F.col("__r") % F.lit(k)).cast("int")).select(*df.columns, "fold")
