@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from ..functions import missing_as_null, non_numeric_columns, normalize_missing, numeric_columns, report_categorical_columns
 from ..session import cut_lineage
+from . import stats
 from .stats import global_positions
 
 # Dictionary entries (a 16-byte digest and an int) that are sent to every task; 12 MB at most.
 BROADCAST_MAPPING_MAX = 200_000
+# Bytes of values that one task ranks.
+RANK_BYTES = 32 << 20
 # The form with a column per category lists the categories in its schema; beyond this the schema itself is the limit.
 MAX_DUMMY_COLUMNS = 20_000
 
@@ -72,7 +75,10 @@ def dictionary_fit(train: DataFrame, cols: list[str]) -> Dictionary:
                                              for i, c in enumerate(cols)])).alias("e")).select("e.col", "e.value")
     cells = cells.where(F.col("value").isNotNull()).withColumn("key", _digest("value"))
     one = cells.groupBy("col", "key").agg(F.min("value").alias("value")).select(F.struct("col", "value").alias("ord"), "key")
-    placed = cut_lineage(global_positions(cut_lineage(one), "ord", "pos").select(F.col("ord.col").alias("col"), "key", "pos"))
+    one = cut_lineage(one)
+    size = one.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("ord.value")).alias("bytes")).first()
+    per = max(1, size["n"] // max(1, -(-(size["bytes"] or 0) // RANK_BYTES)))       # long values: fewer to a partition
+    placed = cut_lineage(global_positions(one, "ord", "pos", size["n"], min(stats.RANK_ROWS_PER_PARTITION, per)).select(F.col("ord.col").alias("col"), "key", "pos"))
     firsts = {r["col"]: (r["first"], r["n"]) for r in
               placed.groupBy("col").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).collect()}   # a row per column
     shift = F.element_at(F.create_map(*[x for i, (f, _) in firsts.items() for x in (F.lit(i), F.lit(f))]), F.col("col")) if firsts else F.lit(0)

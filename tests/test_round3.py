@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkclf.models import common as C
 from sparkclf.models import knn as K
 from sparkclf.models import search as SM
+from sparkclf.operators import encode as E
 from sparkclf.operators import split as S
 
 
@@ -96,3 +97,14 @@ def test_copies_without_id_are_numbered_in_runs(spark, monkeypatch):
     assert whole.count() == 118 and whole.select("__id").distinct().count() == 118
     assert whole.exceptAll(runs).count() == 0 and runs.exceptAll(whole).count() == 0
     assert runs.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_long_values_are_ranked_in_partitions_of_bounded_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(f"{i % 300:03d}" * 40, f"k{i % 7}") for i in range(600)], "v string, w string")
+    whole = E.dictionary_fit(df, ["v", "w"])
+    asked, ranked = [], E.global_positions
+    monkeypatch.setattr(E, "RANK_BYTES", 4000)
+    monkeypatch.setattr(E, "global_positions", lambda *a: asked.append(a[3:]) or ranked(*a))
+    parts = E.dictionary_fit(df, ["v", "w"])
+    assert asked == [(307, 307 // 10)]                        # 36,014 bytes of values
+    assert whole.table.exceptAll(parts.table).count() == 0 and parts.table.exceptAll(whole.table).count() == 0
