@@ -203,3 +203,51 @@ def test_training_with_very_many_categories(spark):
     assert data.select(F.size("features")).distinct().collect()[0][0] >= 257
     r = search_model(LR, data.where("split = 'train'"), "features", "id", "y")
     assert r.best_score > 0.9 and len(r.scores) == 4
+
+
+def test_confusions_equal_counted_predictions_over_blocks(spark, monkeypatch):
+    """Several blocks of a job, votes counted in them, against a plain count; no row per (row, tree) is planned."""
+    monkeypatch.setattr(T, "BLOCK_LEAVES", 40)
+    rng = np.random.default_rng(3)
+    vote = {(j, t, l, c, k): int(rng.integers(1, 4)) for j in range(2) for t in range(4) for l in range(3) for c in range(2)
+            for k in range(3) if k != (t + l) % 3}
+    rows = [(j, r, int(rng.integers(3)), [int(x) for x in rng.integers(0, 3, 4)]) for j in range(2) for r in range(60)]
+    leaves = spark.createDataFrame(rows, "job int, row long, y int, leaf array<int>")
+    votes = spark.createDataFrame([(*k, v) for k, v in vote.items()], "job int, tree int, leaf int, cut int, class int, vote long")
+    want = {}
+    for j, _, y, leaf in rows:
+        for c in range(2):
+            for n in (1, 3, 9):
+                sums = [sum(vote.get((j, t, x, c, k), 0) for t, x in enumerate(leaf[:n])) for k in range(3)]
+                key = (j, c, n, y, sums.index(max(sums)))
+                want[key] = want.get(key, 0) + 1
+    counted = T.confusions(leaves, votes, [9, 1, 3])
+    got = {tuple(r)[:5]: r["c"] for r in counted.collect()}
+    assert got == want
+    preds = T.predictions(leaves, votes, [1, 3, 9])
+    assert {tuple(r)[:5]: r["count"] for r in preds.groupBy("job", "cut", "n", "y", "pred").count().collect()} == want
+    assert "Generate explode(leaf" not in counted._jdf.queryExecution().toString() and "posexplode" not in counted._jdf.queryExecution().toString()
+    assert ({tuple(r)[:3]: round(r["score"], 12) for r in T.scores(counted, "f1_weighted").collect()}
+            == {tuple(r)[:3]: round(r["score"], 12) for r in T.scores(preds, "f1_weighted").collect()})
+
+
+def test_fits_fill_the_cores(spark, monkeypatch):
+    """More fits than the caller's number run at once where the table is one partition."""
+    import threading
+    seen, now, lock, real = [], [0], threading.Lock(), T.make_estimator
+
+    def count(*a, **k):
+        with lock:
+            now[0] += 1
+            seen.append(now[0])
+        time.sleep(0.5)
+        with lock:
+            now[0] -= 1
+        return real(*a, **k)
+
+    monkeypatch.setattr(T, "make_estimator", count)
+    monkeypatch.setattr(T, "MAX_FITS", 2)
+    df = with_ml_columns(_table(spark, 90), "features", "label", [0, 1]).select("features_vec", "label_idx", "fold").coalesce(1).cache()
+    T.tree_cv("Decision Tree", df, [{"max_depth": 2}], 3, {0: 30, 1: 30, 2: 30}, 2, "f1_weighted", 1, 42)
+    assert max(seen) == min(2, spark.sparkContext.defaultParallelism)
+    df.unpersist()
