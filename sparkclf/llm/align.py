@@ -50,6 +50,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Strings:
+    """Byte strings by number, to be joined by an array of numbers in one gather."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, ids: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """ends: the running sum of the sizes of ``ids``, where it is known."""
+        size = self.size[ids]
+        ends = np.cumsum(size) if ends is None else ends
+        return self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1])] if len(ids) else self.flat[:0]
+
+
 class Aligner:
     """Aligned tokens of texts: (number of A ids, of B ids, of groups, group text, linked A id * 2^32 + B id)."""
 
@@ -60,32 +75,31 @@ class Aligner:
         self.a, self.b = a, sentencepiece.SentencePieceProcessor(model_file=b_path)
         table = byte_alphabet()
         names = a.whole.get_vocab(with_added_tokens=True)
-        self.a_bytes = [b""] * (max(names.values()) + 1)
+        a_bytes = [b""] * (max(names.values()) + 1)
         for x, i in names.items():
             if all(c in table for c in x):
-                self.a_bytes[i] = bytes(table[c] for c in x)
+                a_bytes[i] = bytes(table[c] for c in x)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(x[3:-1], 16)]) if self.b.is_byte(i) else x.replace("\u2581", " ").encode() for i, x in enumerate(pieces)]
-        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        b_bytes = [bytes([int(x[3:-1], 16)]) if self.b.is_byte(i) else x.replace("\u2581", " ").encode() for i, x in enumerate(pieces)]
+        self.a_bytes, self.b_bytes = Strings(a_bytes), Strings(b_bytes)
         # An id as it stands in the group text: A inside a group, A at its end, B inside, B at its end.
-        n, m = len(self.a_bytes), len(pieces)
-        self.shown = [*(f"{i}," for i in range(n)), *(f"{i}|" for i in range(n)), *(f"{i}," for i in range(m)), *(f"{i};" for i in range(m))]
+        n, m = len(a_bytes), len(pieces)
+        self.shown = Strings([b"%d%c" % (i, mark) for size, marks in ((n, b",|"), (m, b",;")) for mark in marks for i in range(size)])
 
     def one(self, text: str, b_ids: list[int]) -> tuple:
         text = " " + text
-        raw, a, b = text.encode(), np.frombuffer(self.a(text), "<u4").astype(np.int64), np.array(b_ids, np.int64)
-        if (b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw
-                or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw):
+        raw, a, b = np.frombuffer(text.encode(), np.uint8), np.frombuffer(self.a(text), "<u4").astype(np.int64), np.array(b_ids, np.int64)
+        a_end, b_end = np.cumsum(self.a_bytes.size[a]), np.cumsum(self.b_bytes.size[b])
+        if not (np.array_equal(self.a_bytes.joined(a, a_end), raw) and np.array_equal(self.b_bytes.joined(b, b_end), raw)):
             return self.NONE
-        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         meets = np.searchsorted(b_end, a_end)                 # both end at the text's end, so every place exists
         a_last = b_end[meets] == a_end
         b_last = np.zeros(len(b), bool)
         b_last[meets[a_last]] = True
         order = np.argsort(np.concatenate([2 * (np.cumsum(a_last) - a_last), 2 * (np.cumsum(b_last) - b_last) + 1]), kind="stable")
-        n, m = len(self.a_bytes), len(self.b_bytes)
+        n, m = len(self.a_bytes.size), len(self.b_bytes.size)
         code = np.concatenate([a + n * a_last, b + 2 * n + m * b_last])[order]
-        groups = "".join(map(self.shown.__getitem__, code.tolist()))[:-1]
+        groups = self.shown.joined(code)[:-1].tobytes().decode()
         return len(a), len(b), int(a_last.sum()), groups, (a[a_last] << 32) | b[b_last]
 
     def __call__(self, texts: list[str | None]) -> list[tuple]:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -65,14 +66,19 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if self.to_whole.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, out = self.words, []
+        words = self.words
         if len(words) > CACHE_WORDS:
             words.clear()
-        for w in _LATIN.findall(text):
-            ids = words.get(w)
-            if ids is None:
-                ids = words[w] = np.array(self.bpe.encode_ordinary(w), "<u4").tobytes()
-            out.append(ids)
+        found = _LATIN.findall(text)
+        out = list(map(words.get, found))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    w = found[i]
+                    out[i] = words.get(w)
+                    if out[i] is None:
+                        new = self.bpe.encode_ordinary(w)
+                        out[i] = words[w] = struct.pack(f"<{len(new)}I", *new)
         return b"".join(out)
 
 

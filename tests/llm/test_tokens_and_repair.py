@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,3 +358,16 @@ def test_damage(spark):
         want[(c, t, role, text)] += {0: 0, 3: 2}.get(kind, 1)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert Counter(tuple(r) for r in repair.damage(df).collect()) == +want
+
+
+def test_strings_are_joined_in_one_gather():
+    """Any numbers, repeated and empty strings included, as a plain join gives them."""
+    from sparkclf.llm.align import Strings
+    parts = [b"", b"a", b"\xc3\xa9", b"", b"12,", b"345|"]
+    s = Strings(parts)
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 50):
+        ids = rng.integers(0, len(parts), n)
+        assert s.joined(ids).tobytes() == b"".join(parts[i] for i in ids)
+        assert s.joined(ids, np.cumsum(s.size[ids])).tobytes() == b"".join(parts[i] for i in ids)
+    assert s.joined(np.array([0, 3, 0])).tobytes() == b""
