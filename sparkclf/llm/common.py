@@ -18,6 +18,19 @@ def n_words(text) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows travel to Python in Arrow batches of some ``BATCH_BYTES``, unless the session has a limit of its own.
+
+    Spark's own limit is 64 MB, of which the JVM and the worker of each running task hold several copies.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Stash:
     """Written intermediate tables in the shared folder of ``spark.checkpoint.dir``.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, pick
+from .common import Stash, pick, small_batches
 
 FEATURES = ("log_words", "word_length", "word_length_sd", "upper_words", "upper_chars", "digits", "symbols", "pipes", "marks",
             "stops", "commas", "unique_words", "adjacent_repeats", "top_word", "dup_lines", "line_words", "short_lines", "edge_symbols")
@@ -176,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
           folds: int = FOLDS, sample_rows: int = SAMPLE_ROWS, **fit_args) -> Model:
     """Fit on labelled documents outside the held-out fold (crc32 of the id's text, mod ``folds``, not 0)."""
     stash = Stash(docs.sparkSession, "gam")
+    small_batches(docs.sparkSession)
     known = pick(labels, doc_id=id_col, label=label_col).filter("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.filter(~held_out("doc_id", folds))
     sample = stash.put(known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows), "sample")
@@ -201,6 +202,7 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", cutof
           carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted) and the carried columns, one row per document."""
     spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"), *[docs[c] for c in carry if c != id_col])
     keep = [f for f in d.schema.fields if f.name != "_text"]
     d = d.withColumn("held_out", held_out("doc_id", folds))

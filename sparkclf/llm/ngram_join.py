@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import Stash, has_rows, may_be_in, pick
+from .common import Stash, has_rows, may_be_in, pick, small_batches
 
 WIDTH, THRESHOLD = 5, 80
 CHUNK_TOKENS = 4_000_000     # tokens that a task counts at a time
@@ -86,6 +86,30 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+class Tokens:
+    """Token hashes of many sets, copied into one array, so that the sets themselves can go."""
+
+    def __init__(self, room: int):
+        self.all, self.n = np.empty(room, np.uint64), 0
+
+    def add(self, t: np.ndarray) -> None:
+        end = self.n + len(t)
+        if end > len(self.all):
+            more = np.empty(max(end, len(self.all) + len(self.all) // 4), np.uint64)
+            more[:self.n] = self.all[:self.n]
+            self.all = more
+        self.all[self.n:end] = t
+        self.n = end
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of two sets or more and their counts; the array starts anew."""
+        tokens, self.n = self.all[:self.n], 0
+        tokens.sort()               # in place: np.unique of all would hold several copies
+        twice = np.flatnonzero(tokens[1:] == tokens[:-1])
+        tokens, counts = np.unique(tokens[twice], return_counts=True)
+        return tokens, counts + 1
+
+
 def _class_of(t: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(t.tobytes())).view(np.int64))
 
@@ -138,15 +162,10 @@ def census(docs: DataFrame, width: int) -> DataFrame:
     names = ["kind", "doc_id", "mark", "cls", "n", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held, size, seen, id_t = Shingler(width), [], 0, set(), None
+        shingles, held, seen, id_t = Shingler(width), Tokens(CHUNK_TOKENS), set(), None
 
         def counted():
-            tokens = np.concatenate(held)
-            held.clear()
-            tokens.sort()               # in place: np.unique would hold several copies
-            twice = np.flatnonzero(tokens[1:] == tokens[:-1])
-            tokens, counts = np.unique(tokens[twice], return_counts=True)
-            counts = counts + 1
+            tokens, counts = held.repeated()
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), id_t), pa.nulls(len(tokens), pa.int64()),
                                                _signed(tokens), pa.array(counts.astype(np.int64)), pa.nulls(len(tokens), pa.binary())], names)
 
@@ -159,15 +178,14 @@ def census(docs: DataFrame, width: int) -> DataFrame:
                 bits.append(None)
                 if len(t) and cls[-1] not in seen:
                     seen.add(cls[-1])
-                    held.append(t)
-                    size += len(t)
+                    held.add(t)
                     bits[-1] = _bits(t)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("doc_id"), b.column("mark"), pa.array(cls, pa.int64()),
                                               pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names)
-            if size > CHUNK_TOKENS:
+            if held.n > CHUNK_TOKENS:
                 yield counted()
-                held, size, seen = [], 0, set()
-        if held:
+                seen = set()
+        if held.n:
             yield counted()
 
     return docs.select("doc_id", "mark", "text").mapInArrow(run, f"kind int, doc_id {id_type}, mark long, cls long, n long, bits binary")
@@ -499,6 +517,7 @@ def join(docs: DataFrame, id_col="doc_id", text_col="text", width: int = WIDTH,
 
     mark = xxhash64 of its text; component = a class of its component, component_id = the smallest doc_id there."""
     stash = Stash(docs.sparkSession, "jaccard")
+    small_batches(docs.sparkSession)
     d = pick(docs, doc_id=id_col, text=text_col).withColumn("mark", F.xxhash64("text"))
     seen = stash.put(census(d, width), "census")
     rows = seen.filter("kind = 0").select("doc_id", "mark", "cls", "n", "bits")

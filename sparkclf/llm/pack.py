@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import Stash, pick
+from .common import Stash, pick, small_batches
 
 CAPACITY, END_ID = 1024, 2
 BUCKET_ROWS = 50_000     # mean rows of a (length, bucket) group
@@ -189,6 +189,7 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", capacity: int = CAPA
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
     spark = docs.sparkSession
     stash = Stash(spark, "pack")
+    small_batches(spark)
     rows = stash.put(pieces(docs, id_col, text_col, capacity, end_id, encoder), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     places = spark.sparkContext.broadcast(_places(plan_bins(counts, capacity)))   # slots of patterns, not of data
