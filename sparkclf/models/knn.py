@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import pred_table, sorted_classes, spread
+from .common import PARTITION_BYTES, pred_table, sorted_classes, spread
 
 CELL_ROWS = 4096            # train rows a cell is meant to have
 TRAIN_BLOCK_ROWS = 8192
@@ -47,6 +47,9 @@ CHUNK_CELLS = 8_000_000      # rough distances held at once
 STEP_CELLS = 1 << 17         # exact differences held at once
 ROUGH_CELLS = 1 << 16
 ROUGH_QUERIES = 512
+QUICK_CELLS = 1 << 17        # whole-number differences held at once
+QUICK_GROUP = 64             # components whose differences fit a 16-bit sum
+QUICK_LEFT = 0.05            # share of a chunk's pairs beyond which the quick bounds say too little
 SINGLE_MOST = 1e30           # larger values are not compared in single precision
 METRICS = ("euclidean", "manhattan")
 SLACK = 1e-9                # a bound is widened by this share, for rounding
@@ -135,6 +138,83 @@ class Rough:
         return bound * bound * (1 + SLACK) if self.metric == "euclidean" else bound
 
 
+class Quick:
+    """Lower bounds of distances in two or four bytes a pair: of query i to row t they say that t can be
+    within a bound only where ``values`` is not above ``limit``.
+
+    Euclidean: a matrix product in single precision.  Manhattan: sums of whole numbers on a grid over the
+    middle of the rows.  What a row loses on the grid is subtracted from its sums; rows that lose too much
+    are never ruled out.  Where a query leaves the grid, it does so for every row alike.
+    """
+
+    def __init__(self, x: np.ndarray, q: np.ndarray, centre: np.ndarray, metric: str):
+        self.metric, self.dims = metric, x.shape[1]
+        self.lost = 4e-16 * (self.dims + 8)               # of double precision
+        size = np.abs(x).sum(axis=1).max(initial=0.0) + np.abs(centre).sum()
+        if metric == "euclidean":
+            t, c = x - centre, q - centre
+            most = max(np.abs(t).max(initial=0.0), np.abs(c).max(initial=0.0))
+            self.unit = 2.0 ** np.ceil(np.log2(most)) if most > 1e-140 else 1.0      # smaller squares are lost
+            t, c = t / self.unit, c / self.unit
+            self.norm, self.own = (t * t).sum(axis=1), (c * c).sum(axis=1)
+            self.t = np.vstack([-2.0 * t.T, self.norm]).astype(np.float32)
+            self.q = np.column_stack([c, np.ones(len(c))]).astype(np.float32)
+            self.raw = self.lost * (np.abs(q).sum(axis=1) + size) / self.unit
+            return
+        levels = 32767 // max(1, min(self.dims, QUICK_GROUP))
+        low, high = np.quantile(x, [0.001, 0.999], axis=0)
+        if not (high > low).any():
+            low, high = x.min(axis=0), x.max(axis=0)
+        self.unit = max((high - low).max(initial=0.0) / levels, 1e-250)
+        base = (low + high) / 2 - levels * self.unit / 2
+        self.kind = np.int16 if self.dims <= QUICK_GROUP else np.int32
+        self.bottom = np.iinfo(self.kind).min
+
+        def grid(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            inside = np.clip(v, base, base + levels * self.unit)
+            n = np.clip(np.rint((inside - base) / self.unit), 0, levels)
+            return np.ascontiguousarray(n.T.astype(np.int16)), inside, base + n * self.unit
+
+        self.t, _, at = grid(x)
+        least = np.ceil(np.abs(x - at).sum(axis=1) / self.unit) + 1
+        self.always = least > -(self.bottom // 2 if self.dims > QUICK_GROUP else self.bottom + 1)
+        self.less = np.where(self.always, 0, least).astype(self.kind)
+        self.q, inside, at = grid(q)
+        self.out = np.abs(q - inside).sum(axis=1) - np.abs(inside - at).sum(axis=1)
+        self.raw = self.lost * (np.abs(q).sum(axis=1) + size + np.abs(base).sum() + levels * self.unit * self.dims)
+
+    def values(self, some: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        if self.metric == "euclidean":
+            return self.q[some] @ self.t[:, lo:hi]
+        q, t, value = np.ascontiguousarray(self.q[:, some]), self.t[:, lo:hi], np.empty((len(some), hi - lo), self.kind)
+        step = max(1, QUICK_CELLS // max(1, hi - lo))
+        gap = np.empty((step, hi - lo), np.int16)
+        for i in range(0, len(some), step):
+            whole = value[i:i + step]
+            whole[:] = -self.less[None, lo:hi]
+            for a in range(0, self.dims, QUICK_GROUP):
+                part = whole if self.kind is np.int16 else np.zeros(whole.shape, np.int16)
+                for b in range(a, min(a + QUICK_GROUP, self.dims)):
+                    one = gap[:len(whole)]
+                    np.subtract(q[b, i:i + step, None], t[b][None, :], out=one)
+                    np.add(part, np.abs(one, out=one), out=part)
+                if part is not whole:
+                    whole += part
+        value[:, np.flatnonzero(self.always[lo:hi])] = self.bottom
+        return value
+
+    def limit(self, some: np.ndarray, lo: int, hi: int, bound: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            if self.metric == "euclidean":
+                far, own = float(np.sqrt(self.norm[lo:hi].max(initial=0.0))), np.sqrt(self.own[some])
+                slack = 7e-8 * (self.dims + 8) * far * (2 * own + far) + self.lost * (own + far) ** 2 + 1e-36 * (self.dims + 1)
+                slack += self.raw[some] * (2 * (own + far) + self.raw[some])
+                square = (bound / self.unit) ** 2 * (1 + SLACK) - self.own[some] + slack
+                return np.nextafter(square.astype(np.float32), np.float32(np.inf))
+            most = np.floor((bound + self.raw[some] - self.out[some]) / self.unit) + 1
+        return np.clip(most, self.bottom, np.iinfo(self.kind).max).astype(self.kind)
+
+
 def first_copies(x: np.ndarray, tid: np.ndarray, k: int) -> np.ndarray:
     """Places, in order, of the rows that can be among k nearest ones: of equal vectors the k with the smallest ids."""
     order = np.lexsort((tid, *x.T[::-1])) if x.shape[1] else np.argsort(tid, kind="stable")
@@ -264,7 +344,7 @@ def _nearest(t: pa.Table, q: pa.Table, cells: Cells, k: int) -> pa.Table:
     low, high = np.searchsorted(pd_, d - bound, side="left"), np.searchsorted(pd_, d + bound, side="right")
     by_place = np.argsort(low, kind="stable")          # queries that need the same rows go together
     tame = max(np.abs(x).max(initial=0.0), np.abs(qx).max(initial=0.0)) < SINGLE_MOST
-    rough = Rough(x, cells.pivots[cell], metric) if tame else None
+    quick, rough = Quick(x, qx, cells.pivots[cell], metric) if tame else None, None
     step = max(1, min(ROUGH_QUERIES, CHUNK_CELLS // max(1, len(x))))
     rows, cols, far = [], [], []
     for i in range(0, len(by_place), step):
@@ -272,20 +352,24 @@ def _nearest(t: pa.Table, q: pa.Table, cells: Cells, k: int) -> pa.Table:
         lo, hi = int(low[some].min()), int(high[some].max())
         if lo >= hi:
             continue
-        if rough is None:
+        if quick is None:
             dist = distances(qx[some], x[lo:hi], metric)
             kq = min(k, hi - lo)
             r, c = np.nonzero(dist <= np.minimum(np.partition(dist, kq - 1, axis=1)[:, kq - 1], bound[some])[:, None])
             real = dist[r, c]
         else:
-            near, slack = rough.between(qx[some], lo, hi)
-            limit = rough.limit(bound[some]) + slack
-            many = np.flatnonzero((near <= limit[:, None]).sum(axis=1) > k)
-            if len(many):                              # the k-th rough distance bounds them closer
-                limit[many] = np.minimum(limit[many], np.partition(near[many], k - 1, axis=1)[:, k - 1] + 2 * slack[many])
-            r, c = np.nonzero(near <= limit[:, None])
+            left, within = _left(quick, qx, x, some, lo, hi, bound[some], k, metric)
+            r, c = np.divmod(np.flatnonzero(left), hi - lo)
+            if len(r) > max(QUICK_LEFT * left.size, 4 * k * len(some)):
+                rough = rough or Rough(x, cells.pivots[cell], metric)
+                near, slack = rough.between(qx[some], lo, hi)
+                limit = rough.limit(within) + slack
+                many = np.flatnonzero((near <= limit[:, None]).sum(axis=1) > k)
+                if len(many):                              # the k-th rough distance bounds them closer
+                    limit[many] = np.minimum(limit[many], np.partition(near[many], k - 1, axis=1)[:, k - 1] + 2 * slack[many])
+                r, c = np.nonzero(near <= limit[:, None])
             real = paired_distances(qx, x, some[r], lo + c, metric)
-            keep = real <= bound[some[r]]
+            keep = real <= within[r]
             r, c, real = r[keep], c[keep], real[keep]
         o = np.lexsort((tid[lo + c], real, r))
         r, c, real = r[o], c[o], real[o]
@@ -299,6 +383,21 @@ def _nearest(t: pa.Table, q: pa.Table, cells: Cells, k: int) -> pa.Table:
                      "dist": pa.array(far.astype(np.float64))})
 
 
+def _left(quick: Quick, qx: np.ndarray, x: np.ndarray, some: np.ndarray, lo: int, hi: int, bound: np.ndarray, k: int,
+          metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that the quick bounds leave, and the bounds: where many are left, the k nearest by the quick ones give a closer bound."""
+    near = quick.values(some, lo, hi)
+    left = near <= quick.limit(some, lo, hi, bound)[:, None]
+    many = np.flatnonzero(np.count_nonzero(left, axis=1) > 4 * k)
+    if len(many):
+        top = np.argpartition(near[many], k - 1, axis=1)[:, :k]
+        real = paired_distances(qx, x, np.repeat(some[many], k), lo + top.ravel(), metric).reshape(-1, k).max(axis=1)
+        bound = bound.copy()
+        bound[many] = np.minimum(bound[many], real * (1 + SLACK) + 1e-300)
+        left[many] = near[many] <= quick.limit(some[many], lo, hi, bound[many])[:, None]
+    return left, bound
+
+
 def _compare(dealt: DataFrame, routed: DataFrame, cells: Cells, k: int) -> DataFrame:
     """Top-k candidates (metric, qid, tid, label, dist) of routed queries, per block of their cells."""
     spark = dealt.sparkSession
@@ -363,7 +462,8 @@ def neighbours(train: DataFrame, query: DataFrame, features: str, id_col: str, l
         return query.sparkSession.createDataFrame(
             [], f"metric string, qid {q.schema['qid'].dataType.simpleString()}, tid {types[0]}, label {types[1]}, dist double, rank int")
     dealt, cells = ready
-    q = cut_lineage(spread(q, q.count(), len(cells.pivots[0])))                     # routed, counted and compared from here
+    asked, width = q.count(), len(cells.pivots[0])
+    q = cut_lineage(spread(q, asked, width))                                        # routed, counted and compared from here
     own = _ranked(_compare(dealt, route(q, cells, metrics, k, bounds=False), cells, k), k)
     if len(cells.pivots) == 1:
         return own                                               # there is no other cell
@@ -371,6 +471,9 @@ def neighbours(train: DataFrame, query: DataFrame, features: str, id_col: str, l
     kth = own.where(F.col("rank") == k).select(F.col("metric").alias("_m"), F.col("qid").alias("_q"), F.col("dist").alias("bound"))
     wide = q.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
     wide = wide.join(kth, (F.col("metric") == F.col("_m")) & (F.col("qid") == F.col("_q")), "left").select("metric", "qid", "x", "bound")
+    # where nothing can be ruled out, a query is written once for every cell: tasks are dealt by those bytes
+    sent = -(-asked * len(metrics) * len(cells.pivots) * width * 8 // PARTITION_BYTES)
+    wide = wide.repartition(max(q.rdd.getNumPartitions(), min(MAX_BLOCK_TASKS, sent)))
     more = _compare(dealt, cut_lineage(route(wide, cells, metrics, k, bounds=True)), cells, k)
     return _ranked(own.drop("rank").unionByName(more), k)
 
