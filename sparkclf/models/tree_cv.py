@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, delete_path, shared_path
 from .spark_ml import _depth, _min_node, make_estimator
+from .tree_bins import counted_confusions
 
 BLOCK_LEAVES = 4 << 20   # leaf numbers of validation rows that a task holds
 MAX_BLOCK_TASKS = 2000
 MAX_FITS = 16            # fits at once, if not more are asked for
 VOTE_UNIT = 2 ** 40      # a leaf's class shares as whole numbers of 1 / VOTE_UNIT
+SPARK_ROWS = 10_000      # up to here Spark ML takes its thresholds from all rows; its own growth is kept
 
 
 def read_nodes(spark, path: str, job: int = 0) -> DataFrame:
@@ -211,6 +213,18 @@ def tree_cv(kind: str, data: DataFrame, cands: list[dict], k: int, fold_rows: di
     limits, counts = sorted({d for _, d, _ in plan}), sorted({n for _, _, n in plan})
     jobs = [(f, node) for node in dict.fromkeys(p[0] for p in plan) for f in range(k)]
 
+    def means(confused: DataFrame) -> np.ndarray:
+        out = scores(confused, primary).collect()        # a number per cut model
+        delete_path(spark, base)
+        got = {(r["job"], r["cut"], r["n"]): r["score"] for r in out}
+        found = [[got.get((j, limits.index(d), n), float("nan")) for j, (_, m) in enumerate(jobs) if m == node] for node, d, n in plan]
+        return np.array([np.mean(x) for x in found])
+
+    if total > SPARK_ROWS:
+        confused = counted_confusions(data, plan, jobs, limits, k, classes, forest, seed, base)
+        if confused is not None:
+            return means(confused)
+
     def grow(job: int) -> int:
         f, node = jobs[job]
         params = {"max_depth": max(d for m, d, _ in plan if m == node), "min_samples_leaf": node,
@@ -232,8 +246,4 @@ def tree_cv(kind: str, data: DataFrame, cands: list[dict], k: int, fold_rows: di
     nodes = functools.reduce(DataFrame.unionByName, [read_nodes(spark, f"{base}/model{j}", j) for j in range(len(jobs))])
     vote_table(cut_lineage(nodes), max(depths), limits, forest).write.parquet(f"{base}/votes")
     leaves = spark.read.parquet(*[f"{base}/leaves{j}" for j in range(len(jobs))])
-    out = scores(confusions(leaves, spark.read.parquet(f"{base}/votes"), counts), primary).collect()    # a number per cut model
-    delete_path(spark, base)
-    got = {(r["job"], r["cut"], r["n"]): r["score"] for r in out}
-    found = [[got.get((j, limits.index(d), n), float("nan")) for j, (_, m) in enumerate(jobs) if m == node] for node, d, n in plan]
-    return np.array([np.mean(x) for x in found])
+    return means(confusions(leaves, spark.read.parquet(f"{base}/votes"), counts))
