@@ -6,6 +6,10 @@ and gradients of all of them (a matrix product per Arrow batch), and the driver,
 holds nothing but weights, takes one L-BFGS step per model.  A model leaves out the
 rows of its fold, which are then its validation rows.
 
+Behind a landmark map z = k(x, landmarks) · M a margin is k · (M w) and a gradient M' (k' slope):
+the tasks see k alone, taken once per row and kernel of an open model, and M, a square of the
+landmarks, is applied on the driver once per pass and not to every row.
+
 Objectives are those of Spark ML's estimators: mean loss + reg / 2 * |w|^2 with a free
 intercept; logistic loss (softmax for more than two classes), or the hinge loss,
 rounded off over ``HINGE_WIDTH`` below its corner, one against the rest.
@@ -19,8 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .nystroem import kernel_values, square_distances
+
 HINGE_WIDTH = 0.05
 MEMORY, MAX_PASSES, TOLERANCE = 10, 250, 1e-5
+CHUNK_ROWS = 2048        # rows whose kernel values are held at once
 DIRECT_PARTIALS = 64     # partial sums that go straight to the driver; more are added up on the way
 
 
@@ -37,17 +44,49 @@ def _features(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
 
 
-def _rows(batch, maps):
-    x = _features(batch, "x")
-    y = batch.column("y").to_numpy(zero_copy_only=False).astype(int)
-    fold = batch.column("fold").to_numpy(zero_copy_only=False).astype(int)
-    return [np.column_stack([m(x) if m else x, np.ones(len(x))]) for m in maps], y, fold
+def _chunks(batches):
+    """(x, y, fold) of some ``CHUNK_ROWS`` rows at a time."""
+    for b in batches:
+        if b.num_rows:
+            x = _features(b, "x")
+            y = b.column("y").to_numpy(zero_copy_only=False).astype(int)
+            fold = b.column("fold").to_numpy(zero_copy_only=False).astype(int)
+            for lo in range(0, len(x), CHUNK_ROWS):
+                at = slice(lo, lo + CHUNK_ROWS)
+                yield x[at], y[at], fold[at]
+
+
+def _kernels(maps, needed):
+    """What tasks need of the maps: (distinct landmark sets, {map: None or (landmark set, gamma)})."""
+    points, of = [], {}
+    for m in needed:
+        if maps[m] is None:
+            of[m] = None
+            continue
+        at = next((i for i, p in enumerate(points) if np.array_equal(p, maps[m].landmarks)), len(points))
+        if at == len(points):
+            points.append(maps[m].landmarks)
+        of[m] = (at, maps[m].gamma)
+    return points, of
+
+
+def _bases(x, kernels):
+    """{map: x itself, or its kernel values}; maps with the same landmarks share the distances."""
+    points, of = kernels
+    far = [square_distances(x, p) for p in points]
+    return {m: x if k is None else kernel_values(far[k[0]], k[1]) for m, k in of.items()}
+
+
+def _on_base(w, m):
+    """Weights (..., dims + 1) of a map's outputs as weights of its base."""
+    return w if m is None else np.concatenate([w[..., :-1] @ m.weights.T, w[..., -1:]], axis=-1)
 
 
 def _margins(z, w):
-    """(rows, tasks, outputs) of weights (tasks, outputs, dims)."""
+    """(rows, tasks, outputs) of weights (tasks, outputs, dims + 1), the intercept last."""
     t, k, d = w.shape
-    return (z @ w.reshape(t * k, d).T).reshape(len(z), t, k)
+    flat = w.reshape(t * k, d)
+    return (z @ flat[:, :-1].T + flat[:, -1]).reshape(len(z), t, k)
 
 
 def _losses(kind, margin, y, classes):
@@ -150,23 +189,20 @@ def fit_many(data: DataFrame, tasks: list[LinearTask], maps: list, dims: list[in
         groups: dict = {}
         for i in live:
             groups.setdefault((tasks[i].loss, tasks[i].map_id), []).append(i)
-        plan = [(loss, m, np.stack([opts[i].point().reshape(shapes[i]) for i in idx]), np.array([tasks[i].fold for i in idx]))
+        plan = [(loss, m, _on_base(np.stack([opts[i].point().reshape(shapes[i]) for i in idx]), maps[m]), np.array([tasks[i].fold for i in idx]))
                 for (loss, m), idx in groups.items()]
-        sent = spark.sparkContext.broadcast(plan)     # weights of the open models
+        sent = spark.sparkContext.broadcast((plan, _kernels(maps, dict.fromkeys(m for _, m in groups))))     # weights of the open models
 
         def partial(batches):
             sums = None
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                zs, y, fold = _rows(b, maps)
-                out = []
-                for loss, m, w, left_out in sent.value:
+            for x, y, fold in _chunks(batches):
+                plan, kernels = sent.value
+                bases, out = _bases(x, kernels), []
+                for loss, m, w, left_out in plan:
                     use = (fold[:, None] != left_out[None, :]).astype(float)
-                    value, slope = _losses(loss, _margins(zs[m], w), y, classes)
-                    slope = slope * use[:, :, None]
-                    grad = (slope.reshape(len(y), -1).T @ zs[m]).ravel()
-                    out += [(value * use).sum(0), grad]
+                    value, slope = _losses(loss, _margins(bases[m], w), y, classes)
+                    slope = (slope * use[:, :, None]).reshape(len(y), -1)
+                    out += [(value * use).sum(0), np.column_stack([slope.T @ bases[m], slope.sum(0)]).ravel()]
                 flat = np.concatenate(out)
                 sums = flat if sums is None else sums + flat
             return sums
@@ -176,9 +212,10 @@ def fit_many(data: DataFrame, tasks: list[LinearTask], maps: list, dims: list[in
         for (loss, m), idx in groups.items():
             values, at = got[at:at + len(idx)], at + len(idx)
             for n, i in enumerate(idx):
-                size = shapes[i][0] * shapes[i][1]
-                g = got[at:at + size] / rows[i]
+                size = shapes[i][0] * (shapes[i][1] if maps[m] is None else len(maps[m].landmarks) + 1)
+                g = got[at:at + size].reshape(shapes[i][0], -1) / rows[i]
                 at += size
+                g = g.ravel() if maps[m] is None else np.column_stack([g[:, :-1] @ maps[m].weights, g[:, -1]]).ravel()
                 w = opts[i].point().reshape(shapes[i]).copy()
                 w[:, -1] = 0.0                        # the intercept is free
                 f = values[n] / rows[i] + tasks[i].reg / 2 * (w * w).sum()
@@ -188,18 +225,18 @@ def fit_many(data: DataFrame, tasks: list[LinearTask], maps: list, dims: list[in
 
 def held_out_confusion(data: DataFrame, tasks: list[LinearTask], weights: list[np.ndarray], maps: list, classes: int) -> np.ndarray:
     """(task, true, predicted) counts over each task's left-out rows, in one pass."""
-    sent = data.sparkSession.sparkContext.broadcast((tasks, weights))
+    plan = [(t.fold, t.map_id, _on_base(w, maps[t.map_id])) for t, w in zip(tasks, weights)]
+    sent = data.sparkSession.sparkContext.broadcast((plan, _kernels(maps, dict.fromkeys(t.map_id for t in tasks))))
 
     def partial(batches):
         counts = np.zeros((len(sent.value[0]), classes, classes))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            zs, y, fold = _rows(b, maps)
-            for i, (t, w) in enumerate(zip(*sent.value)):
-                at = np.flatnonzero(fold == t.fold)
-                m = zs[t.map_id][at] @ w.T
-                p = (m[:, 0] > 0).astype(int) if w.shape[0] == 1 else m.argmax(1)
+        for x, y, fold in _chunks(batches):
+            plan, kernels = sent.value
+            bases = _bases(x, kernels)
+            for i, (left_out, m, w) in enumerate(plan):
+                at = np.flatnonzero(fold == left_out)
+                p = bases[m][at] @ w[:, :-1].T + w[:, -1]
+                p = (p[:, 0] > 0).astype(int) if w.shape[0] == 1 else p.argmax(1)
                 np.add.at(counts[i], (y[at], np.minimum(p, classes - 1)), 1)
         return counts.ravel()
 

@@ -28,8 +28,9 @@ ROUNDS = 5
 
 
 def square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-    return np.maximum(d, 0.0)
+    d = np.add.outer((x * x).sum(1), (y * y).sum(1))
+    d -= x @ (2.0 * y).T
+    return np.maximum(d, 0.0, out=d)
 
 
 def choose_landmarks(x: np.ndarray, count: int, seed: int) -> np.ndarray:
@@ -51,12 +52,17 @@ def choose_landmarks(x: np.ndarray, count: int, seed: int) -> np.ndarray:
     return np.unique(centre, axis=0)
 
 
+def kernel_values(distances: np.ndarray, gamma: float) -> np.ndarray:
+    k = -gamma * distances
+    return np.exp(k, out=k)
+
+
 class KernelMap:
-    """x -> z(x) with z(x)·z(y) close to exp(-gamma |x - y|^2)."""
+    """x -> z(x) = k(x, landmarks) · weights, with z(x)·z(y) close to exp(-gamma |x - y|^2)."""
 
     def __init__(self, landmarks: np.ndarray, gamma: float):
         self.landmarks, self.gamma = landmarks, gamma
-        value, vector = np.linalg.eigh(np.exp(-gamma * square_distances(landmarks, landmarks)))
+        value, vector = np.linalg.eigh(kernel_values(square_distances(landmarks, landmarks), gamma))
         kept = value > 1e-10 * value.max()
         self.weights = vector[:, kept] / np.sqrt(value[kept])
 
@@ -65,7 +71,7 @@ class KernelMap:
         return self.weights.shape[1]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return np.exp(-self.gamma * square_distances(x, self.landmarks)) @ self.weights
+        return kernel_values(square_distances(x, self.landmarks), self.gamma) @ self.weights
 
     def transform(self, df: DataFrame, col: str) -> DataFrame:
         def mapped(x: pd.Series) -> pd.Series:

@@ -28,7 +28,7 @@ from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batch_linear import LinearTask, fit_many
+from .batch_linear import LinearTask, _bases, _kernels, _on_base, fit_many
 from .common import partitions_for, pred_table, spread
 from .nystroem import KernelMap, fit_kernel_map, kernel_error
 
@@ -60,17 +60,17 @@ def _min_node(params):
 
 
 class MarginModel:
-    """Linear margins of the SVM solver, with the columns that Spark ML's models add."""
+    """Linear margins of the SVM solver, behind its kernel map if it has one, with the columns that Spark ML's models add."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights                       # (outputs, features + 1), the intercept last
+    def __init__(self, weights: np.ndarray, kernel: KernelMap | None = None):
+        self.weights, self.kernel = weights, kernel  # (outputs, features + 1), the intercept last
         self.coefficientMatrix = DenseMatrix(*weights[:, :-1].shape, weights[:, :-1].ravel().tolist(), isTransposed=True)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        w = self.weights
+        kernels, w = _kernels([self.kernel], [0]), _on_base(self.weights, self.kernel)
 
         def margins(x: pd.Series) -> pd.Series:
-            m = np.vstack(x.to_numpy()) @ w[:, :-1].T + w[:, -1] if len(x) else np.zeros((0, len(w)))
+            m = _bases(np.vstack(x.to_numpy()), kernels)[0] @ w[:, :-1].T + w[:, -1] if len(x) else np.zeros((0, len(w)))
             return pd.Series(list(np.column_stack([-m, m]) if len(w) == 1 else m), dtype=object)
 
         raw = F.pandas_udf(margins, "array<double>")(vector_to_array("features_vec"))
@@ -93,8 +93,6 @@ class SparkClassifier:
     training_time: float = 0.0
 
     def _prepared(self, df: DataFrame) -> DataFrame:
-        if self.kernel is not None:
-            df = self.kernel.transform(df, self.features)
         return df.withColumn("features_vec", array_to_vector(F.col(self.features).cast("array<double>")))
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -159,20 +157,19 @@ def fit_spark_model(kind: str, train: DataFrame, features: str, label: str, clas
         dim = len(tr.select(features).first()[0])
         kernel = fit_kernel_map(tr, features, _gamma(tr, features, dim, params.get("gamma", "scale")), seed=seed)
         error = float(kernel_error(tr, features, kernel).first()["worst"])
-        tr = kernel.transform(tr, features)
     data = with_ml_columns(tr, features, label, classes)
     if kind == "SVM":
-        data = spread(data, n, 2 * (kernel.dims if kernel else len(tr.select(features).first()[0]))).persist()
+        data = spread(data, n, kernel.dims if kernel else len(tr.select(features).first()[0])).persist()
     else:
         data = data.coalesce(partitions_for(n)).persist()
     cal = None
     if kind != "SVM":
         model = make_estimator(kind, params, n, seed, len(classes)).fit(data)
     else:                                             # by the solver that scored the candidates
-        dims = data.select(F.size(features)).first()[0]
+        dims = kernel.dims if kernel else data.select(F.size(features)).first()[0]
         rows = data.select(F.col(features).cast("array<double>").alias("x"), F.col("label_idx").cast("int").alias("y"), F.lit(0).alias("fold"))
         task = LinearTask("hinge", 1.0 / (float(params.get("C", 1.0)) * max(1, n)), -1)
-        model = MarginModel(fit_many(rows, [task], [None], [dims], len(classes), {0: n})[0])
+        model = MarginModel(fit_many(rows, [task], [kernel], [dims], len(classes), {0: n})[0], kernel)
         cal = LogisticRegression(featuresCol="margins", labelCol="label_idx", predictionCol="__cal_pred",
                                  rawPredictionCol="__cal_raw", probabilityCol="probability", maxIter=100,
                                  regParam=1e-6).fit(model.transform(data).withColumnRenamed("rawPrediction", "margins"))

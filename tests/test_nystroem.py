@@ -70,3 +70,28 @@ def test_decisions_match_the_exact_dual(spark, rings):
     mine = np.array([got[i] for i in range(300)])
     assert np.corrcoef(mine, want)[0, 1] > 0.999 and np.abs(mine - want).max() < 0.1
     assert ((mine > 0) == (want > 0)).mean() > 0.99
+
+
+def test_solver_needs_only_the_landmarks_of_a_map(rings):
+    """Weights, losses and held-out counts behind maps equal those on the mapped rows; the tasks map no row."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from sparkclf.models import batch_linear as B
+    df, x, y = rings
+    kernels = [N.KernelMap(N.choose_landmarks(x, 20, 1), g) for g in (0.7, 0.2)]
+    bare = [SimpleNamespace(landmarks=k.landmarks, gamma=k.gamma, weights=k.weights, dims=k.dims) for k in kernels]
+    rows = df.select(F.col("f").alias("x"), "y", (F.col("id") % 3).cast("int").alias("fold")).repartition(3)
+    tasks = [B.LinearTask(loss, 0.05, f, m) for loss in ("hinge", "logistic") for m in (0, 1) for f in (0, 2)]
+    sizes = {0: 100, 1: 100, 2: 100}
+    got = B.fit_many(rows, tasks, bare, [k.dims for k in bare], 2, sizes)
+    counts = B.held_out_confusion(rows, tasks, got, bare, 2)
+    for m, k in enumerate(kernels):
+        z = rows.sparkSession.createDataFrame([(r.tolist(), int(c), i % 3) for i, (r, c) in enumerate(zip(k(x), y))], "x array<double>, y int, fold int")
+        mine = [i for i, t in enumerate(tasks) if t.map_id == m]
+        plain = [B.LinearTask(tasks[i].loss, 0.05, tasks[i].fold) for i in mine]
+        want = B.fit_many(z, plain, [None], [k.dims], 2, sizes)
+        for i, w in zip(mine, want):
+            assert np.allclose(k(x) @ got[i][0, :-1] + got[i][0, -1], k(x) @ w[0, :-1] + w[0, -1], atol=2e-3)
+        assert np.abs(counts[mine] - B.held_out_confusion(z, plain, want, [None], 2)).max() <= 1
