@@ -18,7 +18,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import classification_metrics
@@ -30,7 +32,7 @@ from .knn import fit_knn, neighbours
 from .prior import fit_prior
 from .nystroem import fit_kernel_map
 from .spark_ml import _gamma, fit_spark_model, label_index, with_ml_columns
-from .tree_cv import tree_cv
+from .tree_cv import scores, tree_cv
 
 LR, KNN, DT, NB, RF, SVM, BASE = ("Logistic Regression", "K-Nearest Neighbors", "Decision Tree", "Naive Bayes",
                                   "Random Forest", "SVM", "Rule-based (Stratified Baseline)")
@@ -182,9 +184,8 @@ def _linear_cv(kind, data, features, label, classes, cands, k, primary, seed):
 def _knn_cv(data, features, id_col, label, classes, cands, k, primary):
     """Every (k, weights, metric) candidate from one neighbour list per fold.
 
-    The fold-tagged neighbour lists (query rows x kmax) join a tiny broadcast
-    candidate table, so all candidates are voted and scored in one plan."""
-    spark = data.sparkSession
+    A query row's neighbours (kmax at most, rows of one id together) are gathered once, and all
+    candidates are voted and counted over them; a row per (query, neighbour, candidate) never exists."""
     kmax = max(int(c["n_neighbors"]) for c in cands)
     mets = sorted({c["metric"] for c in cands})
 
@@ -193,24 +194,53 @@ def _knn_cv(data, features, id_col, label, classes, cands, k, primary):
         va = data.where(F.col("fold") == f)
         return neighbours(tr, va, features, id_col, label, kmax, mets).withColumn("fold", F.lit(f))
 
+    def position(c):
+        return (F.array_position(F.array(*[F.lit(x) for x in classes]), F.col(c)) - 1).cast("int")
+
     nbs = functools.reduce(DataFrame.unionByName, each_at_once(fold_lists, range(k)))
-    cdf = spark.createDataFrame([(i, int(c["n_neighbors"]), c["weights"], c["metric"]) for i, c in enumerate(cands)],
-                                "cand int, kk int, weights string, metric string")
-    x = nbs.join(F.broadcast(cdf), "metric").where(F.col("rank") <= F.col("kk"))
-    grp = Window.partitionBy("fold", "cand", "qid")
-    zero = F.max((F.col("dist") == 0).cast("int")).over(grp)
-    w = F.when(F.col("weights") == "distance",
-               F.when(zero == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))).otherwise(1.0)
-    cls_idx = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label"))
-    votes = (x.withColumn("w", w).groupBy("fold", "cand", "qid", "label").agg(F.sum("w").alias("w"))
-             .withColumn("ci", cls_idx))
-    best = votes.groupBy("fold", "cand", "qid").agg(
-        F.max_by("label", F.struct(F.col("w"), -F.col("ci"))).alias("y_pred"))
-    truth = data.select(F.col(id_col).alias("qid"), F.col(label).alias("y_true"))
-    preds = best.join(truth, "qid").select(
-        F.concat_ws(":", F.col("cand").cast("string"), F.col("fold").cast("string")).alias("model"),
-        "y_true", "y_pred")
-    return _fold_means([preds], len(cands), primary)
+    near = F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), F.col("dist").cast("double").alias("dist"),
+                                                position("label").alias("ci"))))
+    lists = nbs.groupBy("fold", "metric", "qid").agg(near.alias("near"))
+    truth = data.select(F.col(id_col).alias("qid"), position(label).alias("y"))
+    lists = lists.join(truth, "qid").select("fold", "metric", "y", *[F.col(f"near.{c}").alias(c) for c in ("rank", "dist", "ci")])
+    m = scores(_knn_confusions(lists, cands, len(classes)), primary).collect()      # a number per candidate and fold
+    by = {(r["cut"], r["job"]): r["score"] for r in m}
+    return np.array([float(np.mean([by[i, f] for f in range(k) if (i, f) in by])) for i in range(len(cands))])
+
+
+def _knn_confusions(lists, cands, classes):
+    """(job: fold, cut: candidate, n, y, pred, c): votes of every candidate over a batch of neighbour lists, counted in its task.
+
+    lists: (fold, metric, y, and by neighbour rank, dist, ci)."""
+    names = ["job", "cut", "n", "y", "pred", "c"]
+
+    def count(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            metric, fold, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("metric", "fold", "y"))
+            row = np.repeat(np.arange(len(y)), pc.list_value_length(b.column("rank")).to_numpy(zero_copy_only=False))
+            rank, dist, ci = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("rank", "dist", "ci"))
+            for i, c in enumerate(cands):
+                mine = (metric == c["metric"])[row] & (rank <= int(c["n_neighbors"]))
+                at, d, said = row[mine], dist[mine], ci[mine]
+                if not len(at):
+                    continue
+                w = np.ones(len(d))
+                if c["weights"] == "distance":                    # a neighbour at no distance outvotes all others
+                    hit = np.zeros(len(y), bool)
+                    hit[at[d == 0]] = True
+                    with np.errstate(divide="ignore"):
+                        w = np.where(hit[at], (d == 0).astype(float), 1.0 / d)
+                votes = np.bincount(at * classes + said, w, len(y) * classes).reshape(len(y), classes)
+                voted = np.unique(at)
+                kinds, n = np.unique(np.column_stack([fold[voted], y[voted], votes[voted].argmax(axis=1)]), axis=0, return_counts=True)
+                cols = [kinds[:, 0], np.full(len(n), i), np.zeros(len(n)), kinds[:, 1], kinds[:, 2], n]
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)).cast(pa.int64() if x == "c" else pa.int32())
+                                                  for x, v in zip(names, cols)], names)
+
+    part = lists.mapInArrow(count, "job int, cut int, n int, y int, pred int, c long")
+    return part.groupBy("job", "cut", "n", "y", "pred").agg(F.sum("c").alias("c"))
 
 
 def _gnb_cv(data, features, label, cands, k, primary, id_col):
